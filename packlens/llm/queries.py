@@ -12,6 +12,8 @@ from .digests import fingerprint_query
 from .media import media_query
 from .mixing import mix_query
 from .simhash import simhash_query
+from .substrings import substring_query
+from .suffixes import suffix_query
 from .warc import warc_query
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,9 +28,11 @@ def queries() -> dict[str, Query]:
         "op1_fingerprints": over("documents", fingerprint_query),
         "op2_bpe": over("documents", bpe_query),
         "op3_warc": over("pages", warc_query),
+        "op4_substrings": over("documents", substring_query),
         "op5_media": over("documents", media_query),
         "op6_mixing": over("documents", mix_query),
         "op9_simhash": over("documents", simhash_query),
+        "op10_suffixes": over("documents", suffix_query),
     }
 
 
