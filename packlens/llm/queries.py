@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import bpe_query
 from .common import read_table
 from .digests import fingerprint_query
+from .lm import lm_query
 from .media import media_query
 from .mixing import mix_query
 from .simhash import simhash_query
@@ -31,6 +32,7 @@ def queries() -> dict[str, Query]:
         "op4_substrings": over("documents", substring_query),
         "op5_media": over("documents", media_query),
         "op6_mixing": over("documents", mix_query),
+        "op7_lm": over("documents", lm_query),
         "op9_simhash": over("documents", simhash_query),
         "op10_suffixes": over("documents", suffix_query),
     }
