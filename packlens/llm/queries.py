@@ -12,6 +12,7 @@ from .digests import fingerprint_query
 from .lm import lm_query
 from .media import media_query
 from .mixing import mix_query
+from .quality import quality_query
 from .simhash import simhash_query
 from .substrings import substring_query
 from .suffixes import suffix_query
@@ -33,6 +34,7 @@ def queries() -> dict[str, Query]:
         "op5_media": over("documents", media_query),
         "op6_mixing": over("documents", mix_query),
         "op7_lm": over("documents", lm_query),
+        "op8_quality": quality_query,
         "op9_simhash": over("documents", simhash_query),
         "op10_suffixes": over("documents", suffix_query),
     }
