@@ -219,6 +219,24 @@ def bpe_round_trip(docs: DataFrame, path: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
+def bpe_tokens(docs: DataFrame, path: str) -> DataFrame:
+    """``doc_id, n_tokens, ids, decodes`` of each row of ``docs(doc_id, text)``; ``decodes``: the ids decode to the text again."""
+    shared = vocabulary(docs.sparkSession, path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = codec_of(shared.value)
+        for batch in batches:
+            for part in slices(batch, "text"):
+                held = [x or "" for x in part.column("text").to_pylist()]
+                ids, counts = codec.encode(held)
+                ends = np.append(0, np.cumsum(counts))
+                same = [codec.decode(ids[a:b]) == x for a, b, x in zip(ends[:-1], ends[1:], held, strict=True)]
+                arrays = [part.column("doc_id"), pa.array(counts), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32))), pa.array(same)]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_tokens", "ids", "decodes"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decodes boolean")
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
 

@@ -59,6 +59,26 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0
     return ranked.select("source", "source_size", "weight", F.least(cap, F.col("weight") * F.lit(level)).alias("target"))
 
 
+def slot_of() -> Column:
+    """A document's place on the hash line of its source."""
+    return F.shiftrightunsigned(F.xxhash64("doc_id", "source"), 64 - LEVEL_BITS * LEVELS)
+
+
+def mix_plan(slim: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), share: float = 1.0) -> DataFrame:
+    """``source, source_size, target, repeats, cut`` for ``slim(source, size, slot)``: all documents come ``repeats`` times, those under ``cut`` once more."""
+    goals = source_targets(slim.select("source", "size"), weights, share)
+    repeats = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(MAX_REPEATS))).otherwise(F.lit(0)).cast("int")
+    goals = goals.withColumn("repeats", repeats).withColumn("left", F.greatest(F.col("target") - F.col("repeats") * F.col("source_size"), F.lit(0.0)))
+    goals = materialize(goals, "mix-goals")
+    cuts = hash_cuts(slim, goals.select("source", "left"))
+    joined = goals.alias("g").join(cuts.alias("c"), F.col("g.source").eqNullSafe(F.col("c.source")), "left")
+    return materialize(joined.select("g.source", "g.source_size", "g.target", "g.repeats", F.coalesce(F.col("c.cut"), F.lit(0)).alias("cut")), "mix-plan")
+
+
+def sized(docs: DataFrame) -> DataFrame:
+    return materialize(docs.select("doc_id", "source", count_words(F.col("text")).alias("size"), slot_of().alias("slot")), "mix-sizes")
+
+
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), share: float = 1.0) -> DataFrame:
     """Which documents a mix takes: doc_id, source, size, source_size, target, copies, taken.
 
@@ -69,20 +89,11 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), s
     source is a source of its own (last), a null doc_id hashes like any value.
     An empty table gives no rows; a source without words has target 0.
     """
-    slim = materialize(
-        docs.select("doc_id", "source", count_words(F.col("text")).alias("size"), F.shiftrightunsigned(F.xxhash64("doc_id", "source"), 64 - LEVEL_BITS * LEVELS).alias("slot")), "mix-sizes")
-    goals = source_targets(slim.select("source", "size"), weights, share)
-    repeats = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(MAX_REPEATS))).otherwise(F.lit(0)).cast("int")
-    goals = goals.withColumn("repeats", repeats).withColumn("left", F.greatest(F.col("target") - F.col("repeats") * F.col("source_size"), F.lit(0.0)))
-    goals = materialize(goals, "mix-goals")
-    cuts = hash_cuts(slim, goals.select("source", "left"))
-    plan = materialize(goals.alias("g").join(cuts.alias("c"), F.col("g.source").eqNullSafe(F.col("c.source")), "left").select("g.*", F.coalesce(F.col("c.cut"), F.lit(0)).alias("cut")), "mix-plan")
+    slim = sized(docs)
+    plan = mix_plan(slim, weights, share)
+    joined = slim.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
     copies = F.col("p.repeats") + (F.col("d.slot") < F.col("p.cut")).cast("int")
-    return (
-        slim.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
-        .select("d.doc_id", "d.source", "d.size", "p.source_size", "p.target", copies.alias("copies"))
-        .withColumn("taken", F.col("copies") * F.col("size"))
-    )
+    return joined.select("d.doc_id", "d.source", "d.size", "p.source_size", "p.target", copies.alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def hash_cuts(slim: DataFrame, budgets: DataFrame) -> DataFrame:
@@ -108,11 +119,16 @@ def hash_cuts(slim: DataFrame, budgets: DataFrame) -> DataFrame:
     return state.select("source", (F.col("prefix") + (F.col("left") * 2 >= F.col("words")).cast("long")).alias("cut"))
 
 
-def apply_mix(docs: DataFrame, plan: DataFrame) -> DataFrame:
-    """``docs`` as the mix has them: each row as often as its ``copies``; unused rows go."""
-    copies = plan.groupBy("doc_id", "source").agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    held = docs.alias("d").join(copies.alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & F.col("d.source").eqNullSafe(F.col("m.source")))
-    return held.select("d.*", F.explode(F.sequence(F.lit(1), F.col("m._copies"))).alias("_copy")).drop("_copy")
+def apply_mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), share: float = 1.0) -> DataFrame:
+    """``docs`` as the mix has them: each row as often as the mix takes it; rows that it doesn't take go.
+
+    Only one row per source is joined to the texts.
+    """
+    plan = mix_plan(sized(docs), weights, share).select(F.col("source").alias("_source"), "repeats", "cut")
+    held = docs.withColumn("_slot", slot_of()).alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p._source")))
+    copies = F.col("p.repeats") + (F.col("d._slot") < F.col("p.cut")).cast("int")
+    kept = held.select("d.*", copies.alias("_copies")).where("_copies > 0")
+    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_slot", "_copies", "_copy")
 
 
 def mix_query(spark: SparkSession, docs: DataFrame) -> DataFrame:

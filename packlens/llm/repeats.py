@@ -213,32 +213,55 @@ def removals(docs: DataFrame, whole: DataFrame, verify: DataFrame, rule: Rule) -
     return both.groupBy("doc_id").agg(F.collect_list("whole").alias("whole"), F.collect_list("window").alias("windows"))
 
 
-def remove_repeats(docs: DataFrame, batches: list[DataFrame], rule: Rule, fanout: int, describe: Callable, schema: str) -> DataFrame:
-    """Index ``batches`` one after another, then describe each row of ``docs`` with what goes.
-
-    ``describe(doc_id, text, part, i, gone)`` gives the row's values for ``schema``;
-    ``gone`` tells for a text's bytes which units go.
-    """
+def found_removals(docs: DataFrame, batches: list[DataFrame], rule: Rule, fanout: int) -> DataFrame:
+    """Index ``batches`` one after another; ``doc_id, whole, windows`` of the rows of ``docs(doc_id, text)`` that lose something."""
     index = SegmentIndex(docs.sparkSession, rule, fanout)
     whole, verify = index.add(batches[0])
     for batch in batches[1:]:
         more_whole, more_verify = index.add(batch)
         whole, verify = whole.unionByName(more_whole), verify.unionByName(more_verify)
+    return removals(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), whole, verify, rule)
+
+
+def gone_units(part: pa.RecordBatch, rule: Rule) -> Iterator[tuple[bytes, np.ndarray | None]]:
+    """Each text of a batch with ``_whole`` and ``_windows``, and which of its units go (None: nothing)."""
+    whole, windows = part.column("_whole"), part.column("_windows")
+    for i, text in enumerate(texts(part.column("text"))):
+        a, b = pairs_of(whole, i), pairs_of(windows, i)
+        yield text, removed_units(rule.units(text), rule, a, b) if len(a[0]) or len(b[0]) else None
+
+
+def with_removals(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """All columns of ``docs`` and ``_whole, _windows``."""
+    found = found.select(F.col("doc_id").alias("_id"), F.col("whole").alias("_whole"), F.col("windows").alias("_windows"))
+    return docs.join(found.hint("shuffle_hash"), docs["doc_id"].cast("long") == F.col("_id"), "left").drop("_id")
+
+
+def describe_removals(docs: DataFrame, batches: list[DataFrame], rule: Rule, fanout: int, describe: Callable, schema: str) -> DataFrame:
+    """``doc_id`` and ``describe(text, gone)`` of each row of ``docs``; ``schema`` names and types all columns."""
+    names, kinds = zip(*(f.split() for f in schema.split(", ")), strict=True)
+    types = [{"long": pa.int64(), "string": pa.string()}[k] for k in kinds]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                rows = zip(*(describe(*x) for x in gone_units(part, rule)), strict=True)
+                columns = [pa.array(c, t) for c, t in zip(rows, types[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], list(names))
+
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = removals(slim, whole, verify, rule)
-    names = [f.split()[0] for f in schema.split(", ")]
+    return with_removals(slim, found_removals(slim, batches, rule, fanout)).mapInArrow(run, schema)
+
+
+def rewrite_texts(docs: DataFrame, batches: list[DataFrame], rule: Rule, fanout: int, rewrite: Callable) -> DataFrame:
+    """``docs`` with ``rewrite(text, gone)`` for each text that loses something; all other columns and texts stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = {"long": pa.int64(), "string": pa.string()}
-        kinds = [types[f.split()[1]] for f in schema.split(", ")]
         for batch in batches:
             for part in slices(batch, "text"):
-                rows = []
-                ids, valid = part.column("doc_id").to_pylist(), part.column("text").is_valid().to_pylist()
-                for i, (doc_id, text) in enumerate(zip(ids, texts(part.column("text")), strict=True)):
-                    whole, windows = pairs_of(part.column("whole"), i), pairs_of(part.column("windows"), i)
-                    gone = removed_units(rule.units(text), rule, whole, windows) if len(whole[0]) or len(windows[0]) else None
-                    rows.append(describe(doc_id, text if valid[i] else None, gone))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-
-    return slim.join(found.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "whole", "windows").mapInArrow(run, schema)
+                old = part.column("text").to_pylist()
+                new = [x if gone is None or not gone.any() else rewrite(text, gone).decode() for x, (text, gone) in zip(old, gone_units(part, rule), strict=True)]
+                at = part.schema.get_field_index("text")
+                yield part.set_column(at, part.schema.field(at), pa.array(new, part.schema.field(at).type)).drop_columns(["_whole", "_windows"])
+
+    return with_removals(docs, found_removals(docs, batches, rule, fanout)).mapInArrow(run, docs.schema)

@@ -14,7 +14,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, shuffle_partitions, slices, texts
@@ -204,6 +204,148 @@ def simhash_components(docs: DataFrame, words: int = 3, radius: int = 2) -> Data
     return prints.join(print_components(prints, radius), "print").select("doc_id", "print", "component_id")
 
 
+#: Near duplicates: shingle words, least Jaccard similarity, and the radius that pairs at it stay within.
+NEAR_WORDS, NEAR_SIMILARITY, NEAR_RADIUS = 5, 0.8, 20
+#: Block keys: BANDS keys, each of ROWS least hashes; a pair at 0.8 shares none with probability 3e-5.
+BANDS, ROWS = 20, 4
+#: Texts that are compared in one task, and central ones that every part of a larger group gets.
+PART, HUBS = 2_000, 32
+FACTORS = np.random.default_rng(SEED).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def block_keys(shingles: np.ndarray) -> np.ndarray:
+    """BANDS keys of a shingle set; sets at a high Jaccard similarity share some."""
+    least = np.full(BANDS * ROWS, ~np.uint64(0))
+    for at in range(0, len(shingles), 2048):
+        np.minimum(least, np.multiply.outer(FACTORS, shingles[at : at + 2048]).min(axis=1), out=least)
+    rows = least.reshape(BANDS, ROWS)
+    out = np.zeros(BANDS, np.uint64)
+    for i in range(ROWS):
+        out = (out ^ rows[:, i]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def node_of(shingles: np.ndarray) -> int:
+    """A 64-bit name of a shingle set, signed; ``shingles`` are distinct and sorted."""
+    name = xxhash.xxh64_intdigest(shingles.tobytes(), SEED)
+    return name - (1 << 64) if name >> 63 else name
+
+
+def signatures(docs: DataFrame, words: int) -> DataFrame:
+    """``doc_id, node, print, keys`` of each row of ``docs(doc_id, text)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                nodes, prints, keys = [], [], []
+                for text in texts(part.column("text")):
+                    hashes = shingle_hashes(text, words)
+                    distinct = np.unique(hashes)
+                    nodes.append(node_of(distinct))
+                    prints.append(fingerprint(hashes))
+                    keys.append(block_keys(distinct))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(nodes) + 1, dtype=np.int32) * BANDS), pa.array(np.concatenate(keys).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(np.array(prints, np.uint64).view(np.int64)), lists], ["doc_id", "node", "print", "keys"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, node long, print long, keys array<long>")
+
+
+def similar_links(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Star links (index, least index of its group) of the graph that links sets at ``similarity`` or more.
+
+    Intersections of one set with all come from an inverted index, exactly.
+    """
+    n = len(sets)
+    sizes = np.array([len(s) for s in sets])
+    flat = np.concatenate(sets)
+    owner = np.repeat(np.arange(n), sizes)
+    order = np.argsort(flat, kind="stable")
+    flat, posting = flat[order], owner[order]
+    new = np.append(True, flat[1:] != flat[:-1]) if len(flat) else np.empty(0, bool)
+    starts = np.nonzero(new)[0]
+    lengths = np.diff(np.append(starts, len(flat)))
+    code = np.empty(len(flat), np.int64)
+    code[order] = np.cumsum(new) - 1
+    edges = np.append(0, np.cumsum(sizes))
+    root = np.arange(n)
+    for i in range(n):
+        own = code[edges[i] : edges[i + 1]]
+        skipped = np.cumsum(lengths[own]) - lengths[own]
+        hits = posting[np.repeat(starts[own] - skipped, lengths[own]) + np.arange(int(lengths[own].sum()))]
+        shared = np.bincount(hits, minlength=n)
+        linked = shared >= similarity * (sizes + sizes[i] - shared) - 1e-9
+        linked[i] = True
+        near = np.unique(root[linked])
+        if len(near) > 1:
+            root[np.isin(root, near)] = near[0]
+    other = np.nonzero(root != np.arange(n))[0]
+    return other, root[other]
+
+
+def near_duplicate_groups(docs: DataFrame, words: int = NEAR_WORDS, similarity: float = NEAR_SIMILARITY, radius: int = NEAR_RADIUS) -> DataFrame:
+    """``doc_id, component_id`` of each row of ``docs(doc_id, text)``: groups linked by Jaccard similarity of shingle sets.
+
+    Rows with one shingle set are one node. Nodes that share a block key are
+    compared by bit-sliced SimHash; what lies within the radius is checked on the
+    shingle sets themselves. Groups of candidates above PART nodes are checked in
+    parts, each with the group's HUBS nodes nearest to its majority fingerprint.
+    Texts without words have an empty set and form one group. A null doc_id has
+    no group of its own: its component is null or its equals'. Rows that repeat a
+    doc_id are in one group if their texts are.
+    """
+    spark = docs.sparkSession
+    rows = materialize(signatures(docs, words), "signatures")
+    nodes = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("print").alias("print"), F.first("keys").alias("keys")), "nodes")
+    keyed = nodes.select(F.posexplode("keys").alias("k", "key"), F.col("node").alias("id"), "print")
+    dealt = keyed.repartition(shuffle_partitions(spark), "k", "key").sortWithinPartitions("k", "key")
+    groups = connected_components(dealt.mapInArrow(bucket_links(radius), "a long, b long"))
+    held = nodes.join(groups, "node").select("node", "first_id", "print", "component")
+    majority = held.groupBy("component").agg(*[F.sum(F.shiftright("print", i).bitwiseAND(F.lit(1))).alias(f"b{i}") for i in range(64)], F.count("*").alias("size"))
+    middle = F.lit(0).cast("long")
+    for i in range(64):
+        middle = middle.bitwiseOR(F.when(F.col(f"b{i}") * 2 > F.col("size"), F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+    sized = held.join(majority.select("component", "size", middle.alias("middle")), "component")
+    parts = F.ceil(F.col("size") / F.lit(PART)).cast("int")
+    sized = materialize(sized.withColumn("parts", parts).withColumn("far", F.bit_count(F.col("print").bitwiseXOR(F.col("middle")))), "candidates")
+    marked = sized.join(top_nodes(sized.where("parts > 1")), ["component", "node"], "left")
+    part = F.when(F.col("hub").isNotNull(), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")))
+    members = marked.select("component", "first_id", "node", F.explode(part).alias("part"))
+    texts_of = docs.select(F.col("doc_id").cast("long").alias("first_id"), "text").join(members, "first_id").select("component", "part", "node", "text")
+
+    def check(table: pa.Table) -> pa.Table:
+        found: dict[int, np.ndarray] = {}
+        wanted = set(table.column("node").to_pylist())
+        for text in texts(table.column("text").combine_chunks()):
+            distinct = np.unique(shingle_hashes(text, words))
+            if (node := node_of(distinct)) in wanted:
+                found[node] = distinct
+        names = np.array(sorted(found), np.int64)
+        x, y = similar_links([found[i] for i in names.tolist()], similarity) if len(names) > 1 else ((), ())
+        return pa.table({"a": pa.array(names[list(x)] if len(x) else [], pa.int64()), "b": pa.array(names[list(y)] if len(y) else [], pa.int64())})
+
+    linked = connected_components(texts_of.groupBy("component", "part").applyInArrow(check, "a long, b long"))
+    grouped = nodes.select("node", "first_id").join(linked, "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("component"))
+    least = grouped.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    named = grouped.join(least, "component").select("node", "component_id")
+    return rows.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
+
+
+def top_nodes(rows: DataFrame) -> DataFrame:
+    """``component, node, hub``: the HUBS nodes of each component with the least ``far``; ranked within salted parts first."""
+    parts = Window.partitionBy("component", F.pmod(F.xxhash64("node"), F.col("parts"))).orderBy("far", "node")
+    some = rows.withColumn("_rank", F.row_number().over(parts)).where(F.col("_rank") <= HUBS)
+    whole = Window.partitionBy("component").orderBy("far", "node")
+    return some.withColumn("_rank", F.row_number().over(whole)).where(F.col("_rank") <= HUBS).select("component", "node", F.lit(True).alias("hub"))
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = NEAR_WORDS, similarity: float = NEAR_SIMILARITY, radius: int = NEAR_RADIUS) -> DataFrame:
+    """``docs`` with the document of least doc_id of each group; rows with a null doc_id stay, rows that repeat a doc_id stay or go together."""
+    groups = near_duplicate_groups(docs, words, similarity, radius)
+    others = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(others.hint("shuffle_hash"), docs["doc_id"].cast("long") == F.col("_id"), "left_anti")
+
+
 def simhash_query(spark: SparkSession, docs: DataFrame) -> DataFrame:
     found = simhash_components(docs)
     return found.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")

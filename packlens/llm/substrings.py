@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .repeats import Rule, remove_repeats
+from .repeats import Rule, describe_removals, rewrite_texts
 
 WINDOW = 50
 BATCHES = 2
@@ -64,23 +64,21 @@ def dedup_words(docs: DataFrame, batches: int = BATCHES, window: int = WINDOW, f
     and lose nothing; rows that repeat a doc_id don't take from each other.
     """
 
-    def describe(doc_id, text, gone):
-        kept = kept_words(text or b"", gone)
+    def describe(text, gone):
+        kept = kept_words(text, gone)
         removed = 0 if gone is None else int(gone.sum())
-        return doc_id, len(kept) + removed, removed, hashlib.sha256(b" ".join(kept)).hexdigest()
+        return len(kept) + removed, removed, hashlib.sha256(b" ".join(kept)).hexdigest()
 
-    return remove_repeats(docs, in_batches(docs, batches), rule_of(window), fanout, describe, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return describe_removals(docs, in_batches(docs, batches), rule_of(window), fanout, describe, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def dedup_texts(docs: DataFrame, batches: int = BATCHES, window: int = WINDOW, fanout: int = FANOUT) -> DataFrame:
-    """``doc_id, text, n_removed``: texts without what ``dedup_words`` removes; texts that lose nothing stay as they are, null included."""
+    """``docs`` with the words that ``dedup_words`` removes cut out of ``text``.
 
-    def describe(doc_id, text, gone):
-        if gone is None or not gone.any():
-            return doc_id, None if text is None else text.decode(), 0
-        return doc_id, b" ".join(kept_words(text, gone)).decode(), int(gone.sum())
-
-    return remove_repeats(docs, in_batches(docs, batches), rule_of(window), fanout, describe, "doc_id long, text string, n_removed long")
+    The kept words of a text that loses some are joined by one space; other texts,
+    null included, and all other columns stay as they are. No row goes.
+    """
+    return rewrite_texts(docs, in_batches(docs, batches), rule_of(window), fanout, lambda text, gone: b" ".join(kept_words(text, gone)))
 
 
 def substring_query(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from .repeats import Rule, remove_repeats
+from .repeats import Rule, describe_removals
 from .segments import mixed
 from .substrings import in_batches
 
@@ -38,16 +38,15 @@ def dedup_bytes(docs: DataFrame, batches: int = BATCHES, match: int = MATCH) ->
     that repeat a doc_id count as separate texts.
     """
 
-    def describe(doc_id, text, gone):
-        text = text or b""
+    def describe(text, gone):
         if gone is None:
-            return doc_id, len(text), 0, 0, hashlib.sha256(text).hexdigest()
+            return len(text), 0, 0, hashlib.sha256(text).hexdigest()
         kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
         spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()) if len(gone) else 0
-        return doc_id, len(text), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()
+        return len(text), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return remove_repeats(docs, in_batches(docs, batches), Rule(byte_units, match, anywhere=True), 2, describe, schema)
+    return describe_removals(docs, in_batches(docs, batches), Rule(byte_units, match, anywhere=True), 2, describe, schema)
 
 
 def suffix_query(spark: SparkSession, docs: DataFrame) -> DataFrame:
