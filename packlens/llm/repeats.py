@@ -34,6 +34,7 @@ class Rule:
     units: Units
     length: int
     anywhere: bool
+    steps: tuple[int, ...]  # widths of the segments' offset classes, each a multiple of the next
 
 
 def signed(x: np.ndarray) -> pa.Array:
@@ -45,22 +46,20 @@ def unsigned(x: pa.Array) -> np.ndarray:
 
 
 def segment_rows(docs: DataFrame, rule: Rule) -> DataFrame:
-    """``core, span, doc_id, n``: the distinct segments of each text; n is 2 if a segment comes more than once."""
+    """``core, span, doc_id``: the distinct segments of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 ids = np.asarray(part.column("doc_id"))
-                s = segments([rule.units(x) for x in texts(part.column("text"))], rule.length)
+                s = segments([rule.units(x) for x in texts(part.column("text"))], rule.length, rule.steps[0])
                 if len(s.owner):
                     order = np.lexsort((s.span, s.core, s.owner))
                     owner, core, span = s.owner[order], s.core[order], s.span[order]
                     new = np.append(True, (owner[1:] != owner[:-1]) | (core[1:] != core[:-1]) | (span[1:] != span[:-1]))
-                    at = np.nonzero(new)[0]
-                    n = np.minimum(np.diff(np.append(at, len(owner))), 2)
-                    yield pa.RecordBatch.from_arrays([signed(core[at]), signed(span[at]), pa.array(ids[owner[at]]), pa.array(n.astype(np.int32))], ["core", "span", "doc_id", "n"])
+                    yield pa.RecordBatch.from_arrays([signed(core[new]), signed(span[new]), pa.array(ids[owner[new]])], ["core", "span", "doc_id"])
 
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "core long, span long, doc_id long, n int")
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "core long, span long, doc_id long")
 
 
 @dataclass
@@ -84,11 +83,8 @@ class SegmentIndex:
     fanout: int = 2
     tables: list[Table] = field(default_factory=list)
 
-    def sorted_table(self, rows: DataFrame, name: str) -> DataFrame:
-        return materialize(rows.repartition(shuffle_partitions(self.spark), "core", "span"), name, ["core", "span"])
-
     def compact(self) -> None:
-        """Merge ``fanout`` tables of equal weight while there are such; only the counts and least ids of a segment stay."""
+        """Merge ``fanout`` tables of equal weight while there are such; rows stay as they are."""
         while True:
             for weight in sorted({t.weight for t in self.tables}):
                 same = [t for t in self.tables if t.weight == weight]
@@ -99,31 +95,47 @@ class SegmentIndex:
             rows = same[0].rows
             for t in same[1:]:
                 rows = rows.unionByName(t.rows)
-            merged = self.sorted_table(rows, "merged-run")
+            merged = materialize(rows.repartition(shuffle_partitions(self.spark), "core", "span"), "merged-run", ["core", "span"])
             self.tables = [t for t in self.tables if t.weight != weight] + [Table(merged, weight * len(same))]
 
     def add(self, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Add a batch; returns what it settles.
 
-        First ``doc_id, core, span`` of segments that go as a whole, then the same
+        Only repeats between texts count here. First ``doc_id, core, span`` of
+        segments that go as a whole, then the same
         of segments to be verified: one document for each span of a core that has
         several. With the smaller-id rule, batches must come in order of doc_id.
         """
         self.compact()
-        new = self.sorted_table(segment_rows(docs, self.rule), "run")
+        new = materialize(segment_rows(docs, self.rule), "run", ["core", "span"])
         pool = new
         for t in self.tables:
             pool = pool.unionByName(t.rows)
         self.tables.append(Table(new, 1))
-        seen = pool.groupBy("core").agg(F.sum("n").alias("copies"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-        shared = seen.where("copies > 1" if self.rule.anywhere else "least < most").select("core")
-        shared = materialize(pool.join(shared, "core"), "shared")
-        spans = materialize(shared.groupBy("core", "span").agg(F.sum("n").alias("copies"), F.min("doc_id").alias("least")), "spans")
-        gone = F.col("copies") > 1 if self.rule.anywhere else F.col("least") < F.col("doc_id")
-        whole = shared.join(spans, ["core", "span"]).where(gone).select("doc_id", "core", "span")
-        several = spans.groupBy("core").agg(F.min("span").alias("a"), F.max("span").alias("b")).where("a <> b").select("core")
-        verify = spans.join(several, "core").select(F.col("least").alias("doc_id"), "core", "span")
-        return materialize(whole, "whole"), materialize(verify, "verify")
+        return settle(pool, self.rule)
+
+
+def settle(pool: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
+    """Of segments ``core, span, doc_id``: those that go as a whole, and those left open."""
+    seen = pool.groupBy("core").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+    shared = materialize(pool.join(seen.where("least < most").select("core"), "core"), "shared")
+    spans = materialize(shared.groupBy("core", "span").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")), "spans")
+    gone = F.col("least") < (F.col("most") if rule.anywhere else F.col("doc_id"))
+    whole = shared.join(spans, ["core", "span"]).where(gone).select("doc_id", "core", "span")
+    several = spans.groupBy("core").agg(F.min("span").alias("a"), F.max("span").alias("b")).where("a <> b").select("core")
+    verify = spans.join(several, "core").select(F.col("least").alias("doc_id"), "core", "span")
+    return materialize(whole, "whole"), materialize(verify, "verify")
+
+
+#: Ids up to this number (8 bytes each) are broadcast to pick texts by; more are joined by shuffling.
+BROADCAST_IDS = 1_000_000
+
+
+def by_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """``docs`` whose doc_id is (left_semi) or isn't (left_anti) among ``ids(doc_id)``; ids are counted before they are broadcast."""
+    ids = ids.select(F.col("doc_id").alias("_id")).distinct()
+    hinted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return docs.join(hinted, docs["doc_id"].cast("long") == F.col("_id"), how)
 
 
 def member(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -148,26 +160,51 @@ def pairs_of(column: pa.Array, i: int) -> tuple[np.ndarray, np.ndarray]:
     return unsigned(first), unsigned(second)
 
 
-def window_rows(docs: DataFrame, verify: DataFrame, rule: Rule) -> DataFrame:
-    """``first_hash, second_hash, doc_id, n`` of the windows of the segments to be verified."""
+def open_windows(units: np.ndarray, s: Segments, column: pa.Array, i: int, rule: Rule) -> np.ndarray:
+    """Starts of the windows in the segments that row ``i`` lists."""
+    at = marked(s, *pairs_of(column, i))
+    return window_starts(s.first[at], s.count[at])
+
+
+def finer_rows(held: DataFrame, rule: Rule, level: int) -> DataFrame:
+    """``core, span, doc_id``: segments of width ``steps[level]`` of the windows that the width before left open in ``held(doc_id, text, keys)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                for i, (doc_id, text) in enumerate(zip(part.column("doc_id").to_pylist(), texts(part.column("text")), strict=True)):
+                    units = rule.units(text)
+                    starts = open_windows(units, segments([units], rule.length, rule.steps[level - 1]), part.column("keys"), i, rule)
+                    inside = np.zeros(len(units) + 1, bool)
+                    inside[starts] = True
+                    s = segments([units], rule.length, rule.steps[level])
+                    at = np.nonzero(inside[s.first])[0]
+                    at = at[np.unique(joint(s.core[at], s.span[at]), return_index=True)[1]]
+                    yield pa.RecordBatch.from_arrays([signed(s.core[at]), signed(s.span[at]), pa.array(np.full(len(at), doc_id, np.int64))], ["core", "span", "doc_id"])
+
+    return held.mapInArrow(run, "core long, span long, doc_id long")
+
+
+def window_rows(held: DataFrame, rule: Rule) -> DataFrame:
+    """``first_hash, second_hash, doc_id`` of the distinct windows that the last width left open in ``held(doc_id, text, keys)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 for i, (doc_id, text) in enumerate(zip(part.column("doc_id").to_pylist(), texts(part.column("text")), strict=True)):
                     units = rule.units(text)
-                    s = segments([units], rule.length)
-                    at = marked(s, *pairs_of(part.column("keys"), i))
-                    if not len(at):
-                        continue
-                    _, a, b = window_hashes(units, s.first[at], s.count[at], rule.length)
-                    _, index, n = np.unique(joint(a, b), return_index=True, return_counts=True)
-                    ids = np.full(len(index), doc_id, np.int64)
-                    yield pa.RecordBatch.from_arrays([signed(a[index]), signed(b[index]), pa.array(ids), pa.array(np.minimum(n, 2).astype(np.int32))], ["first_hash", "second_hash", "doc_id", "n"])
+                    starts = open_windows(units, segments([units], rule.length, rule.steps[-1]), part.column("keys"), i, rule)
+                    a, b = window_hashes(units, starts, rule.length)
+                    _, index = np.unique(joint(a, b), return_index=True)
+                    yield pa.RecordBatch.from_arrays([signed(a[index]), signed(b[index]), pa.array(np.full(len(index), doc_id, np.int64))], ["first_hash", "second_hash", "doc_id"])
+
+    return held.mapInArrow(run, "first_hash long, second_hash long, doc_id long")
+
 
+def with_keys(docs: DataFrame, verify: DataFrame) -> DataFrame:
+    """``doc_id, text, keys``: the texts with open segments, and these."""
     keys = verify.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("core", "span")).alias("keys"))
-    held = docs.join(keys.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "keys")
-    return held.mapInArrow(run, "first_hash long, second_hash long, doc_id long, n int")
+    return by_ids(docs, verify, "left_semi").join(keys.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "keys")
 
 
 def covered(units: int, starts: np.ndarray, length: int) -> np.ndarray:
@@ -178,28 +215,38 @@ def covered(units: int, starts: np.ndarray, length: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
+def window_starts(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Every start in the runs (first, count)."""
+    return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+
+
 def removed_units(units: np.ndarray, rule: Rule, whole: tuple[np.ndarray, np.ndarray], windows: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """Which units of one text go, given its settled segments and verified windows."""
     n = len(units) - rule.length + 1
-    if n < 1 or not (len(whole[0]) or len(windows[0])):
+    if n < 1 or not (rule.anywhere or len(whole[0]) or len(windows[0])):
         return np.zeros(len(units), bool)
     gone = np.zeros(n, bool)
+    coarse = segments([units], rule.length, rule.steps[0])
     if len(whole[0]):
-        s = segments([units], rule.length)
-        at = marked(s, *whole)
-        first, count = s.first[at], s.count[at]
-        gone[np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))] = True
+        for s in (coarse, *(segments([units], rule.length, step) for step in rule.steps[1:])):
+            at = marked(s, *whole)
+            gone[window_starts(s.first[at], s.count[at])] = True
+    if rule.anywhere:
+        _, code, copies = np.unique(coarse.core, return_inverse=True, return_counts=True)
+        at = np.nonzero(copies[code] > 1)[0]
+        if len(at):  # only windows whose core comes twice in the text can themselves come twice
+            starts = window_starts(coarse.first[at], coarse.count[at])
+            _, code, copies = np.unique(joint(*window_hashes(units, starts, rule.length)), return_inverse=True, return_counts=True)
+            gone[starts[copies[code] > 1]] = True
     if len(windows[0]):
-        _, a, b = window_hashes(units, np.array([0]), np.array([n]), rule.length)
-        gone |= member(joint(*windows), joint(a, b))
+        gone |= member(joint(*windows), joint(*window_hashes(units, np.arange(n), rule.length)))
     return covered(len(units), np.nonzero(gone)[0], rule.length)
 
 
 def verified(windows: DataFrame, rule: Rule) -> DataFrame:
     """``doc_id, first_hash, second_hash`` of the windows that go."""
     keys = ["first_hash", "second_hash"]
-    seen = windows.groupBy(*keys).agg(F.sum("n").alias("copies"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-    seen = seen.where("copies > 1" if rule.anywhere else "least < most").select(*keys, "least")
+    seen = windows.groupBy(*keys).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select(*keys, "least")
     found = windows.join(seen, keys)
     return (found if rule.anywhere else found.where("least < doc_id")).select("doc_id", *keys)
 
@@ -208,8 +255,14 @@ def removals(docs: DataFrame, whole: DataFrame, verify: DataFrame, rule: Rule) -
     """``doc_id, whole, windows``: per document with something to remove, lists of the settled segments and verified windows."""
     segment = F.struct(F.col("core").alias("a"), F.col("span").alias("b"))
     window = F.struct(F.col("first_hash").alias("a"), F.col("second_hash").alias("b"))
-    windows = materialize(verified(materialize(window_rows(docs, verify, rule), "windows"), rule), "verified")
-    both = whole.distinct().select("doc_id", segment.alias("whole"), F.lit(None).cast("struct<a:long,b:long>").alias("window")).unionByName(windows.select("doc_id", F.lit(None).cast("struct<a:long,b:long>").alias("whole"), window.alias("window")))
+    held = materialize(with_keys(docs, verify), "open")
+    for level in range(1, len(rule.steps)):
+        finer, verify = settle(materialize(finer_rows(held, rule, level), "finer"), rule)
+        whole = whole.unionByName(finer)
+        held = materialize(with_keys(held.drop("keys"), verify), "open")
+    windows = materialize(verified(materialize(window_rows(held, rule), "windows"), rule), "verified")
+    none = F.lit(None).cast("struct<a:long,b:long>")
+    both = whole.distinct().select("doc_id", segment.alias("whole"), none.alias("window")).unionByName(windows.select("doc_id", none.alias("whole"), window.alias("window")))
     return both.groupBy("doc_id").agg(F.collect_list("whole").alias("whole"), F.collect_list("window").alias("windows"))
 
 
@@ -220,7 +273,7 @@ def found_removals(docs: DataFrame, batches: list[DataFrame], rule: Rule, fanout
     for batch in batches[1:]:
         more_whole, more_verify = index.add(batch)
         whole, verify = whole.unionByName(more_whole), verify.unionByName(more_verify)
-    return removals(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), whole, verify, rule)
+    return materialize(removals(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), whole, verify, rule), "removals")
 
 
 def gone_units(part: pa.RecordBatch, rule: Rule) -> Iterator[tuple[bytes, np.ndarray | None]]:
@@ -228,13 +281,17 @@ def gone_units(part: pa.RecordBatch, rule: Rule) -> Iterator[tuple[bytes, np.nda
     whole, windows = part.column("_whole"), part.column("_windows")
     for i, text in enumerate(texts(part.column("text"))):
         a, b = pairs_of(whole, i), pairs_of(windows, i)
-        yield text, removed_units(rule.units(text), rule, a, b) if len(a[0]) or len(b[0]) else None
+        yield text, removed_units(rule.units(text), rule, a, b) if rule.anywhere or len(a[0]) or len(b[0]) else None
 
 
 def with_removals(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """All columns of ``docs`` and ``_whole, _windows``."""
-    found = found.select(F.col("doc_id").alias("_id"), F.col("whole").alias("_whole"), F.col("windows").alias("_windows"))
-    return docs.join(found.hint("shuffle_hash"), docs["doc_id"].cast("long") == F.col("_id"), "left").drop("_id")
+    """All columns of ``docs`` and ``_whole, _windows``; only texts that lose something are shuffled to their lists."""
+    lists = found.select(F.col("doc_id").alias("_id"), F.col("whole").alias("_whole"), F.col("windows").alias("_windows"))
+    others = by_ids(docs, found, "left_anti")
+    for name in ("_whole", "_windows"):
+        others = others.withColumn(name, F.lit(None).cast(lists.schema[name].dataType))
+    losing = by_ids(docs, found, "left_semi")
+    return losing.join(lists.hint("shuffle_hash"), losing["doc_id"].cast("long") == F.col("_id")).drop("_id").unionByName(others)
 
 
 def describe_removals(docs: DataFrame, batches: list[DataFrame], rule: Rule, fanout: int, describe: Callable, schema: str) -> DataFrame:

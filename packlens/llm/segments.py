@@ -3,7 +3,7 @@
 A window is ``length`` consecutive units (words or bytes). Every window picks one
 of its grams, the one with the least hash, the left one of ties. Equal windows
 pick the same gram, so windows that repeat anywhere share it. Consecutive windows
-with one gram whose offset in the window lies in one class (of ``classes``) form a
+with one gram whose offset in the window lies in one class (``step`` offsets wide) form a
 segment. It has a hash of the units that all windows of the class have around the
 gram (``core``) and of all units that its own windows cover (``span``). Equal
 (core, span) means that all windows are equal; a core that occurs once means that
@@ -105,9 +105,8 @@ def sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(keys[: len(keys) - rest], keys[rest:]) if rest else keys
 
 
-def segments(sequences: list[np.ndarray], length: int, classes: int = 2) -> Segments:
-    """The segments of all ``sequences`` of unsigned 64-bit unit values."""
-    step = -(-(length - GRAM + 1) // classes)
+def segments(sequences: list[np.ndarray], length: int, step: int) -> Segments:
+    """The segments of all ``sequences`` of unsigned 64-bit unit values; offset classes are ``step`` units wide."""
     out: list[tuple[np.ndarray, ...]] = []
     for values, owners, offsets, edges in blocks(sequences, length):
         grams = Rolling(values, 0)
@@ -133,7 +132,6 @@ def segments(sequences: list[np.ndarray], length: int, classes: int = 2) -> Segm
     return Segments(*map(np.concatenate, zip(*out, strict=True)))
 
 
-def window_hashes(units: np.ndarray, first: np.ndarray, count: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and two independent 64-bit hashes of every window in the runs (first, count) of one sequence."""
-    starts = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-    return starts, Rolling(units, 0).runs(starts, starts + length), Rolling(units, 1).runs(starts, starts + length)
+def window_hashes(units: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of the windows of one sequence at ``starts``."""
+    return Rolling(units, 0).runs(starts, starts + length), Rolling(units, 1).runs(starts, starts + length)

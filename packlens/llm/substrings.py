@@ -20,6 +20,7 @@ from .repeats import Rule, describe_removals, rewrite_texts
 WINDOW = 50
 BATCHES = 2
 FANOUT = 4
+STEPS = (18,)
 #: Distinct words whose hashes a worker remembers before it starts anew.
 REMEMBERED = 500_000
 _words: dict[bytes, int] = {}
@@ -52,7 +53,7 @@ def in_batches(docs: DataFrame, batches: int) -> list[DataFrame]:
 
 
 def rule_of(window: int = WINDOW) -> Rule:
-    return Rule(word_units, window, anywhere=False)
+    return Rule(word_units, window, anywhere=False, steps=STEPS)
 
 
 def dedup_words(docs: DataFrame, batches: int = BATCHES, window: int = WINDOW, fanout: int = FANOUT) -> DataFrame:

@@ -21,6 +21,7 @@ from .substrings import in_batches
 
 MATCH = 200
 BATCHES = 2
+STEPS = (96, 8)
 BYTE_VALUES = mixed(np.arange(1, 257, dtype=np.uint64))
 
 
@@ -46,7 +47,7 @@ def dedup_bytes(docs: DataFrame, batches: int = BATCHES, match: int = MATCH) ->
         return len(text), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return describe_removals(docs, in_batches(docs, batches), Rule(byte_units, match, anywhere=True), 2, describe, schema)
+    return describe_removals(docs, in_batches(docs, batches), Rule(byte_units, match, anywhere=True, steps=STEPS), 2, describe, schema)
 
 
 def suffix_query(spark: SparkSession, docs: DataFrame) -> DataFrame:
