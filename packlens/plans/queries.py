@@ -1,19 +1,456 @@
-"""The registered queries of the library, each with the SQL that checks it."""
+"""The registered queries of the library; the SQL that checks them is in ``oracles``."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import geometry, gtin, text
+from ..operators import blocks, model, packages, registry, rules, scoring
+from ..sources import tables
+from ..streaming import scans
+from .oracles import ORACLES
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def image_audit(spark: SparkSession, sf_dir: str, wide: bool = False) -> DataFrame:
+    return rules.with_results(tables.packages(spark, sf_dir), wide=wide)
+
+
+# --- reader output -----------------------------------------------------------------------
+
+
+@query
+def ocr_lines(spark, sf_dir):
+    found = blocks.lines_of_words(tables.words(spark, sf_dir))
+    return found.select(*blocks.LINE_KEYS, "text", F.round("confidence", 9).alias("confidence"), "x1", "y1", "x2", "y2")
+
+
+@query
+def ocr_confident_words(spark, sf_dir):
+    held = blocks.confident_words(tables.words(spark, sf_dir))
+    return held.groupBy("image_id").agg(F.count("*").alias("words"), F.sum("conf").alias("conf"))
+
+
+@query
+def ocr_blocks(spark, sf_dir):
+    held = blocks.with_rect(blocks.finished_blocks(tables.lines(spark, sf_dir)))
+    scaled = geometry.scaled(F.col("bbox"), F.lit(2.0), F.lit(4.0))
+    return held.select("image_id", "block_no", "text", "reading_no", F.round("height_px", 6).alias("height_px"), F.round("width_px", 6).alias("width_px"), "cx", "cy", "rect.x1", "rect.y1", "rect.x2", "rect.y2", F.get(scaled, F.lit(2))["x"].alias("sx"), F.get(scaled, F.lit(2))["y"].alias("sy"))
+
+
+@query
+def ocr_full_text(spark, sf_dir):
+    held = blocks.full_text(blocks.finished_blocks(tables.lines(spark, sf_dir)))
+    return held.select("image_id", "text", F.round("average_confidence", 9).alias("average_confidence"), "total_blocks")
+
+
+@query
+def ocr_distinct_boxes(spark, sf_dir):
+    return blocks.distinct_boxes(tables.boxes(spark, sf_dir)).select("image_id", "box_no", F.round("confidence", 6).alias("confidence"))
+
+
+@query
+def symbol_dedup(spark, sf_dir):
+    return blocks.distinct_symbols(tables.symbols(spark, sf_dir)).select("image_id", "symbol_no", "class_name", F.round("confidence", 6).alias("confidence"))
+
+
+@query
+def symbol_flags(spark, sf_dir):
+    return blocks.symbol_flags(tables.symbols(spark, sf_dir))
+
+
+@query
+def commodity_name(spark, sf_dir):
+    return blocks.commodity_names(blocks.finished_blocks(tables.lines(spark, sf_dir)))
+
+
+# --- text ---------------------------------------------------------------------------------
+
+
+@query
+def text_normalised(spark, sf_dir):
+    return tables.label_texts(spark, sf_dir).select("image_id", text.lenient_text(F.col("text")).alias("text"))
+
+
+@query
+def label_declarations(spark, sf_dir):
+    d = F.col("d")
+    held = tables.label_texts(spark, sf_dir).withColumn("d", text.declarations(F.col("text")))
+    return held.select(
+        "image_id", d["quantity"]["value"].alias("quantity"), d["quantity"]["unit"].alias("unit"), d["fssai_license"].alias("licence"), d["dates"]["made"].alias("made"), d["dates"]["expires"].alias("expires"),
+        d["dates"]["best_before"].alias("best_before"), d["care"]["phone"].alias("phone"), d["care"]["email"].alias("email"), d["scripts"]["hindi"].alias("hindi"), d["scripts"]["english"].alias("english"))
+
+
+@query
+def label_prices(spark, sf_dir):
+    p = F.col("p")
+    held = tables.label_texts(spark, sf_dir).withColumn("p", text.price(text.lenient_text(F.col("text"))))
+    return held.select("image_id", p["value"].alias("mrp"), p["raw"].alias("raw"), text.says_tax_included(p["raw"]).alias("tax"))
+
+
+@query
+def label_parties(spark, sf_dir):
+    p = F.col("p")
+    held = tables.label_texts(spark, sf_dir).withColumn("p", text.parties(text.lenient_text(F.col("text"))))
+    return held.select("image_id", *[p[r][f].alias(f"{r}_{f}") for r in ("manufacturer", "packer", "importer") for f in ("name", "address")])
+
+
+@query
+def document_contacts(spark, sf_dir):
+    docs = tables.table(spark, sf_dir, "documents")
+    care = text.consumer_care(F.col("text"))
+    return docs.select("doc_id", care.alias("c")).select("doc_id", "c.phone", "c.email")
+
+
+@query
+def document_scripts(spark, sf_dir):
+    return tables.table(spark, sf_dir, "documents").select("doc_id", text.scripts(F.col("text")).alias("s")).select("doc_id", "s.hindi", "s.english")
+
+
+@query
+def report_strings(spark, sf_dir):
+    docs = tables.table(spark, sf_dir, "documents")
+    t = F.concat(F.lit("₹ “a” – b… "), F.substring("text", 1, 60))
+    return docs.select("doc_id", text.report_text(t).alias("latin"), text.shortened(F.substring("text", 1, 45), 40).alias("short"), text.masked(F.sha2("text", 256)).alias("masked"), text.safe_id(F.substring("text", 1, 5)).alias("safe"), text.number_of(F.concat(F.lit("Rs. "), F.col("n_chars").cast("string"), F.lit("/-"))).alias("number"))
+
+
+# --- codes --------------------------------------------------------------------------------
+
+
+@query
+def gtin_facts(spark, sf_dir):
+    codes = tables.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("package_id"), tables.barcode_of(tables.k).alias("code")).where("code is not null")
+    return gtin.classified(codes).select("package_id", "gtin.digits", "gtin.length", "gtin.format", "gtin.is_gtin_length", "gtin.checksum_valid", "gtin.prefix", "gtin.country", "gtin.is_india", "gtin.is_restricted", "gtin.restricted_reason", "gtin.gtin14", "gtin.is_valid", F.array_join("gtin.notes", " | ").alias("notes"))
+
+
+@query
+def scanner_codes(spark, sf_dir):
+    part = tables.table(spark, sf_dir, "part")
+    kinds = F.array(*map(F.lit, ("EAN13", "UPCA", "QRCODE", "CODE128", "EAN8", "UPCE", "ITF")))
+    codes = part.select(F.col("p_partkey").alias("package_id"), F.coalesce(tables.barcode_of(tables.k), F.lit("")).alias("code"), F.get(kinds, (tables.k % 7).cast("int")).alias("kind"))
+    return gtin.with_scanner_economy(codes).select("package_id", "code", "kind", "economy", gtin.symbol_is_valid(F.col("code"), F.col("kind")).alias("valid"))
+
+
+@query
+def first_codes(spark, sf_dir):
+    e = tables.table(spark, sf_dir, "events")
+    seen = e.select(F.col("user_id").alias("image_id"), F.col("event_id").alias("scan_no"), F.get_json_object("props", "$.k").alias("code"))
+    return packages.first_codes(seen)
+
+
+# --- registries ---------------------------------------------------------------------------
+
+
+def all_records(spark, sf_dir) -> DataFrame:
+    payloads = tables.registry_payloads(spark, sf_dir)
+    parts = [registry.facts_records(payloads.where("source = 'open_food_facts'")), registry.upc_records(payloads.where("source = 'upcitemdb'")), registry.national_records(payloads.where("source = 'gs1_india_datakart'"))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
+
+
+@query
+def registry_records(spark, sf_dir):
+    r = all_records(spark, sf_dir)
+    return r.select("gtin", "source", "product_name", "brand", "manufacturer_name", "country_of_origin", "net_quantity_raw", "net_quantity_value", "net_quantity_unit", "mrp_value", "veg_non_veg", "ingredients", F.array_join("categories", "|").alias("categories"), F.array_join("image_urls", "|").alias("image_urls"))
+
+
+@query
+def registry_merge(spark, sf_dir):
+    m = registry.merged_records(all_records(spark, sf_dir))
+    fields = F.col("field_sources")
+    return m.select("gtin", "product_name", "brand", "manufacturer_name", "country_of_origin", "net_quantity_raw", "net_quantity_value", "net_quantity_unit", "mrp_value", "veg_non_veg", F.array_join("sources", "|").alias("sources"), "found",
+                    fields["product_name"].alias("from_name"), fields["brand"].alias("from_brand"), fields["mrp_value"].alias("from_mrp"), F.array_join("categories", "|").alias("categories"), F.array_join("image_urls", "|").alias("image_urls"))
+
+
+@query
+def registry_gap_fill(spark, sf_dir):
+    m = registry.merged_records(all_records(spark, sf_dir))
+    part = tables.table(spark, sf_dir, "part")
+    readings = part.where("p_partkey % 2 = 1").select(F.lpad(tables.k.cast("string"), 13, "0").alias("gtin"), F.concat(F.lit("Read "), F.col("p_name")).alias("commodity_name"), F.col("p_retailprice").alias("mrp_value"), F.lit("").alias("manufacturer_name"), F.lit("2024").alias("manufacture_date"))
+    f = registry.fill_gaps(m, readings)
+    return f.select("gtin", "product_name", "mrp_value", "manufacturer_name", F.array_join("sources", "|").alias("sources"), F.col("field_sources")["product_name"].alias("from_name"), F.col("field_sources")["mrp_value"].alias("from_mrp"))
+
+
+@query
+def code_variants(spark, sf_dir):
+    codes = tables.table(spark, sf_dir, "part").select(F.lpad(tables.k.cast("string"), 12, "0").alias("gtin"))
+    return registry.code_variants(codes)
+
+
+@query
+def registry_packages(spark, sf_dir):
+    facts = gtin.classified(registry.merged_records(all_records(spark, sf_dir)).withColumnRenamed("gtin", "code")).withColumnRenamed("gtin", "code_facts").withColumnRenamed("code", "gtin")
+    for c in ("importer_name", "importer_address"):
+        if c not in facts.columns:
+            facts = facts.withColumn(c, F.lit(None).cast("string"))
+    p = packages.packages_from_records(facts)
+    return p.select("gtin", "commodity_name", "net_quantity_value", "net_quantity_unit", "net_quantity_category", "is_imported", "has_veg_nonveg_symbol", "barcode_gtin_format", "barcode_checksum_valid", "barcode_registered_owner", "product_identified")
+
+
+# --- geometry and schedules ---------------------------------------------------------------
+
+
+@query
+def clear_space(spark, sf_dir):
+    found = blocks.clear_space(tables.boxes(spark, sf_dir), 2.5)
+    return found.select("image_id", "box_no", *[F.when(F.col(f"{s}_mm") != float("inf"), F.round(f"{s}_mm", 6)).alias(f"{s}_mm") for s in ("above", "below", "left", "right")])
+
+
+@query
+def font_metrics(spark, sf_dir):
+    held = blocks.finished_blocks(tables.lines(spark, sf_dir)).withColumn("pixels_per_mm", geometry.calibrated(F.lit(500.0), (F.col("image_id") % 4) * 25.0)).where("pixels_per_mm is not null")
+    area, quantity = F.pmod(F.col("image_id"), F.lit(30)) * 100.0, F.pmod(F.col("block_no"), F.lit(5)) * 100.0
+    m = blocks.font_metrics(held, geometry.least_height(area, quantity))
+    return m.select("image_id", "block_no", F.round("height_mm", 2).alias("height_mm"), F.round("width_mm", 2).alias("width_mm"), "least_mm", "meets")
+
+
+@query
+def panel_rules(spark, sf_dir):
+    part = tables.table(spark, sf_dir, "part")
+    area = (F.col("p_size") * F.col("p_size") * 10.0).cast("double")
+    a, b = F.col("p_size") / 50.0, F.col("p_retailprice") / 1000.0
+    return part.select(F.col("p_partkey").alias("package_id"), geometry.least_height(area).alias("least_mm"), geometry.least_height(area, F.col("p_size") * 10).alias("least_small_mm"), geometry.contrast(a, b).alias("contrast"), F.when(F.col("p_partkey") % 2 == 0, area / (5.0 * 5.0)).otherwise(area).alias("panel_area"))
+
+
+@query
+def ruler(spark, sf_dir):
+    item = tables.table(spark, sf_dir, "lineitem")
+    ticks = item.select(F.col("l_orderkey").alias("image_id"), (F.col("l_linenumber") * 10 + F.col("l_quantity") % 4).cast("double").alias("x")).distinct()
+    return blocks.ruler_pixels_per_mm(ticks).select("image_id", F.round("pixels_per_mm", 9).alias("pixels_per_mm"), "ticks")
+
+
+@query
+def regions(spark, sf_dir):
+    held = blocks.region_boxes(blocks.regions(tables.points(spark, sf_dir), 0.05))
+    return held.select("image_id", "region", *[F.round(c, 6).alias(c) for c in ("x1", "y1", "x2", "y2")], "points")
+
+
+@query
+def permitted_errors(spark, sf_dir):
+    cases = tables.error_cases(spark, sf_dir).withColumn("e", geometry.permitted_error(F.col("declared"), F.col("category")))
+    short = F.col("declared") - F.col("actual")
+    return cases.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "declared", F.round(short, 6).alias("deficiency"), F.round("e.limit", 6).alias("limit_value"), F.col("e.basis").alias("basis"), (short <= F.col("e.limit")).alias("complies"))
+
+
+@query
+def standard_quantities(spark, sf_dir):
+    from ..functions import fixed
+
+    part = tables.table(spark, sf_dir, "part")
+    names = F.array(*map(F.lit, [*sorted(fixed.STANDARD_QUANTITIES), "unknown"]))
+    kind, quantity = F.get(names, (F.col("p_partkey") % 17).cast("int")), (F.col("p_size") * 25.0).cast("double")
+    return part.select(F.col("p_partkey").alias("package_id"), kind.alias("kind"), F.coalesce(F.array_contains(geometry.standard_quantities(kind), quantity), F.lit(False)).alias("standard"), geometry.nearest_standard(kind, quantity).alias("nearest"))
+
+
+@query
+def unit_table(spark, sf_dir):
+    part = tables.table(spark, sf_dir, "part")
+    names = F.array(*map(F.lit, ("GMS", " Kg.", "ltr", "cl", "tablets", "SqM", "nos", "mm", "Milliliter", "U")))
+    raw = F.get(names, (F.col("p_partkey") % 10).cast("int"))
+    return part.select(F.col("p_partkey").alias("package_id"), packages.unit_and_category(raw).alias("u"), text.label_unit(raw).alias("label_unit")).select("package_id", "u.unit", "u.category", "label_unit")
+
+
+# --- packages ------------------------------------------------------------------------------
+
+
+@query
+def package_table(spark, sf_dir):
+    p = tables.packages(spark, sf_dir)
+    return p.select("package_id", "analysis_source", "commodity_name", "manufacturer_address", "country_of_origin", "net_quantity_value", "net_quantity_unit", "net_quantity_category", "mrp_value", "manufacture_date", "is_imported", "barcode_value", "barcode_gtin_format", "barcode_checksum_valid", "barcode_country", "barcode_is_restricted")
+
+
+@query
+def merged_sides(spark, sf_dir):
+    p = tables.packages(spark, sf_dir)
+    front = p.withColumn("commodity_name", F.when(F.col("package_id") % 2 == 0, F.col("commodity_name"))).withColumn("mrp_value", F.when(F.col("package_id") % 3 == 0, F.lit(float("nan"))).otherwise(F.col("mrp_value")))
+    back = p.where("package_id % 4 < 3").withColumn("commodity_name", F.lit("Back name")).withColumn("total_text_blocks", F.lit(5)).withColumn("average_ocr_confidence", F.lit(0.5))
+    m = packages.merged_sides(front, back)
+    return m.select("package_id", "commodity_name", "mrp_value", "mrp_includes_tax", "has_english_text", "country_of_origin", "barcode_is_gs1_india", F.round("average_ocr_confidence", 9).alias("average_ocr_confidence"), "total_text_blocks", "package_type")
+
+
+@query
+def attached_registry(spark, sf_dir):
+    p = tables.packages(spark, sf_dir).withColumn("barcode_value", F.lpad(F.col("package_id").cast("string"), 13, "0"))
+    a = packages.attach_registry(p, registry.merged_records(all_records(spark, sf_dir)))
+    return a.select("package_id", "commodity_name", "manufacturer_name", "net_quantity_value", F.array_join("filled_fields", "|").alias("filled"), "product_identified")
+
+
+@query
+def package_features(spark, sf_dir):
+    f = packages.features(tables.packages(spark, sf_dir))
+    return f.withColumn("qty_clear_space_ratio", F.round("qty_clear_space_ratio", 9))
+
+
+# --- rules and scores -----------------------------------------------------------------------
+
+
+@query
+def rule_results(spark, sf_dir):
+    return rules.exploded(image_audit(spark, sf_dir)).select("package_id", "rule_no", "rule_id", "status", "severity", "weight")
+
+
+@query
+def rule_details(spark, sf_dir):
+    wanted = ["R06_NAME", "R10_ADDRESS", "R11_NET_QTY", "R06_MRP", "R06_COO", "R09_LANG", "B01_GTIN_STRUCT", "B06_ORIGIN_CONSISTENCY"]
+    held = rules.with_results(tables.packages(spark, sf_dir), rule_ids=wanted, wide=True)
+    return rules.exploded(held).select("package_id", "rule_id", "rule_name", "status", "detail", "evidence", "legal_reference")
+
+
+@query
+def rule_counts(spark, sf_dir):
+    held = image_audit(spark, sf_dir)
+    return held.select("package_id", *rules.counts(F.col("results")), packages.weak_label(F.col("results")).alias("weak_label"))
+
+
+@query
+def one_rule(spark, sf_dir):
+    held = rules.with_results(tables.packages(spark, sf_dir), rule_ids=["R06_MRP"])
+    return rules.exploded(held).select("package_id", "rule_id", "status")
+
+
+@query
+def label_scores(spark, sf_dir):
+    held = scoring.label_scores(image_audit(spark, sf_dir).where("analysis_source = 'image'"), F.lit(0.5))
+    return held.select("package_id", F.round("rule_score", 9).alias("rule_score"), F.round("final_score", 9).alias("final_score"), "star_rating", "star_label", "total_applicable_rules", "passed_rules", "failed_rules", "critical_failures", "major_failures", "minor_failures")
+
+
+@query
+def registry_scores(spark, sf_dir):
+    held = scoring.registry_scores(image_audit(spark, sf_dir).where("analysis_source = 'barcode_registry'"))
+    return held.select("package_id", "final_score", "star_rating", "star_label", "total_applicable_rules", "passed_rules", "failed_rules", "critical_failures", "unverified", "predicted_compliant", F.array_join("top_risk_factors", "|").alias("risks"))
+
+
+@query
+def recommendations(spark, sf_dir):
+    held = image_audit(spark, sf_dir, wide=True)
+    return held.select("package_id", F.posexplode(scoring.recommendations(F.col("results"))).alias("line_no", "line"))
+
+
+@query
+def registry_recommendations(spark, sf_dir):
+    held = image_audit(spark, sf_dir, wide=True).where("analysis_source = 'barcode_registry'")
+    lines = scoring.registry_recommendations(F.col("results"), F.col("product_identified"))
+    return held.select("package_id", F.get(lines, F.lit(0)).alias("first_line"), F.size(lines).alias("n_lines"))
+
+
+@query
+def report_table(spark, sf_dir):
+    rows = scoring.report_rows(rules.exploded(image_audit(spark, sf_dir, wide=True)))
+    return rows.select("package_id", "bucket_no", "rule_no", "id_cell", "name_cell", "status", F.length("detail_cell").alias("detail_length"))
+
+
+@query
+def severity_failures(spark, sf_dir):
+    rows = rules.exploded(image_audit(spark, sf_dir))
+    return rows.cube("status", "severity").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"))
+
+
+@query
+def reports(spark, sf_dir):
+    held = scoring.registry_scores(image_audit(spark, sf_dir, wide=True))
+    return held.select("package_id", F.to_json(scoring.payload()).alias("report"))
+
+
+@query
+def report_cells(spark, sf_dir):
+    held = scoring.registry_scores(image_audit(spark, sf_dir))
+    images = F.concat_ws(" + ", F.lit("front.jpg"), F.when(F.col("package_id") % 2 == 0, "back.jpg"), F.when(F.col("has_barcode"), F.concat(F.lit("(barcode "), "barcode_value", F.lit(")"))))
+    none_left = F.size(rules.bucket(F.col("results"), "NOT_APPLICABLE")) + F.size(rules.bucket(F.col("results"), "INCONCLUSIVE"))
+    mode = scoring.analysis_mode(F.create_map(F.when(F.col("analysis_source") == "image", "ocr").otherwise("barcode_registry_analysis"), F.lit(1.0)))
+    return held.select("package_id", scoring.percent_text(F.col("final_score")).alias("percent"), scoring.star_text(F.col("star_rating")).alias("stars"), images.alias("images"), none_left.alias("not_judged"), mode.alias("mode"), F.round(F.col("final_score") * 100, 1).alias("points"))
+
+
+READING = "product_name string, compliance_score double, declarations struct<mrp_value:double, net_quantity_value:double, net_quantity_unit:string, dates:string, manufacture_date:string, consumer_care:string, consumer_care_email:string, barcode_printed:string>, rules array<struct<rule_id:string, rule_name:string, status:string, severity:string, weight:double, detail:string>>"
+
+
+@query
+def model_readings(spark, sf_dir):
+    part = tables.table(spark, sf_dir, "part")
+    k = tables.k
+    status = F.array(*map(F.lit, ("pass", "FAIL", "warning", "odd", "not_applicable")))
+    rule = lambda i: F.struct(F.lit(f"L{i}").alias("rule_id"), F.get(status, ((k + i) % 5).cast("int")).alias("status"), F.when((k + i) % 3 == 0, "critical").when((k + i) % 3 == 1, "major").alias("severity"))
+    score = F.when(k % 3 == 0, F.col("p_size") * 2.0).when(k % 3 == 1, F.col("p_size") / 50.0).otherwise(0.0)
+    body = F.struct(score.alias("compliance_score"), F.array(rule(0), rule(1), rule(2), rule(3)).alias("rules"))
+    raw = F.concat(F.lit("```json\n"), F.to_json(body), F.lit("\n```"))
+    parsed = part.select(k.alias("package_id"), F.from_json(F.regexp_replace(raw, r"^\s*```(?:json)?\s*|\s*```\s*$", ""), READING).alias("j"))
+    shaped = F.transform("j.rules", lambda r: F.struct(r["rule_id"].alias("rule_id"), F.upper(F.coalesce(r["status"], F.lit("INCONCLUSIVE"))).alias("status"), F.upper(F.coalesce(r["severity"], F.lit("MINOR"))).alias("severity"), F.coalesce(r["weight"], F.lit(1.0)).alias("weight")))
+    held = scoring.reading_scores(parsed.select("package_id", F.col("j.compliance_score").alias("compliance_score"), shaped.alias("results")))
+    return held.select("package_id", "final_score", "star_rating", "star_label", "passed_rules", "failed_rules", "critical_failures", "major_failures", "minor_failures")
+
+
+@query
+def data_urls(spark, sf_dir):
+    from ..sources.files import from_data_url
+
+    pages = tables.table(spark, sf_dir, "pages")
+    url = F.concat(F.when(F.col("page_id") % 2 == 0, "data:text/html;base64,").otherwise(""), F.base64(F.encode("url", "UTF-8")))
+    return pages.select("page_id", F.decode(from_data_url(url), "UTF-8").alias("url"))
+
+
+# --- model and stream: no SQL --------------------------------------------------------------
+
+
+@query
+def synthetic_training_rows(spark, sf_dir):
+    rows = model.synthetic_rows(spark, 5000)
+    return rows.groupBy("label").agg(F.count("*").alias("n"), F.avg("has_mrp").alias("share_mrp"))
+
+
+@query
+def training_rows(spark, sf_dir):
+    audited = image_audit(spark, sf_dir).where("analysis_source = 'image'")
+    labels = audited.select("package_id", packages.weak_label(F.col("results")).alias("label"))
+    real = packages.features(audited).join(labels, "package_id").withColumn("origin", F.lit("real"))
+    made = model.synthetic_rows(spark, 5000).withColumnRenamed("row_id", "package_id").withColumn("origin", F.lit("synthetic"))
+    both = real.unionByName(made, allowMissingColumns=True)
+    return both.groupBy("origin", "label").agg(F.count("*").alias("n")).withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("origin")))
+
+
+@query
+def additive_model(spark, sf_dir):
+    fitted = model.fit(model.synthetic_rows(spark, 5000))
+    scored = model.predicted(packages.features(tables.packages(spark, sf_dir)), fitted)
+    return scored.select("package_id", "probability", "predicted", F.array_join("risk_factors", "|").alias("risk_factors"))
+
+
+@query
+def model_importances(spark, sf_dir):
+    fitted = model.fit(model.synthetic_rows(spark, 5000))
+    found = model.importances(model.predicted(model.synthetic_rows(spark, 5000), fitted))
+    return found.orderBy(F.col("importance").desc(), "feature").limit(10)
+
+
+@query
+def scan_facts(spark, sf_dir):
+    held = scans.verified_scans(scans.scans_of(tables.table(spark, sf_dir, "events")))
+    return held.select("event_id", "device", "code", "gtin.format", "gtin.country", "gtin.is_valid")
+
+
+@query
+def scans_per_minute(spark, sf_dir):
+    held = scans.scans_per_minute(scans.scans_of(tables.table(spark, sf_dir, "events")))
+    return held.select(F.date_format("minute", "yyyy-MM-dd HH:mm").alias("minute"), "scans")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey")
+    return label_scores(spark, sf_dir)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for k, v in ORACLES.items() if k in QUERIES}
