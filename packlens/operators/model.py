@@ -70,8 +70,9 @@ def fit(rows: DataFrame, features: list[str] | None = None) -> AdditiveModel:
     found = rows.agg(*[F.percentile_approx(F.col(f).cast("double"), quantiles, 1000).alias(f) for f in features]).first()
     cuts = {f: sorted({x for x in (found[f] or [])}) for f in features}
     model = AdditiveModel(cuts, {}, 0.0)
-    bits = [(model.bin_of(f) == i).cast("double") for f in features for i in range(len(cuts[f]) + 2)]
-    fitted = LogisticRegression(featuresCol="x", labelCol="y", regParam=0.001, maxIter=50).fit(rows.select(array_to_vector(F.array(*bits)).alias("x"), F.col("label").cast("double").alias("y")))
+    binned = rows.select(F.col("label").cast("double").alias("y"), *[model.bin_of(f).alias(f) for f in features])
+    bits = [(F.col(f) == i).cast("double") for f in features for i in range(len(cuts[f]) + 2)]
+    fitted = LogisticRegression(featuresCol="x", labelCol="y", regParam=0.001, maxIter=50).fit(binned.select("y", array_to_vector(F.array(*bits)).alias("x")))
     weights, at = fitted.coefficients.toArray().tolist(), 0
     for f in features:
         n = len(cuts[f]) + 2

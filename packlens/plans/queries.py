@@ -129,7 +129,7 @@ def report_strings(spark, sf_dir):
 
 @query
 def gtin_facts(spark, sf_dir):
-    codes = tables.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("package_id"), tables.barcode_of(tables.k).alias("code")).where("code is not null")
+    codes = tables.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("package_id"), tables.barcode_of(tables.key()).alias("code")).where("code is not null")
     return gtin.classified(codes).select("package_id", "gtin.digits", "gtin.length", "gtin.format", "gtin.is_gtin_length", "gtin.checksum_valid", "gtin.prefix", "gtin.country", "gtin.is_india", "gtin.is_restricted", "gtin.restricted_reason", "gtin.gtin14", "gtin.is_valid", F.array_join("gtin.notes", " | ").alias("notes"))
 
 
@@ -137,7 +137,7 @@ def gtin_facts(spark, sf_dir):
 def scanner_codes(spark, sf_dir):
     part = tables.table(spark, sf_dir, "part")
     kinds = F.array(*map(F.lit, ("EAN13", "UPCA", "QRCODE", "CODE128", "EAN8", "UPCE", "ITF")))
-    codes = part.select(F.col("p_partkey").alias("package_id"), F.coalesce(tables.barcode_of(tables.k), F.lit("")).alias("code"), F.get(kinds, (tables.k % 7).cast("int")).alias("kind"))
+    codes = part.select(F.col("p_partkey").alias("package_id"), F.coalesce(tables.barcode_of(tables.key()), F.lit("")).alias("code"), F.get(kinds, (tables.key() % 7).cast("int")).alias("kind"))
     return gtin.with_scanner_economy(codes).select("package_id", "code", "kind", "economy", gtin.symbol_is_valid(F.col("code"), F.col("kind")).alias("valid"))
 
 
@@ -178,14 +178,14 @@ def registry_merge(spark, sf_dir):
 def registry_gap_fill(spark, sf_dir):
     m = registry.merged_records(all_records(spark, sf_dir))
     part = tables.table(spark, sf_dir, "part")
-    readings = part.where("p_partkey % 2 = 1").select(F.lpad(tables.k.cast("string"), 13, "0").alias("gtin"), F.concat(F.lit("Read "), F.col("p_name")).alias("commodity_name"), F.col("p_retailprice").alias("mrp_value"), F.lit("").alias("manufacturer_name"), F.lit("2024").alias("manufacture_date"))
+    readings = part.where("p_partkey % 2 = 1").select(F.lpad(tables.key().cast("string"), 13, "0").alias("gtin"), F.concat(F.lit("Read "), F.col("p_name")).alias("commodity_name"), F.col("p_retailprice").alias("mrp_value"), F.lit("").alias("manufacturer_name"), F.lit("2024").alias("manufacture_date"))
     f = registry.fill_gaps(m, readings)
     return f.select("gtin", "product_name", "mrp_value", "manufacturer_name", F.array_join("sources", "|").alias("sources"), F.col("field_sources")["product_name"].alias("from_name"), F.col("field_sources")["mrp_value"].alias("from_mrp"))
 
 
 @query
 def code_variants(spark, sf_dir):
-    codes = tables.table(spark, sf_dir, "part").select(F.lpad(tables.k.cast("string"), 12, "0").alias("gtin"))
+    codes = tables.table(spark, sf_dir, "part").select(F.lpad(tables.key().cast("string"), 12, "0").alias("gtin"))
     return registry.code_variants(codes)
 
 
@@ -348,7 +348,7 @@ def registry_recommendations(spark, sf_dir):
 @query
 def report_table(spark, sf_dir):
     rows = scoring.report_rows(rules.exploded(image_audit(spark, sf_dir, wide=True)))
-    return rows.select("package_id", "bucket_no", "rule_no", "id_cell", "name_cell", "status", F.length("detail_cell").alias("detail_length"))
+    return rows.select("package_id", "bucket_no", "rule_no", "id_cell", "name_cell", "status")
 
 
 @query
@@ -378,7 +378,7 @@ READING = "product_name string, compliance_score double, declarations struct<mrp
 @query
 def model_readings(spark, sf_dir):
     part = tables.table(spark, sf_dir, "part")
-    k = tables.k
+    k = tables.key()
     status = F.array(*map(F.lit, ("pass", "FAIL", "warning", "odd", "not_applicable")))
     rule = lambda i: F.struct(F.lit(f"L{i}").alias("rule_id"), F.get(status, ((k + i) % 5).cast("int")).alias("status"), F.when((k + i) % 3 == 0, "critical").when((k + i) % 3 == 1, "major").alias("severity"))
     score = F.when(k % 3 == 0, F.col("p_size") * 2.0).when(k % 3 == 1, F.col("p_size") / 50.0).otherwise(0.0)

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions.gtin import check_digit, classified
 
-k = F.col("p_partkey")
+def key() -> Column:
+    """The part's key, from which gaps and defects are derived."""
+    return F.col("p_partkey")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +41,7 @@ def barcode_of(key: Column) -> Column:
 
 def packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One package per part, with gaps and defects by its key; bar-code facts included."""
+    k = key()
     part, nation, region = (table(spark, sf_dir, t) for t in ("part", "nation", "region"))
     lineitem, supplier = (table(spark, sf_dir, t) for t in ("lineitem", "supplier"))
     first = lineitem.groupBy("l_partkey").agg(F.min("l_suppkey").alias("suppkey"), F.min("l_shipdate").alias("shipdate"))
@@ -81,12 +84,13 @@ def packages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def label_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``image_id, text``: a label's text for each part, in several layouts."""
+    k = key()
     part = table(spark, sf_dir, "part")
-    key = k.cast("string")
+    shown = k.cast("string")
     quantity = F.when(k % 6 == 0, F.concat(F.lit("Net Wt "), F.col("p_size").cast("string"), F.lit(" g"))).when(k % 6 == 1, F.concat(F.lit("3x"), F.col("p_size").cast("string"), F.lit(" Tablets"))).when(k % 6 == 2, F.concat(F.lit("NET QTY: "), F.col("p_size").cast("string"), F.lit(".5 ml"))).when(k % 6 == 3, F.concat(F.col("p_size").cast("string"), F.lit("Og"))).when(k % 6 == 4, F.concat(F.col("p_size").cast("string"), F.lit(" capsules"))).otherwise("")
     price = F.when(k % 4 == 0, F.concat(F.lit("MRP Rs "), F.format_string("%.2f", F.col("p_retailprice")), F.lit(" incl. of all taxes"))).when(k % 4 == 1, F.concat(F.lit("M.R.P ₹"), F.format_string("%.2f", F.col("p_retailprice")))).when(k % 4 == 2, F.concat(F.lit("Price "), F.format_string("%.2f", F.col("p_retailprice")))).otherwise("")
     dates = F.when(k % 5 == 0, "PKD 05/2024\nBest Before 12 months").when(k % 5 == 1, "MFD: 02-MAR-2025 EXP: 01-SEP-2026").when(k % 5 == 2, "05/26 and 10/27").when(k % 5 == 3, "02-MAR-2025").otherwise("")
-    maker = F.when(k % 3 == 0, F.concat(F.lit("Mfd by: Maker "), key, F.lit("\n12 Mill Road\nPune 411001\nNet"))).when(k % 3 == 1, F.concat(F.lit("Packed by Packer "), key, F.lit("\nMktd by Seller "), key, F.lit(", Agra"))).otherwise(F.concat(F.lit("Imported by Trader "), key, F.lit("\nDock 4\nMRP")))
+    maker = F.when(k % 3 == 0, F.concat(F.lit("Mfd by: Maker "), shown, F.lit("\n12 Mill Road\nPune 411001\nNet"))).when(k % 3 == 1, F.concat(F.lit("Packed by Packer "), shown, F.lit("\nMktd by Seller "), shown, F.lit(", Agra"))).otherwise(F.concat(F.lit("Imported by Trader "), shown, F.lit("\nDock 4\nMRP")))
     care = F.when(k % 7 == 0, "Customer Care: 1800 123 4567 help@pack.example").when(k % 7 == 1, "call 9876543210").when(k % 7 == 2, "मूल्य FSSAI Lic No. 12345678901234").when(k % 7 == 3, "FSSAI xx 10012345678901 end").otherwise("info@shop.example")
     return part.select(k.alias("image_id"), F.concat_ws("\n", F.col("p_name"), quantity, price, dates, maker, care).alias("text"))
 
@@ -135,6 +139,7 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def registry_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``gtin, source, payload``: JSON answers of three registries about the parts' codes, with gaps."""
+    k = key()
     part = table(spark, sf_dir, "part").withColumn("gtin", F.lpad(k.cast("string"), 13, "0"))
     size = F.col("p_size").cast("string")
     tags = F.when(k % 3 == 0, F.array(F.lit("en:vegetarian"), F.lit("en:organic"))).when(k % 3 == 1, F.array(F.lit("en:non-vegetarian"))).otherwise(F.array(F.lit("en:non-vegan")))
@@ -151,6 +156,7 @@ def registry_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def error_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``case_id, declared, actual, category`` of weighed packages."""
+    k = key()
     item, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
     kinds = F.array(*map(F.lit, ("weight", "Volume ", "length", "area", "number", "other")))
     joined = item.join(part, item["l_partkey"] == part["p_partkey"])

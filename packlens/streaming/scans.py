@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.gtin import classified
 
-SAME_SCAN = "10 seconds"
+SAME_SCAN_SECONDS = 10
 LATE = "1 minute"
 
 
@@ -24,7 +24,7 @@ def verified_scans(scans: DataFrame) -> DataFrame:
 
 def first_scans(scans: DataFrame, late: str = LATE) -> DataFrame:
     """Of scans of one code on one device within a window, the first; state older than the watermark is dropped."""
-    windowed = scans.withWatermark("ts", late).withColumn("slot", F.window("ts", SAME_SCAN))
+    windowed = scans.withWatermark("ts", late).withColumn("slot", F.floor(F.unix_seconds("ts") / SAME_SCAN_SECONDS))
     return windowed.dropDuplicatesWithinWatermark(["device", "code", "slot"]) if scans.isStreaming else windowed.dropDuplicates(["device", "code", "slot"])
 
 
