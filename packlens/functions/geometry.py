@@ -92,3 +92,25 @@ def standard_quantities(commodity: Column) -> Column:
 def nearest_standard(commodity: Column, quantity: Column) -> Column:
     """The allowed quantity nearest to one, the smaller of two at equal distance."""
     return F.array_min(F.transform(standard_quantities(commodity), lambda v: F.struct(F.abs(v - quantity).alias("gap"), v.alias("value"))))["value"]
+
+
+#: Trust in a calibration by its method.
+CALIBRATION_TRUST = {"ruler": 0.90, "user_dimension": 0.85, "barcode_polygon": 0.75, "barcode_rect": 0.65}
+
+
+def best_calibration(ruler: Column, height_px: Column, height_mm: Column, barcode_px: Column, by_polygon: Column) -> Column:
+    """``pixels_per_mm, method, confidence`` of the first that is known: ruler, package height, bar code over 10 px wide; null if none is."""
+    def option(value: Column, method: str | Column, trust: Column) -> Column:
+        return F.when(value.isNotNull(), F.struct(value.alias("pixels_per_mm"), (F.lit(method) if isinstance(method, str) else method).alias("method"), trust.alias("confidence")))
+
+    code = F.when(barcode_px > 10, barcode_px / fixed.BARCODE_WIDTH_MM)
+    trust = F.when(by_polygon, CALIBRATION_TRUST["barcode_polygon"]).otherwise(CALIBRATION_TRUST["barcode_rect"])
+    return F.coalesce(
+        option(F.when(ruler > 0, ruler), "ruler", F.lit(CALIBRATION_TRUST["ruler"])),
+        option(calibrated(height_px, height_mm), "user_dimension", F.lit(CALIBRATION_TRUST["user_dimension"])),
+        option(code, "barcode", trust))
+
+
+def panel_area_mm2(area_px: Column, pixels_per_mm: Column) -> Column:
+    """A panel's area; without a calibration its pixels stand in; null for none."""
+    return F.when(area_px > 0, F.when(pixels_per_mm > 0, area_px / (pixels_per_mm * pixels_per_mm)).otherwise(area_px))

@@ -69,8 +69,12 @@ def label_unit(unit: Column) -> Column:
 
 
 def net_quantity(text: Column) -> Column:
-    """``value, unit, raw`` of the leftmost quantity; ``A x B unit`` multiplies."""
-    group = [found(text, fixed.NET_QUANTITY, i) for i in range(10)]
+    """``value, unit, raw`` of the leftmost quantity; ``A x B unit`` multiplies.
+
+    The text is searched once; the groups are read from the short match.
+    """
+    raw = found(text, fixed.NET_QUANTITY)
+    group = [raw, *[found(raw, fixed.NET_QUANTITY, i) for i in range(1, 10)]]
     number = [F.nullif(g, F.lit("")).try_cast("double") for g in group]
     value = F.coalesce(number[1], number[3] * number[4], number[6], number[8])
     unit = F.coalesce(group[2], group[5], group[7], group[9])
@@ -117,7 +121,7 @@ def parties(text: Column) -> Column:
 def consumer_care(text: Column) -> Column:
     """``phone, email``: first in the 200 characters from the care keyword, else in the whole text."""
     at = F.regexp_instr(text, pattern(fixed.CARE))
-    region = F.when(at > 0, F.substring(text, at, F.lit(200))).otherwise(text)
+    region = F.when(at > 0, F.substring(text, at, F.lit(200)))
     phone = F.coalesce(found(region, fixed.PHONE, 0, False), found(text, fixed.PHONE, 0, False))
     email = F.coalesce(found(region, fixed.EMAIL), found(text, fixed.EMAIL))
     return F.struct(strip(phone).alias("phone"), strip(email).alias("email"))

@@ -63,6 +63,25 @@ class AdditiveModel:
         return 1 / (1 + F.exp(-odds))
 
 
+def save(spark: SparkSession, model: AdditiveModel, path: str) -> None:
+    """Keep a model as a table: one row a bin."""
+    rows = [(f, i, float(c) if c is not None else None, w) for f in model.cuts for i, (c, w) in enumerate(zip([*model.cuts[f], None, None], model.weights[f], strict=True))]
+    spark.createDataFrame([("", 0, None, model.intercept), *rows], "feature string, bin int, cut double, weight double").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> AdditiveModel:
+    model = AdditiveModel({}, {}, 0.0)
+    for r in spark.read.parquet(path).orderBy("feature", "bin").collect():
+        if not r.feature:
+            model.intercept = r.weight
+            continue
+        model.weights.setdefault(r.feature, []).append(r.weight)
+        model.cuts.setdefault(r.feature, [])
+        if r.cut is not None:
+            model.cuts[r.feature].append(r.cut)
+    return model
+
+
 def fit(rows: DataFrame, features: list[str] | None = None) -> AdditiveModel:
     """Train on ``rows(features, label)``; cut points and weights are all that reaches the driver."""
     features = features or fixed.FEATURES

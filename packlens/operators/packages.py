@@ -155,6 +155,32 @@ def synthetic_label(rows: DataFrame) -> Column:
     return (required & contact & language & heights).cast("int")
 
 
+def packages_from_readings(readings: DataFrame, key: str = "package_id") -> DataFrame:
+    """Package fields from a language model's answer in the struct ``j``: its dates stand in for the manufacture date, its care text for the e-mail."""
+    d = F.col("j.declarations")
+    code = F.nullif(d["barcode_printed"], F.lit(""))
+    return readings.select(
+        key, F.coalesce(F.nullif("j.product_name", F.lit("")), F.lit(None).cast("string")).alias("commodity_name"), d["mrp_value"].alias("mrp_value"), d["net_quantity_value"].alias("net_quantity_value"), d["net_quantity_unit"].alias("net_quantity_unit"),
+        F.coalesce(F.nullif(d["manufacture_date"], F.lit("")), d["dates"]).alias("manufacture_date"), F.coalesce(F.nullif(d["consumer_care_email"], F.lit("")), d["consumer_care"]).alias("consumer_care_email"),
+        code.isNotNull().alias("has_barcode"), code.alias("barcode_value"), F.when(code.isNotNull(), F.when(F.length(code) == 13, "EAN-13").otherwise("BARCODE")).alias("barcode_type"),
+    )
+
+
+def apply_declarations(declared: DataFrame, key: str = "package_id") -> DataFrame:
+    """Rows ``field, value, raw`` of loose declarations applied to package fields: quantities split into number and unit, prices stripped to digits."""
+    value, number_of_price = F.col("value"), F.regexp_replace(F.col("value"), r"[^\d.]", "").try_cast("double")
+    amount, unit = F.regexp_extract(value, r"^([\d.]+)\s*([a-zA-Z]+)", 1).try_cast("double"), F.nullif(F.regexp_extract(value, r"^([\d.]+)\s*([a-zA-Z]+)", 2), F.lit(""))
+    canonical = unit_and_category(unit)
+
+    def of(field: str, x: Column) -> Column:
+        return F.max_by(F.when(F.col("field") == field, x), F.when((F.col("field") == field) & x.isNotNull(), F.col("seq")))
+
+    tax = F.coalesce(F.lower("raw").rlike("incl|all tax"), F.lit(False))
+    return declared.groupBy(key).agg(
+        of("commodity_name", value).alias("commodity_name"), of("net_quantity", amount).alias("net_quantity_value"), of("net_quantity", canonical["unit"]).alias("net_quantity_unit"), of("net_quantity", canonical["category"]).alias("net_quantity_category"),
+        of("mrp", number_of_price).alias("mrp_value"), of("mrp", tax).alias("mrp_includes_tax"))
+
+
 def attach_registry(packages: DataFrame, records: DataFrame) -> DataFrame:
     """Label packages with the registry's record of their code: six fields are filled where empty, and noted as such."""
     fields = {"commodity_name": "product_name", "manufacturer_name": "manufacturer_name", "manufacturer_address": "manufacturer_address", "country_of_origin": "country_of_origin", "net_quantity_value": "net_quantity_value", "net_quantity_unit": "net_quantity_unit"}

@@ -376,4 +376,16 @@ ORACLES: dict[str, str] = {
     "scan_facts": f"""WITH {ECONOMIES}, s AS (SELECT event_id, user_id AS device, '890' || lpad(regexp_replace(coalesce(props ->> '$.k', ''), '[^0-9]', '', 'g'), 9, '0') AS digits FROM events)
       SELECT event_id, device, digits AS code, {LENGTHS} AS format, economy AS country, {check(BODY)} = CAST(right(digits, 1) AS INTEGER) AS is_valid FROM s LEFT JOIN economies ON CAST(substr('00' || digits, 2, 3) AS INTEGER) BETWEEN low AND high""",
     "scans_per_minute": "SELECT strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M') AS minute, count(*) AS scans FROM events GROUP BY 1",
+    "calibrations": """WITH p AS (SELECT p_partkey AS package_id, p_partkey AS k, p_size FROM part), c AS (SELECT *, CASE WHEN k % 5 = 0 AND k % 7 > 0 THEN CAST(k % 7 AS DOUBLE) END AS r, CASE WHEN k % 3 = 0 AND k % 4 > 0 THEN p_size * 10.0 / ((k % 4) * 25.0) END AS h, CASE WHEN k % 90 > 10 THEN (k % 90) / CAST(37.29 AS DOUBLE) END AS b FROM p),
+      d AS (SELECT *, CAST(coalesce(r, h, b) AS DOUBLE) AS ppm FROM c) SELECT package_id, round(ppm, 9) AS pixels_per_mm, CASE WHEN r IS NOT NULL THEN 'ruler' WHEN h IS NOT NULL THEN 'user_dimension' WHEN b IS NOT NULL THEN 'barcode' END AS method,
+      CAST(CASE WHEN r IS NOT NULL THEN 0.9 WHEN h IS NOT NULL THEN 0.85 WHEN b IS NOT NULL THEN CASE WHEN k % 2 = 0 THEN 0.75 ELSE 0.65 END END AS DOUBLE) AS confidence, round(CAST(CASE WHEN ppm IS NOT NULL THEN p_size * 100.0 / (ppm * ppm) ELSE p_size * 100.0 END AS DOUBLE), 6) AS panel_mm2 FROM d""",
+    "least_heights": f"WITH {BLOCKS}, h AS (SELECT image_id, round(height_px / 4.0 - 3.0, 2) AS h FROM blocks) SELECT image_id, min(h) FILTER (h > 0) AS min_font_height_mm FROM h GROUP BY 1",
+    "code_packages": """WITH e AS (SELECT user_id, arg_min(props ->> '$.k', event_id) AS code FROM events GROUP BY 1) SELECT p_partkey AS package_id, code AS barcode_value, code IS NOT NULL AS has_barcode FROM part LEFT JOIN e ON user_id = p_partkey""",
+    "declared_packages": """SELECT p_partkey AS package_id, p_name AS commodity_name, CAST(p_size AS DOUBLE) AS net_quantity_value, CASE WHEN p_partkey % 2 = 0 THEN 'g' ELSE 'l' END AS net_quantity_unit, CASE WHEN p_partkey % 2 = 0 THEN 'weight' ELSE 'volume' END AS net_quantity_category, CAST(printf('%.2f', p_retailprice) AS DOUBLE) AS mrp_value, p_partkey % 3 = 0 AS mrp_includes_tax FROM part""",
+    "reading_packages": f"""WITH p AS (SELECT *, CASE WHEN p_partkey % 4 = 0 THEN {code_of('p_partkey')} END AS code FROM part) SELECT p_partkey AS package_id, CASE WHEN p_partkey % 5 <> 0 THEN p_name END AS commodity_name, p_retailprice AS mrp_value, CASE WHEN p_partkey % 2 = 0 THEN CAST(p_size AS DOUBLE) END AS net_quantity_value, 'g' AS net_quantity_unit,
+      CASE WHEN p_partkey % 3 = 0 THEN '01/24' ELSE '05/24' END AS manufacture_date, 'care' AS consumer_care_email, code IS NOT NULL AS has_barcode, code AS barcode_value, CASE WHEN code IS NOT NULL THEN CASE WHEN length(code) = 13 THEN 'EAN-13' ELSE 'BARCODE' END END AS barcode_type FROM p""",
+    "training_log": f"WITH {RESULTS} SELECT severity, rule_id, count(*) AS failures FROM results JOIN packages USING (package_id) WHERE analysis_source = 'image' AND status = 'FAIL' GROUP BY 1, 2",
+    "label_packages": f"""WITH {LABELS}, q AS (SELECT image_id, k, text, {", ".join(f"{hit('text', fixed.NET_QUANTITY, i)} AS g{i}" for i in range(1, 10))} FROM texts), v AS (SELECT *, coalesce(CAST(g1 AS DOUBLE), CAST(g3 AS DOUBLE) * CAST(g4 AS DOUBLE), CAST(g6 AS DOUBLE), CAST(g8 AS DOUBLE)) AS value, {UNIT_CASE.format('coalesce(g2, g5, g7, g9)')} AS u0 FROM q),
+      u(raw, unit, category) AS (VALUES {values([(k, v, c) for c, t in fixed.PACKAGE_UNITS.items() for k, v in t.items()])})
+      SELECT image_id, value AS net_quantity_value, coalesce(unit, u0) AS net_quantity_unit, CASE WHEN u0 IS NOT NULL THEN coalesce(category, 'number') END AS net_quantity_category, k % 3 = 2 AS is_imported, true AS has_english_text, CASE WHEN k % 5 = 0 THEN '12 months' END AS best_before FROM v LEFT JOIN u ON raw = u0""",
 }

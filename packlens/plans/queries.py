@@ -231,6 +231,21 @@ def ruler(spark, sf_dir):
     return blocks.ruler_pixels_per_mm(ticks).select("image_id", F.round("pixels_per_mm", 9).alias("pixels_per_mm"), "ticks")
 
 
+@query
+def calibrations(spark, sf_dir):
+    part = tables.table(spark, sf_dir, "part")
+    k = tables.key()
+    best = geometry.best_calibration(F.when(k % 5 == 0, (k % 7).cast("double")), F.col("p_size") * 10.0, F.when(k % 3 == 0, (k % 4) * 25.0), (k % 90).cast("double"), k % 2 == 0)
+    held = part.select(k.alias("package_id"), (F.col("p_size") * 100.0).alias("area"), best.alias("c"))
+    return held.select("package_id", F.round("c.pixels_per_mm", 9).alias("pixels_per_mm"), "c.method", "c.confidence", F.round(geometry.panel_area_mm2(F.col("area"), F.col("c.pixels_per_mm")), 6).alias("panel_mm2"))
+
+
+@query
+def least_heights(spark, sf_dir):
+    held = blocks.finished_blocks(tables.lines(spark, sf_dir)).withColumn("h", F.round(F.col("height_px") / 4.0 - 3.0, 2))
+    return held.groupBy("image_id").agg(F.min(F.when(F.col("h") > 0, F.col("h"))).alias("min_font_height_mm"))
+
+
 @query
 def regions(spark, sf_dir):
     held = blocks.region_boxes(blocks.regions(tables.points(spark, sf_dir), 0.05))
@@ -271,6 +286,41 @@ def package_table(spark, sf_dir):
     return p.select("package_id", "analysis_source", "commodity_name", "manufacturer_address", "country_of_origin", "net_quantity_value", "net_quantity_unit", "net_quantity_category", "mrp_value", "manufacture_date", "is_imported", "barcode_value", "barcode_gtin_format", "barcode_checksum_valid", "barcode_country", "barcode_is_restricted")
 
 
+@query
+def label_packages(spark, sf_dir):
+    labels = tables.label_texts(spark, sf_dir).withColumn("declarations", text.declarations(F.col("text")))
+    p = packages.packages_from_labels(labels)
+    return p.select("image_id", "net_quantity_value", "net_quantity_unit", "net_quantity_category", "is_imported", "has_english_text", "best_before")
+
+
+@query
+def code_packages(spark, sf_dir):
+    e = tables.table(spark, sf_dir, "events")
+    seen = e.select(F.col("user_id").alias("image_id"), F.col("event_id").alias("scan_no"), F.get_json_object("props", "$.k").alias("code"))
+    return packages.attach_codes(tables.packages(spark, sf_dir), packages.first_codes(seen)).select("package_id", "barcode_value", "has_barcode")
+
+
+@query
+def declared_packages(spark, sf_dir):
+    part = tables.table(spark, sf_dir, "part")
+    k = tables.key()
+    rows = F.array(
+        F.struct(F.lit(0).alias("seq"), F.lit("commodity_name").alias("field"), F.col("p_name").alias("value"), F.lit("").alias("raw")),
+        F.struct(F.lit(1).alias("seq"), F.lit("net_quantity").alias("field"), F.concat(F.col("p_size").cast("string"), F.when(k % 2 == 0, " gms").otherwise("Ltr.")).alias("value"), F.lit("").alias("raw")),
+        F.struct(F.lit(2).alias("seq"), F.lit("mrp").alias("field"), F.concat(F.lit("Rs "), F.format_string("%.2f", F.col("p_retailprice")), F.lit("/-")).alias("value"), F.when(k % 3 == 0, "inclusive of all taxes").otherwise("MRP").alias("raw")))
+    declared = part.select(k.alias("package_id"), F.explode(rows).alias("d")).select("package_id", "d.*")
+    return packages.apply_declarations(declared)
+
+
+@query
+def reading_packages(spark, sf_dir):
+    part = tables.table(spark, sf_dir, "part")
+    k = tables.key()
+    d = F.struct(F.col("p_retailprice").alias("mrp_value"), F.when(k % 2 == 0, F.col("p_size").cast("double")).alias("net_quantity_value"), F.lit("g").alias("net_quantity_unit"), F.lit("05/24").alias("dates"), F.when(k % 3 == 0, "01/24").alias("manufacture_date"), F.lit("care").alias("consumer_care"), F.when(k % 4 == 0, tables.barcode_of(k)).alias("barcode_printed"))
+    answer = F.to_json(F.struct(F.when(k % 5 != 0, F.col("p_name")).alias("product_name"), d.alias("declarations")))
+    return packages.packages_from_readings(part.select(k.alias("package_id"), F.from_json(answer, READING).alias("j")))
+
+
 @query
 def merged_sides(spark, sf_dir):
     p = tables.packages(spark, sf_dir)
@@ -357,6 +407,12 @@ def severity_failures(spark, sf_dir):
     return rows.cube("status", "severity").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"))
 
 
+@query
+def training_log(spark, sf_dir):
+    rows = rules.exploded(image_audit(spark, sf_dir).where("analysis_source = 'image'")).where("status = 'FAIL'")
+    return rows.groupBy("severity", "rule_id").agg(F.count("*").alias("failures"))
+
+
 @query
 def reports(spark, sf_dir):
     held = scoring.registry_scores(image_audit(spark, sf_dir, wide=True))

@@ -40,3 +40,9 @@ def test_streams_agree_with_tables(spark, tmp_path):
     assert first.count() == scans.first_scans(scans.scans_of(events)).count()
     minutes = run(scans.scans_per_minute(scans.scans_of(stream)), "minutes", "complete")
     assert sum(r.scans for r in minutes.collect()) == 24
+
+
+def test_models_are_kept_as_tables(spark, tmp_path):
+    held = model.AdditiveModel({"a": [1.0, 2.5], "b": []}, {"a": [0.1, -0.2, 0.3, 0.0], "b": [0.5, -0.5]}, 0.25)
+    model.save(spark, held, str(tmp_path / "m"))
+    assert model.load(spark, str(tmp_path / "m")) == held
