@@ -40,5 +40,34 @@ def queries() -> dict[str, Query]:
     }
 
 
+#: SHA-1 in bare base32: five hexadecimal digits are four characters.
+BASE32 = "list_aggregate(list_transform(range(8), lambda j: " + " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, 5 * j + 1, 5))::INTEGER >> {s}) & 31) + 1, 1)" for s in (15, 10, 5, 0)) + "), 'string_agg', '')"
+
+ORACLES = {
+    "op3_warc": f"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+        f AS (SELECT page_id, octet_length(encode(payload)) AS n, sha1(payload) AS h, min(page_id) OVER (PARTITION BY payload) AS first FROM p)
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, {BASE32} AS payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+          CASE WHEN first <> page_id THEN first END AS refers_to FROM f""",
+    "op4_substrings": """
+        WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+        w AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i, len(words) AS n FROM t),
+        g AS (SELECT doc_id, word, i, CASE WHEN i + 49 <= n THEN md5(string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)) END AS win FROM w),
+        s AS (SELECT doc_id, word, i, win IS NOT NULL AND min(doc_id) OVER (PARTITION BY win) < doc_id AS starts FROM g),
+        c AS (SELECT doc_id, word, i, bool_or(starts) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM s),
+        k AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM c GROUP BY 1)
+        SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents LEFT JOIN k USING (doc_id)""",
+    "op10_suffixes": """
+        WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        b AS (SELECT doc_id, h, unnest(range(length(h) // 2)) AS i FROM t),
+        g AS (SELECT doc_id, i, substr(h, 2 * i + 1, 2) AS byte, CASE WHEN 2 * i + 400 <= length(h) THEN md5_number(substr(h, 2 * i + 1, 400)) END AS win FROM b),
+        s AS (SELECT doc_id, i, byte, win IS NOT NULL AND count(*) OVER (PARTITION BY win) > 1 AS starts FROM g),
+        c AS (SELECT doc_id, i, byte, bool_or(starts) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) AS gone FROM s),
+        r AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM c),
+        k AS (SELECT doc_id, count(*) AS n_bytes, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans, string_agg(byte, '' ORDER BY i) FILTER (NOT gone) AS kept FROM r GROUP BY 1)
+        SELECT doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM documents LEFT JOIN k USING (doc_id)""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
