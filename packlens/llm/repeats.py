@@ -279,9 +279,20 @@ def found_removals(docs: DataFrame, batches: list[DataFrame], rule: Rule, fanout
 def gone_units(part: pa.RecordBatch, rule: Rule) -> Iterator[tuple[bytes, np.ndarray | None]]:
     """Each text of a batch with ``_whole`` and ``_windows``, and which of its units go (None: nothing)."""
     whole, windows = part.column("_whole"), part.column("_windows")
-    for i, text in enumerate(texts(part.column("text"))):
+    held = texts(part.column("text"))
+    units = [rule.units(x) for x in held]
+    own = repeating(units, rule) if rule.anywhere else set()
+    for i, text in enumerate(held):
         a, b = pairs_of(whole, i), pairs_of(windows, i)
-        yield text, removed_units(rule.units(text), rule, a, b) if rule.anywhere or len(a[0]) or len(b[0]) else None
+        yield text, removed_units(units[i], rule, a, b) if i in own or len(a[0]) or len(b[0]) else None
+
+
+def repeating(units: list[np.ndarray], rule: Rule) -> set[int]:
+    """Indexes of the texts in which a core comes twice; the others hold no window twice."""
+    s = segments(units, rule.length, rule.steps[0])
+    order = np.lexsort((s.core, s.owner))
+    owner, core = s.owner[order], s.core[order]
+    return set(owner[1:][(owner[1:] == owner[:-1]) & (core[1:] == core[:-1])].tolist())
 
 
 def with_removals(docs: DataFrame, found: DataFrame) -> DataFrame:
