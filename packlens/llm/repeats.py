@@ -116,14 +116,18 @@ class SegmentIndex:
 
 
 def settle(pool: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
-    """Of segments ``core, span, doc_id``: those that go as a whole, and those left open."""
+    """Of segments ``core, span, doc_id``: those that go as a whole, and those left open.
+
+    What is aggregated by core is written before it is joined, so that the joins
+    are between plain tables and a hot core can be split.
+    """
     seen = pool.groupBy("core").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-    shared = materialize(pool.join(seen.where("least < most").select("core"), "core"), "shared")
+    shared = materialize(pool.join(materialize(seen.where("least < most").select("core"), "cores"), "core"), "shared")
     spans = materialize(shared.groupBy("core", "span").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")), "spans")
     gone = F.col("least") < (F.col("most") if rule.anywhere else F.col("doc_id"))
     whole = shared.join(spans, ["core", "span"]).where(gone).select("doc_id", "core", "span")
     several = spans.groupBy("core").agg(F.min("span").alias("a"), F.max("span").alias("b")).where("a <> b").select("core")
-    verify = spans.join(several, "core").select(F.col("least").alias("doc_id"), "core", "span")
+    verify = spans.join(materialize(several, "several"), "core").select(F.col("least").alias("doc_id"), "core", "span")
     return materialize(whole, "whole"), materialize(verify, "verify")
 
 

@@ -300,12 +300,13 @@ def near_duplicate_groups(docs: DataFrame, words: int = NEAR_WORDS, similarity:
     keyed = nodes.select(F.posexplode("keys").alias("k", "key"), F.col("node").alias("id"), "print")
     dealt = keyed.repartition(shuffle_partitions(spark), "k", "key").sortWithinPartitions("k", "key")
     groups = connected_components(dealt.mapInArrow(bucket_links(radius), "a long, b long"))
-    held = nodes.join(groups, "node").select("node", "first_id", "print", "component")
+    held = materialize(nodes.join(groups, "node").select("node", "first_id", "print", "component"), "grouped")
     majority = held.groupBy("component").agg(*[F.sum(F.shiftright("print", i).bitwiseAND(F.lit(1))).alias(f"b{i}") for i in range(64)], F.count("*").alias("size"))
     middle = F.lit(0).cast("long")
     for i in range(64):
         middle = middle.bitwiseOR(F.when(F.col(f"b{i}") * 2 > F.col("size"), F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
-    sized = held.join(majority.select("component", "size", middle.alias("middle")), "component")
+    middles = materialize(majority.select("component", "size", middle.alias("middle")), "middles")
+    sized = held.join(middles, "component")
     parts = F.ceil(F.col("size") / F.lit(PART)).cast("int")
     sized = materialize(sized.withColumn("parts", parts).withColumn("far", F.bit_count(F.col("print").bitwiseXOR(F.col("middle")))), "candidates")
     marked = sized.join(top_nodes(sized.where("parts > 1")), ["component", "node"], "left")
