@@ -17,6 +17,8 @@ from .common import count_words, materialize, shuffle_partitions
 LEVEL_BITS, LEVELS = 10, 4
 #: A source is repeated at most so often.
 MAX_REPEATS = 3
+#: Times that the rest of a budget is offered to the smaller documents behind the last threshold.
+ROUNDS = 3
 
 
 def number_in_order(df: DataFrame, by: list[Column], name: str) -> DataFrame:
@@ -65,14 +67,36 @@ def slot_of() -> Column:
 
 
 def mix_plan(slim: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), share: float = 1.0) -> DataFrame:
-    """``source, source_size, target, repeats, cut`` for ``slim(source, size, slot)``: all documents come ``repeats`` times, those under ``cut`` once more."""
+    """How often documents come, by source, for ``slim(source, size, slot)``: source, source_size, target, repeats, cuts.
+
+    All documents come ``repeats`` times. ``cuts`` are (low, high, most): those
+    with a slot from low to below high and a size of ``most`` at most come once
+    more. The first cut starts at 0 and takes any size; each further one goes on
+    behind it with documents that fit what is left of the budget.
+    """
     goals = source_targets(slim.select("source", "size"), weights, share)
     repeats = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(MAX_REPEATS))).otherwise(F.lit(0)).cast("int")
     goals = goals.withColumn("repeats", repeats).withColumn("left", F.greatest(F.col("target") - F.col("repeats") * F.col("source_size"), F.lit(0.0)))
     goals = materialize(goals, "mix-goals")
-    cuts = hash_cuts(slim, goals.select("source", "left"))
-    joined = goals.alias("g").join(cuts.alias("c"), F.col("g.source").eqNullSafe(F.col("c.source")), "left")
-    return materialize(joined.select("g.source", "g.source_size", "g.target", "g.repeats", F.coalesce(F.col("c.cut"), F.lit(0)).alias("cut")), "mix-plan")
+    state = goals.where(F.col("left") > 0).select("source", F.lit(0).cast("long").alias("low"), F.lit(float("inf")).alias("most"), "left")
+    cuts = None
+    for _ in range(ROUNDS):
+        fits = F.col("d.source").eqNullSafe(F.col("s.source")) & (F.col("d.slot") >= F.col("s.low")) & (F.col("d.size") <= F.col("s.most"))
+        offered = slim.alias("d").join(state.alias("s"), fits).select("d.*")
+        found = hash_cuts(offered, state.select("source", "left"))
+        joined = state.alias("s").join(found.alias("f"), F.col("s.source").eqNullSafe(F.col("f.source")))
+        rows = materialize(joined.select("s.source", "s.low", F.greatest("s.low", "f.cut").alias("high"), "s.most", F.col("f.left").alias("left")), "mix-cuts")
+        cuts = rows if cuts is None else cuts.unionByName(rows)
+        state = rows.where("left > 0").select("source", F.col("high").alias("low"), F.col("left").alias("most"), "left")
+    lists = cuts.groupBy("source").agg(F.collect_list(F.struct("low", "high", "most")).alias("cuts"))  # ROUNDS a source
+    joined = goals.alias("g").join(lists.alias("c"), F.col("g.source").eqNullSafe(F.col("c.source")), "left")
+    return materialize(joined.select("g.source", "g.source_size", "g.target", "g.repeats", "c.cuts"), "mix-plan")
+
+
+def copies_of(repeats: Column, cuts: Column, slot: Column, size: Column) -> Column:
+    """How often a document comes, given its source's row of the plan."""
+    inside = F.exists(cuts, lambda c: (slot >= c["low"]) & (slot < c["high"]) & (size <= c["most"]))
+    return repeats + F.coalesce(inside, F.lit(False)).cast("int")
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -92,17 +116,17 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), s
     slim = sized(docs)
     plan = mix_plan(slim, weights, share)
     joined = slim.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
-    copies = F.col("p.repeats") + (F.col("d.slot") < F.col("p.cut")).cast("int")
+    copies = copies_of(F.col("p.repeats"), F.col("p.cuts"), F.col("d.slot"), F.col("d.size"))
     return joined.select("d.doc_id", "d.source", "d.size", "p.source_size", "p.target", copies.alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def hash_cuts(slim: DataFrame, budgets: DataFrame) -> DataFrame:
-    """The slot under which a source's documents add up to its ``left`` words, within the last bucket.
+    """``source, cut, left``: the slot under which a source's documents still fit its ``left`` words, and what remains of these.
 
     At each level words are summed by (source, bucket) among the documents of the
     source's open bucket only; the bucket in which the running sum passes the
     budget is open at the next level. After the last level the open bucket is
-    taken if at least half of it fits.
+    taken if all of it fits.
     """
     state = budgets.where(F.col("left") > 0).select("source", F.lit(0).cast("long").alias("prefix"), "left")
     for level in range(1, LEVELS + 1):
@@ -116,7 +140,8 @@ def hash_cuts(slim: DataFrame, budgets: DataFrame) -> DataFrame:
         open_ = run.withColumn("last", last).where((F.col("before") <= F.col("left")) & ((F.col("before") + F.col("words") > F.col("left")) | F.col("last")))
         first = F.row_number().over(Window.partitionBy("source").orderBy("prefix")) == 1
         state = materialize(open_.withColumn("first", first).where("first").select("source", "prefix", (F.col("left") - F.col("before")).alias("left"), "words"), f"mix-level{level}")
-    return state.select("source", (F.col("prefix") + (F.col("left") * 2 >= F.col("words")).cast("long")).alias("cut"))
+    fits = F.col("words") <= F.col("left")
+    return state.select("source", (F.col("prefix") + fits.cast("long")).alias("cut"), (F.col("left") - F.when(fits, F.col("words")).otherwise(0)).alias("left"))
 
 
 def apply_mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), share: float = 1.0) -> DataFrame:
@@ -124,11 +149,11 @@ def apply_mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), sha
 
     Only one row per source is joined to the texts.
     """
-    plan = mix_plan(sized(docs), weights, share).select(F.col("source").alias("_source"), "repeats", "cut")
-    held = docs.withColumn("_slot", slot_of()).alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p._source")))
-    copies = F.col("p.repeats") + (F.col("d._slot") < F.col("p.cut")).cast("int")
+    plan = mix_plan(sized(docs), weights, share).select(F.col("source").alias("_source"), "repeats", "cuts")
+    held = docs.withColumns({"_slot": slot_of(), "_size": count_words(F.col("text"))}).alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p._source")))
+    copies = copies_of(F.col("p.repeats"), F.col("p.cuts"), F.col("d._slot"), F.col("d._size"))
     kept = held.select("d.*", copies.alias("_copies")).where("_copies > 0")
-    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_slot", "_copies", "_copy")
+    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_slot", "_size", "_copies", "_copy")
 
 
 def mix_query(spark: SparkSession, docs: DataFrame) -> DataFrame:

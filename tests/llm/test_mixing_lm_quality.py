@@ -47,7 +47,7 @@ def test_targets_and_takes(spark):
         taken[source[r.doc_id]] += r.taken
     assert len(got) == len(rows)
     for s in sizes:
-        assert abs(taken[s] - want[s]) <= 30, s
+        assert 0 <= want[s] - taken[s] + 1e-6 <= 10, s
     again = mixing.mix_query(spark, samples.frame(spark, rows).repartition(7)).collect()
     assert sorted(map(tuple, again)) == sorted(map(tuple, got))
     copies = mixing.apply_mix(samples.frame(spark, rows, extra=True))
