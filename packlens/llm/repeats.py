@@ -21,6 +21,8 @@ from .common import materialize, shuffle_partitions, slices, texts
 from .segments import Segments, segments, window_hashes
 
 Units = Callable[[bytes], np.ndarray]
+#: Texts are taken in pieces of so many bytes: a unit of text has some hundred bytes of arrays while it is worked on.
+PIECE_BYTES = 500_000
 
 
 @dataclass(frozen=True)
@@ -50,7 +52,7 @@ def segment_rows(docs: DataFrame, rule: Rule) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", PIECE_BYTES):
                 ids = np.asarray(part.column("doc_id"))
                 s = segments([rule.units(x) for x in texts(part.column("text"))], rule.length, rule.steps[0])
                 if len(s.owner):
@@ -175,7 +177,7 @@ def finer_rows(held: DataFrame, rule: Rule, level: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", PIECE_BYTES):
                 for i, (doc_id, text) in enumerate(zip(part.column("doc_id").to_pylist(), texts(part.column("text")), strict=True)):
                     units = rule.units(text)
                     starts = open_windows(units, segments([units], rule.length, rule.steps[level - 1]), part.column("keys"), i, rule)
@@ -194,7 +196,7 @@ def window_rows(held: DataFrame, rule: Rule) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", PIECE_BYTES):
                 for i, (doc_id, text) in enumerate(zip(part.column("doc_id").to_pylist(), texts(part.column("text")), strict=True)):
                     units = rule.units(text)
                     starts = open_windows(units, segments([units], rule.length, rule.steps[-1]), part.column("keys"), i, rule)
@@ -316,7 +318,7 @@ def describe_removals(docs: DataFrame, batches: list[DataFrame], rule: Rule, fan
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", PIECE_BYTES):
                 rows = zip(*(describe(*x) for x in gone_units(part, rule)), strict=True)
                 columns = [pa.array(c, t) for c, t in zip(rows, types[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], list(names))
@@ -330,7 +332,7 @@ def rewrite_texts(docs: DataFrame, batches: list[DataFrame], rule: Rule, fanout:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", PIECE_BYTES):
                 old = part.column("text").to_pylist()
                 new = [x if gone is None or not gone.any() else rewrite(text, gone).decode() for x, (text, gone) in zip(old, gone_units(part, rule), strict=True)]
                 at = part.schema.get_field_index("text")

@@ -22,7 +22,7 @@ import numpy as np
 GRAM = 16
 #: Bits of a position inside a block; blocks have fewer units.
 PLACE_BITS = 22
-BLOCK_UNITS = 1 << 20
+BLOCK_UNITS = 1 << 18
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95))
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
