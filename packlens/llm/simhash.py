@@ -208,8 +208,8 @@ def simhash_components(docs: DataFrame, words: int = 3, radius: int = 2) -> Data
 NEAR_WORDS, NEAR_SIMILARITY, NEAR_RADIUS = 5, 0.8, 20
 #: Block keys: BANDS keys, each of ROWS least hashes; a pair at 0.8 shares none with probability 3e-5.
 BANDS, ROWS = 20, 4
-#: Texts that are compared in one task, and central ones that every part of a larger group gets.
-PART, HUBS = 2_000, 32
+#: Texts, and shingles of theirs, that are compared in one task, and central texts that every part of a larger group gets.
+PART, PART_SHINGLES, HUBS = 2_000, 2_000_000, 32
 FACTORS = np.random.default_rng(SEED).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -233,22 +233,23 @@ def node_of(shingles: np.ndarray) -> int:
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """``doc_id, node, print, keys`` of each row of ``docs(doc_id, text)``."""
+    """``doc_id, node, print, shingles, keys`` of each row of ``docs(doc_id, text)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                nodes, prints, keys = [], [], []
+                nodes, prints, sizes, keys = [], [], [], []
                 for text in texts(part.column("text")):
                     hashes = shingle_hashes(text, words)
                     distinct = np.unique(hashes)
                     nodes.append(node_of(distinct))
                     prints.append(fingerprint(hashes))
+                    sizes.append(len(distinct))
                     keys.append(block_keys(distinct))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(nodes) + 1, dtype=np.int32) * BANDS), pa.array(np.concatenate(keys).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(np.array(prints, np.uint64).view(np.int64)), lists], ["doc_id", "node", "print", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), lists], ["doc_id", "node", "print", "shingles", "keys"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, node long, print long, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, node long, print long, shingles long, keys array<long>")
 
 
 def similar_links(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -288,26 +289,26 @@ def near_duplicate_groups(docs: DataFrame, words: int = NEAR_WORDS, similarity:
 
     Rows with one shingle set are one node. Nodes that share a block key are
     compared by bit-sliced SimHash; what lies within the radius is checked on the
-    shingle sets themselves. Groups of candidates above PART nodes are checked in
-    parts, each with the group's HUBS nodes nearest to its majority fingerprint.
+    shingle sets themselves. Groups of candidates above PART nodes or PART_SHINGLES
+    shingles are checked in parts, each with the group's HUBS nodes nearest to its majority fingerprint.
     Texts without words have an empty set and form one group. A null doc_id has
     no group of its own: its component is null or its equals'. Rows that repeat a
     doc_id are in one group if their texts are.
     """
     spark = docs.sparkSession
     rows = materialize(signatures(docs, words), "signatures")
-    nodes = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("print").alias("print"), F.first("keys").alias("keys")), "nodes")
+    nodes = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("print").alias("print"), F.first("shingles").alias("shingles"), F.first("keys").alias("keys")), "nodes")
     keyed = nodes.select(F.posexplode("keys").alias("k", "key"), F.col("node").alias("id"), "print")
     dealt = keyed.repartition(shuffle_partitions(spark), "k", "key").sortWithinPartitions("k", "key")
     groups = connected_components(dealt.mapInArrow(bucket_links(radius), "a long, b long"))
-    held = materialize(nodes.join(groups, "node").select("node", "first_id", "print", "component"), "grouped")
-    majority = held.groupBy("component").agg(*[F.sum(F.shiftright("print", i).bitwiseAND(F.lit(1))).alias(f"b{i}") for i in range(64)], F.count("*").alias("size"))
+    held = materialize(nodes.join(groups, "node").select("node", "first_id", "print", "shingles", "component"), "grouped")
+    majority = held.groupBy("component").agg(*[F.sum(F.shiftright("print", i).bitwiseAND(F.lit(1))).alias(f"b{i}") for i in range(64)], F.count("*").alias("size"), F.sum("shingles").alias("held"))
     middle = F.lit(0).cast("long")
     for i in range(64):
         middle = middle.bitwiseOR(F.when(F.col(f"b{i}") * 2 > F.col("size"), F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
-    middles = materialize(majority.select("component", "size", middle.alias("middle")), "middles")
+    middles = materialize(majority.select("component", "size", "held", middle.alias("middle")), "middles")
     sized = held.join(middles, "component")
-    parts = F.ceil(F.col("size") / F.lit(PART)).cast("int")
+    parts = F.greatest(F.ceil(F.col("size") / F.lit(PART)), F.ceil(F.col("held") / F.lit(PART_SHINGLES)), F.lit(1)).cast("int")
     sized = materialize(sized.withColumn("parts", parts).withColumn("far", F.bit_count(F.col("print").bitwiseXOR(F.col("middle")))), "candidates")
     marked = sized.join(top_nodes(sized.where("parts > 1")), ["component", "node"], "left")
     part = F.when(F.col("hub").isNotNull(), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")))

@@ -22,7 +22,7 @@ BATCHES = 2
 FANOUT = 4
 STEPS = (18,)
 #: Distinct words whose hashes a worker remembers before it starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 _words: dict[bytes, int] = {}
 
 
