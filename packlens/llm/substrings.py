@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from .repeats import Rule, describe_removals, rewrite_texts
 
 WINDOW = 50
-BATCHES = 2
-FANOUT = 4
+BATCHES = 3
+FANOUT = 2
 STEPS = (18,)
 #: Distinct words whose hashes a worker remembers before it starts anew.
 REMEMBERED = 250_000

@@ -72,6 +72,12 @@ def test_bytes_as_by_brute_force(spark, batches):
     assert sum(r[2] for r in want) > 5000
 
 
+def test_ids_beyond_the_broadcast_bound_are_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "BROADCAST_IDS", 0)
+    rows = samples.documents()
+    assert ordered(substrings.dedup_words(samples.frame(spark, rows)).collect()) == ordered(words_left(rows, 50))
+
+
 def test_tables_merge_geometrically(spark):
     rule = substrings.rule_of()
     index = repeats.SegmentIndex(spark, rule, fanout=2)
