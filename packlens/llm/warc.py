@@ -96,6 +96,11 @@ def read_record(data: bytes, at: int = 0) -> tuple[dict, int] | None:
     return {"page_id": int(head["x-page-id"]), "payload_bytes": int(size), "payload_digest": digest, "record_type": head.get("warc-type"), "refers_to": int(refers) if refers else None, "payload": payload if whole else None}, end + len(END)
 
 
+def store_of(folder: str) -> tuple[fs.FileSystem, str]:
+    """The store that holds a folder, and its path there; Hadoop's name for S3 is understood."""
+    return fs.FileSystem.from_uri(folder.replace("s3a://", "s3://", 1))
+
+
 class Window:
     """A forward view of a stream: bytes not yet consumed, and where they start."""
 
@@ -211,7 +216,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = fs.FileSystem.from_uri(folder)
+        store, root = store_of(folder)
         store.create_dir(root)
         path, sink, records, size = "", None, 0, 0
 
@@ -247,7 +252,7 @@ def read_archives(archives: DataFrame, folder: str, payloads: bool = True) -> Da
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = fs.FileSystem.from_uri(folder)
+        store, root = store_of(folder)
         names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
         types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.int64()]
 
