@@ -233,10 +233,14 @@ def removed_units(units: np.ndarray, rule: Rule, whole: tuple[np.ndarray, np.nda
         return np.zeros(len(units), bool)
     gone = np.zeros(n, bool)
     coarse = segments([units], rule.length, rule.steps[0])
-    if len(whole[0]):
-        for s in (coarse, *(segments([units], rule.length, step) for step in rule.steps[1:])):
-            at = marked(s, *whole)
-            gone[window_starts(s.first[at], s.count[at])] = True
+    found = 0
+    for step in rule.steps:
+        if found == len(whole[0]):
+            break
+        s = coarse if step == rule.steps[0] else segments([units], rule.length, step)
+        at = marked(s, *whole)
+        gone[window_starts(s.first[at], s.count[at])] = True
+        found += len(np.unique(joint(s.core[at], s.span[at])))
     if rule.anywhere:
         _, code, copies = np.unique(coarse.core, return_inverse=True, return_counts=True)
         at = np.nonzero(copies[code] > 1)[0]
