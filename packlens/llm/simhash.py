@@ -14,7 +14,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, shuffle_partitions, slices, texts
@@ -284,13 +284,57 @@ def similar_links(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray
     return other, root[other]
 
 
+def salt(parts: str) -> Column:
+    """The part, of as many as column ``parts`` says, that a node is in."""
+    return F.pmod(F.xxhash64("node"), F.col(parts)).cast("int")
+
+
+def links_of_texts(docs: DataFrame, members: DataFrame, task: list[str], words: int, similarity: float) -> DataFrame:
+    """Star links ``a, b`` among the nodes of each ``task`` of ``members(first_id, node, *task)``, checked on the shingle sets."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("first_id"), "text").join(members.select("first_id", "node", *task), "first_id")
+
+    def check(table: pa.Table) -> pa.Table:
+        found: dict[int, np.ndarray] = {}
+        wanted = set(table.column("node").to_pylist())
+        for text in texts(table.column("text").combine_chunks()):
+            distinct = np.unique(shingle_hashes(text, words))
+            if (node := node_of(distinct)) in wanted:
+                found[node] = distinct
+        names = np.array(sorted(found), np.int64)
+        x, y = similar_links([found[i] for i in names.tolist()], similarity) if len(names) > 1 else ((), ())
+        return pa.table({"a": pa.array(names[list(x)] if len(x) else [], pa.int64()), "b": pa.array(names[list(y)] if len(y) else [], pa.int64())})
+
+    return rows.select(*task, "node", "text").groupBy(*task).applyInArrow(check, "a long, b long")
+
+
+def links_across(docs: DataFrame, split: DataFrame, linked: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Links ``a, b`` that groups checked in parts (``split``) still lack, given the clusters ``linked`` found in the parts.
+
+    A missing link joins two clusters of a group, so one of its ends lies outside
+    the group's largest cluster. These nodes, the rest, are compared in blocks
+    with all nodes of the group. Usually the hubs leave few of them.
+    """
+    clusters = split.join(linked.select("node", F.col("component").alias("cluster")), "node", "left").withColumn("cluster", F.coalesce("cluster", "node"))
+    clusters = materialize(clusters.select("component", "cluster", "node", "first_id", "shingles", "parts"), "clusters")
+    sizes = clusters.groupBy("component", "cluster").agg(F.count("*").alias("size"))
+    largest = sizes.groupBy("component").agg(F.max(F.struct("size", "cluster")).getField("cluster").alias("largest"))
+    told = materialize(clusters.join(largest, "component").withColumn("rest", F.col("cluster") != F.col("largest")), "rest")
+    counts = told.where("rest").groupBy("component").agg(F.count("*").alias("size"), F.sum("shingles").alias("held"))
+    blocks = F.greatest(F.ceil(F.col("size") / F.lit(PART)), F.ceil(F.col("held") / F.lit(PART_SHINGLES)), F.lit(1)).cast("int")
+    dealt = told.join(counts.select("component", blocks.alias("blocks")), "component")
+    every = dealt.select("component", "first_id", "node", salt("parts").alias("part"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    rest = dealt.where("rest").select("component", "first_id", "node", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), salt("blocks").alias("block"))
+    return links_of_texts(docs, every.union(rest).distinct(), ["component", "part", "block"], words, similarity)
+
+
 def near_duplicate_groups(docs: DataFrame, words: int = NEAR_WORDS, similarity: float = NEAR_SIMILARITY, radius: int = NEAR_RADIUS) -> DataFrame:
     """``doc_id, component_id`` of each row of ``docs(doc_id, text)``: groups linked by Jaccard similarity of shingle sets.
 
     Rows with one shingle set are one node. Nodes that share a block key are
     compared by bit-sliced SimHash; what lies within the radius is checked on the
     shingle sets themselves. Groups of candidates above PART nodes or PART_SHINGLES
-    shingles are checked in parts, each with the group's HUBS nodes nearest to its majority fingerprint.
+    shingles are checked in parts, each with the group's HUBS nodes nearest to its majority fingerprint;
+    ``links_across`` then finds the links between parts that this leaves out.
     Texts without words have an empty set and form one group. A null doc_id has
     no group of its own: its component is null or its equals'. Rows that repeat a
     doc_id are in one group if their texts are.
@@ -311,22 +355,11 @@ def near_duplicate_groups(docs: DataFrame, words: int = NEAR_WORDS, similarity:
     parts = F.greatest(F.ceil(F.col("size") / F.lit(PART)), F.ceil(F.col("held") / F.lit(PART_SHINGLES)), F.lit(1)).cast("int")
     sized = materialize(sized.withColumn("parts", parts).withColumn("far", F.bit_count(F.col("print").bitwiseXOR(F.col("middle")))), "candidates")
     marked = sized.join(top_nodes(sized.where("parts > 1")), ["component", "node"], "left")
-    part = F.when(F.col("hub").isNotNull(), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")))
-    members = marked.select("component", "first_id", "node", F.explode(part).alias("part"))
-    texts_of = docs.select(F.col("doc_id").cast("long").alias("first_id"), "text").join(members, "first_id").select("component", "part", "node", "text")
-
-    def check(table: pa.Table) -> pa.Table:
-        found: dict[int, np.ndarray] = {}
-        wanted = set(table.column("node").to_pylist())
-        for text in texts(table.column("text").combine_chunks()):
-            distinct = np.unique(shingle_hashes(text, words))
-            if (node := node_of(distinct)) in wanted:
-                found[node] = distinct
-        names = np.array(sorted(found), np.int64)
-        x, y = similar_links([found[i] for i in names.tolist()], similarity) if len(names) > 1 else ((), ())
-        return pa.table({"a": pa.array(names[list(x)] if len(x) else [], pa.int64()), "b": pa.array(names[list(y)] if len(y) else [], pa.int64())})
-
-    linked = connected_components(texts_of.groupBy("component", "part").applyInArrow(check, "a long, b long"))
+    part = F.when(F.col("hub").isNotNull(), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(salt("parts")))
+    linked = connected_components(links_of_texts(docs, marked.withColumn("part", F.explode(part)), ["component", "part"], words, similarity))
+    if not sized.where("parts > 1").isEmpty():
+        across = links_across(docs, sized.where("parts > 1"), linked, words, similarity)
+        linked = connected_components(linked.select(F.col("node").alias("a"), F.col("component").alias("b")).union(across))
     grouped = nodes.select("node", "first_id").join(linked, "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("component"))
     least = grouped.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = grouped.join(least, "component").select("node", "component_id")

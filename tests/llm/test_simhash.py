@@ -72,6 +72,24 @@ def test_large_groups_are_checked_in_parts(spark, monkeypatch):
     assert all(r.component_id == r.doc_id for r in got if r.doc_id >= 100)
 
 
+def test_links_between_parts_are_found(spark, monkeypatch):
+    """Two chains of texts that drift apart: few are near the group's middle, and neighbours mostly fall into different parts."""
+    monkeypatch.setattr(simhash, "PART", 5)
+    monkeypatch.setattr(simhash, "HUBS", 1)
+    rng = random.Random(11)
+    rows = []
+    for chain in range(2):
+        words = samples.prose(rng, 300).split()
+        for i in range(30):
+            rows.append((100 * chain + i, " ".join(words), "s"))
+            at = 10 * (i % 30)
+            words[at : at + 10] = [f"new{chain}x{i}x{j}" for j in range(10)]
+    sets = {i: set(shingles(t, 5)) for i, t, _ in rows}
+    want = groups(sorted(sets), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    assert len(set(want.values())) == 2
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicate_groups(samples.frame(spark, rows)).collect()} == want
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.integers(0, 2**64 - 1), min_size=1, max_size=150), st.integers(0, 20), st.integers(0, 40))
 def test_bit_sliced_distances(prints, radius, flips):
