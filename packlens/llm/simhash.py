@@ -204,8 +204,8 @@ def simhash_components(docs: DataFrame, words: int = 3, radius: int = 2) -> Data
     return prints.join(print_components(prints, radius), "print").select("doc_id", "print", "component_id")
 
 
-#: Near duplicates: shingle words, least Jaccard similarity, and the radius that pairs at it stay within.
-NEAR_WORDS, NEAR_SIMILARITY, NEAR_RADIUS = 5, 0.8, 20
+#: Near duplicates: shingle words and least Jaccard similarity.
+NEAR_WORDS, NEAR_SIMILARITY = 5, 0.8
 #: Block keys: BANDS keys, each of ROWS least hashes; a pair at 0.8 shares none with probability 3e-5.
 BANDS, ROWS = 20, 4
 #: Texts, and shingles of theirs, that are compared in one task, and central texts that every part of a larger group gets.
@@ -233,17 +233,16 @@ def node_of(shingles: np.ndarray) -> int:
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """``doc_id, node, print, shingles, keys`` of each row of ``docs(doc_id, text)``."""
+    """``doc_id, node, print, shingles, keys`` of each row of ``docs(doc_id, text)``; all but the first depend on the shingle set only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 nodes, prints, sizes, keys = [], [], [], []
                 for text in texts(part.column("text")):
-                    hashes = shingle_hashes(text, words)
-                    distinct = np.unique(hashes)
+                    distinct = np.unique(shingle_hashes(text, words))
                     nodes.append(node_of(distinct))
-                    prints.append(fingerprint(hashes))
+                    prints.append(fingerprint(distinct))
                     sizes.append(len(distinct))
                     keys.append(block_keys(distinct))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(nodes) + 1, dtype=np.int32) * BANDS), pa.array(np.concatenate(keys).view(np.int64)))
@@ -327,24 +326,28 @@ def links_across(docs: DataFrame, split: DataFrame, linked: DataFrame, words: in
     return links_of_texts(docs, every.union(rest).distinct(), ["component", "part", "block"], words, similarity)
 
 
-def near_duplicate_groups(docs: DataFrame, words: int = NEAR_WORDS, similarity: float = NEAR_SIMILARITY, radius: int = NEAR_RADIUS) -> DataFrame:
+def bucket_stars(keyed: DataFrame) -> DataFrame:
+    """Star links ``a, b`` that join all nodes of each bucket of ``keyed(k, key, node)``; a bucket is never gathered in one task."""
+    least = keyed.groupBy("k", "key").agg(F.min("node").alias("least"), F.count("*").alias("size")).where("size > 1")
+    return keyed.join(materialize(least.select("k", "key", "least"), "buckets"), ["k", "key"]).select(F.col("node").alias("a"), F.col("least").alias("b"))
+
+
+def near_duplicate_groups(docs: DataFrame, words: int = NEAR_WORDS, similarity: float = NEAR_SIMILARITY) -> DataFrame:
     """``doc_id, component_id`` of each row of ``docs(doc_id, text)``: groups linked by Jaccard similarity of shingle sets.
 
     Rows with one shingle set are one node. Nodes that share a block key are
-    compared by bit-sliced SimHash; what lies within the radius is checked on the
-    shingle sets themselves. Groups of candidates above PART nodes or PART_SHINGLES
+    candidates, all of which are checked on the shingle sets themselves: by group
+    of nodes linked by block keys. Groups above PART nodes or PART_SHINGLES
     shingles are checked in parts, each with the group's HUBS nodes nearest to its majority fingerprint;
     ``links_across`` then finds the links between parts that this leaves out.
     Texts without words have an empty set and form one group. A null doc_id has
     no group of its own: its component is null or its equals'. Rows that repeat a
     doc_id are in one group if their texts are.
     """
-    spark = docs.sparkSession
     rows = materialize(signatures(docs, words), "signatures")
     nodes = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("print").alias("print"), F.first("shingles").alias("shingles"), F.first("keys").alias("keys")), "nodes")
-    keyed = nodes.select(F.posexplode("keys").alias("k", "key"), F.col("node").alias("id"), "print")
-    dealt = keyed.repartition(shuffle_partitions(spark), "k", "key").sortWithinPartitions("k", "key")
-    groups = connected_components(dealt.mapInArrow(bucket_links(radius), "a long, b long"))
+    keyed = nodes.select(F.posexplode("keys").alias("k", "key"), "node")
+    groups = connected_components(bucket_stars(keyed))
     held = materialize(nodes.join(groups, "node").select("node", "first_id", "print", "shingles", "component"), "grouped")
     majority = held.groupBy("component").agg(*[F.sum(F.shiftright("print", i).bitwiseAND(F.lit(1))).alias(f"b{i}") for i in range(64)], F.count("*").alias("size"), F.sum("shingles").alias("held"))
     middle = F.lit(0).cast("long")
@@ -374,9 +377,9 @@ def top_nodes(rows: DataFrame) -> DataFrame:
     return some.withColumn("_rank", F.row_number().over(whole)).where(F.col("_rank") <= HUBS).select("component", "node", F.lit(True).alias("hub"))
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = NEAR_WORDS, similarity: float = NEAR_SIMILARITY, radius: int = NEAR_RADIUS) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, words: int = NEAR_WORDS, similarity: float = NEAR_SIMILARITY) -> DataFrame:
     """``docs`` with the document of least doc_id of each group; rows with a null doc_id stay, rows that repeat a doc_id stay or go together."""
-    groups = near_duplicate_groups(docs, words, similarity, radius)
+    groups = near_duplicate_groups(docs, words, similarity)
     others = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(others.hint("shuffle_hash"), docs["doc_id"].cast("long") == F.col("_id"), "left_anti")
 

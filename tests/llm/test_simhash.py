@@ -118,3 +118,31 @@ def test_components_of_long_chains_and_stars(spark):
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {n: min(names[:200]) for n in names[:200]} | {n: min(names[200:]) for n in names[200:]}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_lines_repeated_differently_keep_texts_near(spark):
+    """Texts with nearly one set, in which a line comes once and 60 times; over all shingles, repeats included, fingerprints are over 20 bits apart."""
+    rng, rows = random.Random(23), []
+    while len(rows) < 12:
+        base, line = samples.prose(rng, 200, 10**6), samples.prose(rng, 20, 10**6)
+        pair = f"{base} {line}", f"{base} {' '.join([line] * 60)}"
+        a, b = (simhash.fingerprint(simhash.shingle_hashes(t.encode(), 5)) for t in pair)
+        if (a ^ b).bit_count() > 20:
+            rows += [(len(rows) + j, t, "s") for j, t in enumerate(pair)]
+    sets = {i: set(shingles(t, 5)) for i, t, _ in rows}
+    assert all(0.8 * len(sets[i] | sets[i + 1]) <= len(sets[i] & sets[i + 1]) < len(sets[i] | sets[i + 1]) for i in range(0, 12, 2))
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicate_groups(samples.frame(spark, rows)).collect()}
+    assert got == {i: i - i % 2 for i in range(12)}
+
+
+def test_short_texts_far_apart_in_fingerprints_are_compared(spark):
+    """Four of five shingles in common, and more than 20 bits between the fingerprints of the sets."""
+    rng, rows = random.Random(29), []
+    while len(rows) < 20:
+        text = samples.prose(rng, 9, 10**6)
+        pair = text, text.rpartition(" ")[0]
+        a, b = (simhash.fingerprint(np.unique(simhash.shingle_hashes(t.encode(), 5))) for t in pair)
+        if (a ^ b).bit_count() > 20:
+            rows += [(len(rows) + j, t, "s") for j, t in enumerate(pair)]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicate_groups(samples.frame(spark, rows)).collect()}
+    assert got == {i: i - i % 2 for i in range(20)}
