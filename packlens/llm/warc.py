@@ -3,12 +3,16 @@
 Pages are written as gzip members of ``.warc.gz`` archives in a shared folder.
 The reader streams an archive member by member. Where a member or a record fails
 its checks, it searches for the next valid gzip member or WARC version line, goes
-on from there, and logs the bytes in between as a quarantined gap.
+on from there, and logs the bytes in between as a quarantined gap. In a member with
+several records it searches the unpacked bytes, also of a member that is damaged
+further on; places there are none in the archive, so the gap is the whole member,
+even if it gave records.
 """
 
 from __future__ import annotations
 
 import base64
+import contextlib
 import hashlib
 import re
 import uuid
@@ -25,6 +29,8 @@ from .common import new_folder, slices, texts
 #: An archive is closed once it holds so many compressed bytes.
 ARCHIVE_BYTES = 32_000_000
 READ_BYTES = 1_000_000
+#: Compressed bytes that are unpacked at once; of a damaged piece, what comes before the damage is unpacked again.
+FEED_BYTES = 65_536
 MEMBER = b"\x1f\x8b\x08"
 VERSION = b"WARC/1."
 END = b"\r\n\r\n"
@@ -71,29 +77,59 @@ def headers(lines: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in pairs}
 
 
+def number(value: str | None) -> int | None:
+    """``value`` as a 64-bit integer; None if it is none."""
+    return n if value and re.fullmatch(r"-?[0-9]{1,19}", value) and -(1 << 63) <= (n := int(value)) < 1 << 63 else None
+
+
+def sha1_of(value: str | None) -> str | None:
+    """The base 32 digits of a header's SHA-1; None without the header or for other digests, which aren't checked."""
+    kind, _, digits = (value or "").partition(":")
+    return digits.upper() if kind.lower() == "sha1" and len(digits) == 32 else None
+
+
 def read_record(data: bytes, at: int = 0) -> tuple[dict, int] | None:
-    """The record at ``at`` and where it ends; None if its version, headers, lengths or digests don't hold."""
+    """The record at ``at`` and where it ends; None if its version, lengths, digests or the headers that all records have don't hold.
+
+    Digests, HTTP lengths and page ids are optional: what is absent isn't checked, and is null where it can't be told.
+    """
     if data[at : at + len(VERSION)] != VERSION or (split := data.find(END, at)) < 0:
         return None
     head = headers(data[at:split])
     length = head.get("content-length", "")
-    if not length.isascii() or not length.isdigit():
+    if not length.isascii() or not length.isdigit() or not head.get("warc-type") or not head.get("warc-record-id"):
         return None
     start = split + len(END)
     end = start + int(length)
     if data[end : end + len(END)] != END:
         return None
-    block = data[start:end]
-    if head.get("warc-block-digest", "").removeprefix("sha1:") != digest_of(block):
+    block, kind = data[start:end], head["warc-type"]
+    block_digest = sha1_of(head.get("warc-block-digest"))
+    if block_digest and block_digest != digest_of(block):
         return None
-    http, gap, payload = block.partition(END)
-    digest = head.get("warc-payload-digest", "").removeprefix("sha1:")
-    size = headers(http).get("content-length", "")
-    if not gap or not size.isdigit() or "x-page-id" not in head or (head.get("warc-type") == "response" and (digest != digest_of(payload) or int(size) != len(payload))):
-        return None
-    whole = head.get("warc-type") == "response"
-    refers = head.get("x-refers-to-page-id")
-    return {"page_id": int(head["x-page-id"]), "payload_bytes": int(size), "payload_digest": digest, "record_type": head.get("warc-type"), "refers_to": int(refers) if refers else None, "payload": payload if whole else None}, end + len(END)
+    http, payload, fields = b"", block, {}
+    if head.get("content-type", "").startswith("application/http") or block.startswith(b"HTTP/"):
+        http, _, payload = block.partition(END)
+        fields = headers(http)
+    size, digest = number(fields.get("content-length")), sha1_of(head.get("warc-payload-digest"))
+    if kind == "response" and not {"transfer-encoding", "content-encoding"} & fields.keys() and "warc-truncated" not in head:
+        if digest and digest != digest_of(payload) or not block_digest and size is not None and size != len(payload):
+            return None
+    whole = kind != "revisit"
+    digest = digest or (head.get("warc-payload-digest") if not whole else digest_of(payload))
+    return {"page_id": number(head.get("x-page-id")), "payload_bytes": len(payload) if whole else size, "payload_digest": digest, "record_type": kind, "refers_to": number(head.get("x-refers-to-page-id")), "payload": payload if whole else None}, end + len(END)
+
+
+def records_of(data: bytes) -> tuple[list[dict], bool]:
+    """The records in the unpacked bytes of a member, and whether all bytes are theirs; after damage it goes on at the next version line."""
+    records, at, sound = [], 0, True
+    while 0 <= at < len(data):
+        if found := read_record(data, at):
+            records.append(found[0])
+            at = found[1]
+        else:
+            sound, at = False, data.find(VERSION, at + 1)
+    return records, sound
 
 
 def store_of(folder: str) -> tuple[fs.FileSystem, str]:
@@ -117,19 +153,25 @@ class Window:
         self.data, self.at = self.data[n:], self.at + n
 
 
-def inflate(window: Window) -> tuple[bytes, int] | None:
-    """The gzip member at the window's start and its length; None if it is damaged or cut off."""
+def inflate(window: Window) -> tuple[bytes, int]:
+    """What the gzip member at the window's start unpacks to, and its length; the length is 0 if it is damaged or cut off."""
     unpacker, out, fed = zlib.decompressobj(31), [], 0
     while True:
-        try:
-            out.append(unpacker.decompress(window.data[fed:]))
-        except zlib.error:
-            return None
-        fed = len(window.data)
+        while fed < len(window.data) and not unpacker.eof:
+            part = window.data[fed : fed + FEED_BYTES]
+            before = unpacker.copy()
+            try:
+                out.append(unpacker.decompress(part))
+            except zlib.error:  # byte by byte up to the damage
+                with contextlib.suppress(zlib.error):
+                    for i in range(len(part)):
+                        out.append(before.decompress(part[i : i + 1]))
+                return b"".join(out), 0
+            fed += len(part)
         if unpacker.eof:
             return b"".join(out), fed - len(unpacker.unused_data)
         if not window.more():
-            return None
+            return b"".join(out), 0
 
 
 def plain(window: Window) -> tuple[dict, int] | None:
@@ -159,20 +201,17 @@ def salvage(stream) -> Iterator[tuple[str, object]]:
         if len(window.data) < len(VERSION):
             window.more()
         records, used = [], 0
-        if window.data.startswith(MEMBER) and (unpacked := inflate(window)):
-            data, used = unpacked
-            at = 0
-            while at < len(data) and (found := read_record(data, at)):
-                records.append(found[0])
-                at = found[1]
-            if at < len(data):
-                used = 0 if not records else used
-                if records:
-                    yield from gap()
-                    yield from (("record", r) for r in records)
-                    yield "gap", (window.at, used)
-                    window.drop(used)
-                    continue
+        if window.data.startswith(MEMBER):
+            data, used = inflate(window)
+            records, sound = records_of(data)
+            if records and not (used and sound):
+                yield from gap()
+                yield from (("record", r) for r in records)
+            if not (used and sound):
+                bad_from = window.at if bad_from is None else bad_from
+            if used and not sound:
+                window.drop(used)
+                continue
         elif window.data.startswith(VERSION) and (found := plain(window)):
             records, used = [found[0]], found[1]
         if used:

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import io
+import random
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -84,3 +85,40 @@ def test_gaps_come_out_of_the_reader(spark, tmp_path):
 def test_bad_lengths_are_no_records():
     assert warc.read_record(b"WARC/1.1\r\nContent-Length: x\r\n\r\n") is None
     assert warc.read_record(b"WARC/1.1\r\n\r\n") is None
+
+
+def test_records_of_a_shared_member_survive_damage_of_others():
+    """Three records in a member: each in turn is damaged before it is packed, the first included."""
+    for hurt in range(3):
+        records = [warc.write_record(i, "u", b"payload %d " % i * 50, None) for i in range(3)]
+        records[hurt] = records[hurt].replace(b"payload", b"paylord", 1)
+        damaged, after = warc.member_of(b"".join(records)), warc.member_of(warc.write_record(9, "u", b"x", None))
+        ids, gaps = read(damaged + after)
+        assert ids == [i for i in range(3) if i != hurt] + [9] and gaps == [(0, len(damaged))]
+
+
+def test_records_before_a_deflate_error_are_kept():
+    rng = random.Random(1)
+    member = bytearray(warc.member_of(b"".join(warc.write_record(i, "u", rng.randbytes(30_000), None) for i in range(6))))
+    at = len(member) * 3 // 4
+    for broken in (bytes(member[:at]), bytes(member[:at]) + b"\xff" * 3000, bytes(member[:-8]) + bytes(8)):
+        ids, gaps = read(broken)
+        assert ids[:4] == [0, 1, 2, 3] and ids == sorted(set(ids)) and gaps == [(0, len(broken))]
+
+
+def record(kind, block, *more):
+    head = ["WARC/1.0", f"WARC-Type: {kind}", "WARC-Record-ID: <urn:uuid:0>", *more, f"Content-Length: {len(block)}"]
+    return "\r\n".join(head).encode() + warc.END + block + warc.END
+
+
+def test_records_of_other_writers_are_read():
+    """No page ids, digests or HTTP lengths; a digest that is there still counts."""
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<p>x</p>"
+    wrong = f"WARC-Block-Digest: sha1:{warc.digest_of(b'other')}"
+    data = [record("warcinfo", b"software: x\r\n", "Content-Type: application/warc-fields"), record("request", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", "Content-Type: application/http; msgtype=request"),
+            record("response", http, "X-Page-ID: none"), record("response", http, wrong), record("response", http, "WARC-Block-Digest: sha256:abc")]
+    want = [("warcinfo", b"software: x\r\n"), ("request", b""), ("response", b"<p>x</p>"), ("response", b"<p>x</p>")]
+    for whole in (b"".join(data), b"".join(map(warc.member_of, data)), warc.member_of(b"".join(data))):
+        found = [x for k, x in warc.salvage(io.BytesIO(whole)) if k == "record"]
+        assert [(x["record_type"], x["payload"]) for x in found] == want
+        assert all(x["page_id"] is None and x["payload_bytes"] == len(x["payload"]) and x["payload_digest"] == warc.digest_of(x["payload"]) for x in found)
