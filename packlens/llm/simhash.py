@@ -306,12 +306,21 @@ def links_of_texts(docs: DataFrame, members: DataFrame, task: list[str], words:
     return rows.select(*task, "node", "text").groupBy(*task).applyInArrow(check, "a long, b long")
 
 
+def in_buckets(sized: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``component, node, first_id, shingles, parts`` of the nodes of ``sized`` in each of their buckets, which ``component`` names."""
+    held = sized.select("node").join(nodes, "node").select("node", "first_id", "shingles", F.posexplode("keys").alias("k", "key"))
+    held = materialize(held.select(F.xxhash64("k", "key").alias("component"), "node", "first_id", "shingles"), "bucketed")
+    counts = held.groupBy("component").agg(F.count("*").alias("size"), F.sum("shingles").alias("held")).where("size > 1")
+    parts = F.greatest(F.ceil(F.col("size") / F.lit(PART)), F.ceil(F.col("held") / F.lit(PART_SHINGLES)), F.lit(1)).cast("int")
+    return held.join(materialize(counts.select("component", parts.alias("parts")), "buckets"), "component")
+
+
 def links_across(docs: DataFrame, split: DataFrame, linked: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Links ``a, b`` that groups checked in parts (``split``) still lack, given the clusters ``linked`` found in the parts.
+    """Links ``a, b`` that the buckets ``split`` still lack, given the clusters ``linked`` found in the parts of their groups.
 
-    A missing link joins two clusters of a group, so one of its ends lies outside
-    the group's largest cluster. These nodes, the rest, are compared in blocks
-    with all nodes of the group. Usually the hubs leave few of them.
+    A missing link joins two clusters of a bucket, so one of its ends lies outside
+    the bucket's largest cluster. These nodes, the rest, are compared in blocks
+    with all nodes of the bucket. Usually the hubs leave few of them.
     """
     clusters = split.join(linked.select("node", F.col("component").alias("cluster")), "node", "left").withColumn("cluster", F.coalesce("cluster", "node"))
     clusters = materialize(clusters.select("component", "cluster", "node", "first_id", "shingles", "parts"), "clusters")
@@ -339,7 +348,7 @@ def near_duplicate_groups(docs: DataFrame, words: int = NEAR_WORDS, similarity:
     candidates, all of which are checked on the shingle sets themselves: by group
     of nodes linked by block keys. Groups above PART nodes or PART_SHINGLES
     shingles are checked in parts, each with the group's HUBS nodes nearest to its majority fingerprint;
-    ``links_across`` then finds the links between parts that this leaves out.
+    ``links_across`` then finds the links that this leaves out, bucket by bucket.
     Texts without words have an empty set and form one group. A null doc_id has
     no group of its own: its component is null or its equals'. Rows that repeat a
     doc_id are in one group if their texts are.
@@ -361,7 +370,7 @@ def near_duplicate_groups(docs: DataFrame, words: int = NEAR_WORDS, similarity:
     part = F.when(F.col("hub").isNotNull(), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(salt("parts")))
     linked = connected_components(links_of_texts(docs, marked.withColumn("part", F.explode(part)), ["component", "part"], words, similarity))
     if not sized.where("parts > 1").isEmpty():
-        across = links_across(docs, sized.where("parts > 1"), linked, words, similarity)
+        across = links_across(docs, in_buckets(sized.where("parts > 1"), nodes), linked, words, similarity)
         linked = connected_components(linked.select(F.col("node").alias("a"), F.col("component").alias("b")).union(across))
     grouped = nodes.select("node", "first_id").join(linked, "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("component"))
     least = grouped.groupBy("component").agg(F.min("first_id").alias("component_id"))

@@ -7,6 +7,7 @@ import numpy as np
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from packlens.llm import simhash
 from packlens.llm.graph import connected_components
@@ -146,3 +147,28 @@ def test_short_texts_far_apart_in_fingerprints_are_compared(spark):
             rows += [(len(rows) + j, t, "s") for j, t in enumerate(pair)]
     got = {r.doc_id: r.component_id for r in simhash.near_duplicate_groups(samples.frame(spark, rows)).collect()}
     assert got == {i: i - i % 2 for i in range(20)}
+
+
+def test_large_groups_are_searched_by_bucket(spark, monkeypatch):
+    """A chain of texts that drift apart is one group; its second pass compares only texts that share a block key, and finds all links."""
+    monkeypatch.setattr(simhash, "PART", 5)
+    monkeypatch.setattr(simhash, "HUBS", 1)
+    seen, check = [], simhash.links_of_texts
+
+    def spy(docs, members, task, words, similarity):
+        if "block" in task:
+            seen.extend(members.groupBy("component").agg(F.collect_set("node").alias("nodes")).collect())
+        return check(docs, members, task, words, similarity)
+
+    monkeypatch.setattr(simhash, "links_of_texts", spy)
+    rng = random.Random(13)
+    rows, words, keys = [], samples.prose(rng, 300).split(), {}
+    for i in range(30):
+        rows.append((i, " ".join(words), "s"))
+        held = np.unique(simhash.shingle_hashes(rows[-1][1].encode(), 5))
+        keys[simhash.node_of(held)] = set(enumerate(simhash.block_keys(held).tolist()))
+        words[10 * i : 10 * i + 10] = [f"new{i}x{j}" for j in range(10)]
+    got = simhash.near_duplicate_groups(samples.frame(spark, rows)).collect()
+    assert {r.component_id for r in got} == {0}
+    assert seen and all(set.intersection(*[keys[n] for n in r.nodes]) for r in seen)
+    assert "InArrow" not in simhash.bucket_stars(spark.createDataFrame([(0, 1, 2)], "k int, key long, node long"))._jdf.queryExecution().toString()
