@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, shuffle_partitions, slices, texts
@@ -47,8 +47,23 @@ def unsigned(x: pa.Array) -> np.ndarray:
     return np.asarray(x).astype(np.int64).view(np.uint64)
 
 
+def segment_schema(rule: Rule) -> str:
+    """Columns of segments; with ``anywhere``, ``head`` is 1 for one segment of each core of a text and 0 for the others."""
+    return "core long, span long, doc_id long" + (", head byte" if rule.anywhere else "")
+
+
+def segment_batch(core: np.ndarray, span: np.ndarray, ids: np.ndarray, head: np.ndarray, rule: Rule) -> pa.RecordBatch:
+    columns = {"core": signed(core), "span": signed(span), "doc_id": pa.array(ids)}
+    return pa.RecordBatch.from_pydict(columns | ({"head": pa.array(head.astype(np.int8))} if rule.anywhere else {}))
+
+
+def in_several(rule: Rule, texts: Column) -> Column:
+    """Aggregate: whether rows are of several texts, which ``texts`` counts; where ids decide, of several doc_ids."""
+    return texts > 1 if rule.anywhere else F.min("doc_id") < F.max("doc_id")
+
+
 def segment_rows(docs: DataFrame, rule: Rule) -> DataFrame:
-    """``core, span, doc_id``: the distinct segments of each text."""
+    """Rows of ``segment_schema``: the distinct segments of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -59,9 +74,10 @@ def segment_rows(docs: DataFrame, rule: Rule) -> DataFrame:
                     order = np.lexsort((s.span, s.core, s.owner))
                     owner, core, span = s.owner[order], s.core[order], s.span[order]
                     new = np.append(True, (owner[1:] != owner[:-1]) | (core[1:] != core[:-1]) | (span[1:] != span[:-1]))
-                    yield pa.RecordBatch.from_arrays([signed(core[new]), signed(span[new]), pa.array(ids[owner[new]])], ["core", "span", "doc_id"])
+                    head = np.append(True, (owner[1:] != owner[:-1]) | (core[1:] != core[:-1]))
+                    yield segment_batch(core[new], span[new], ids[owner[new]], head[new], rule)
 
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "core long, span long, doc_id long")
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, segment_schema(rule))
 
 
 @dataclass
@@ -118,15 +134,17 @@ class SegmentIndex:
 
 
 def settle(pool: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
-    """Of segments ``core, span, doc_id``: those that go as a whole, and those left open.
+    """Of segments ``core, span, doc_id`` (and ``head``): those that go as a whole, and those left open.
+
+    Rows that repeat a doc_id are texts of their own where ``rule.anywhere``.
 
     What is aggregated by core is written before it is joined, so that the joins
     are between plain tables and a hot core can be split.
     """
-    seen = pool.groupBy("core").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-    shared = materialize(pool.join(materialize(seen.where("least < most").select("core"), "cores"), "core"), "shared")
-    spans = materialize(shared.groupBy("core", "span").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")), "spans")
-    gone = F.col("least") < (F.col("most") if rule.anywhere else F.col("doc_id"))
+    seen = pool.groupBy("core").agg(in_several(rule, F.sum("head") if rule.anywhere else F.count("*")).alias("several"))
+    shared = materialize(pool.join(materialize(seen.where("several").select("core"), "cores"), "core").select("core", "span", "doc_id"), "shared")
+    spans = materialize(shared.groupBy("core", "span").agg(F.min("doc_id").alias("least"), F.count("*").alias("texts")), "spans")
+    gone = F.col("texts") > 1 if rule.anywhere else F.col("least") < F.col("doc_id")
     whole = shared.join(spans, ["core", "span"]).where(gone).select("doc_id", "core", "span")
     several = spans.groupBy("core").agg(F.min("span").alias("a"), F.max("span").alias("b")).where("a <> b").select("core")
     verify = spans.join(materialize(several, "several"), "core").select(F.col("least").alias("doc_id"), "core", "span")
@@ -173,7 +191,7 @@ def open_windows(units: np.ndarray, s: Segments, column: pa.Array, i: int, rule:
 
 
 def finer_rows(held: DataFrame, rule: Rule, level: int) -> DataFrame:
-    """``core, span, doc_id``: segments of width ``steps[level]`` of the windows that the width before left open in ``held(doc_id, text, keys)``."""
+    """Rows of ``segment_schema``: segments of width ``steps[level]`` of the windows that the width before left open in ``held(doc_id, text, keys)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,9 +204,11 @@ def finer_rows(held: DataFrame, rule: Rule, level: int) -> DataFrame:
                     s = segments([units], rule.length, rule.steps[level])
                     at = np.nonzero(inside[s.first])[0]
                     at = at[np.unique(joint(s.core[at], s.span[at]), return_index=True)[1]]
-                    yield pa.RecordBatch.from_arrays([signed(s.core[at]), signed(s.span[at]), pa.array(np.full(len(at), doc_id, np.int64))], ["core", "span", "doc_id"])
+                    head = np.zeros(len(at), bool)
+                    head[np.unique(s.core[at], return_index=True)[1]] = True
+                    yield segment_batch(s.core[at], s.span[at], np.full(len(at), doc_id, np.int64), head, rule)
 
-    return held.mapInArrow(run, "core long, span long, doc_id long")
+    return held.mapInArrow(run, segment_schema(rule))
 
 
 def window_rows(held: DataFrame, rule: Rule) -> DataFrame:
@@ -254,9 +274,9 @@ def removed_units(units: np.ndarray, rule: Rule, whole: tuple[np.ndarray, np.nda
 
 
 def verified(windows: DataFrame, rule: Rule) -> DataFrame:
-    """``doc_id, first_hash, second_hash`` of the windows that go."""
+    """``doc_id, first_hash, second_hash`` of the windows that go; ``windows`` has each window of a text once."""
     keys = ["first_hash", "second_hash"]
-    seen = windows.groupBy(*keys).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select(*keys, "least")
+    seen = windows.groupBy(*keys).agg(F.min("doc_id").alias("least"), in_several(rule, F.count("*")).alias("several")).where("several").select(*keys, "least")
     found = windows.join(seen, keys)
     return (found if rule.anywhere else found.where("least < doc_id")).select("doc_id", *keys)
 

@@ -72,6 +72,17 @@ def test_bytes_as_by_brute_force(spark, batches):
     assert sum(r[2] for r in want) > 5000
 
 
+@pytest.mark.parametrize("batches", [1, 3])
+def test_bytes_of_rows_that_repeat_an_id(spark, batches):
+    """Rows with one doc_id are separate texts: whole copies, a shared passage, and a passage that comes twice in one of them only."""
+    rng = random.Random(17)
+    passage, twice = samples.prose(rng, 120, 10**6), samples.prose(rng, 80, 10**6)
+    own = [samples.prose(rng, 90, 10**6) for _ in range(6)]
+    rows = [*samples.documents(), (20_001, own[0], "s"), (20_001, own[0], "s"), (20_002, f"{own[1]} {passage} {own[2]}", "s"), (20_002, f"{own[3]} {passage}", "s"), (20_003, f"{twice} {own[4]} {twice}", "s"), (20_003, own[5], "s")]
+    got = suffixes.dedup_bytes(samples.frame(spark, rows, extra=True), batches=batches)
+    assert ordered(got.collect()) == ordered(bytes_left(rows, 200))
+
+
 def test_ids_beyond_the_broadcast_bound_are_shuffled(spark, monkeypatch):
     monkeypatch.setattr(repeats, "BROADCAST_IDS", 0)
     rows = samples.documents()
