@@ -1,35 +1,37 @@
 """Language-model scoring with a weighted backoff automaton.
 
-States are the kept n-grams up to ORDER - 1 words; an arc (state, word) has a
-smoothed log-probability, and a failure arc leads from a state to the one without
-its first word at the cost of a backoff weight. Reading a text from left to right
-carries the longest state that is a suffix of what was read. Words get their exact
-counts over the whole training corpus; they are joined to blocks of text, never
-broadcast. Longer n-grams are kept above a share of all tokens, which bounds their
-number whatever the corpus, so these are broadcast.
+States are the n-grams of up to ORDER - 1 words that occur at least twice; an arc
+(state, word) is an n-gram that occurs and has its smoothed log-probability, and a
+failure arc leads from a state to the one without its first word at the cost of a
+backoff weight. Reading a text from left to right carries the longest state that is
+a suffix of what was read and adds up arcs and failures.
+
+The automaton is never held in one place. Texts lie in blocks; each block asks for
+the counts of its own distinct n-grams, questions meet by range of the n-grams'
+hashes, and the answers go back to the blocks, which score with them. What one task
+holds is a block or a range of hashes, whatever the corpus; no n-gram is left out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_partitions, slices, texts
+from .common import shuffle_partitions, slices, texts
 from .segments import Rolling, mixed
 
 ORDER = 3
-#: A word can be part of longer n-grams if it makes up 1 / FREQUENT of all tokens: FREQUENT words at most.
-FREQUENT = 20_000
-#: An n-gram is a state if it comes twice at least and makes up 1 / KEPT of all tokens: KEPT at most of each order.
-KEPT = 1_000_000
-DISCOUNT = 0.75
-BLOCK_BYTES = 8_000_000
+#: How strongly the model of one word less is held to, by order from 2: a state seen n times trusts its own counts by (n - 1) / (n - 1 + HELD).
+HELD = (64.0, 4.0)
+#: Bytes of text of a block, and n-grams that a range of hashes is made for.
+BLOCK_BYTES, RANGE_KEYS = 16_000_000, 2_000_000
 #: Rows of (key, count) that a task gathers before it adds them up and sends them.
 GATHERED = 2_000_000
 #: The end of a text, counted as a token; stands among the words' hashes.
@@ -39,6 +41,7 @@ PIECE_BYTES = 1_000_000
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 BYTE_VALUES = mixed(np.arange(1, 257, dtype=np.uint64))
+NEXT = np.uint64(0x9E3779B97F4A7C15)
 
 
 def read_tokens(held: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -76,230 +79,217 @@ def pieces(held: list[bytes]) -> Iterator[list[bytes]]:
         yield group
 
 
-def place_of(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Where each value stands in the sorted ``keys``, -1 if it doesn't."""
-    if not len(keys):
-        return np.full(len(values), -1, np.int64)
-    at = np.minimum(np.searchsorted(keys, values), len(keys) - 1)
-    return np.where(keys[at] == values, at, -1)
-
-
 def held_out(doc_id: Column) -> Column:
     """Whether crc32 of the id as text leaves 2 by 7; a null id doesn't."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
-class Counter:
-    """Adds up keys of a task and yields (key, n) batches of bounded size."""
-
-    def __init__(self) -> None:
-        self.held, self.size = [], 0
-
-    def add(self, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
-        self.held.append(keys)
-        self.size += len(keys)
-        if self.size >= GATHERED:
-            yield from self.flush()
-
-    def flush(self) -> Iterator[pa.RecordBatch]:
-        if self.size:
-            keys, n = np.unique(np.concatenate(self.held), return_counts=True)
-            self.held, self.size = [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["key", "n"])
-
-
-@dataclass
-class Automaton:
-    """Arrays of the model above single words; state i of order n is row i of ``keys[n - 2]``, a word is a state of order 1."""
-
-    total: int  # N
-    types: int  # V
-    words: np.ndarray  # hashes of frequent words, sorted
-    counts: np.ndarray  # of these
-    keys: list[np.ndarray]  # by order from 2: state of the words before * len(words) + last word, sorted
-    grams: list[np.ndarray]  # counts by order from 2
-    arcs: list[np.ndarray] = None  # log10 probability by order from 2
-    fails: list[np.ndarray] = None  # log10 backoff weight of states by order from 1
-
-    def word_probability(self, counts: np.ndarray) -> np.ndarray:
-        return (counts + 1.0) / (self.total + self.types + 1.0)
-
-    def find(self, keys: np.ndarray, order: int) -> np.ndarray:
-        """The rows of ``keys`` among the n-grams of an order, -1 where there are none."""
-        return place_of(self.keys[order - 2], keys)
-
-    def step(self, before: np.ndarray, ids: np.ndarray, order: int) -> np.ndarray:
-        """The state of ``order`` after each token, from the state of the order below before it; -1 where there is none."""
-        out = np.full(len(ids), -1, np.int64)
-        at = np.nonzero((before >= 0) & (ids >= 0))[0]
-        out[at] = self.find(before[at] * len(self.words) + ids[at], order)
-        return out
-
-    def states(self, ids: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
-        """By order from 1: the state of that order after each token; none goes past the ``ends`` of texts."""
-        out = [ids]
-        for order in range(2, len(self.keys) + 2):
-            out.append(self.step(self.carried(out[-1], ends), ids, order))
-        return out
-
-    @staticmethod
-    def carried(states: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """The state before each token: that after the token to its left, none at the start of a text."""
-        before = np.empty_like(states)
-        before[0], before[1:] = -1, states[:-1]
-        before[ends[:-1] + 1] = -1
-        return before
-
-    def finish(self) -> Automaton:
-        """Interpolated absolute discounting: arcs and failure weights that sum to 1 over all words and the unknown."""
-        width = max(len(self.words), 1)
-        self.arcs, self.fails = [], []
-        states_n, lower = self.counts, None  # counts of the states before, and P(word | shorter state) of each arc
-        for order, (keys, n) in enumerate(zip(self.keys, self.grams, strict=True), 2):
-            before, last = keys // width, keys % width
-            own = (n - DISCOUNT) / states_n[before] if len(keys) else np.empty(0)
-            left = 1.0 - np.bincount(before, own, minlength=len(states_n))
-            if order == 2:
-                lower = self.word_probability(self.counts[last])
-            else:
-                shorter = self.keys[order - 3][before] % width  # without the first word
-                lower = self.shorter(shorter, last, order)
-            self.fails.append(np.log10(left))
-            self.arcs.append(np.log10(own + left[before] * lower))
-            states_n = n
-        self.fails.append(np.zeros(len(states_n)))
-        return self
-
-    def shorter(self, state: np.ndarray, last: np.ndarray, order: int) -> np.ndarray:
-        """P(last | state of order ``order - 2``), by its arc or by failing further."""
-        if order == 2:
-            return self.word_probability(self.counts[last])
-        width = len(self.words)
-        if order > 3:
-            raise ValueError("orders above 3 need the suffix state of each state")
-        at = self.find(state * width + last, order - 1)
-        failed = 10 ** self.fails[0][state] * self.word_probability(self.counts[last])
-        return np.where(at >= 0, 10 ** self.arcs[order - 3][np.maximum(at, 0)], failed) if len(self.arcs[order - 3]) else failed
-
-    def score(self, ids: np.ndarray, single: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """log10 probability of each token: by the longest arc from the state before it, plus the failures on the way.
-
-        ``single`` has the log10 probabilities of the words alone. All texts of a
-        block are read at once; a state depends on the last ORDER - 1 tokens only.
-        """
-        states = self.states(ids, ends)
-        result = single
-        for order in range(2, len(self.keys) + 2):
-            before, arc = self.carried(states[order - 2], ends), states[order - 1]
-            at = np.nonzero(before >= 0)[0]
-            result = result.copy()
-            result[at] += self.fails[order - 2][before[at]]
-            hit = np.nonzero(arc >= 0)[0]
-            result[hit] = self.arcs[order - 2][arc[hit]]
-        return result
-
-
-def counted(training: DataFrame, keys_of) -> DataFrame:
-    """``key, n`` over all ``training(text)``; a task adds up before it sends. ``keys_of()`` gives a function of (hashes, ends)."""
+def tokens_of(held: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """``read_tokens`` of all texts of a block, piece by piece."""
+    read = [read_tokens(group) for group in pieces(held)]
+    return np.concatenate([hashes for hashes, _ in read]), np.concatenate([sizes for _, sizes in read])
+
+
+def places_of(sizes: np.ndarray) -> np.ndarray:
+    """How many tokens of its text come before each token."""
+    starts = np.cumsum(sizes) - sizes
+    return np.arange(int(sizes.sum())) - np.repeat(starts, sizes)
+
+
+def longer(keys: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Keys of the n-grams that end at each token, one word longer than ``keys``; what crosses texts is for the caller to leave out."""
+    return mixed(np.append(np.uint64(0), keys[:-1]) * NEXT + hashes)
+
+
+def planes(values: np.ndarray) -> bytes:
+    """64-bit values byte by byte: all lowest bytes first, then the next; runs of zeros compress well."""
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").reshape(-1)
+
+
+def range_of(keys: np.ndarray, ranges: int) -> np.ndarray:
+    """In which of ``ranges`` equal ranges of hashes each key lies."""
+    return ((keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+
+
+def word_counts(training: DataFrame) -> DataFrame:
+    """``key, n`` of every word of ``training(text)``; a task adds up before it sends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, find = Counter(), keys_of()
+        held, size = [], 0
         for batch in batches:
             for part in slices(batch, "text", PIECE_BYTES):
-                hashes, sizes = read_tokens(texts(part.column("text")))
-                yield from counter.add(find(hashes, np.cumsum(sizes) - 1))
-        yield from counter.flush()
+                held.append(read_tokens(texts(part.column("text")))[0])
+                size += len(held[-1])
+                if size >= GATHERED:
+                    yield added_up(held)
+                    held, size = [], 0
+        if size:
+            yield added_up(held)
 
     return training.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def bounded_rows(df: DataFrame, most: int, of: str) -> tuple[np.ndarray, np.ndarray]:
-    """``key, n`` on the driver, sorted as unsigned keys; the thresholds bound them, which is checked."""
-    rows = df.limit(most + 1).toPandas()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} {of}")
-    keys, n = rows["key"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64)
-    order = np.argsort(keys)
-    return keys[order], n[order]
-
-
-def train(training: DataFrame, order: int = ORDER, frequent: int = FREQUENT, kept: int = KEPT) -> tuple[Automaton, DataFrame]:
-    """The automaton, and ``key, n`` of every word of ``training(text)`` as a table."""
-    spark = training.sparkSession
-    words = materialize(counted(training, lambda: lambda hashes, ends: hashes), "words")
-    total, types = words.agg(F.sum("n"), F.count("*")).first()
-    total = total or 0
-    hashes, counts = bounded_rows(words.where(F.col("n") >= max(2, total / frequent)), frequent, "frequent words")
-    model = Automaton(total, types, hashes, counts, [], [])
-    for n in range(2, order + 1):
-        shared = spark.sparkContext.broadcast(model)
-
-        def keys_of(shared=shared, n=n):
-            def find(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
-                held = shared.value
-                ids = place_of(held.words, hashes)
-                states = held.states(ids, ends)
-                before = held.carried(states[n - 2], ends)
-                at = (before >= 0) & (ids >= 0)
-                if n > 2:  # its last n - 1 words must be a state as well
-                    at &= states[n - 2] >= 0
-                return (before[at] * len(held.words) + ids[at]).view(np.uint64)
-
-            return find
-
-        grams = counted(training, keys_of).where(F.col("n") >= max(2, total / kept))
-        found, n_found = bounded_rows(grams, kept, f"{n}-grams")
-        model.keys.append(found.view(np.int64))
-        model.grams.append(n_found)
-    return model.finish(), words
-
-
-def distinct_words(table: pa.Table) -> pa.Table:
-    """``key, block`` of the distinct tokens of a block's texts."""
-    found = [np.unique(read_tokens(group)[0]) for group in pieces(texts(table.column("text").combine_chunks()))]
-    keys = np.unique(np.concatenate(found)).view(np.int64)
-    return pa.table({"key": pa.array(keys), "block": pa.array(np.full(len(keys), table.column("block")[0].as_py(), np.int64))})
-
-
-def score_documents(docs: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def added_up(held: list[np.ndarray]) -> pa.RecordBatch:
+    keys, n = np.unique(np.concatenate(held), return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["key", "n"])
+
+
+BLOCK = "block long, doc_ids array<long>, held_out array<boolean>, sizes array<long>, texts binary"
+
+
+def blocks_of(rows: DataFrame, block_bytes: int) -> DataFrame:
+    """BLOCK rows of ``rows(doc_id, held_out, text)``: the texts of a task in turn, about ``block_bytes`` in each (one text at least), compressed.
+
+    A block is named by its task and place, so a task that runs again makes the same ones.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, first = 0, TaskContext.get().partitionId() << 32
+        ids, out, held, size = [], [], [], 0
+
+        def closed() -> pa.RecordBatch:
+            packed = zstandard.ZstdCompressor(level=3).compress(b"".join(held))
+            values = [[first + number], [ids], [out], [[len(x) for x in held]], [packed]]
+            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], ["block", "doc_ids", "held_out", "sizes", "texts"])
+
+        for batch in batches:
+            for part in slices(batch, "text", PIECE_BYTES):
+                for doc_id, apart, text in zip(part.column("doc_id").to_pylist(), part.column("held_out").to_pylist(), texts(part.column("text")), strict=True):
+                    if held and size + len(text) > block_bytes:
+                        yield closed()
+                        number, ids, out, held, size = number + 1, [], [], [], 0
+                    ids.append(doc_id)
+                    out.append(apart)
+                    held.append(text)
+                    size += len(text)
+        if held:
+            yield closed()
+
+    return rows.select("doc_id", "held_out", "text").mapInArrow(run, BLOCK)
+
+
+def unpacked(sizes: list[int], packed: bytes) -> list[bytes]:
+    data = zstandard.ZstdDecompressor().decompress(packed, max_output_size=max(sum(sizes), 1))
+    ends = np.cumsum(sizes)
+    return [data[e - n : e] for e, n in zip(ends.tolist(), sizes, strict=True)]
+
+
+QUESTION = "range long, block long, order_ int, keys binary, seen binary"
+
+
+def questions(blocks: DataFrame, order: int, ranges: int) -> DataFrame:
+    """QUESTION rows: the sorted distinct n-grams of a block in each range of hashes, and how often its training texts have each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                block, apart, lengths, packed = (batch.column(c)[row].as_py() for c in ("block", "held_out", "sizes", "texts"))
+                hashes, sizes = tokens_of(unpacked(lengths, packed))
+                place, taught = places_of(sizes), np.repeat(~np.array(apart, bool), sizes)
+                keys = hashes
+                for n in range(1, order + 1):
+                    keys = keys if n == 1 else longer(keys, hashes)
+                    inside = place >= n - 1
+                    found, code = np.unique(keys[inside], return_inverse=True)
+                    seen = np.bincount(code[taught[inside]], minlength=len(found))
+                    edges = np.searchsorted(range_of(found, ranges), np.arange(ranges + 1))
+                    at = np.nonzero(np.diff(edges))[0]
+                    steps = np.diff(found, prepend=np.uint64(0))
+                    steps[edges[at]] = found[edges[at]]
+                    cuts = [(edges[i], edges[i + 1]) for i in at.tolist()]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(at), pa.array([block] * len(at), pa.int64()), pa.array([n] * len(at), pa.int32()), pa.array([planes(steps[a:b]) for a, b in cuts], pa.binary()), pa.array([planes(seen[a:b]) for a, b in cuts], pa.binary())],
+                        ["range", "block", "order_", "keys", "seen"])
+
+    return blocks.select("block", "held_out", "sizes", "texts").mapInArrow(run, QUESTION)
+
+
+def answer(asked: pa.Table) -> pa.Table:
+    """For each question of one range of hashes how often all training texts have its n-grams, in their order."""
+    keys = [np.cumsum(from_planes(x.as_py())) for x in asked.column("keys")]
+    seen = np.concatenate([from_planes(x.as_py()) for x in asked.column("seen")])
+    _, code = np.unique(np.concatenate(keys), return_inverse=True)
+    totals = np.bincount(code, seen)[code].astype(np.int64)
+    ends = np.cumsum([len(k) for k in keys])
+    told = [planes(totals[e - len(k) : e]) for e, k in zip(ends.tolist(), keys, strict=True)]
+    return pa.table({"block": asked.column("block"), "order_": asked.column("order_"), "range": asked.column("range"), "seen": pa.array(told, pa.binary())})
+
+
+def probabilities(counts: list[np.ndarray], place: np.ndarray, total: int, types: int, held: tuple[float, ...] = HELD) -> tuple[np.ndarray, np.ndarray]:
+    """Probability of each token by the words alone and by the automaton.
+
+    ``counts[n - 1]`` has for each token how often the n-gram that ends with it
+    occurs. From the state of order n - 1 before a token an arc is an n-gram that
+    occurs; its weight holds the share of the shorter state's, and a failure costs
+    what the state leaves to that one. Reading all tokens at once order by order
+    gives what a walk gives, since a state is told by the last words alone.
+    """
+    base = (counts[0] + 1.0) / (total + types + 1.0)
+    full = base
+    for order in range(2, len(counts) + 1):
+        before = np.append(0, counts[order - 2][:-1])
+        at = np.nonzero((place >= order - 1) & (before > 1))[0]
+        trust = (before[at] - 1) / (before[at] - 1 + held[order - 2])
+        full = full.copy()
+        full[at] = trust * counts[order - 1][at] / before[at] + (1 - trust) * full[at]
+    return base, full
+
+
+def score_documents(docs: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BYTES, range_keys: int = RANGE_KEYS, held: tuple[float, ...] = HELD) -> DataFrame:
     """Train on the documents that aren't held out and score each row of ``docs(doc_id, text)``.
 
     Gives doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-one
     unigrams) and score. A null or empty text is its end token only. A null doc_id
-    counts as training. With nothing to train on, every token has probability 1
-    under both models. An empty table gives no rows.
+    counts as training; repeated rows count as often as they come. With nothing to
+    train on, every token has probability 1 under both models. An empty table
+    gives no rows.
+
+    The blocks are dealt once, to about as many tasks as there are blocks; a range
+    of hashes holds about ``range_keys`` n-grams, of which one that is very common
+    comes once a block. Only three numbers reach the driver.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out(F.col("doc_id")).alias("held_out"))
-    model, words = train(rows.where(~F.col("held_out")).select("text"), order)
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    total, types = word_counts(rows.where(~F.col("held_out"))).agg(F.sum("n"), F.count("*")).first()
+    total, size = total or 0, rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = shuffle_partitions(spark)
-    blocks = max(parts, -(-size // block_bytes))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks))).repartition(parts, "block")
-    used = dealt.groupBy("block").applyInArrow(distinct_words, "key long, block long")
-    counts = used.join(words, "key").select("block", "key", "n")
-    shared = spark.sparkContext.broadcast(model)
-
-    def score(rows: pa.Table, counts: pa.Table) -> pa.Table:
-        held = shared.value
-        keys, n = np.asarray(counts.column("key")).astype(np.int64).view(np.uint64), np.asarray(counts.column("n")).astype(np.int64)
-        order = np.argsort(keys)
-        keys, n = keys[order], np.append(n[order], 0)  # the last for words without a count
-        single = np.log10(held.word_probability(n))
-        columns: dict[str, list[np.ndarray]] = {k: [] for k in ("n_tokens", "n_known", "train_tokens", "base_score", "score")}
-        for group in pieces(texts(rows.column("text").combine_chunks())):
-            hashes, sizes = read_tokens(group)
-            ends = np.cumsum(sizes) - 1
-            at, starts = place_of(keys, hashes), ends - sizes + 1
-            base = single[at]
-            full = held.score(place_of(held.words, hashes), base, ends)
-            for name, values in zip(columns, (sizes, np.add.reduceat((n[at] > 0).astype(np.int64), starts), np.full(len(sizes), held.total, np.int64), np.add.reduceat(base, starts), np.add.reduceat(full, starts)), strict=True):
+    dealt = blocks_of(rows, block_bytes).repartition(max(parts, -(-size // block_bytes)), "block")
+    ranges = max(parts, -(-total * order // range_keys))
+    told = questions(dealt, order, ranges).repartition(ranges, "range").groupBy("range").applyInArrow(answer, "block long, order_ int, range long, seen binary")
+
+    def score(block: pa.Table, told: pa.Table) -> pa.Table:
+        names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+        columns: dict[str, list] = {k: [] for k in names}
+        told = told.sort_by([("order_", "ascending"), ("range", "ascending")])
+        of = np.asarray(told.column("order_"))
+        for row in range(block.num_rows):
+            ids, apart, lengths, packed = (block.column(c)[row].as_py() for c in ("doc_ids", "held_out", "sizes", "texts"))
+            hashes, sizes = tokens_of(unpacked(lengths, packed))
+            place, keys, counts = places_of(sizes), hashes, []
+            for n in range(1, order + 1):
+                keys = keys if n == 1 else longer(keys, hashes)
+                inside = place >= n - 1
+                known = [from_planes(told.column("seen")[i].as_py()) for i in np.nonzero(of == n)[0].tolist()]
+                _, code = np.unique(keys[inside], return_inverse=True)
+                counts.append(np.zeros(len(hashes), np.int64))
+                if len(code):
+                    counts[-1][inside] = np.concatenate(known).astype(np.int64)[code]
+            base, full = probabilities(counts, place, total, types, held)
+            starts = np.cumsum(sizes) - sizes
+            for name, values in zip(names, (ids, apart, sizes, np.add.reduceat((counts[0] > 0).astype(np.int64), starts), np.full(len(sizes), total), np.add.reduceat(np.log10(base), starts), np.add.reduceat(np.log10(full), starts)), strict=True):
                 columns[name].append(values)
-        return pa.table({"doc_id": rows.column("doc_id"), "held_out": rows.column("held_out"), **{k: pa.array(np.concatenate(v)) for k, v in columns.items()}})
+        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        return pa.table({k: pa.chunked_array([pa.array(v, t) for v in columns[k]], t) for k, t in zip(names, kinds, strict=True)})
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return dealt.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(score, schema)
+    return dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(score, schema)
 
 
 def lm_query(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """``score_documents`` of all documents; its docstring states what null, empty, repeated and long texts give."""
     return score_documents(docs)
