@@ -46,6 +46,26 @@ def materialize(df: DataFrame, name: str, sort: list[str] | None = None) -> Data
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Buckets of a table at most; Spark itself refuses over 100,000.
+MOST_BUCKETS = 50_000
+
+
+def bucketed(df: DataFrame, name: str, buckets: int, by: list[str], sort: list[str] | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder as a table bucketed (and sorted) by columns and read it back.
+
+    Grouping by ``by``, or joining with a table of as many buckets, shuffles no row
+    of it. Sorted tables are dealt to their buckets before, so that a bucket is one
+    file; others are written where they are.
+    """
+    spark, path = df.sparkSession, new_folder(df.sparkSession, name)
+    buckets = min(buckets, MOST_BUCKETS)
+    dealt = df.repartition(buckets, *by).sortWithinPartitions(*sort) if sort else df
+    writer = dealt.write.format("parquet").option("path", path).bucketBy(buckets, *by)
+    table = f"packlens_{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    (writer.sortBy(*sort) if sort else writer).saveAsTable(table)
+    return spark.table(table)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -24,16 +24,16 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, slices, texts
+from .common import bucketed, materialize, shuffle_partitions, slices, texts
 from .segments import Rolling, mixed
 
 ORDER = 3
 #: How strongly the model of one word less is held to, by order from 2: a state seen n times trusts its own counts by (n - 1) / (n - 1 + HELD).
 HELD = (64.0, 4.0)
 #: Bytes of text of a block, and n-grams that a range of hashes is made for.
-BLOCK_BYTES, RANGE_KEYS = 16_000_000, 2_000_000
-#: Rows of (key, count) that a task gathers before it adds them up and sends them.
-GATHERED = 2_000_000
+BLOCK_BYTES, RANGE_KEYS = 8_000_000, 1_000_000
+#: Hashes of longer n-grams keep so many bits more than it takes to number the corpus' bytes: one n-gram in a million or fewer shares its hash, whatever the size.
+SPARE_BITS = 18
 #: The end of a text, counted as a token; stands among the words' hashes.
 END = np.uint64(xxhash.xxh64_intdigest(b""))
 #: A text is read in pieces of so many bytes.
@@ -115,29 +115,6 @@ def range_of(keys: np.ndarray, ranges: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
 
 
-def word_counts(training: DataFrame) -> DataFrame:
-    """``key, n`` of every word of ``training(text)``; a task adds up before it sends."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            for part in slices(batch, "text", PIECE_BYTES):
-                held.append(read_tokens(texts(part.column("text")))[0])
-                size += len(held[-1])
-                if size >= GATHERED:
-                    yield added_up(held)
-                    held, size = [], 0
-        if size:
-            yield added_up(held)
-
-    return training.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-def added_up(held: list[np.ndarray]) -> pa.RecordBatch:
-    keys, n = np.unique(np.concatenate(held), return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["key", "n"])
-
-
 BLOCK = "block long, doc_ids array<long>, held_out array<boolean>, sizes array<long>, texts binary"
 
 
@@ -179,45 +156,72 @@ def unpacked(sizes: list[int], packed: bytes) -> list[bytes]:
     return [data[e - n : e] for e, n in zip(ends.tolist(), sizes, strict=True)]
 
 
+def cut_bits(size: int, order: int) -> int:
+    """Low bits of a hash that n-grams of a corpus of ``size`` bytes do without; those of single words keep all."""
+    return 0 if order == 1 else max(0, 64 - SPARE_BITS - int(size * ORDER).bit_length())
+
+
+def distinct_grams(hashes: np.ndarray, place: np.ndarray, order: int, cuts: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By order from 1: which tokens end an n-gram, the sorted distinct keys of these, and the place of each among them."""
+    keys = hashes
+    for n in range(1, order + 1):
+        keys = keys if n == 1 else longer(keys, hashes)
+        inside = place >= n - 1
+        yield inside, *np.unique(keys[inside] >> np.uint64(cuts[n - 1]) << np.uint64(cuts[n - 1]), return_inverse=True)
+
+
 QUESTION = "range long, block long, order_ int, keys binary, seen binary"
+ANSWER = "range long, block long, order_ int, seen binary, total long, types long"
 
 
-def questions(blocks: DataFrame, order: int, ranges: int) -> DataFrame:
+def questions(blocks: DataFrame, order: int, ranges: int, cuts: list[int]) -> DataFrame:
     """QUESTION rows: the sorted distinct n-grams of a block in each range of hashes, and how often its training texts have each."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                block, apart, lengths, packed = (batch.column(c)[row].as_py() for c in ("block", "held_out", "sizes", "texts"))
-                hashes, sizes = tokens_of(unpacked(lengths, packed))
-                place, taught = places_of(sizes), np.repeat(~np.array(apart, bool), sizes)
-                keys = hashes
-                for n in range(1, order + 1):
-                    keys = keys if n == 1 else longer(keys, hashes)
-                    inside = place >= n - 1
-                    found, code = np.unique(keys[inside], return_inverse=True)
-                    seen = np.bincount(code[taught[inside]], minlength=len(found))
-                    edges = np.searchsorted(range_of(found, ranges), np.arange(ranges + 1))
-                    at = np.nonzero(np.diff(edges))[0]
-                    steps = np.diff(found, prepend=np.uint64(0))
-                    steps[edges[at]] = found[edges[at]]
-                    cuts = [(edges[i], edges[i + 1]) for i in at.tolist()]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(at), pa.array([block] * len(at), pa.int64()), pa.array([n] * len(at), pa.int32()), pa.array([planes(steps[a:b]) for a, b in cuts], pa.binary()), pa.array([planes(seen[a:b]) for a, b in cuts], pa.binary())],
-                        ["range", "block", "order_", "keys", "seen"])
-
-    return blocks.select("block", "held_out", "sizes", "texts").mapInArrow(run, QUESTION)
-
-
-def answer(asked: pa.Table) -> pa.Table:
-    """For each question of one range of hashes how often all training texts have its n-grams, in their order."""
-    keys = [np.cumsum(from_planes(x.as_py())) for x in asked.column("keys")]
-    seen = np.concatenate([from_planes(x.as_py()) for x in asked.column("seen")])
-    _, code = np.unique(np.concatenate(keys), return_inverse=True)
-    totals = np.bincount(code, seen)[code].astype(np.int64)
-    ends = np.cumsum([len(k) for k in keys])
-    told = [planes(totals[e - len(k) : e]) for e, k in zip(ends.tolist(), keys, strict=True)]
-    return pa.table({"block": asked.column("block"), "order_": asked.column("order_"), "range": asked.column("range"), "seen": pa.array(told, pa.binary())})
+    def ask(table: pa.Table) -> pa.Table:
+        block, apart, lengths, packed = (table.column(c)[0].as_py() for c in ("block", "held_out", "sizes", "texts"))
+        hashes, sizes = tokens_of(unpacked(lengths, packed))
+        place, taught = places_of(sizes), np.repeat(~np.array(apart, bool), sizes)
+        out = []
+        for n, (inside, found, code) in enumerate(distinct_grams(hashes, place, order, cuts), 1):
+            seen = np.bincount(code[taught[inside]], minlength=len(found))
+            edges = np.searchsorted(range_of(found, ranges), np.arange(ranges + 1))
+            at = np.nonzero(np.diff(edges))[0]
+            steps = np.diff(found, prepend=np.uint64(0))
+            steps[edges[at]] = found[edges[at]]
+            steps >>= np.uint64(cuts[n - 1])
+            ends = [(edges[i], edges[i + 1]) for i in at.tolist()]
+            columns = [at, [block] * len(at), [n] * len(at), [planes(steps[a:b]) for a, b in ends], [planes(seen[a:b]) for a, b in ends]]
+            out.append(pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["range", "block", "order_", "keys", "seen"]))
+        return pa.concat_tables(out)
+
+    return blocks.groupBy("block").applyInArrow(ask, QUESTION)
+
+
+def answers(asked: DataFrame, cuts: list[int]) -> DataFrame:
+    """ANSWER rows: for each question how often all training texts have its n-grams, in their order.
+
+    The first row of a range also tells its words' occurrences and number; other rows tell 0.
+    """
+
+    def answer(asked: pa.Table) -> pa.Table:
+        of = np.asarray(asked.column("order_"))
+        told: list[bytes] = [b""] * len(of)
+        total = types = 0
+        for n in np.unique(of).tolist():
+            rows = np.nonzero(of == n)[0].tolist()
+            keys = [np.cumsum(from_planes(asked.column("keys")[i].as_py()) << np.uint64(cuts[n - 1])) for i in rows]
+            seen = np.concatenate([from_planes(asked.column("seen")[i].as_py()) for i in rows])
+            _, code = np.unique(np.concatenate(keys), return_inverse=True)
+            counts = np.bincount(code, seen).astype(np.int64)
+            if n == 1:
+                total, types = int(counts.sum()), int((counts > 0).sum())
+            ends = np.cumsum([len(k) for k in keys])
+            for i, k, e in zip(rows, keys, ends.tolist(), strict=True):
+                told[i] = planes(counts[code[e - len(k) : e]])
+        once = lambda x: pa.array([x] + [0] * (len(of) - 1), pa.int64())
+        return pa.table({"range": asked.column("range"), "block": asked.column("block"), "order_": asked.column("order_"), "seen": pa.array(told, pa.binary()), "total": once(total), "types": once(types)})
+
+    return asked.groupBy("range").applyInArrow(answer, ANSWER)
 
 
 def probabilities(counts: list[np.ndarray], place: np.ndarray, total: int, types: int, held: tuple[float, ...] = HELD) -> tuple[np.ndarray, np.ndarray]:
@@ -249,45 +253,37 @@ def score_documents(docs: DataFrame, order: int = ORDER, block_bytes: int = BLOC
     train on, every token has probability 1 under both models. An empty table
     gives no rows.
 
-    The blocks are dealt once, to about as many tasks as there are blocks; a range
-    of hashes holds about ``range_keys`` n-grams, of which one that is very common
-    comes once a block. Only three numbers reach the driver.
+    The blocks are written once, bucketed by their names, so that no text is
+    shuffled. A range of hashes holds about ``range_keys`` n-grams, of which one
+    that is very common comes once a block. Only three numbers reach the driver.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out(F.col("doc_id")).alias("held_out"))
-    total, types = word_counts(rows.where(~F.col("held_out"))).agg(F.sum("n"), F.count("*")).first()
-    total, size = total or 0, rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = shuffle_partitions(spark)
-    dealt = blocks_of(rows, block_bytes).repartition(max(parts, -(-size // block_bytes)), "block")
-    ranges = max(parts, -(-total * order // range_keys))
-    told = questions(dealt, order, ranges).repartition(ranges, "range").groupBy("range").applyInArrow(answer, "block long, order_ int, range long, seen binary")
+    size = rows.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
+    parts, cuts = shuffle_partitions(spark), [cut_bits(size, n) for n in range(1, order + 1)]
+    blocks = bucketed(blocks_of(rows, block_bytes), "blocks", max(parts, -(-size // block_bytes)), ["block"])
+    ranges = max(parts, -(-size * order // 6 // range_keys))  # a word and the space behind it have six bytes or so
+    told = materialize(answers(questions(blocks, order, ranges, cuts).repartition(ranges, "range"), cuts), "answers")
+    total, types = (x or 0 for x in told.agg(F.sum("total"), F.sum("types")).first())
 
     def score(block: pa.Table, told: pa.Table) -> pa.Table:
-        names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-        columns: dict[str, list] = {k: [] for k in names}
+        ids, apart, lengths, packed = (block.column(c)[0].as_py() for c in ("doc_ids", "held_out", "sizes", "texts"))
+        hashes, sizes = tokens_of(unpacked(lengths, packed))
         told = told.sort_by([("order_", "ascending"), ("range", "ascending")])
-        of = np.asarray(told.column("order_"))
-        for row in range(block.num_rows):
-            ids, apart, lengths, packed = (block.column(c)[row].as_py() for c in ("doc_ids", "held_out", "sizes", "texts"))
-            hashes, sizes = tokens_of(unpacked(lengths, packed))
-            place, keys, counts = places_of(sizes), hashes, []
-            for n in range(1, order + 1):
-                keys = keys if n == 1 else longer(keys, hashes)
-                inside = place >= n - 1
+        of, place, counts = np.asarray(told.column("order_")), places_of(sizes), []
+        for n, (inside, _, code) in enumerate(distinct_grams(hashes, place, order, cuts), 1):
+            counts.append(np.zeros(len(hashes), np.int64))
+            if len(code):
                 known = [from_planes(told.column("seen")[i].as_py()) for i in np.nonzero(of == n)[0].tolist()]
-                _, code = np.unique(keys[inside], return_inverse=True)
-                counts.append(np.zeros(len(hashes), np.int64))
-                if len(code):
-                    counts[-1][inside] = np.concatenate(known).astype(np.int64)[code]
-            base, full = probabilities(counts, place, total, types, held)
-            starts = np.cumsum(sizes) - sizes
-            for name, values in zip(names, (ids, apart, sizes, np.add.reduceat((counts[0] > 0).astype(np.int64), starts), np.full(len(sizes), total), np.add.reduceat(np.log10(base), starts), np.add.reduceat(np.log10(full), starts)), strict=True):
-                columns[name].append(values)
-        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-        return pa.table({k: pa.chunked_array([pa.array(v, t) for v in columns[k]], t) for k, t in zip(names, kinds, strict=True)})
+                counts[-1][inside] = np.concatenate(known).astype(np.int64)[code]
+        base, full = probabilities(counts, place, total, types, held)
+        starts = np.cumsum(sizes) - sizes
+        known = np.add.reduceat((counts[0] > 0).astype(np.int64), starts)
+        columns = [pa.array(ids, pa.int64()), pa.array(apart, pa.bool_()), *(pa.array(x, pa.int64()) for x in (sizes, known, np.full(len(sizes), total))), *(pa.array(np.add.reduceat(np.log10(p), starts)) for p in (base, full))]
+        return pa.table(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(score, schema)
+    return blocks.groupBy("block").cogroup(told.select("block", "order_", "range", "seen").groupBy("block")).applyInArrow(score, schema)
 
 
 def lm_query(spark: SparkSession, docs: DataFrame) -> DataFrame:
