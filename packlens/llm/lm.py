@@ -102,12 +102,20 @@ def longer(keys: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def planes(values: np.ndarray) -> bytes:
-    """64-bit values byte by byte: all lowest bytes first, then the next; runs of zeros compress well."""
-    return values.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Values byte by byte, all lowest bytes first, as far as the largest needs, and compressed; the first byte says how many bytes a value has."""
+    width = max(1, -(-int(values.max()).bit_length() // 8)) if len(values) else 1
+    each = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+    return zstandard.ZstdCompressor(level=1).compress(bytes([width]) + each.T.tobytes())
 
 
 def from_planes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").reshape(-1)
+    """The values of ``planes`` as unsigned 64-bit integers."""
+    data = zstandard.ZstdDecompressor().decompress(data)
+    width = data[0]
+    each = np.frombuffer(data, np.uint8, offset=1).reshape(width, -1)
+    out = np.zeros((each.shape[1], 8), np.uint8)
+    out[:, :width] = each.T
+    return out.view("<u8").reshape(-1)
 
 
 def range_of(keys: np.ndarray, ranges: int) -> np.ndarray:

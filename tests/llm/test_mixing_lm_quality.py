@@ -194,3 +194,9 @@ def test_without_labels_all_words_stay(spark):
     texts = {i: t for i, t, _ in samples.documents()}
     assert all(r._keep == bool((texts[r.doc_id] or "").strip(" \t\n")) for r in got)
     assert quality.judge(samples.empty(spark), none, F.col("source"), F.col("lang")).count() == 0
+
+
+def test_planes_come_back():
+    rng = np.random.default_rng(3)
+    for values in (np.empty(0, np.int64), np.zeros(5, np.int64), np.array([2**64 - 1, 0, 7], np.uint64), rng.integers(0, 1 << 40, 1000), rng.integers(0, 3, 1000)):
+        assert np.array_equal(lm.from_planes(lm.planes(values)), values.astype(np.uint64))
