@@ -50,19 +50,24 @@ def materialize(df: DataFrame, name: str, sort: list[str] | None = None) -> Data
 MOST_BUCKETS = 50_000
 
 
-def bucketed(df: DataFrame, name: str, buckets: int, by: list[str], sort: list[str] | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder as a table bucketed (and sorted) by columns and read it back.
+def bucketed(df: DataFrame, path: str, buckets: int, by: list[str], sort: bool = False) -> DataFrame:
+    """Write ``df`` to ``path`` in the shared folder as a table bucketed (and sorted) by columns and read it back.
 
     Grouping by ``by``, or joining with a table of as many buckets, shuffles no row
-    of it. Sorted tables are dealt to their buckets before, so that a bucket is one
-    file; others are written where they are.
+    of it. What was grouped by ``by`` in as many partitions gives one file a bucket,
+    which is read in order; other rows are written where they are.
     """
-    spark, path = df.sparkSession, new_folder(df.sparkSession, name)
     buckets = min(buckets, MOST_BUCKETS)
-    dealt = df.repartition(buckets, *by).sortWithinPartitions(*sort) if sort else df
-    writer = dealt.write.format("parquet").option("path", path).bucketBy(buckets, *by)
-    table = f"packlens_{name.replace('-', '_')}_{uuid.uuid4().hex}"
-    (writer.sortBy(*sort) if sort else writer).saveAsTable(table)
+    writer = df.write.format("parquet").option("path", path).bucketBy(buckets, *by)
+    table = f"packlens_{uuid.uuid4().hex}"
+    (writer.sortBy(*by) if sort else writer).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
+def reopened(spark: SparkSession, path: str, schema: str, buckets: int, by: list[str]) -> DataFrame:
+    """A table that ``bucketed`` wrote to ``path`` sorted, perhaps in another session."""
+    table, columns = f"packlens_{uuid.uuid4().hex}", ", ".join(by)
+    spark.sql(f"CREATE TABLE {table} ({schema}) USING parquet CLUSTERED BY ({columns}) SORTED BY ({columns}) INTO {min(buckets, MOST_BUCKETS)} BUCKETS LOCATION '{path}'")
     return spark.table(table)
 
 

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucketed, materialize, shuffle_partitions, slices, texts
+from .common import bucketed, materialize, new_folder, shuffle_partitions, slices, texts
 from .segments import Rolling, mixed
 
 ORDER = 3
@@ -269,7 +269,7 @@ def score_documents(docs: DataFrame, order: int = ORDER, block_bytes: int = BLOC
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out(F.col("doc_id")).alias("held_out"))
     size = rows.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
     parts, cuts = shuffle_partitions(spark), [cut_bits(size, n) for n in range(1, order + 1)]
-    blocks = bucketed(blocks_of(rows, block_bytes), "blocks", max(parts, -(-size // block_bytes)), ["block"])
+    blocks = bucketed(blocks_of(rows, block_bytes), new_folder(spark, "blocks"), max(parts, -(-size // block_bytes)), ["block"])
     ranges = max(parts, -(-size * order // 6 // range_keys))  # a word and the space behind it have six bytes or so
     told = materialize(answers(questions(blocks, order, ranges, cuts).repartition(ranges, "range"), cuts), "answers")
     total, types = (x or 0 for x in told.agg(F.sum("total"), F.sum("types")).first())

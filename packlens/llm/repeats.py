@@ -1,14 +1,17 @@
 """Exact removal of long repeats, over an index of segments that takes batches.
 
-``SegmentIndex`` keeps the segments of all documents it has seen as immutable
-tables sorted by core. A new batch is written as such a table and merge-joined
-with the older ones on the core: most cores occur once and end there. Where a
-core recurs, equal spans settle whole segments, and the remaining segments are
-verified window by window on the texts.
+``SegmentIndex`` keeps the segments of all documents it has seen as immutable runs:
+the distinct segments, bucketed and sorted by (core, span), and the distinct cores,
+bucketed and sorted by core. A new batch becomes such a run and is merge-joined with
+the older ones bucket by bucket, so that only the batch is shuffled: equal spans
+settle whole segments, and where a core has several spans the segments are verified
+window by window on the texts. Each row of a run is one of its kind, so no key is
+hot there, however many documents have it.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -17,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_partitions, slices, texts
+from .common import bucketed, materialize, new_folder, reopened, shuffle_partitions, slices, texts
 from .segments import Segments, segments, window_hashes
 
 Units = Callable[[bytes], np.ndarray]
@@ -47,23 +50,21 @@ def unsigned(x: pa.Array) -> np.ndarray:
     return np.asarray(x).astype(np.int64).view(np.uint64)
 
 
-def segment_schema(rule: Rule) -> str:
-    """Columns of segments; with ``anywhere``, ``head`` is 1 for one segment of each core of a text and 0 for the others."""
-    return "core long, span long, doc_id long" + (", head byte" if rule.anywhere else "")
+#: Columns of segments; ``head`` is 1 for one segment of each core of a text and 0 for the others.
+SEGMENT = "core long, span long, doc_id long, head byte"
 
 
-def segment_batch(core: np.ndarray, span: np.ndarray, ids: np.ndarray, head: np.ndarray, rule: Rule) -> pa.RecordBatch:
-    columns = {"core": signed(core), "span": signed(span), "doc_id": pa.array(ids)}
-    return pa.RecordBatch.from_pydict(columns | ({"head": pa.array(head.astype(np.int8))} if rule.anywhere else {}))
+def segment_batch(core: np.ndarray, span: np.ndarray, ids: np.ndarray, head: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"core": signed(core), "span": signed(span), "doc_id": pa.array(ids), "head": pa.array(head.astype(np.int8))})
 
 
-def in_several(rule: Rule, texts: Column) -> Column:
-    """Aggregate: whether rows are of several texts, which ``texts`` counts; where ids decide, of several doc_ids."""
-    return texts > 1 if rule.anywhere else F.min("doc_id") < F.max("doc_id")
+def in_several(rule: Rule, texts: Column, least: Column, last: Column) -> Column:
+    """Whether something is in several texts, which ``texts`` counts; where ids decide, in several doc_ids from ``least`` to ``last``."""
+    return texts > 1 if rule.anywhere else least < last
 
 
 def segment_rows(docs: DataFrame, rule: Rule) -> DataFrame:
-    """Rows of ``segment_schema``: the distinct segments of each text."""
+    """SEGMENT rows: the distinct segments of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -75,79 +76,153 @@ def segment_rows(docs: DataFrame, rule: Rule) -> DataFrame:
                     owner, core, span = s.owner[order], s.core[order], s.span[order]
                     new = np.append(True, (owner[1:] != owner[:-1]) | (core[1:] != core[:-1]) | (span[1:] != span[:-1]))
                     head = np.append(True, (owner[1:] != owner[:-1]) | (core[1:] != core[:-1]))
-                    yield segment_batch(core[new], span[new], ids[owner[new]], head[new], rule)
+                    yield segment_batch(core[new], span[new], ids[owner[new]], head[new])
 
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, segment_schema(rule))
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SEGMENT)
+
+
+#: What a run knows of a segment, or of a core: the least and last doc_id with it, how many texts have it, and how many have it as the first of its core.
+SPANS = "core long, span long, least long, last long, texts long, heads long"
+CORES = "core long, low long, high long, least long, last long, heads long"
+
+
+def summed(rows: DataFrame) -> DataFrame:
+    """SPANS rows with those of one segment made one; tasks add up before they send."""
+    return rows.groupBy("core", "span").agg(F.min("least").alias("least"), F.max("last").alias("last"), F.sum("texts").alias("texts"), F.sum("heads").alias("heads"))
+
+
+def spans_of(rows: DataFrame) -> DataFrame:
+    """SPANS rows of SEGMENT rows."""
+    each = rows.select("core", "span", F.col("doc_id").alias("least"), F.col("doc_id").alias("last"), F.lit(1).cast("long").alias("texts"), F.col("head").cast("long").alias("heads"))
+    return summed(each)
+
+
+def cores_of(spans: DataFrame) -> DataFrame:
+    """CORES rows of SPANS rows: the least and greatest span of each core, and the sums."""
+    return spans.groupBy("core").agg(F.min("span").alias("low"), F.max("span").alias("high"), F.min("least").alias("least"), F.max("last").alias("last"), F.sum("heads").alias("heads"))
 
 
 @dataclass
-class Table:
-    """An immutable table of the index, sorted by core within its files."""
+class Run:
+    """An immutable run of the index: SPANS bucketed and sorted by (core, span), CORES by core; ``weight``: batches that it stands for."""
+
+    spans: DataFrame
+    cores: DataFrame
+    weight: int
+    name: str
 
-    rows: DataFrame
-    weight: int  # batches that it stands for
+
+#: Cores up to this number (8 bytes each) are broadcast to pick the rows of older runs by; more are joined by shuffling.
+BROADCAST_CORES = 1_000_000
 
 
 @dataclass
 class SegmentIndex:
-    """Segments of all batches so far, as tables whose weights form a log-structured family.
+    """Segments of all batches so far, as runs whose weights form a log-structured family.
 
-    ``fanout`` tables of equal weight are merged into one before the next batch
-    is added, so a segment is rewritten a logarithmic number of times.
+    ``fanout`` runs of equal weight are merged into one before the next batch is
+    added, so a segment is rewritten a logarithmic number of times. The runs lie in
+    ``folder``; ``open`` takes an index up again, in another session as well.
     """
 
     spark: SparkSession
     rule: Rule
     fanout: int = 2
-    tables: list[Table] = field(default_factory=list)
+    folder: str = ""
+    buckets: int = 0
+    runs: list[Run] = field(default_factory=list)
+
+    def __post_init__(self) -> None:
+        self.folder = self.folder or new_folder(self.spark, "index")
+        self.buckets = self.buckets or shuffle_partitions(self.spark)
+
+    @classmethod
+    def open(cls, spark: SparkSession, rule: Rule, folder: str, fanout: int = 2) -> SegmentIndex:
+        """The index that was last saved in ``folder``."""
+        listed = spark.read.parquet(f"{folder}/listing").collect()  # a row a run
+        index = cls(spark, rule, fanout, folder, listed[0].buckets)
+        for name, weight, buckets in listed:
+            spans = reopened(spark, f"{folder}/{name}-spans", SPANS, buckets, ["core", "span"])
+            cores = reopened(spark, f"{folder}/{name}-cores", CORES, buckets, ["core"])
+            index.runs.append(Run(spans, cores, weight, name))
+        return index
+
+    def save(self) -> None:
+        """List the runs in ``folder``, one row each, so that ``open`` finds them."""
+        rows = [(r.name, r.weight, self.buckets) for r in self.runs]
+        self.spark.createDataFrame(rows, "name string, weight int, buckets int").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/listing")
+
+    def written(self, spans: DataFrame, weight: int) -> Run:
+        name = f"run-{uuid.uuid4().hex}"
+        kept = bucketed(spans, f"{self.folder}/{name}-spans", self.buckets, ["core", "span"], sort=True)
+        return Run(kept, bucketed(cores_of(kept), f"{self.folder}/{name}-cores", self.buckets, ["core"], sort=True), weight, name)
 
     def compact(self) -> None:
-        """Merge ``fanout`` tables of equal weight while there are such; rows stay as they are."""
+        """Merge ``fanout`` runs of equal weight while there are such; rows of one segment become one."""
         while True:
-            for weight in sorted({t.weight for t in self.tables}):
-                same = [t for t in self.tables if t.weight == weight]
+            for weight in sorted({r.weight for r in self.runs}):
+                same = [r for r in self.runs if r.weight == weight]
                 if len(same) >= self.fanout:
                     break
             else:
                 return
-            rows = same[0].rows
-            for t in same[1:]:
-                rows = rows.unionByName(t.rows)
-            merged = materialize(rows.repartition(shuffle_partitions(self.spark), "core", "span"), "merged-run", ["core", "span"])
-            self.tables = [t for t in self.tables if t.weight != weight] + [Table(merged, weight * len(same))]
+            rows = same[0].spans
+            for r in same[1:]:
+                rows = rows.unionByName(r.spans)
+            merged = self.written(summed(rows), weight * len(same))
+            self.runs = [r for r in self.runs if r.weight != weight] + [merged]
 
     def add(self, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Add a batch; returns what it settles.
+        """Add a batch; returns what it settles, by the batch alone and against each older run.
 
         Only repeats between texts count here. First ``doc_id, core, span`` of
-        segments that go as a whole, then the same
-        of segments to be verified: one document for each span of a core that has
-        several. With the smaller-id rule, batches must come in order of doc_id.
+        segments that go as a whole, then the same of segments to be verified: one
+        document for each span of a core that has several. With the smaller-id
+        rule, batches must come in order of doc_id.
         """
         self.compact()
-        new = materialize(segment_rows(docs, self.rule), "run", ["core", "span"])
-        pool = new
-        for t in self.tables:
-            pool = pool.unionByName(t.rows)
-        self.tables.append(Table(new, 1))
-        return settle(pool, self.rule)
+        rows = materialize(segment_rows(docs, self.rule), "segments")
+        new = self.written(spans_of(rows), 1)
+        met = new.spans.select("core", "span", "least", "last", "texts", F.lit(None).cast("long").alias("before"))
+        for r in self.runs:
+            old = r.spans.select("core", "span", F.col("least").alias("_least"))
+            met = met.join(old, ["core", "span"], "left").withColumn("before", F.least("before", "_least")).drop("_least")
+        goes = F.col("before").isNotNull() | in_several(self.rule, F.col("texts"), F.col("least"), F.col("last"))
+        goes = materialize(met.where(goes).select("core", "span", F.least("before", "least").alias("first")), "goes")
+        whole = rows.join(goes, ["core", "span"])
+        whole = (whole if self.rule.anywhere else whole.where(F.col("first") < F.col("doc_id"))).select("doc_id", "core", "span")
+        for r in self.runs if self.rule.anywhere else []:  # a segment that only one older text has goes there as well
+            whole = whole.unionByName(r.spans.where("texts = 1").join(new.spans.select("core", "span"), ["core", "span"]).select(F.col("least").alias("doc_id"), "core", "span"))
+        both = new.cores
+        for r in self.runs:
+            old = r.cores.select("core", *[F.col(c).alias(f"_{c}") for c in ("low", "high", "least", "last", "heads")])
+            both = both.join(old, "core", "left").select(
+                "core", F.least("low", "_low").alias("low"), F.greatest("high", "_high").alias("high"), F.least("least", "_least").alias("least"),
+                F.greatest("last", "_last").alias("last"), (F.col("heads") + F.coalesce("_heads", F.lit(0))).alias("heads"))
+        several = in_several(self.rule, F.col("heads"), F.col("least"), F.col("last"))
+        open_ = materialize(both.where(several & (F.col("low") < F.col("high"))).select("core"), "open-cores")
+        picked = F.broadcast(open_) if self.runs and open_.count() <= BROADCAST_CORES else open_
+        verify = new.spans
+        for r in self.runs:
+            verify = verify.unionByName(r.spans)
+        verify = verify.join(picked, "core", "left_semi").select(F.col("least").alias("doc_id"), "core", "span")
+        whole, verify = materialize(whole, "whole"), materialize(verify, "verify")
+        self.runs.append(new)
+        return whole, verify
 
 
 def settle(pool: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
-    """Of segments ``core, span, doc_id`` (and ``head``): those that go as a whole, and those left open.
-
-    Rows that repeat a doc_id are texts of their own where ``rule.anywhere``.
+    """Of SEGMENT rows: those that go as a whole, and those left open.
 
-    What is aggregated by core is written before it is joined, so that the joins
-    are between plain tables and a hot core can be split.
+    Rows that repeat a doc_id are texts of their own where ``rule.anywhere``. What is
+    aggregated is written before it is joined, so that a hot core can be split.
     """
-    seen = pool.groupBy("core").agg(in_several(rule, F.sum("head") if rule.anywhere else F.count("*")).alias("several"))
-    shared = materialize(pool.join(materialize(seen.where("several").select("core"), "cores"), "core").select("core", "span", "doc_id"), "shared")
-    spans = materialize(shared.groupBy("core", "span").agg(F.min("doc_id").alias("least"), F.count("*").alias("texts")), "spans")
-    gone = F.col("texts") > 1 if rule.anywhere else F.col("least") < F.col("doc_id")
-    whole = shared.join(spans, ["core", "span"]).where(gone).select("doc_id", "core", "span")
-    several = spans.groupBy("core").agg(F.min("span").alias("a"), F.max("span").alias("b")).where("a <> b").select("core")
-    verify = spans.join(materialize(several, "several"), "core").select(F.col("least").alias("doc_id"), "core", "span")
+    spans = materialize(spans_of(pool), "spans")
+    cores = cores_of(spans).where(in_several(rule, F.col("heads"), F.col("least"), F.col("last")) & (F.col("low") < F.col("high")))
+    verify = spans.join(materialize(cores.select("core"), "open-cores"), "core").select(F.col("least").alias("doc_id"), "core", "span")
+    goes = materialize(spans.where(in_several(rule, F.col("texts"), F.col("least"), F.col("last"))).select("core", "span", F.col("least").alias("first")), "goes")
+    whole = pool.join(goes, ["core", "span"])
+    whole = (whole if rule.anywhere else whole.where(F.col("first") < F.col("doc_id"))).select("doc_id", "core", "span")
     return materialize(whole, "whole"), materialize(verify, "verify")
 
 
@@ -191,7 +266,7 @@ def open_windows(units: np.ndarray, s: Segments, column: pa.Array, i: int, rule:
 
 
 def finer_rows(held: DataFrame, rule: Rule, level: int) -> DataFrame:
-    """Rows of ``segment_schema``: segments of width ``steps[level]`` of the windows that the width before left open in ``held(doc_id, text, keys)``."""
+    """SEGMENT rows: segments of width ``steps[level]`` of the windows that the width before left open in ``held(doc_id, text, keys)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,9 +281,9 @@ def finer_rows(held: DataFrame, rule: Rule, level: int) -> DataFrame:
                     at = at[np.unique(joint(s.core[at], s.span[at]), return_index=True)[1]]
                     head = np.zeros(len(at), bool)
                     head[np.unique(s.core[at], return_index=True)[1]] = True
-                    yield segment_batch(s.core[at], s.span[at], np.full(len(at), doc_id, np.int64), head, rule)
+                    yield segment_batch(s.core[at], s.span[at], np.full(len(at), doc_id, np.int64), head)
 
-    return held.mapInArrow(run, segment_schema(rule))
+    return held.mapInArrow(run, SEGMENT)
 
 
 def window_rows(held: DataFrame, rule: Rule) -> DataFrame:
@@ -276,8 +351,8 @@ def removed_units(units: np.ndarray, rule: Rule, whole: tuple[np.ndarray, np.nda
 def verified(windows: DataFrame, rule: Rule) -> DataFrame:
     """``doc_id, first_hash, second_hash`` of the windows that go; ``windows`` has each window of a text once."""
     keys = ["first_hash", "second_hash"]
-    seen = windows.groupBy(*keys).agg(F.min("doc_id").alias("least"), in_several(rule, F.count("*")).alias("several")).where("several").select(*keys, "least")
-    found = windows.join(seen, keys)
+    seen = windows.groupBy(*keys).agg(F.min("doc_id").alias("least"), in_several(rule, F.count("*"), F.min("doc_id"), F.max("doc_id")).alias("several")).where("several").select(*keys, "least")
+    found = windows.join(materialize(seen, "repeated"), keys)
     return (found if rule.anywhere else found.where("least < doc_id")).select("doc_id", *keys)
 
 

@@ -65,9 +65,8 @@ def test_words_as_by_brute_force(spark, batches, fanout):
 @pytest.mark.parametrize("batches", [1, 4])
 def test_bytes_as_by_brute_force(spark, batches):
     rows = samples.documents()
-    once = [r for r in rows if r[0] != 10_001]
-    got = suffixes.dedup_bytes(samples.frame(spark, once, extra=True), batches=batches)
-    want = ordered(bytes_left(once, 200))
+    got = suffixes.dedup_bytes(samples.frame(spark, rows, extra=True), batches=batches)
+    want = ordered(bytes_left(rows, 200))
     assert ordered(got.collect()) == want
     assert sum(r[2] for r in want) > 5000
 
@@ -89,13 +88,46 @@ def test_ids_beyond_the_broadcast_bound_are_shuffled(spark, monkeypatch):
     assert ordered(substrings.dedup_words(samples.frame(spark, rows)).collect()) == ordered(words_left(rows, 50))
 
 
-def test_tables_merge_geometrically(spark):
-    rule = substrings.rule_of()
-    index = repeats.SegmentIndex(spark, rule, fanout=2)
+def batch(spark, i, more=""):
+    return samples.frame(spark, [(i, f"{samples.prose(random.Random(i), 120)} {more}", None)])
+
+
+def test_runs_merge_geometrically(spark):
+    index = repeats.SegmentIndex(spark, substrings.rule_of(), fanout=2)
     for i in range(7):
-        index.add(samples.frame(spark, [(i, samples.prose(random.Random(i), 120), None)]))
-    assert sorted(t.weight for t in index.tables) == [1, 2, 4]
-    assert all(r.n == 7 for r in [index.tables[0].rows.unionByName(index.tables[1].rows).unionByName(index.tables[2].rows).selectExpr("count(distinct doc_id) AS n").first()])
+        index.add(batch(spark, i))
+    assert sorted(r.weight for r in index.runs) == [1, 2, 4]
+    rows = index.runs[0].spans.unionByName(index.runs[1].spans).unionByName(index.runs[2].spans)
+    assert rows.selectExpr("count(distinct least) AS n").first().n == 7
+    assert rows.groupBy("core", "span").count().where("count > 1").isEmpty()
+
+
+def test_an_index_is_taken_up_in_another_session(spark):
+    rule, passage = substrings.rule_of(), samples.prose(random.Random(99), 80)
+    index = repeats.SegmentIndex(spark, rule, fanout=2)
+    for i in range(3):
+        index.add(batch(spark, i, passage if i == 1 else ""))
+    index.save()
+    other = repeats.SegmentIndex.open(spark.newSession(), rule, index.folder)
+    assert sorted(r.weight for r in other.runs) == [1, 2]
+    whole, verify = other.add(batch(other.spark, 3, passage))
+    assert {r.doc_id for r in whole.collect()} == {3} and {r.doc_id for r in verify.collect()} == {1, 3}
+    other.save()
+    assert sorted(r.weight for r in repeats.SegmentIndex.open(spark, rule, index.folder).runs) == [1, 1, 2]
+
+
+def test_older_runs_are_not_shuffled(spark):
+    """Joining a batch's run with an older one exchanges and sorts neither."""
+    index = repeats.SegmentIndex(spark, substrings.rule_of(), fanout=9)
+    index.add(batch(spark, 0)), index.add(batch(spark, 1))
+    old, new = index.runs
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for joined in (new.spans.join(old.spans, ["core", "span"], "left"), new.cores.join(old.cores, "core", "left")):
+            plan = joined._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and "Exchange" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_texts_keep_columns_and_untouched_rows(spark):
