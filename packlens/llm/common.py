@@ -39,11 +39,25 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str, sort: list[str] | None = None) -> DataFrame:
+def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back: cuts lineage, survives lost executors."""
     path = new_folder(df.sparkSession, name)
-    (df.sortWithinPartitions(*sort) if sort else df).write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.parquet(path)
+    return kept_at(df.sparkSession.read.schema(df.schema).parquet(path), path)
+
+
+def kept_at(table: DataFrame, path: str) -> DataFrame:
+    table.packlens_path = path
+    return table
+
+
+def free(*tables: DataFrame) -> None:
+    """Delete what ``materialize`` or ``bucketed`` wrote; for tables of which nothing that isn't written itself depends any more."""
+    for table in tables:
+        if path := getattr(table, "packlens_path", None):
+            spark = table.sparkSession
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 #: Buckets of a table at most; Spark itself refuses over 100,000.
@@ -61,14 +75,14 @@ def bucketed(df: DataFrame, path: str, buckets: int, by: list[str], sort: bool =
     writer = df.write.format("parquet").option("path", path).bucketBy(buckets, *by)
     table = f"packlens_{uuid.uuid4().hex}"
     (writer.sortBy(*by) if sort else writer).saveAsTable(table)
-    return df.sparkSession.table(table)
+    return kept_at(df.sparkSession.table(table), path)
 
 
 def reopened(spark: SparkSession, path: str, schema: str, buckets: int, by: list[str]) -> DataFrame:
     """A table that ``bucketed`` wrote to ``path`` sorted, perhaps in another session."""
     table, columns = f"packlens_{uuid.uuid4().hex}", ", ".join(by)
     spark.sql(f"CREATE TABLE {table} ({schema}) USING parquet CLUSTERED BY ({columns}) SORTED BY ({columns}) INTO {min(buckets, MOST_BUCKETS)} BUCKETS LOCATION '{path}'")
-    return spark.table(table)
+    return kept_at(spark.table(table), path)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucketed, materialize, new_folder, reopened, shuffle_partitions, slices, texts
+from .common import bucketed, free, materialize, new_folder, reopened, shuffle_partitions, slices, texts
 from .segments import Segments, segments, window_hashes
 
 Units = Callable[[bytes], np.ndarray]
@@ -112,8 +112,13 @@ class Run:
     name: str
 
 
-#: Cores up to this number (8 bytes each) are broadcast to pick the rows of older runs by; more are joined by shuffling.
-BROADCAST_CORES = 1_000_000
+#: Cores or segments up to this number (8 to 24 bytes each) are broadcast to pick rows by; more are joined by shuffling.
+BROADCAST_KEYS = 500_000
+
+
+def bounded(keys: DataFrame) -> DataFrame:
+    """``keys``, a written table, to be broadcast if it has few enough rows."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
 
 
 @dataclass
@@ -171,6 +176,14 @@ class SegmentIndex:
                 rows = rows.unionByName(r.spans)
             merged = self.written(summed(rows), weight * len(same))
             self.runs = [r for r in self.runs if r.weight != weight] + [merged]
+            for r in same:
+                free(r.spans, r.cores)
+
+    def drop(self) -> None:
+        """Delete the index."""
+        for r in self.runs:
+            free(r.spans, r.cores)
+        self.runs = []
 
     def add(self, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Add a batch; returns what it settles, by the batch alone and against each older run.
@@ -189,7 +202,7 @@ class SegmentIndex:
             met = met.join(old, ["core", "span"], "left").withColumn("before", F.least("before", "_least")).drop("_least")
         goes = F.col("before").isNotNull() | in_several(self.rule, F.col("texts"), F.col("least"), F.col("last"))
         goes = materialize(met.where(goes).select("core", "span", F.least("before", "least").alias("first")), "goes")
-        whole = rows.join(goes, ["core", "span"])
+        whole = rows.join(bounded(goes), ["core", "span"])
         whole = (whole if self.rule.anywhere else whole.where(F.col("first") < F.col("doc_id"))).select("doc_id", "core", "span")
         for r in self.runs if self.rule.anywhere else []:  # a segment that only one older text has goes there as well
             whole = whole.unionByName(r.spans.where("texts = 1").join(new.spans.select("core", "span"), ["core", "span"]).select(F.col("least").alias("doc_id"), "core", "span"))
@@ -201,12 +214,12 @@ class SegmentIndex:
                 F.greatest("last", "_last").alias("last"), (F.col("heads") + F.coalesce("_heads", F.lit(0))).alias("heads"))
         several = in_several(self.rule, F.col("heads"), F.col("least"), F.col("last"))
         open_ = materialize(both.where(several & (F.col("low") < F.col("high"))).select("core"), "open-cores")
-        picked = F.broadcast(open_) if self.runs and open_.count() <= BROADCAST_CORES else open_
         verify = new.spans
         for r in self.runs:
             verify = verify.unionByName(r.spans)
-        verify = verify.join(picked, "core", "left_semi").select(F.col("least").alias("doc_id"), "core", "span")
+        verify = verify.join(bounded(open_), "core", "left_semi").select(F.col("least").alias("doc_id"), "core", "span")
         whole, verify = materialize(whole, "whole"), materialize(verify, "verify")
+        free(rows, goes, open_)
         self.runs.append(new)
         return whole, verify
 
@@ -219,11 +232,13 @@ def settle(pool: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     """
     spans = materialize(spans_of(pool), "spans")
     cores = cores_of(spans).where(in_several(rule, F.col("heads"), F.col("least"), F.col("last")) & (F.col("low") < F.col("high")))
-    verify = spans.join(materialize(cores.select("core"), "open-cores"), "core").select(F.col("least").alias("doc_id"), "core", "span")
+    open_ = materialize(cores.select("core"), "open-cores")
+    verify = materialize(spans.join(bounded(open_), "core").select(F.col("least").alias("doc_id"), "core", "span"), "verify")
     goes = materialize(spans.where(in_several(rule, F.col("texts"), F.col("least"), F.col("last"))).select("core", "span", F.col("least").alias("first")), "goes")
-    whole = pool.join(goes, ["core", "span"])
-    whole = (whole if rule.anywhere else whole.where(F.col("first") < F.col("doc_id"))).select("doc_id", "core", "span")
-    return materialize(whole, "whole"), materialize(verify, "verify")
+    whole = pool.join(bounded(goes), ["core", "span"])
+    whole = materialize((whole if rule.anywhere else whole.where(F.col("first") < F.col("doc_id"))).select("doc_id", "core", "span"), "whole")
+    free(spans, open_, goes)
+    return whole, verify
 
 
 #: Ids up to this number (8 bytes each) are broadcast to pick texts by; more are joined by shuffling.
@@ -362,10 +377,15 @@ def removals(docs: DataFrame, whole: DataFrame, verify: DataFrame, rule: Rule) -
     window = F.struct(F.col("first_hash").alias("a"), F.col("second_hash").alias("b"))
     held = materialize(with_keys(docs, verify), "open")
     for level in range(1, len(rule.steps)):
-        finer, verify = settle(materialize(finer_rows(held, rule, level), "finer"), rule)
+        rows = materialize(finer_rows(held, rule, level), "finer")
+        finer, verify = settle(rows, rule)
         whole = whole.unionByName(finer)
-        held = materialize(with_keys(held.drop("keys"), verify), "open")
-    windows = materialize(verified(materialize(window_rows(held, rule), "windows"), rule), "verified")
+        narrower = materialize(with_keys(held.drop("keys"), verify), "open")
+        free(rows, verify, held)
+        held = narrower
+    rows = materialize(window_rows(held, rule), "windows")
+    windows = materialize(verified(rows, rule), "verified")
+    free(rows, held)
     none = F.lit(None).cast("struct<a:long,b:long>")
     both = whole.distinct().select("doc_id", segment.alias("whole"), none.alias("window")).unionByName(windows.select("doc_id", none.alias("whole"), window.alias("window")))
     return both.groupBy("doc_id").agg(F.collect_list("whole").alias("whole"), F.collect_list("window").alias("windows"))
@@ -373,12 +393,16 @@ def removals(docs: DataFrame, whole: DataFrame, verify: DataFrame, rule: Rule) -
 
 def found_removals(docs: DataFrame, batches: list[DataFrame], rule: Rule, fanout: int) -> DataFrame:
     """Index ``batches`` one after another; ``doc_id, whole, windows`` of the rows of ``docs(doc_id, text)`` that lose something."""
-    index = SegmentIndex(docs.sparkSession, rule, fanout)
-    whole, verify = index.add(batches[0])
-    for batch in batches[1:]:
-        more_whole, more_verify = index.add(batch)
+    index, told = SegmentIndex(docs.sparkSession, rule, fanout), []
+    for batch in batches:
+        told.append(index.add(batch))
+    index.drop()
+    whole, verify = told[0]
+    for more_whole, more_verify in told[1:]:
         whole, verify = whole.unionByName(more_whole), verify.unionByName(more_verify)
-    return materialize(removals(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), whole, verify, rule), "removals")
+    found = materialize(removals(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), whole, verify, rule), "removals")
+    free(*(table for pair in told for table in pair))
+    return found
 
 
 def gone_units(part: pa.RecordBatch, rule: Rule) -> Iterator[tuple[bytes, np.ndarray | None]]:

@@ -20,8 +20,8 @@ from .segments import mixed
 from .substrings import in_batches
 
 MATCH = 200
-BATCHES = 4
-STEPS = (96, 8)
+BATCHES = 3
+STEPS = (128, 8)
 BYTE_VALUES = mixed(np.arange(1, 257, dtype=np.uint64))
 
 
