@@ -24,7 +24,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_folder, slices, texts
+from .common import materialize, new_folder, slices, texts
 
 #: An archive is closed once it holds so many compressed bytes.
 ARCHIVE_BYTES = 32_000_000
@@ -46,19 +46,22 @@ def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(page_id: int) -> str:
-    return f"<urn:uuid:{uuid.uuid5(NAMES, f'page:{page_id}')}>"
+def record_id(page_id: int | None, payload: bytes = b"") -> str:
+    """The name of a page's record; without an id it is told by the payload."""
+    return f"<urn:uuid:{uuid.uuid5(NAMES, f'page:{page_id}' if page_id is not None else f'payload:{digest_of(payload)}')}>"
 
 
 def one_line(value: str) -> str:
     return re.sub(r"[\r\n]+", " ", value)
 
 
-def write_record(page_id: int, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
+def write_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
     """One record: the whole payload as a response, or a revisit of ``refers_to`` with HTTP headers only."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Date: {DATE}",
-            f"WARC-Target-URI: {one_line(url or 'urn:none')}", f"WARC-Payload-Digest: sha1:{digest_of(payload)}", f"X-Page-ID: {page_id}"]
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id, payload)}", f"WARC-Date: {DATE}",
+            f"WARC-Target-URI: {one_line(url or 'urn:none')}", f"WARC-Payload-Digest: sha1:{digest_of(payload)}"]
+    if page_id is not None:
+        head.append(f"X-Page-ID: {page_id}")
     block = http + payload
     if refers_to is not None:
         head += [f"WARC-Profile: {REVISIT}", f"WARC-Refers-To: {record_id(refers_to)}", f"X-Refers-To-Page-ID: {refers_to}"]
@@ -138,27 +141,39 @@ def store_of(folder: str) -> tuple[fs.FileSystem, str]:
 
 
 class Window:
-    """A forward view of a stream: bytes not yet consumed, and where they start."""
+    """A forward view of a stream: ``data`` from ``start`` on is not yet consumed; ``at`` says where that is in the stream."""
 
     def __init__(self, stream) -> None:
-        self.stream, self.data, self.at, self.done = stream, b"", 0, False
+        self.stream, self.data, self.start, self.at, self.done = stream, b"", 0, 0, False
+
+    def __len__(self) -> int:
+        return len(self.data) - self.start
 
     def more(self) -> bool:
         block = b"" if self.done else self.stream.read(READ_BYTES)
         self.done = not block
-        self.data += block
+        if block:
+            self.data, self.start = self.data[self.start :] + block, 0
         return bool(block)
 
     def drop(self, n: int) -> None:
-        self.data, self.at = self.data[n:], self.at + n
+        self.start, self.at = self.start + n, self.at + n
+
+    def begins(self, mark: bytes) -> bool:
+        return self.data.startswith(mark, self.start)
+
+    def find(self, mark: bytes, skip: int = 0) -> int:
+        """How far ahead ``mark`` is, at ``skip`` or later; -1 if it isn't in view."""
+        return max(self.data.find(mark, self.start + skip) - self.start, -1)
 
 
 def inflate(window: Window) -> tuple[bytes, int]:
     """What the gzip member at the window's start unpacks to, and its length; the length is 0 if it is damaged or cut off."""
     unpacker, out, fed = zlib.decompressobj(31), [], 0
     while True:
-        while fed < len(window.data) and not unpacker.eof:
-            part = window.data[fed : fed + FEED_BYTES]
+        while fed < len(window) and not unpacker.eof:
+            at = window.start + fed
+            part = window.data[at : at + FEED_BYTES]
             before = unpacker.copy()
             try:
                 out.append(unpacker.decompress(part))
@@ -175,15 +190,15 @@ def inflate(window: Window) -> tuple[bytes, int]:
 
 
 def plain(window: Window) -> tuple[dict, int] | None:
-    """The uncompressed record at the window's start."""
+    """The uncompressed record at the window's start, and its length."""
     while True:
-        if (found := read_record(window.data)) is not None:
-            return found
-        split = window.data.find(END)
-        length = headers(window.data[:split]).get("content-length", "") if split >= 0 else ""
-        if split >= 0 and (not length.isdigit() or len(window.data) >= split + 2 * len(END) + int(length)):
+        if (found := read_record(window.data, window.start)) is not None:
+            return found[0], found[1] - window.start
+        split = window.find(END)
+        length = headers(window.data[window.start : window.start + split]).get("content-length", "") if split >= 0 else ""
+        if split >= 0 and (not length.isdigit() or len(window) >= split + 2 * len(END) + int(length)):
             return None
-        if split < 0 and len(window.data) > READ_BYTES or not window.more():
+        if split < 0 and len(window) > READ_BYTES or not window.more():
             return None
 
 
@@ -197,11 +212,11 @@ def salvage(stream) -> Iterator[tuple[str, object]]:
             yield "gap", (bad_from, window.at - bad_from)
         bad_from = None
 
-    while window.data or window.more():
-        if len(window.data) < len(VERSION):
+    while len(window) or window.more():
+        if len(window) < len(VERSION):
             window.more()
         records, used = [], 0
-        if window.data.startswith(MEMBER):
+        if window.begins(MEMBER):
             data, used = inflate(window)
             records, sound = records_of(data)
             if records and not (used and sound):
@@ -212,7 +227,7 @@ def salvage(stream) -> Iterator[tuple[str, object]]:
             if used and not sound:
                 window.drop(used)
                 continue
-        elif window.data.startswith(VERSION) and (found := plain(window)):
+        elif window.begins(VERSION) and (found := plain(window)):
             records, used = [found[0]], found[1]
         if used:
             yield from gap()
@@ -223,28 +238,40 @@ def salvage(stream) -> Iterator[tuple[str, object]]:
             bad_from = window.at
         skip = 1
         while True:
-            hits = [i for i in (window.data.find(MEMBER, skip), window.data.find(VERSION, skip)) if i >= 0]
+            hits = [i for i in (window.find(MEMBER, skip), window.find(VERSION, skip)) if i >= 0]
             if hits:
                 window.drop(min(hits))
                 break
-            window.drop(max(skip, len(window.data) - len(VERSION) + 1) if len(window.data) >= len(VERSION) else 0)
+            window.drop(max(skip, len(window) - len(VERSION) + 1) if len(window) >= len(VERSION) else 0)
             skip = 0
             if not window.more():
-                window.drop(len(window.data))
+                window.drop(len(window))
                 break
     yield from gap()
 
 
+#: Pages that refer to others are broadcast up to this number (16 bytes each and their digest); more are joined by shuffling.
+BROADCAST_PAGES = 500_000
+
+
 def original_pages(pages: DataFrame) -> DataFrame:
     """``pages`` with ``refers_to``: the least page_id of an equal payload, null for that page itself.
 
-    Payloads are compared by SHA-1 and length. The least id is aggregated before
-    the shuffle; the join's hot payloads are left to adaptive skew splitting.
+    Payloads are compared by SHA-1. The least ids are found on ids and digests
+    alone; the pages themselves meet only what refers to others, by page_id, so a
+    payload that very many pages have makes no task larger. A page without id
+    refers to the least id of its payload; if there is none, it is itself a response.
     """
-    payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha1(payload).alias("_key"))
-    least = pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha1(payload).alias("_key")).groupBy("_key").agg(F.min("page_id").alias("_first"))
-    return keyed.join(least, "_key").select("page_id", "url", "html", F.when(F.col("page_id") != F.col("_first"), F.col("_first")).alias("refers_to"))
+    payload = F.sha1(F.encode(F.coalesce("html", F.lit("")), "UTF-8"))
+    slim = materialize(pages.select(F.col("page_id").cast("long").alias("_id"), payload.alias("_key")), "page-keys")
+    least = slim.groupBy("_key").agg(F.min("_id").alias("_first"), F.count("*").alias("_pages")).where("_pages > 1 and _first is not null").select("_key", "_first")
+    least = materialize(least, "page-firsts")
+    others = materialize(slim.join(least, "_key").where("_id is null or _id <> _first").distinct(), "page-references")
+    if others.count() <= BROADCAST_PAGES:
+        others = F.broadcast(others)
+    keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", payload.alias("_digest"))
+    same = F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_key"))
+    return keyed.join(others, same, "left").select("page_id", "url", "html", F.col("_first").alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
@@ -280,14 +307,16 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
         if sink is not None:
             yield closed()
 
-    return pages.where("page_id is not null").select("page_id", "url", "html", "refers_to").mapInArrow(run, "path string, records long, bytes long")
+    return pages.select("page_id", "url", "html", "refers_to").mapInArrow(run, "path string, records long, bytes long")
 
 
-def read_archives(archives: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
+def read_archives(archives: DataFrame, folder: str, payloads: bool = True, whole: bool = False) -> DataFrame:
     """Records and gaps of ``archives(path)`` in ``folder``: RECORD columns, path, gap_offset and gap_bytes.
 
     A row is a record (gap columns null) or a quarantined gap (record columns null).
     Archives are streamed in blocks, so memory is bounded by the largest record.
+    ``whole``: each archive must give as many records as column ``records`` says,
+    without a gap; otherwise the job fails.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,10 +328,12 @@ def read_archives(archives: DataFrame, folder: str, payloads: bool = True) -> Da
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [*names, "path", "gap_offset", "gap_bytes"])
 
         for batch in batches:
-            for path in batch.column("path").to_pylist():
-                rows, held = [], 0
+            wanted = batch.column("records").to_pylist() if whole else [None] * batch.num_rows
+            for path, expected in zip(batch.column("path").to_pylist(), wanted, strict=True):
+                rows, held, read, gaps = [], 0, 0, 0
                 with store.open_input_stream(f"{root}/{path}", compression=None) as stream:
                     for kind, x in salvage(stream):
+                        read, gaps = read + (kind == "record"), gaps + (kind == "gap")
                         if kind == "gap":
                             rows.append((None,) * 6 + (path, *x))
                         else:
@@ -313,17 +344,21 @@ def read_archives(archives: DataFrame, folder: str, payloads: bool = True) -> Da
                             rows, held = [], 0
                 if rows:
                     yield rows_of(rows)
+                if whole and (gaps or read != expected):
+                    raise ValueError(f"{path}: {read} of {expected} records and {gaps} gaps")
 
-    return archives.select("path").mapInArrow(run, RECORD + ", path string, gap_offset long, gap_bytes long")
+    return archives.select("path", *["records"] * whole).mapInArrow(run, RECORD + ", path string, gap_offset long, gap_bytes long")
 
 
 def archive_round_trip(pages: DataFrame) -> DataFrame:
     """Write all ``pages`` as WARC records in the shared folder and read the archives back.
 
     Gives page_id, payload_bytes, payload_digest (of the full payload), record_type
-    and refers_to. A null html is an empty payload; empty payloads equal each
-    other. Rows without page_id have no record. Rows that repeat a page_id are
-    each written. An empty table gives no rows.
+    and refers_to, a row for each page. A null html is an empty payload; empty
+    payloads equal each other. A page without page_id has a record without one, a
+    revisit if a page with an id has its payload. Rows that repeat a page_id are
+    each written; of one payload they are responses alike if theirs is the least
+    id. An empty table gives no rows. A record that doesn't come back fails the job.
     """
     spark = pages.sparkSession
     folder = new_folder(spark, "warc")
@@ -331,8 +366,9 @@ def archive_round_trip(pages: DataFrame) -> DataFrame:
     write_archives(original_pages(pages), folder).write.parquet(listing)
     archives = spark.read.schema("path string, records long, bytes long").parquet(listing)
     spread = archives.repartition(spark.sparkContext.defaultParallelism * 4)
-    return read_archives(spread, folder, payloads=False).where("gap_bytes is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read_archives(spread, folder, payloads=False, whole=True).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def warc_query(spark: SparkSession, pages: DataFrame) -> DataFrame:
+    """``archive_round_trip`` of all pages; its docstring states what null, empty and repeated rows give."""
     return archive_round_trip(pages)

@@ -5,6 +5,7 @@ import hashlib
 import io
 import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -27,6 +28,25 @@ def test_round_trip(spark):
     assert warc.archive_round_trip(pages.limit(0)).count() == 0
 
 
+def test_pages_without_an_id_and_with_one_id(spark, monkeypatch):
+    """Every page has a row; both ways to join give the same."""
+    rows = [(None, "u", "<p>x</p>"), (None, "u", "alone"), (None, "v", "alone"), (4, "u", "<p>x</p>"), (4, "u", "<p>x</p>"), (4, "u", "other"), (9, "u", "<p>x</p>"), (9, "u", "other"), (9, "u", None), (None, "u", "")]
+    want = sorted([(None, 8, "revisit", 4), (None, 5, "response", None), (None, 5, "response", None), (4, 8, "response", None), (4, 8, "response", None), (4, 5, "response", None), (9, 8, "revisit", 4), (9, 5, "revisit", 4), (9, 0, "response", None), (None, 0, "revisit", 9)], key=str)
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    for bound in (warc.BROADCAST_PAGES, 0):
+        monkeypatch.setattr(warc, "BROADCAST_PAGES", bound)
+        got = warc.archive_round_trip(pages).collect()
+        assert sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in got), key=str) == want
+
+
+def test_an_archive_that_lost_a_record_fails_the_round_trip(spark):
+    folder = new_folder(spark, "short")
+    listing = warc.write_archives(warc.original_pages(spark.createDataFrame(PAGES, "page_id long, url string, html string")).coalesce(1), folder)
+    told = spark.createDataFrame([(r.path, r.records + 1, r.bytes) for r in listing.collect()], "path string, records long, bytes long")
+    with pytest.raises(Exception, match="of 9 records and 0 gaps"):
+        warc.read_archives(told, folder, whole=True).collect()
+
+
 def members(n=40):
     return [warc.member_of(warc.write_record(i, f"http://x/{i}", b"page %d " % i * (i * 17 % 400), None)) for i in range(n)]
 
