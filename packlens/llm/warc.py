@@ -34,6 +34,8 @@ FEED_BYTES = 65_536
 MEMBER = b"\x1f\x8b\x08"
 VERSION = b"WARC/1."
 END = b"\r\n\r\n"
+#: The last header of this writer's records: a digest of those before it, which a block's digest doesn't cover.
+HEAD_DIGEST = b"\r\nX-Head-Digest: sha1:"
 #: Profile of a revisit, and how record ids are named.
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
@@ -67,7 +69,8 @@ def write_record(page_id: int | None, url: str | None, payload: bytes, refers_to
         head += [f"WARC-Profile: {REVISIT}", f"WARC-Refers-To: {record_id(refers_to)}", f"X-Refers-To-Page-ID: {refers_to}"]
         block = http
     head += [f"WARC-Block-Digest: sha1:{digest_of(block)}", "Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
-    return "\r\n".join(head).encode() + END + block + END
+    lines = "\r\n".join(head).encode()
+    return lines + HEAD_DIGEST + digest_of(lines).encode() + END + block + END
 
 
 def member_of(record: bytes) -> bytes:
@@ -98,7 +101,10 @@ def read_record(data: bytes, at: int = 0) -> tuple[dict, int] | None:
     """
     if data[at : at + len(VERSION)] != VERSION or (split := data.find(END, at)) < 0:
         return None
-    head = headers(data[at:split])
+    lines, told, digits = data[at:split].partition(HEAD_DIGEST)
+    if told and digits != digest_of(lines).encode():
+        return None
+    head = headers(lines)
     length = head.get("content-length", "")
     if not length.isascii() or not length.isdigit() or not head.get("warc-type") or not head.get("warc-record-id"):
         return None
