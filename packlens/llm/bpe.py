@@ -3,12 +3,15 @@
 The distinct new words of a batch lie in one flat symbol array. In each round the
 adjacent pairs of all words are looked up by binary search over the sorted pair
 keys, every word merges its lowest-ranked pair wherever it occurs (left to right),
-and words without a mergeable pair leave the array.
+and words without a mergeable pair leave the array. A round costs as much as the
+array, and a word takes as many rounds as it has ranks to merge, so the few words of
+over LONG bytes make the same merges one by one from a queue instead.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -25,6 +28,8 @@ from .common import slices
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Distinct words that a worker remembers before it starts anew.
 REMEMBERED = 200_000
+#: Bytes of a word from which on its pairs wait in a queue.
+LONG = 2_000
 NO_RANK = np.iinfo(np.int64).max
 
 
@@ -62,6 +67,7 @@ class Codec:
         made = np.array([vocab[a + b] for a, b in merges], np.int64)
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks, self.made = keys[order], order, made[order]
+        self.pairs = dict(zip(keys.tolist(), zip(range(len(made)), made.tolist(), strict=True), strict=True))
         self.words = regex.compile(WORDS)
         self.cuts = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.odd = self.other_classes(content)
@@ -95,8 +101,45 @@ class Codec:
             return [text[m.start() : m.end()] for m in self.words.finditer(text.translate(self.odd))]
         return self.words.findall(text)
 
+    def merge_long(self, word: bytes) -> np.ndarray:
+        """Symbols of one word after merging: always the leftmost pair of least rank, from a queue; a merge costs the logarithm of the length."""
+        symbols = self.byte_ids[np.frombuffer(word, np.uint8)].tolist()
+        n, known = len(symbols), self.pairs
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        queue = []
+        for i in range(n - 1):
+            if pair := known.get(symbols[i] << 32 | symbols[i + 1]):
+                queue.append(pair[0] << 32 | i)
+        heapq.heapify(queue)
+        while queue:
+            rank, i = divmod(heapq.heappop(queue), 1 << 32)
+            j = after[i]
+            if symbols[i] < 0 or j >= n:
+                continue
+            pair = known.get(symbols[i] << 32 | symbols[j])
+            if pair is None or pair[0] != rank:
+                continue
+            symbols[i], symbols[j] = pair[1], -1
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                if pair := known.get(symbols[i] << 32 | symbols[k]):
+                    heapq.heappush(queue, pair[0] << 32 | i)
+            if (h := before[i]) >= 0 and (pair := known.get(symbols[h] << 32 | symbols[i])):
+                heapq.heappush(queue, pair[0] << 32 | h)
+        return np.array([x for x in symbols if x >= 0], np.int64)
+
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Symbols of all ``words`` after merging, flat, and how many each has."""
+        if long := {i: self.merge_long(w) for i, w in enumerate(words) if len(w) > LONG}:
+            flat, counts = self.merge_rounds([w for i, w in enumerate(words) if i not in long])
+            rest = iter(np.split(flat, np.cumsum(counts)[:-1])) if len(counts) else iter(())
+            parts = [long[i] if i in long else next(rest) for i in range(len(words))]
+            return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
+        return self.merge_rounds(words)
+
+    def merge_rounds(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """``merge`` in rounds over the symbols of all words at once."""
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         symbols = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
         owner = np.repeat(np.arange(len(words)), lengths)
@@ -244,4 +287,5 @@ def default_vocabulary() -> str:
 
 
 def bpe_query(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """``bpe_round_trip`` with the default vocabulary; its docstring states what null, empty and repeated rows give."""
     return bpe_round_trip(docs, default_vocabulary())

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -95,7 +96,8 @@ def compare(ids: list, docs: list[str], following: list[str], codes: np.ndarray,
 
 
 def in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Results for all rows of a sorted partition but the last, and its first and last text for the seams."""
+    """Results for all rows of a sorted partition but the last, and its first and last text, with the partition's number, for the seams."""
+    number = TaskContext.get().partitionId()
     held: tuple | None = None  # id, text, code of the row before
     for batch in batches:
         for part in slices(batch, "text"):
@@ -103,22 +105,22 @@ def in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             docs = [x or "" for x in part.column("text").to_pylist()]
             codes = quartile_codes([x.encode() for x in docs])
             if held is None:
-                yield seam(ids[0], docs[0], 0)
+                yield seam(ids[0], docs[0], 0, number)
             else:
                 ids, docs, codes = [held[0], *ids], [held[1], *docs], np.concatenate([held[2], codes])
             held = (ids[-1], docs[-1], codes[-1:])
             if len(ids) > 1:
                 rows = compare(ids[:-1], docs[:-1], docs[1:], codes[:-1], codes[1:])
-                extra = [pa.nulls(rows.num_rows, pa.string()), pa.nulls(rows.num_rows, pa.int32())]
-                yield pa.RecordBatch.from_arrays([*rows.columns, *extra], [*rows.schema.names, "text", "side"])
+                extra = [pa.nulls(rows.num_rows, t) for t in (pa.string(), pa.int32(), pa.int32())]
+                yield pa.RecordBatch.from_arrays([*rows.columns, *extra], [*rows.schema.names, "text", "side", "range"])
     if held is not None:
-        yield seam(held[0], held[1], 1)
+        yield seam(held[0], held[1], 1, number)
 
 
-def seam(doc_id: int | None, text: str, side: int) -> pa.RecordBatch:
-    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.string(), pa.int32()]
-    values = [doc_id, None, None, None, None, None, None, text, side]
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "text", "side"]
+def seam(doc_id: int | None, text: str, side: int, number: int) -> pa.RecordBatch:
+    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.string(), pa.int32(), pa.int32()]
+    values = [doc_id, None, None, None, None, None, None, text, side, number]
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "text", "side", "range"]
     return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names)
 
 
@@ -140,20 +142,23 @@ def fingerprint_with_edits(docs: DataFrame) -> DataFrame:
 
     The texts are dealt once by range of doc_id, and pairs inside a range are
     compared as they stream by. Only the first and last row of each range, two
-    rows a partition, are kept for a second step that joins the ranges' ends.
+    rows a partition, are kept for a second step that joins the ranges' ends by number.
     """
     spark = docs.sparkSession
     order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text")]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     dealt = rows.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
-    found = materialize(dealt.mapInArrow(in_order, RESULT + ", text string, side int"), "digests")
+    found = materialize(dealt.mapInArrow(in_order, RESULT + ", text string, side int, range int"), "digests")
     seams = found.where("side is not null")
-    line = Window.orderBy(F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), "side")  # two rows a partition
-    first = F.first("text").over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    pairs = seams.withColumn("following", F.coalesce(F.lead("text").over(line), first)).where("side = 1")
+    line = Window.orderBy("range")  # one number a partition, without texts
+    first = F.first("range").over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    after = seams.where("side = 0").select("range").withColumn("next", F.coalesce(F.lead("range").over(line), first))
+    heads = seams.where("side = 0").select(F.col("range").alias("next"), F.col("text").alias("following"))
+    pairs = seams.where("side = 1").join(after, "range").join(heads, "next")
     ends = pairs.select("doc_id", "text", "following").mapInArrow(across_seams, RESULT)
-    return found.where("side is null").drop("text", "side").unionByName(ends)
+    return found.where("side is null").drop("text", "side", "range").unionByName(ends)
 
 
 def fingerprint_query(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """``fingerprint_with_edits`` of all documents; its docstring states what null, empty and repeated rows give."""
     return fingerprint_with_edits(docs)

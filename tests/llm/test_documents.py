@@ -1,6 +1,8 @@
 """Operators 1, 2 and 5: one result per row, checked row by row."""
 
 import hashlib
+import math
+import time
 import zlib
 from collections import Counter
 
@@ -33,6 +35,46 @@ def test_edited_texts_and_digests(spark):
     assert (apart.near_edited > apart.near_next).mean() > 0.95
 
 
+def slow_codes(text):
+    """Quartile codes and length code of a text, from the definition."""
+    data = text.encode()
+    counts = [0] * 256
+    for a, b, c, factor in digests.TRIPLETS:
+        for i in range(len(data) - c):
+            x = (data[i + a] << 16 | data[i + b] << 8 | data[i + c]) * factor % 2**32
+            counts[(x ^ x >> 15) * 0x2C1B3C6D % 2**32 >> 24] += 1
+    ordered = sorted(counts)
+    return [sum(n > ordered[q] for q in (63, 127, 191)) for n in counts], min(255, round(12 * math.log2(len(data) + 1)))
+
+
+def slow_digest(codes, length):
+    return f"{length:02x}" + "".join(f"{codes[i] << 6 | codes[i + 1] << 4 | codes[i + 2] << 2 | codes[i + 3]:02x}" for i in range(0, 256, 4))
+
+
+def slow_likeness(a, b):
+    return 1 - min(1, sum(abs(x - y) for x, y in zip(a[0], b[0], strict=True)) / (1.25 * 256) + min(abs(a[1] - b[1]), 96) / (32 * 12))
+
+
+def test_digests_and_likeness_by_brute_force(spark):
+    """Also with as many ranges as rows, where every pair meets at a seam."""
+    rows = [r[:2] for r in samples.documents() if r[0] < 10_000 and len(r[1] or "") < 3000]
+    order = sorted(rows, key=lambda r: -r[0])
+    want = {}
+    for (i, a), (_, b) in zip(order, order[1:] + order[:1], strict=True):
+        a, b = a or "", b or ""
+        new = a[: len(a) - len(a) // 3] + b[: len(a) // 3]
+        x, y, z = slow_codes(a), slow_codes(new), slow_codes(b)
+        want[i] = (slow_digest(*x), slow_digest(*y), pytest.approx(slow_likeness(x, y)), pytest.approx(slow_likeness(x, z)))
+    df = samples.frame(spark, [(i, t, None) for i, t in rows])
+    for parts in ("8", "150"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            got = digests.fingerprint_with_edits(df).collect()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "8")
+        assert {r.doc_id: (r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next) for r in got} == want
+
+
 def test_digest_of_few_rows(spark):
     assert digests.fingerprint_with_edits(samples.empty(spark)).count() == 0
     one = digests.fingerprint_with_edits(samples.frame(spark, [(5, "abcdef", None)])).first()
@@ -82,6 +124,22 @@ def test_bpe_on_odd_characters():
         assert own.tolist() == library.encode(t, add_special_tokens=False).ids
 
 
+def test_long_unbroken_words():
+    """As the library has them, in a time that follows the length."""
+    import random
+
+    path = bpe.default_vocabulary()
+    codec, library = bpe.Codec(open(path, "rb").read()), Tokenizer.from_file(path)
+    rng = random.Random(2)
+    words = ["".join(rng.choices(letters, k=n)) for letters, n in (("abcdefghijklmnopqrstuvwxyz", 200_000), ("ab", 5_000), ("a", 4_001), ("etaoin", 2_001), ("äöé", 3_000))]
+    words += [w[:1_990] for w in words]
+    began = time.perf_counter()
+    ids, counts = codec.encode(["x ".join([*words[:3], "short"]), *words])
+    assert time.perf_counter() - began < 20
+    for text, own in zip(["x ".join([*words[:3], "short"]), *words], np.split(ids, np.cumsum(counts)[:-1]), strict=True):
+        assert own.tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_media_hold_the_texts(spark):
     got = Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in media.media_query(spark, samples.frame(spark, extra=True)).collect())
     want = Counter()
