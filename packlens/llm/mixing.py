@@ -157,4 +157,5 @@ def apply_mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), sha
 
 
 def mix_query(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """``mix_sources`` of all documents; its docstring states what null, empty and repeated rows give."""
     return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken", "copies")

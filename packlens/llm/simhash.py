@@ -2,8 +2,8 @@
 
 Fingerprints of a group are stored as vertical bit planes (plane i holds bit i of
 64 documents in each word). A query's differing bits are added to two-bit
-carry-save counters for all documents at once, and a block is left as soon as
-every counter has passed the radius.
+carry-save counters for all documents at once, and a block of 64 documents is left
+as soon as all of its counters have passed the radius for all queries at hand.
 """
 
 from __future__ import annotations
@@ -57,36 +57,49 @@ def planes_of(prints: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view("<u8")
 
 
-def within_radius(queries: np.ndarray, planes: np.ndarray, radius: int) -> np.ndarray:
+def within_radius(queries: np.ndarray, planes: np.ndarray, radius: int, looked_at: list[int] | None = None) -> np.ndarray:
     """For each query a row of words whose bits mark the documents at ``radius`` or fewer differing bits.
 
     The counters are bit-sliced: ``width`` words count up to 2**width - 1 and
     start at 2**width - 1 - radius, so that a carry out of the top one marks a
-    document beyond the radius for good.
+    document beyond the radius for good. Blocks, columns of ``planes``, all of whose
+    documents are beyond it for all queries are abandoned after every eighth plane.
+    ``looked_at`` gets how many blocks each plane was compared in.
     """
     width = max(1, int(radius).bit_length())
     ones = ~np.uint64(0)
-    shape = (len(queries), planes.shape[1])
     start = (1 << width) - 1 - radius
+    left = np.arange(planes.shape[1])
+    shape = (len(queries), len(left))
     counters = [np.full(shape, ones if start >> i & 1 else np.uint64(0)) for i in range(width)]
     beyond = np.zeros(shape, np.uint64)
     for i in range(64):
+        if looked_at is not None:
+            looked_at.append(len(left))
         flip = np.where(queries >> np.uint64(i) & np.uint64(1), ones, np.uint64(0))
-        carry = planes[i][None, :] ^ flip[:, None]
+        carry = planes[i][left][None, :] ^ flip[:, None]
         for c in counters:
             c ^= carry
             carry &= ~c
         beyond |= carry
-        if i % 8 == 7 and (beyond == ones).all():
-            break
-    return ~beyond
+        if i % 8 == 7:
+            near = (beyond != ones).any(axis=0)
+            if not near.all():
+                left, beyond, counters = left[near], beyond[:, near], [c[:, near] for c in counters]
+                if not len(left):
+                    break
+    out = np.zeros(shape, np.uint64)
+    out[:, left] = ~beyond
+    return out
 
 
 def links_within(prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Star links (index, least index of its group) of the graph that links ``prints`` at ``radius`` or fewer bits.
 
-    All prints are compared, block by block; groups are merged on the fly, so at
-    most one link a print is returned whatever the number of close pairs.
+    All prints are compared: a strip of 64 with itself bit by bit, and with what
+    comes after it bit-sliced, so that its own distance of 0 keeps no block alive.
+    Groups are merged on the fly, so at most one link a print is returned whatever
+    the number of close pairs.
     """
     n = len(prints)
     root = np.arange(n)
@@ -97,17 +110,25 @@ def links_within(prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarra
             i = root[i]
         return int(i)
 
+    def link(rows: np.ndarray, cols: np.ndarray) -> None:
+        for x, y in zip(rows.tolist(), cols.tolist(), strict=True):
+            a, b = find(x), find(y)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+
+    for q in range(0, n, STRIP):
+        strip = prints[q : q + STRIP]
+        rows, cols = np.nonzero(np.bitwise_count(strip[:, None] ^ strip[None, :]) <= radius)
+        link(q + rows[rows < cols], q + cols[rows < cols])
     for at in range(0, n, BLOCK):
         block = prints[at : at + BLOCK]
         planes = planes_of(block)
-        for q in range(0, min(at + BLOCK, n), STRIP):
-            queries = prints[q : q + STRIP]
-            bits = np.unpackbits(within_radius(queries, planes, radius).view(np.uint8), axis=1, bitorder="little")[:, : len(block)]
-            for row, col in zip(*(x.tolist() for x in np.nonzero(bits)), strict=True):
-                if q + row < at + col:
-                    a, b = find(q + row), find(at + col)
-                    if a != b:
-                        root[max(a, b)] = min(a, b)
+        for q in range(0, min(at + BLOCK, n) - STRIP, STRIP):
+            first = max(0, (q - at) // STRIP + 1)  # words of the block that come after the strip
+            bits = within_radius(prints[q : q + STRIP], planes[:, first:], radius)
+            if bits.any():
+                rows, cols = np.nonzero(np.unpackbits(bits.view(np.uint8), axis=1, bitorder="little")[:, : len(block) - first * STRIP])
+                link(q + rows, at + first * STRIP + cols)
     stars = np.array([find(i) for i in range(n)], dtype=np.int64)
     other = np.nonzero(stars != np.arange(n))[0]
     return other, stars[other]
@@ -158,8 +179,9 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.array([fingerprint(shingle_hashes(x, words)) for x in texts(batch.column("text"))], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints.view(np.int64))], ["doc_id", "print"])
+            for part in slices(batch, "text"):
+                prints = np.array([fingerprint(shingle_hashes(x, words)) for x in texts(part.column("text"))], np.uint64)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(prints.view(np.int64))], ["doc_id", "print"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, print long")
 
@@ -189,8 +211,18 @@ def print_components(prints: DataFrame, radius: int = 2) -> DataFrame:
     spread = keyed.repartition(shuffle_partitions(prints.sparkSession), "k", "key").sortWithinPartitions("k", "key")
     found = connected_components(spread.mapInArrow(bucket_links(radius), "a long, b long"))
     grouped = nodes.join(found.withColumnRenamed("node", "print"), "print", "left").select("print", "first_id", F.coalesce("component", "print").alias("component"))
-    least = grouped.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    return grouped.join(least, "component").select("print", "component_id")
+    return with_least(grouped).select("print", "component_id")
+
+
+def with_least(grouped: DataFrame) -> DataFrame:
+    """``grouped(component, first_id)`` with the least first_id of each component as ``component_id``.
+
+    Components of one row, most of them, have their own. Of the others the least are
+    written before they are joined, so that a large component can be split.
+    """
+    grouped = materialize(grouped, "components")
+    least = grouped.groupBy("component").agg(F.min("first_id").alias("component_id"), F.count("*").alias("rows")).where("rows > 1").select("component", "component_id")
+    return grouped.join(materialize(least, "leasts"), "component", "left").withColumn("component_id", F.coalesce("component_id", "first_id"))
 
 
 def simhash_components(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
@@ -325,11 +357,11 @@ def links_across(docs: DataFrame, split: DataFrame, linked: DataFrame, words: in
     clusters = split.join(linked.select("node", F.col("component").alias("cluster")), "node", "left").withColumn("cluster", F.coalesce("cluster", "node"))
     clusters = materialize(clusters.select("component", "cluster", "node", "first_id", "shingles", "parts"), "clusters")
     sizes = clusters.groupBy("component", "cluster").agg(F.count("*").alias("size"))
-    largest = sizes.groupBy("component").agg(F.max(F.struct("size", "cluster")).getField("cluster").alias("largest"))
+    largest = materialize(sizes.groupBy("component").agg(F.max(F.struct("size", "cluster")).getField("cluster").alias("largest")), "largest")
     told = materialize(clusters.join(largest, "component").withColumn("rest", F.col("cluster") != F.col("largest")), "rest")
     counts = told.where("rest").groupBy("component").agg(F.count("*").alias("size"), F.sum("shingles").alias("held"))
     blocks = F.greatest(F.ceil(F.col("size") / F.lit(PART)), F.ceil(F.col("held") / F.lit(PART_SHINGLES)), F.lit(1)).cast("int")
-    dealt = told.join(counts.select("component", blocks.alias("blocks")), "component")
+    dealt = told.join(materialize(counts.select("component", blocks.alias("blocks")), "blocks"), "component")
     every = dealt.select("component", "first_id", "node", salt("parts").alias("part"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     rest = dealt.where("rest").select("component", "first_id", "node", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), salt("blocks").alias("block"))
     return links_of_texts(docs, every.union(rest).distinct(), ["component", "part", "block"], words, similarity)
@@ -373,8 +405,7 @@ def near_duplicate_groups(docs: DataFrame, words: int = NEAR_WORDS, similarity:
         across = links_across(docs, in_buckets(sized.where("parts > 1"), nodes), linked, words, similarity)
         linked = connected_components(linked.select(F.col("node").alias("a"), F.col("component").alias("b")).union(across))
     grouped = nodes.select("node", "first_id").join(linked, "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("component"))
-    least = grouped.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = grouped.join(least, "component").select("node", "component_id")
+    named = with_least(grouped).select("node", "component_id")
     return rows.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
 
 
@@ -394,5 +425,6 @@ def drop_near_duplicates(docs: DataFrame, words: int = NEAR_WORDS, similarity: f
 
 
 def simhash_query(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """``simhash_components`` of all documents; its docstring states what null, empty and repeated rows give."""
     found = simhash_components(docs)
     return found.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")

@@ -83,4 +83,5 @@ def dedup_texts(docs: DataFrame, batches: int = BATCHES, window: int = WINDOW, f
 
 
 def substring_query(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """``dedup_words`` of all documents; its docstring states what null, empty and repeated rows give."""
     return dedup_words(docs)

@@ -51,4 +51,5 @@ def dedup_bytes(docs: DataFrame, batches: int = BATCHES, match: int = MATCH) ->
 
 
 def suffix_query(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """``dedup_bytes`` of all documents; its docstring states what null, empty and repeated rows give."""
     return dedup_bytes(docs)

@@ -172,3 +172,21 @@ def test_large_groups_are_searched_by_bucket(spark, monkeypatch):
     assert {r.component_id for r in got} == {0}
     assert seen and all(set.intersection(*[keys[n] for n in r.nodes]) for r in seen)
     assert "InArrow" not in simhash.bucket_stars(spark.createDataFrame([(0, 1, 2)], "k int, key long, node long"))._jdf.queryExecution().toString()
+
+
+def test_blocks_are_abandoned_without_losing_a_pair():
+    """Of unrelated prints few blocks are compared in all planes, and links are those of all pairs."""
+    rng = np.random.default_rng(8)
+    prints = rng.integers(0, 1 << 63, 1500, dtype=np.uint64) * np.uint64(2)
+    prints[700:760] = prints[:60] ^ np.uint64(1 << 17) ^ np.uint64(1 << 40)
+    prints[1499] = prints[63]
+    looked_at = []
+    simhash.within_radius(prints[:64], simhash.planes_of(prints[64:]), 2, looked_at)
+    assert len(looked_at) == 64 and looked_at[0] == 23 and looked_at[40] <= 3
+    looked_at.clear()
+    simhash.within_radius(prints[128:192], simhash.planes_of(prints[192:640]), 2, looked_at)
+    assert len(looked_at) < 64
+    near = np.bitwise_count(prints[:, None] ^ prints[None, :]) <= 2
+    want = groups(range(1500), lambda a, b: near[a, b])
+    x, y = simhash.links_within(prints, 2)
+    assert dict(zip(x.tolist(), y.tolist(), strict=True)) == {i: g for i, g in want.items() if i != g}
