@@ -6,6 +6,7 @@ Unicode classes; ``(?i)`` marks those that ignore case.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -41,6 +42,12 @@ def first_truthy(*values: Column) -> Column:
     return F.coalesce(*[F.when(v != "", v) for v in values])
 
 
+def bound(f: Callable[..., Column], *values: Column) -> Column:
+    """``f`` of the values, each evaluated once however often ``f`` uses it: a lambda variable isn't expanded again."""
+    packed = F.struct(*[v.alias(f"v{i}") for i, v in enumerate(values)])
+    return F.get(F.transform(F.array(packed), lambda s: f(*[s[f"v{i}"] for i in range(len(values))])), F.lit(0))
+
+
 def strip(value: Column) -> Column:
     """White space off both ends, as Unicode has it."""
     return F.regexp_replace(value, r"(?U)^\s+|\s+$", "")
@@ -54,14 +61,18 @@ def lenient_text(text: Column) -> Column:
 
 
 def price(text: Column) -> Column:
-    """``value, raw``: the first price after a keyword or currency; else the largest decimal price from 10 to 99999."""
-    raw = found(text, fixed.MRP)
-    digits = F.coalesce(found(text, fixed.MRP, 1), found(text, fixed.MRP, 2))
-    value = F.replace(digits, F.lit(","), F.lit(".")).try_cast("double")
+    """``value, raw``: the first price after a keyword or currency; else the largest decimal price from 10 to 99999.
+
+    The text is searched once for each; the digits are read from the short match.
+    """
     decimals = F.transform(F.regexp_extract_all(text, pattern(fixed.DECIMAL_PRICE, False), 1), lambda x: x.try_cast("double"))
     best = F.array_max(F.filter(decimals, lambda x: x.between(10.0, 99999.0)))
-    return F.when(value.isNotNull(), F.struct(value.alias("value"), raw.alias("raw"))).otherwise(
-        F.struct(best.alias("value"), F.when(best.isNotNull(), F.format_string("₹ %.2f", best)).alias("raw")))
+
+    def chosen(raw: Column, best: Column) -> Column:
+        return bound(lambda value: F.struct(F.coalesce(value, best).alias("value"), F.when(value.isNotNull(), raw).otherwise(F.when(best.isNotNull(), F.format_string("₹ %.2f", best))).alias("raw")),
+                     F.replace(F.coalesce(found(raw, fixed.MRP, 1), found(raw, fixed.MRP, 2)), F.lit(","), F.lit(".")).try_cast("double"))
+
+    return bound(chosen, found(text, fixed.MRP), best)
 
 
 def label_unit(unit: Column) -> Column:
@@ -73,12 +84,16 @@ def net_quantity(text: Column) -> Column:
 
     The text is searched once; the groups are read from the short match.
     """
-    raw = found(text, fixed.NET_QUANTITY)
-    group = [raw, *[found(raw, fixed.NET_QUANTITY, i) for i in range(1, 10)]]
-    number = [F.nullif(g, F.lit("")).try_cast("double") for g in group]
-    value = F.coalesce(number[1], number[3] * number[4], number[6], number[8])
-    unit = F.coalesce(group[2], group[5], group[7], group[9])
-    return F.struct(value.alias("value"), F.when(value.isNotNull(), label_unit(unit)).alias("unit"), F.when(value.isNotNull(), group[0]).alias("raw"))
+
+    def parts(raw: Column) -> Column:
+        return bound(shaped, raw, *[found(raw, fixed.NET_QUANTITY, i) for i in range(1, 10)])
+
+    def shaped(raw: Column, *group: Column) -> Column:
+        number = [g.try_cast("double") for g in group]
+        value = F.coalesce(number[0], number[2] * number[3], number[5], number[7])
+        return bound(lambda v, unit: F.struct(v.alias("value"), F.when(v.isNotNull(), label_unit(unit)).alias("unit"), F.when(v.isNotNull(), raw).alias("raw")), value, F.coalesce(group[1], group[4], group[6], group[8]))
+
+    return bound(parts, found(text, fixed.NET_QUANTITY))
 
 
 def licence(text: Column) -> Column:
@@ -91,15 +106,17 @@ def licence(text: Column) -> Column:
 
 def dates(text: Column) -> Column:
     """``made, expires, best_before``: by keyword, a duration being a best-before; else from the first two date-like words."""
-    made = strip(found(text, fixed.MADE_ON, 1))
-    after = strip(found(text, fixed.EXPIRES_ON, 1))
-    lasts = F.coalesce(after.rlike(ANY_CASE + fixed.DURATION), F.lit(False))
-    expires = F.when(~lasts, after)
-    words = F.regexp_extract_all(text, pattern(fixed.ANY_DATE), 1)
-    made_or = F.coalesce(made, F.get(words, F.lit(0)))
-    second = F.get(words, F.lit(1))
-    expires_or = F.coalesce(expires, F.when(second != F.coalesce(made_or, F.lit("")), second))
-    return F.struct(made_or.alias("made"), expires_or.alias("expires"), F.when(lasts, after).alias("best_before"))
+
+    def shaped(made: Column, after: Column, words: Column, lasts: Column) -> Column:
+        made_or = F.coalesce(made, F.get(words, F.lit(0)))
+        second = F.get(words, F.lit(1))
+        expires_or = F.coalesce(F.when(~lasts, after), F.when(second != F.coalesce(made_or, F.lit("")), second))
+        return F.struct(made_or.alias("made"), expires_or.alias("expires"), F.when(lasts, after).alias("best_before"))
+
+    def read(made: Column, after: Column, words: Column) -> Column:
+        return bound(shaped, made, after, words, F.coalesce(after.rlike(ANY_CASE + fixed.DURATION), F.lit(False)))
+
+    return bound(read, strip(found(text, fixed.MADE_ON, 1)), strip(found(text, fixed.EXPIRES_ON, 1)), F.regexp_extract_all(text, pattern(fixed.ANY_DATE), 1))
 
 
 def party(text: Column, role: str) -> Column:
@@ -107,24 +124,26 @@ def party(text: Column, role: str) -> Column:
     after = F.get(F.split(text, ANY_CASE + fixed.PARTY[role], 2), F.lit(1))
     block = strip(F.get(F.split(F.substring(after, 1, 200), ANY_CASE + fixed.PARTY_END, 2), F.lit(0)))
     lines = F.filter(F.transform(F.split(block, "\n"), strip), lambda x: x != "")
-    address = F.when(F.size(lines) > 1, F.array_join(F.slice(lines, 2, 200), ", "))
-    return F.struct(F.get(lines, F.lit(0)).alias("name"), address.alias("address"))
+    address = lambda held: F.when(F.size(held) > 1, F.array_join(F.slice(held, 2, 200), ", "))
+    return bound(lambda held: F.struct(F.get(held, F.lit(0)).alias("name"), address(held).alias("address")), lines)
 
 
 def parties(text: Column) -> Column:
     """Names and addresses of manufacturer, packer and importer; a marketer stands in for a missing manufacturer."""
-    made, marketed = party(text, "manufacturer"), party(text, "marketer")
-    maker = F.when(made["name"].isNotNull(), made).otherwise(marketed)
+    maker = bound(lambda made: F.when(made["name"].isNotNull(), made).otherwise(party(text, "marketer")), party(text, "manufacturer"))
     return F.struct(maker.alias("manufacturer"), party(text, "packer").alias("packer"), party(text, "importer").alias("importer"))
 
 
 def consumer_care(text: Column) -> Column:
     """``phone, email``: first in the 200 characters from the care keyword, else in the whole text."""
+
+    def read(region: Column) -> Column:
+        phone = F.coalesce(found(region, fixed.PHONE, 0, False), found(text, fixed.PHONE, 0, False))
+        email = F.coalesce(found(region, fixed.EMAIL), found(text, fixed.EMAIL))
+        return F.struct(strip(phone).alias("phone"), strip(email).alias("email"))
+
     at = F.regexp_instr(text, pattern(fixed.CARE))
-    region = F.when(at > 0, F.substring(text, at, F.lit(200)))
-    phone = F.coalesce(found(region, fixed.PHONE, 0, False), found(text, fixed.PHONE, 0, False))
-    email = F.coalesce(found(region, fixed.EMAIL), found(text, fixed.EMAIL))
-    return F.struct(strip(phone).alias("phone"), strip(email).alias("email"))
+    return bound(read, bound(lambda at: F.when(at > 0, F.substring(text, at, F.lit(200))), at))
 
 
 def scripts(text: Column) -> Column:
@@ -134,8 +153,11 @@ def scripts(text: Column) -> Column:
 
 def declarations(text: Column) -> Column:
     """All declarations that need only the text, as one struct; no shuffle."""
-    t = lenient_text(text)
-    return F.struct(price(t).alias("mrp"), net_quantity(t).alias("quantity"), licence(t).alias("fssai_license"), dates(t).alias("dates"), parties(t).alias("parties"), consumer_care(t).alias("care"), scripts(t).alias("scripts"))
+
+    def read(t: Column) -> Column:
+        return F.struct(price(t).alias("mrp"), net_quantity(t).alias("quantity"), licence(t).alias("fssai_license"), dates(t).alias("dates"), parties(t).alias("parties"), consumer_care(t).alias("care"), scripts(t).alias("scripts"))
+
+    return bound(read, lenient_text(text))
 
 
 def registry_quantity(text: Column) -> Column:

@@ -20,7 +20,7 @@ BINS = 16
 
 
 def synthetic_rows(spark: SparkSession, n: int, seed: int = 42, noise: float = 0.1) -> DataFrame:
-    """``n`` feature rows with labels by rule, of which a share is flipped; values follow their distributions, not a fixed list."""
+    """``n`` feature rows with labels by rule; values follow their distributions, not a fixed list. Of the labels the share ``noise``, rounded down to whole rows, is flipped."""
     def uniform(low: float, high: float, i: int) -> Column:
         return low + (high - low) * F.rand(seed + i)
 
@@ -36,7 +36,9 @@ def synthetic_rows(spark: SparkSession, n: int, seed: int = 42, noise: float = 0
         total = total + F.col(b)
     rows = rows.withColumn("num_declarations_found", total)
     rows = rows.withColumns({f: F.when(F.rand(seed + 200 + i) >= 0.1, F.col(f)) for i, f in enumerate(("mrp_font_height_mm", "net_qty_font_height_mm", "mrp_contrast_ratio"))})
-    return rows.withColumn("label", F.when(F.rand(seed + 300) < noise, 1 - synthetic_label(rows)).otherwise(synthetic_label(rows))).select("row_id", *fixed.FEATURES, "label")
+    flipped = spark.range(n).withColumnRenamed("id", "row_id").orderBy(F.rand(seed + 300), "row_id").limit(int(n * noise)).withColumn("flip", F.lit(True))
+    rows = rows.withColumn("label", synthetic_label(rows)).join(flipped, "row_id", "left")
+    return rows.withColumn("label", F.when(F.col("flip"), 1 - F.col("label")).otherwise(F.col("label"))).select("row_id", *fixed.FEATURES, "label")
 
 
 @dataclass

@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +19,8 @@ from ..functions.geometry import least_height
 from ..functions.text import first_truthy, strip, truthy
 from .rule_texts import ABSENT, ABSENT_LABEL, ABSENT_REGISTRY, CONSTANT, NAMES, TEXTS, VISUAL
 
+#: Fixed value: how the detail of a rule begins that can't be evaluated.
+RULE_FAILED = "Rule evaluation failed with error: "
 STATUSES = ["PASS", "FAIL", "WARNING", "NOT_APPLICABLE", "INCONCLUSIVE"]
 
 
@@ -396,6 +399,20 @@ def result_of(one: Rule, wide: bool) -> Column:
     raise ValueError(f"{one.rule_id} has no last outcome")
 
 
+def isolated(packages: DataFrame, one: Rule, wide: bool) -> Column:
+    """The rule's result, or an inconclusive one if Spark can't resolve it on ``packages``; nothing is run for that."""
+    result = result_of(one, wide)
+    try:
+        packages.select(result)
+    except AnalysisException as e:
+        fields = [F.lit(ORDER[one.rule_id]).alias("rule_no"), F.lit(one.rule_id).alias("rule_id"), F.lit("INCONCLUSIVE").alias("status"), F.lit("MINOR").alias("severity"), F.lit(0.0).alias("weight")]
+        if wide:
+            none = F.lit(None).cast("string")
+            fields += [F.lit(one.name).alias("rule_name"), F.lit(RULE_FAILED + str(e).splitlines()[0]).alias("detail"), none.alias("evidence"), none.alias("legal_reference")]
+        return F.struct(*fields)
+    return result
+
+
 def chosen(rule_ids: Iterable[str] | None, code_rules: bool) -> list[Rule]:
     wanted = list(rule_ids) if rule_ids is not None else [*LABEL_RULES, *(CODE_RULES if code_rules else [])]
     unknown = [r for r in wanted if r not in BY_ID]
@@ -404,19 +421,23 @@ def chosen(rule_ids: Iterable[str] | None, code_rules: bool) -> list[Rule]:
     return [BY_ID[r] for r in wanted]
 
 
-def with_results(packages: DataFrame, rule_ids: Iterable[str] | None = None, code_rules: bool = True, wide: bool = False, extra: Column | None = None) -> DataFrame:
+def with_results(packages: DataFrame, rule_ids: Iterable[str] | None = None, code_rules: bool = True, wide: bool = False, extra: Column | None = None, isolate: bool = False) -> DataFrame:
     """``packages`` with ``results``, an array with a struct for each rule.
 
     ``code_rules`` adds the bar-code rules for packages that have a bar code or
     come from a registry; ``rule_ids`` picks rules instead. ``extra`` is an array of
-    like structs to append.
+    like structs to append. With ``isolate``, a rule that can't be evaluated on this
+    table is inconclusive, of no weight, and says why; otherwise it fails the query.
     """
+    def judged(one: Rule) -> Column:
+        return isolated(packages, one, wide) if isolate else result_of(one, wide)
+
     if rule_ids is not None:
-        results = F.array(*[result_of(r, wide) for r in chosen(rule_ids, False)])
+        results = F.array(*[judged(r) for r in chosen(rule_ids, False)])
     else:
-        results = F.array(*[result_of(r, wide) for r in chosen(None, False)])
+        results = F.array(*[judged(r) for r in chosen(None, False)])
         if code_rules:
-            own = F.array(*[result_of(BY_ID[r], wide) for r in CODE_RULES])
+            own = F.array(*[judged(BY_ID[r]) for r in CODE_RULES])
             results = F.when(c("has_barcode") | from_registry(), F.concat(results, own)).otherwise(results)
     return packages.withColumn("results", F.concat(results, extra) if extra is not None else results)
 

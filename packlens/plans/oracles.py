@@ -6,6 +6,8 @@ fixed values with the Spark code.
 
 from __future__ import annotations
 
+import re
+
 from ..functions import fixed
 from ..operators.rule_texts import ABSENT, NAMES
 
@@ -216,6 +218,10 @@ def hit(text: str, regex: str, group: int = 0, flags: str = "i") -> str:
     return f"nullif(regexp_extract({text}, {quoted(regex)}, {group}{f', {quoted(flags)}' if flags else ''}), '')"
 
 
+#: The price pattern without what a number must not be followed by, which this dialect can't say and no label here has.
+PRICED = re.sub(r"\(\?!.*?\)\)", "", fixed.MRP)
+
+
 def trimmed(value: str) -> str:
     return f"regexp_replace({value}, '^\\s+|\\s+$', '', 'g')"
 
@@ -255,6 +261,10 @@ ORACLES: dict[str, str] = {
       SELECT image_id, coalesce(CAST(g1 AS DOUBLE), CAST(g3 AS DOUBLE) * CAST(g4 AS DOUBLE), CAST(g6 AS DOUBLE), CAST(g8 AS DOUBLE)) AS quantity, CASE WHEN coalesce(g1, g3, g6, g8) IS NOT NULL THEN {UNIT_CASE.format('coalesce(g2, g5, g7, g9)')} END AS unit,
       coalesce({hit('text', fixed.LICENCE, 1)}, CASE WHEN strpos(upper(text), 'FSSAI') > 0 THEN {hit(DIGITS_NEAR, fixed.LICENCE_ALONE, 1, '')} END) AS licence, made, coalesce(CASE WHEN NOT lasts THEN strip_exp END, CASE WHEN found[2] <> coalesce(made, '') THEN found[2] END) AS expires, CASE WHEN lasts THEN strip_exp END AS best_before,
       {trimmed(f"coalesce({hit('region', fixed.PHONE, 0, '')}, {hit('text', fixed.PHONE, 0, '')})")} AS phone, coalesce({hit('region', fixed.EMAIL)}, {hit('text', fixed.EMAIL)}) AS email, regexp_matches(text, '[\\x{{0900}}-\\x{{097F}}]') AS hindi, regexp_matches(text, '[A-Za-z]') AS english FROM r""",
+    "label_prices": f"""WITH {LABELS}, q AS (SELECT image_id, {hit('text', PRICED)} AS raw, coalesce({hit('text', PRICED, 1)}, {hit('text', PRICED, 2)}) AS digits, regexp_extract_all(text, {quoted(fixed.DECIMAL_PRICE)}, 1) AS found FROM texts),
+      v AS (SELECT *, TRY_CAST(replace(digits, ',', '.') AS DOUBLE) AS value, list_max(list_filter(list_transform(found, lambda x: CAST(x AS DOUBLE)), lambda x: x BETWEEN 10 AND 99999)) AS best FROM q),
+      w AS (SELECT image_id, coalesce(value, best) AS mrp, CASE WHEN value IS NOT NULL THEN raw WHEN best IS NOT NULL THEN printf('₹ %.2f', best) END AS raw FROM v)
+      SELECT image_id, mrp, raw, coalesce(lower(raw) LIKE '%incl%' OR lower(raw) LIKE '%all tax%', false) AS tax FROM w""",
     "label_parties": f"""WITH {LABELS}, p AS (SELECT image_id, {name_and_address('manufacturer')}, {name_and_address('packer')}, {name_and_address('importer')}, {name_and_address('marketer')} FROM texts)
       SELECT image_id, coalesce(manufacturer_name, marketer_name) AS manufacturer_name, CASE WHEN manufacturer_name IS NOT NULL THEN manufacturer_address ELSE marketer_address END AS manufacturer_address, packer_name, packer_address, importer_name, importer_address FROM p""",
     "registry_records": f"WITH {RECORDS} SELECT gtin, source, product_name, brand, manufacturer_name, country_of_origin, net_quantity_raw, net_quantity_value, net_quantity_unit, mrp_value, veg_non_veg, ingredients, categories, image_urls FROM records",
@@ -284,9 +294,9 @@ ORACLES: dict[str, str] = {
     "document_contacts": rf"""WITH r AS (SELECT doc_id, text, regexp_extract(text, {quoted('(?is)(' + fixed.CARE + r'.*)')}, 1) AS tail FROM documents), g AS (SELECT doc_id, text, CASE WHEN tail <> '' THEN substr(tail, 1, 200) ELSE text END AS region FROM r)
       SELECT doc_id, {trimmed(f"coalesce({hit('region', fixed.PHONE, 0, '')}, {hit('text', fixed.PHONE, 0, '')})")} AS phone, coalesce({hit('region', r'[\p{L}\p{N}_.+\-]+@[\p{L}\p{N}_\-]+\.[\p{L}\p{N}_.]+')}, {hit('text', r'[\p{L}\p{N}_.+\-]+@[\p{L}\p{N}_\-]+\.[\p{L}\p{N}_.]+')}) AS email FROM g""",
     "document_scripts": r"SELECT doc_id, regexp_matches(text, '[\x{0900}-\x{097F}]') AS hindi, regexp_matches(text, '[A-Za-z]') AS english FROM documents",
-    "report_strings": """WITH t AS (SELECT *, '₹ “a” – b… ' || substr(text, 1, 60) AS t, substr(text, 1, 45) AS s, sha256(text) AS h FROM documents)
+    "report_strings": """WITH t AS (SELECT *, '₹ “a” – b… ' || text AS t, text AS s, sha256(text) AS h FROM documents)
       SELECT doc_id, regexp_replace(""" + "".join("replace(" for _ in fixed.REPORT_CHARACTERS) + "t" + "".join(f", {quoted(a)}, {quoted(b)})" for a, b in fixed.REPORT_CHARACTERS.items()) + r""", '[^\x{00}-\x{FF}]', '?', 'g') AS latin,
-      CASE WHEN length(s) > 40 THEN substr(s, 1, 38) || '..' ELSE s END AS short, left(h, 6) || '...' || right(h, 4) AS masked, regexp_full_match(substr(text, 1, 5), '[0-9A-Za-z-]+') AS safe, CAST('.' || n_chars AS DOUBLE) AS number FROM t""",
+      CASE WHEN length(s) > 40 THEN substr(s, 1, 38) || '..' ELSE s END AS short, left(h, 6) || '...' || right(h, 4) AS masked, regexp_full_match(regexp_replace(text, '[ .,]', '-', 'g'), '[0-9A-Za-z-]+') AS safe, CAST('.' || n_chars AS DOUBLE) AS number FROM t""",
     "gtin_facts": f"""WITH codes AS (SELECT p_partkey AS package_id, {code_of('p_partkey')} AS code FROM part WHERE p_partkey % 13 <> 0), {FACTS}
       SELECT package_id, digits, CAST(length(digits) AS INTEGER) AS length, format, format IS NOT NULL AS is_gtin_length, checksum_valid, prefix, country, coalesce(prefix = '890', false) AS is_india, restricted_reason IS NOT NULL AS is_restricted, restricted_reason, gtin14,
       format IS NOT NULL AND checksum_valid AND restricted_reason IS NULL AS is_valid, concat_ws(' | ', CASE WHEN format IS NULL THEN length(digits) || {quoted(fixed.NOTE_LENGTH[2:])} WHEN NOT checksum_valid THEN {quoted(fixed.NOTE_CHECK)} END,
@@ -338,6 +348,8 @@ ORACLES: dict[str, str] = {
       {" + ".join(f"CAST({c} IS NOT NULL AS INTEGER)" for c in ("commodity_name", "manufacturer_name", "manufacturer_address", "packer_name", "packer_address", "importer_name", "importer_address", "net_quantity_value", "mrp_value", "manufacture_date", "expiry_date", "best_before", "consumer_care_phone", "consumer_care_email"))} AS num_declarations_found, CAST(is_imported AS INTEGER) AS is_imported FROM packages""",
     "rule_results": f"WITH {RESULTS} SELECT package_id, rule_no, rule_id, status, severity, weight FROM results",
     "one_rule": f"WITH {RESULTS} SELECT package_id, rule_id, status FROM results WHERE rule_id = 'R06_MRP'",
+    "isolated_rules": f"""WITH {RESULTS} SELECT package_id, rule_id, CASE WHEN rule_id = 'R06_MRP' THEN 'INCONCLUSIVE' ELSE status END AS status, CASE WHEN rule_id = 'R06_MRP' THEN 'MINOR' ELSE severity END AS severity,
+      CASE WHEN rule_id = 'R06_MRP' THEN CAST(0 AS DOUBLE) ELSE weight END AS weight, rule_id = 'R06_MRP' AS failed FROM results WHERE rule_id IN ('R06_MRP', 'R06_NAME')""",
     "rule_counts": f"""WITH {RESULTS} SELECT package_id, CAST(passed AS INTEGER) AS pass, CAST(failed AS INTEGER) AS fail, CAST(warned AS INTEGER) AS warning, CAST(none_n AS INTEGER) AS not_applicable, CAST(inc_n AS INTEGER) AS inconclusive, CAST(total AS INTEGER) AS total, CASE WHEN crit > 0 THEN 0 ELSE 1 END AS weak_label FROM sums""",
     "label_scores": f"""WITH {RESULTS}, s AS (SELECT sums.*, CASE WHEN judged_w > 0 THEN passed_w / judged_w ELSE 1.0 END AS r FROM sums JOIN packages USING (package_id) WHERE analysis_source = 'image'), t AS (SELECT *, 0.3 * CAST(0.5 AS DOUBLE) + (1 - CAST(0.3 AS DOUBLE)) * r AS f FROM s)
       SELECT package_id, round(r, 9) AS rule_score, round(f, 9) AS final_score, {STARS.format('f')} AS star_rating, {STAR_LABELS.format('f')} AS star_label, CAST(passed + failed + warned AS INTEGER) AS total_applicable_rules, CAST(passed AS INTEGER) AS passed_rules, CAST(failed AS INTEGER) AS failed_rules, CAST(crit AS INTEGER) AS critical_failures, CAST(maj AS INTEGER) AS major_failures, CAST(minor AS INTEGER) AS minor_failures FROM t""",

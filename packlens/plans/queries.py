@@ -120,8 +120,8 @@ def document_scripts(spark, sf_dir):
 @query
 def report_strings(spark, sf_dir):
     docs = tables.table(spark, sf_dir, "documents")
-    t = F.concat(F.lit("₹ “a” – b… "), F.substring("text", 1, 60))
-    return docs.select("doc_id", text.report_text(t).alias("latin"), text.shortened(F.substring("text", 1, 45), 40).alias("short"), text.masked(F.sha2("text", 256)).alias("masked"), text.safe_id(F.substring("text", 1, 5)).alias("safe"), text.number_of(F.concat(F.lit("Rs. "), F.col("n_chars").cast("string"), F.lit("/-"))).alias("number"))
+    t = F.concat(F.lit("₹ “a” – b… "), F.col("text"))
+    return docs.select("doc_id", text.report_text(t).alias("latin"), text.shortened(F.col("text"), 40).alias("short"), text.masked(F.sha2("text", 256)).alias("masked"), text.safe_id(F.regexp_replace("text", "[ .,]", "-")).alias("safe"), text.number_of(F.concat(F.lit("Rs. "), F.col("n_chars").cast("string"), F.lit("/-"))).alias("number"))
 
 
 # --- codes --------------------------------------------------------------------------------
@@ -358,6 +358,26 @@ def rule_details(spark, sf_dir):
     return rules.exploded(held).select("package_id", "rule_id", "rule_name", "status", "detail", "evidence", "legal_reference")
 
 
+@query
+def isolated_rules(spark, sf_dir):
+    """Rules that need a column which a table lacks are inconclusive; the others are judged."""
+    held = rules.with_results(tables.packages(spark, sf_dir).drop("mrp_value"), isolate=True, wide=True)
+    return rules.exploded(held).where("rule_id IN ('R06_MRP', 'R06_NAME')").select("package_id", "rule_id", "status", "severity", "weight", F.col("detail").startswith("Rule evaluation failed with error").alias("failed"))
+
+
+@query
+def rule_summaries(spark, sf_dir):
+    return image_audit(spark, sf_dir).select("package_id", rules.summary(F.col("results")).alias("summary"))
+
+
+@query
+def report_documents(spark, sf_dir):
+    """The indented report of each package, as parsed again."""
+    held = scoring.registry_scores(image_audit(spark, sf_dir))
+    report = held.select("package_id", scoring.report_json("package_id", "final_score", "star_rating", "star_label", "passed_rules", "failed_rules").alias("report"))
+    return report.select("package_id", F.get_json_object("report", "$.star_label").alias("label"), F.get_json_object("report", "$.passed_rules").cast("int").alias("passed"), F.size(F.split("report", "\n")).alias("n_lines"))
+
+
 @query
 def rule_counts(spark, sf_dir):
     held = image_audit(spark, sf_dir)
