@@ -72,7 +72,7 @@ def bucketed(df: DataFrame, path: str, buckets: int, by: list[str], sort: bool =
     which is read in order; other rows are written where they are.
     """
     buckets = min(buckets, MOST_BUCKETS)
-    writer = df.write.format("parquet").option("path", path).bucketBy(buckets, *by)
+    writer = df.write.format("parquet").option("path", path).option("parquet.enable.dictionary", "false").bucketBy(buckets, *by)  # of hashes no dictionary can be made
     table = f"packlens_{uuid.uuid4().hex}"
     (writer.sortBy(*by) if sort else writer).saveAsTable(table)
     return kept_at(df.sparkSession.table(table), path)
