@@ -6,7 +6,7 @@ beginnings, learnt from a bounded sample of labelled rows. Hosts and their paths
 get posterior rates of bad documents by hierarchical empirical Bayes over all
 documents: a path is shrunk towards its host, a host towards the whole corpus, the
 more so the fewer documents it has. A document's odds are multiplied by how far
-its path's posterior rate lies from the corpus rate.
+its path's posterior rate, taken without the document, lies from the corpus rate.
 """
 
 from __future__ import annotations
@@ -207,7 +207,7 @@ def prior_worth(rates: DataFrame, rate: str, n: str, centre: Column) -> float:
 
 
 def site_posteriors(scored: DataFrame, host: Column, path: Column) -> tuple[DataFrame, float]:
-    """``host, path, site_rate`` for each path of ``scored(_p_low, _p_toxic)``, and the corpus rate.
+    """For each path of ``scored(_p_low, _p_toxic)`` ``host, path, site_rate``, the sums and prior weights behind it, and the corpus rate.
 
     Documents are summed by (host, path) before the shuffle; hosts are sums of
     their paths. Null hosts and paths are sites of their own.
@@ -217,10 +217,18 @@ def site_posteriors(scored: DataFrame, host: Column, path: Column) -> tuple[Data
     corpus = float((hits + 0.5) / (total + 1)) if total else 0.5
     hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("bad").alias("host_bad")).withColumn("raw", F.col("host_bad") / F.col("host_n"))
     worth = prior_worth(hosts, "raw", "host_n", F.lit(corpus))
-    hosts = materialize(hosts.withColumn("host_rate", (F.col("host_bad") + worth * corpus) / (F.col("host_n") + worth)), "hosts")
-    joined = paths.alias("p").join(hosts.alias("h"), F.col("p.host").eqNullSafe(F.col("h.host"))).select("p.*", "h.host_rate").withColumn("raw", F.col("bad") / F.col("n"))
+    hosts = materialize(hosts.withColumn("host_worth", F.lit(worth)).withColumn("host_rate", (F.col("host_bad") + worth * corpus) / (F.col("host_n") + worth)), "hosts")
+    joined = paths.alias("p").join(hosts.alias("h"), F.col("p.host").eqNullSafe(F.col("h.host"))).select("p.*", "h.host_n", "h.host_bad", "h.host_worth", "h.host_rate").withColumn("raw", F.col("bad") / F.col("n"))
     worth = prior_worth(joined, "raw", "n", F.col("host_rate"))
-    return joined.select("host", "path", ((F.col("bad") + worth * F.col("host_rate")) / (F.col("n") + worth)).alias("site_rate")), corpus
+    rate = (F.col("bad") + worth * F.col("host_rate")) / (F.col("n") + worth)
+    return joined.select("host", "path", rate.alias("site_rate"), "n", "bad", F.lit(worth).alias("worth"), "host_n", "host_bad", "host_worth"), corpus
+
+
+def rate_of_others(own: Column, corpus: float) -> Column:
+    """The posterior rate of a document's path without the document itself, so that its evidence counts once."""
+    s = lambda name: F.col(f"s.{name}")
+    host = (F.greatest(s("host_bad") - own, F.lit(0.0)) + s("host_worth") * corpus) / (s("host_n") - 1 + s("host_worth"))
+    return (F.greatest(s("bad") - own, F.lit(0.0)) + s("worth") * host) / (s("n") - 1 + s("worth"))
 
 
 def log_odds(p: Column) -> Column:
@@ -242,11 +250,13 @@ def judge(docs: DataFrame, labels: DataFrame, host: Column, path: Column, keep_b
     scored = materialize(with_document_evidence(docs, model), "scored")
     sites, corpus = site_posteriors(scored, host, path)
     sites = materialize(sites, "sites").alias("s")
-    odds = log_odds(bad("d._p_low", "d._p_toxic")) + log_odds(F.col("s.site_rate")) - log_odds(F.lit(corpus))
+    own = bad("d._p_low", "d._p_toxic")
+    others = rate_of_others(own, corpus)
+    odds = log_odds(own) + log_odds(others) - log_odds(F.lit(corpus))
     p = 1 / (1 + F.exp(-odds))
-    held = scored.withColumns({"_host": host, "_path": path}).alias("d")
-    joined = held.join(sites, F.col("d._host").eqNullSafe(F.col("s.host")) & F.col("d._path").eqNullSafe(F.col("s.path")))
-    return joined.select("d.*", F.col("s.site_rate").alias("_site_rate"), p.alias("_p_bad"), (p < keep_below).alias("_keep")).drop("_host", "_path")
+    held = scored.withColumns({"_packlens_host": host, "_packlens_path": path}).alias("d")
+    joined = held.join(sites, F.col("d._packlens_host").eqNullSafe(F.col("s.host")) & F.col("d._packlens_path").eqNullSafe(F.col("s.path")))
+    return joined.select("d.*", others.alias("_site_rate"), p.alias("_p_bad"), (p < keep_below).alias("_keep")).drop("_packlens_host", "_packlens_path")
 
 
 def quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:

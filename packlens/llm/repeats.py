@@ -247,9 +247,9 @@ BROADCAST_IDS = 1_000_000
 
 def by_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     """``docs`` whose doc_id is (left_semi) or isn't (left_anti) among ``ids(doc_id)``; ids are counted before they are broadcast."""
-    ids = ids.select(F.col("doc_id").alias("_id")).distinct()
+    ids = ids.select(F.col("doc_id").alias("_packlens_id")).distinct()
     hinted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return docs.join(hinted, docs["doc_id"].cast("long") == F.col("_id"), how)
+    return docs.join(hinted, docs["doc_id"].cast("long") == F.col("_packlens_id"), how)
 
 
 def member(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -406,8 +406,8 @@ def found_removals(docs: DataFrame, batches: list[DataFrame], rule: Rule, fanout
 
 
 def gone_units(part: pa.RecordBatch, rule: Rule) -> Iterator[tuple[bytes, np.ndarray | None]]:
-    """Each text of a batch with ``_whole`` and ``_windows``, and which of its units go (None: nothing)."""
-    whole, windows = part.column("_whole"), part.column("_windows")
+    """Each text of a batch with ``_packlens_whole`` and ``_packlens_windows``, and which of its units go (None: nothing)."""
+    whole, windows = part.column("_packlens_whole"), part.column("_packlens_windows")
     held = texts(part.column("text"))
     units = [rule.units(x) for x in held]
     own = repeating(units, rule) if rule.anywhere else set()
@@ -425,13 +425,13 @@ def repeating(units: list[np.ndarray], rule: Rule) -> set[int]:
 
 
 def with_removals(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """All columns of ``docs`` and ``_whole, _windows``; only texts that lose something are shuffled to their lists."""
-    lists = found.select(F.col("doc_id").alias("_id"), F.col("whole").alias("_whole"), F.col("windows").alias("_windows"))
+    """All columns of ``docs`` and ``_packlens_whole, _packlens_windows``; only texts that lose something are shuffled to their lists."""
+    lists = found.select(F.col("doc_id").alias("_packlens_id"), F.col("whole").alias("_packlens_whole"), F.col("windows").alias("_packlens_windows"))
     others = by_ids(docs, found, "left_anti")
-    for name in ("_whole", "_windows"):
+    for name in ("_packlens_whole", "_packlens_windows"):
         others = others.withColumn(name, F.lit(None).cast(lists.schema[name].dataType))
     losing = by_ids(docs, found, "left_semi")
-    return losing.join(lists.hint("shuffle_hash"), losing["doc_id"].cast("long") == F.col("_id")).drop("_id").unionByName(others)
+    return losing.join(lists.hint("shuffle_hash"), losing["doc_id"].cast("long") == F.col("_packlens_id")).drop("_packlens_id").unionByName(others)
 
 
 def describe_removals(docs: DataFrame, batches: list[DataFrame], rule: Rule, fanout: int, describe: Callable, schema: str) -> DataFrame:
@@ -459,6 +459,6 @@ def rewrite_texts(docs: DataFrame, batches: list[DataFrame], rule: Rule, fanout:
                 old = part.column("text").to_pylist()
                 new = [x if gone is None or not gone.any() else rewrite(text, gone).decode() for x, (text, gone) in zip(old, gone_units(part, rule), strict=True)]
                 at = part.schema.get_field_index("text")
-                yield part.set_column(at, part.schema.field(at), pa.array(new, part.schema.field(at).type)).drop_columns(["_whole", "_windows"])
+                yield part.set_column(at, part.schema.field(at), pa.array(new, part.schema.field(at).type)).drop_columns(["_packlens_whole", "_packlens_windows"])
 
     return with_removals(docs, found_removals(docs, batches, rule, fanout)).mapInArrow(run, docs.schema)

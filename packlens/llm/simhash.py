@@ -420,8 +420,8 @@ def top_nodes(rows: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, words: int = NEAR_WORDS, similarity: float = NEAR_SIMILARITY) -> DataFrame:
     """``docs`` with the document of least doc_id of each group; rows with a null doc_id stay, rows that repeat a doc_id stay or go together."""
     groups = near_duplicate_groups(docs, words, similarity)
-    others = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(others.hint("shuffle_hash"), docs["doc_id"].cast("long") == F.col("_id"), "left_anti")
+    others = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_packlens_id")).distinct()
+    return docs.join(others.hint("shuffle_hash"), docs["doc_id"].cast("long") == F.col("_packlens_id"), "left_anti")
 
 
 def simhash_query(spark: SparkSession, docs: DataFrame) -> DataFrame:
