@@ -72,7 +72,9 @@ def mix_plan(slim: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), shar
     All documents come ``repeats`` times. ``cuts`` are (low, high, most): those
     with a slot from low to below high and a size of ``most`` at most come once
     more. The first cut starts at 0 and takes any size; each further one goes on
-    behind it with documents that fit what is left of the budget.
+    behind it with documents that fit what is left of the budget. The last one takes
+    the document whose size is nearest to what is left then, if the source comes
+    nearer its target with it than without it.
     """
     goals = source_targets(slim.select("source", "size"), weights, share)
     repeats = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(MAX_REPEATS))).otherwise(F.lit(0)).cast("int")
@@ -88,11 +90,34 @@ def mix_plan(slim: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), shar
         rows = materialize(joined.select("s.source", "s.low", F.greatest("s.low", "f.cut").alias("high"), "s.most", F.col("f.left").alias("left")), "mix-cuts")
         cuts = rows if cuts is None else cuts.unionByName(rows)
         state = rows.where("left > 0").select("source", F.col("high").alias("low"), F.col("left").alias("most"), "left")
-    lists = cuts.groupBy("source").agg(F.collect_list(F.struct("low", "high", "most")).alias("cuts"))  # ROUNDS a source
+    taken = cuts.groupBy("source").agg(F.collect_list(F.struct("low", "high", "most")).alias("cuts"))  # ROUNDS a source
+    last = crossing_cuts(slim, goals.where("left > 0").select("source", "left"), taken)
+    lists = cuts.select("source", "low", "high", "most").unionByName(last).groupBy("source").agg(F.collect_list(F.struct("low", "high", "most")).alias("cuts"))
     joined = goals.alias("g").join(lists.alias("c"), F.col("g.source").eqNullSafe(F.col("c.source")), "left")
     return materialize(joined.select("g.source", "g.source_size", "g.target", "g.repeats", "c.cuts"), "mix-plan")
 
 
+def crossing_cuts(slim: DataFrame, budgets: DataFrame, taken: DataFrame) -> DataFrame:
+    """``source, low, high, most``: a cut for the one document of a source that brings it nearer its target though it passes it.
+
+    ``budgets(source, left)`` are what was to be taken by the cuts, ``taken(source, cuts)`` these.
+    """
+    inside = lambda cuts: F.exists(cuts, lambda c: (F.col("d.slot") >= c["low"]) & (F.col("d.slot") < c["high"]) & (F.col("d.size") <= c["most"]))
+    cuts = budgets.alias("b").join(taken.alias("t"), F.col("b.source").eqNullSafe(F.col("t.source")), "left")
+    cuts = materialize(cuts.select("b.source", F.col("b.left").alias("budget"), F.coalesce("t.cuts", F.array().cast("array<struct<low:long,high:long,most:double>>")).alias("cuts")), "mix-taken")
+    held = slim.alias("d").join(cuts.alias("c"), F.col("d.source").eqNullSafe(F.col("c.source")))
+    spent = held.groupBy("c.source").agg(F.sum(F.when(inside("c.cuts"), F.col("d.size")).otherwise(0)).alias("spent"), F.first("c.budget").alias("budget"), F.first("c.cuts").alias("cuts"))
+    open_ = materialize(spent.select("source", (F.col("budget") - F.col("spent")).alias("left"), "cuts").where("left > 0"), "mix-rest")
+    others = slim.alias("d").join(open_.alias("o"), F.col("d.source").eqNullSafe(F.col("o.source"))).where(~inside("o.cuts") & (F.col("d.size") > 0) & (F.col("d.size") < 2 * F.col("o.left")))
+    others = others.select("d.source", "d.slot", "d.size", "o.left")
+    near = others.groupBy("source").agg(F.min_by(F.struct("slot", "size"), F.struct(F.abs(F.col("size") - F.col("left")), F.col("slot"))).alias("best"))
+    near = materialize(near.select("source", F.col("best.slot").alias("low"), F.col("best.size").cast("double").alias("most")), "mix-crossing")
+    # rows of one slot, such as repeated ones, are taken together
+    with_all = others.alias("d").join(near.alias("n"), F.col("d.source").eqNullSafe(F.col("n.source")) & (F.col("d.slot") == F.col("n.low")) & (F.col("d.size") <= F.col("n.most")))
+    sums = with_all.groupBy("n.source", "n.low", "n.most").agg(F.sum("d.size").alias("words"), F.first("d.left").alias("left"))
+    return sums.where("words < 2 * left").select("source", "low", (F.col("low") + 1).alias("high"), "most")
+
+
 def copies_of(repeats: Column, cuts: Column, slot: Column, size: Column) -> Column:
     """How often a document comes, given its source's row of the plan."""
     inside = F.exists(cuts, lambda c: (slot >= c["low"]) & (slot < c["high"]) & (size <= c["most"]))
@@ -149,11 +174,11 @@ def apply_mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), sha
 
     Only one row per source is joined to the texts.
     """
-    plan = mix_plan(sized(docs), weights, share).select(F.col("source").alias("_source"), "repeats", "cuts")
-    held = docs.withColumns({"_slot": slot_of(), "_size": count_words(F.col("text"))}).alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p._source")))
-    copies = copies_of(F.col("p.repeats"), F.col("p.cuts"), F.col("d._slot"), F.col("d._size"))
-    kept = held.select("d.*", copies.alias("_copies")).where("_copies > 0")
-    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_slot", "_size", "_copies", "_copy")
+    plan = mix_plan(sized(docs), weights, share).select(F.col("source").alias("_packlens_source"), "repeats", "cuts")
+    held = docs.withColumns({"_packlens_slot": slot_of(), "_packlens_size": count_words(F.col("text"))}).alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p._packlens_source")))
+    copies = copies_of(F.col("p.repeats"), F.col("p.cuts"), F.col("d._packlens_slot"), F.col("d._packlens_size"))
+    kept = held.select("d.*", copies.alias("_packlens_copies")).where("_packlens_copies > 0")
+    return kept.withColumn("_packlens_copy", F.explode(F.sequence(F.lit(1), F.col("_packlens_copies")))).drop("_packlens_slot", "_packlens_size", "_packlens_copies", "_packlens_copy")
 
 
 def mix_query(spark: SparkSession, docs: DataFrame) -> DataFrame:

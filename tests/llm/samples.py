@@ -31,7 +31,7 @@ def frame(spark, rows=None, extra=False):
     rows = documents() if rows is None else rows
     df = spark.createDataFrame([(i, t, s, "en", len(t or "")) for i, t, s in rows], "doc_id long, text string, source string, lang string, n_chars long")
     if extra:
-        for name in ("print", "key", "n", "span", "core", "size", "path"):
+        for name in ("print", "key", "n", "span", "core", "size", "path", "_id", "_slot", "_size", "_copy", "_copies", "_whole", "_windows", "_host", "_path", "_first"):
             df = df.selectExpr("*", f"'extra' AS `{name}`")
     return df.repartition(3)
 
