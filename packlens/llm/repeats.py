@@ -336,13 +336,12 @@ def window_starts(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
 
 
-def removed_units(units: np.ndarray, rule: Rule, whole: tuple[np.ndarray, np.ndarray], windows: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Which units of one text go, given its settled segments and verified windows."""
+def removed_units(units: np.ndarray, rule: Rule, whole: tuple[np.ndarray, np.ndarray], windows: tuple[np.ndarray, np.ndarray], coarse: Segments) -> np.ndarray:
+    """Which units of one text go, given its settled segments, verified windows, and its segments of the first width."""
     n = len(units) - rule.length + 1
     if n < 1 or not (rule.anywhere or len(whole[0]) or len(windows[0])):
         return np.zeros(len(units), bool)
     gone = np.zeros(n, bool)
-    coarse = segments([units], rule.length, rule.steps[0])
     found = 0
     for step in rule.steps:
         if found == len(whole[0]):
@@ -406,19 +405,29 @@ def found_removals(docs: DataFrame, batches: list[DataFrame], rule: Rule, fanout
 
 
 def gone_units(part: pa.RecordBatch, rule: Rule) -> Iterator[tuple[bytes, np.ndarray | None]]:
-    """Each text of a batch with ``_packlens_whole`` and ``_packlens_windows``, and which of its units go (None: nothing)."""
+    """Each text of a batch with ``_packlens_whole`` and ``_packlens_windows``, and which of its units go (None: nothing).
+
+    The segments of the first width are made for all texts that need them at once.
+    """
     whole, windows = part.column("_packlens_whole"), part.column("_packlens_windows")
     held = texts(part.column("text"))
     units = [rule.units(x) for x in held]
-    own = repeating(units, rule) if rule.anywhere else set()
+    lists = [(pairs_of(whole, i), pairs_of(windows, i)) for i in range(len(held))]
+    listed = {i for i, (a, b) in enumerate(lists) if len(a[0]) or len(b[0])}
+    wanted = range(len(held)) if rule.anywhere else sorted(listed)
+    s = segments([units[i] for i in wanted], rule.length, rule.steps[0])
+    own = {wanted[j] for j in repeating(s)} if rule.anywhere else set()
+    place = {i: j for j, i in enumerate(wanted)}
     for i, text in enumerate(held):
-        a, b = pairs_of(whole, i), pairs_of(windows, i)
-        yield text, removed_units(units[i], rule, a, b) if i in own or len(a[0]) or len(b[0]) else None
+        if i not in own and i not in listed:
+            yield text, None
+            continue
+        lo, hi = np.searchsorted(s.owner, [place[i], place[i] + 1])
+        yield text, removed_units(units[i], rule, *lists[i], Segments(s.owner[lo:hi], s.first[lo:hi], s.count[lo:hi], s.core[lo:hi], s.span[lo:hi]))
 
 
-def repeating(units: list[np.ndarray], rule: Rule) -> set[int]:
-    """Indexes of the texts in which a core comes twice; the others hold no window twice."""
-    s = segments(units, rule.length, rule.steps[0])
+def repeating(s: Segments) -> set[int]:
+    """Owners in which a core comes twice; the others hold no window twice."""
     order = np.lexsort((s.core, s.owner))
     owner, core = s.owner[order], s.core[order]
     return set(owner[1:][(owner[1:] == owner[:-1]) & (core[1:] == core[:-1])].tolist())
