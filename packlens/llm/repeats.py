@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from .common import bucketed, free, materialize, new_folder, reopened, shuffle_partitions, slices, texts
 from .segments import Segments, segments, window_hashes
 
-Units = Callable[[bytes], np.ndarray]
+#: The unit values of each text of a list.
+Units = Callable[[list[bytes]], list[np.ndarray]]
 #: Texts are taken in pieces of so many bytes: a unit of text has some hundred bytes of arrays while it is worked on.
 PIECE_BYTES = 500_000
 
@@ -70,7 +71,7 @@ def segment_rows(docs: DataFrame, rule: Rule) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text", PIECE_BYTES):
                 ids = np.asarray(part.column("doc_id"))
-                s = segments([rule.units(x) for x in texts(part.column("text"))], rule.length, rule.steps[0])
+                s = segments(rule.units(texts(part.column("text"))), rule.length, rule.steps[0])
                 if len(s.owner):
                     order = np.lexsort((s.span, s.core, s.owner))
                     owner, core, span = s.owner[order], s.core[order], s.span[order]
@@ -286,8 +287,7 @@ def finer_rows(held: DataFrame, rule: Rule, level: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", PIECE_BYTES):
-                for i, (doc_id, text) in enumerate(zip(part.column("doc_id").to_pylist(), texts(part.column("text")), strict=True)):
-                    units = rule.units(text)
+                for i, (doc_id, units) in enumerate(zip(part.column("doc_id").to_pylist(), rule.units(texts(part.column("text"))), strict=True)):
                     starts = open_windows(units, segments([units], rule.length, rule.steps[level - 1]), part.column("keys"), i, rule)
                     inside = np.zeros(len(units) + 1, bool)
                     inside[starts] = True
@@ -307,8 +307,7 @@ def window_rows(held: DataFrame, rule: Rule) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", PIECE_BYTES):
-                for i, (doc_id, text) in enumerate(zip(part.column("doc_id").to_pylist(), texts(part.column("text")), strict=True)):
-                    units = rule.units(text)
+                for i, (doc_id, units) in enumerate(zip(part.column("doc_id").to_pylist(), rule.units(texts(part.column("text"))), strict=True)):
                     starts = open_windows(units, segments([units], rule.length, rule.steps[-1]), part.column("keys"), i, rule)
                     a, b = window_hashes(units, starts, rule.length)
                     _, index = np.unique(joint(a, b), return_index=True)
@@ -411,7 +410,7 @@ def gone_units(part: pa.RecordBatch, rule: Rule) -> Iterator[tuple[bytes, np.nda
     """
     whole, windows = part.column("_packlens_whole"), part.column("_packlens_windows")
     held = texts(part.column("text"))
-    units = [rule.units(x) for x in held]
+    units = rule.units(held)
     lists = [(pairs_of(whole, i), pairs_of(windows, i)) for i in range(len(held))]
     listed = {i for i, (a, b) in enumerate(lists) if len(a[0]) or len(b[0])}
     wanted = range(len(held)) if rule.anywhere else sorted(listed)

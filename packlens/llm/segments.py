@@ -34,6 +34,10 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
+#: What each byte counts as in a hash.
+BYTE_VALUES = mixed(np.arange(1, 257, dtype=np.uint64))
+
+
 class Rolling:
     """Polynomial hashes of all runs of a block by prefix sums, modulo 2**64."""
 

@@ -11,31 +11,33 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .repeats import Rule, describe_removals, rewrite_texts
+from .segments import BYTE_VALUES, Rolling
 
 WINDOW = 50
 BATCHES = 3
 FANOUT = 2
 STEPS = (18,)
-#: Distinct words whose hashes a worker remembers before it starts anew.
-REMEMBERED = 250_000
-_words: dict[bytes, int] = {}
-
-
-def word_units(text: bytes) -> np.ndarray:
-    """A 64-bit hash of each word of a text."""
-    if len(_words) > REMEMBERED:
-        _words.clear()
-    words = text.split()
-    known = _words
-    for w in set(words):
-        if w not in known:
-            known[w] = xxhash.xxh64_intdigest(w)
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+#: Bytes whose words are hashed at once; a longer word is hashed whole.
+HASHED_BYTES = 1 << 20
+SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+
+
+def word_units(held: list[bytes]) -> list[np.ndarray]:
+    """A 64-bit hash of each word of each text, by differences of prefix sums over the joined bytes."""
+    values = np.frombuffer(b" ".join(held), np.uint8)
+    space = np.concatenate(([True], SPACE[values], [True]))
+    edges = np.flatnonzero(space[1:] != space[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    out = np.empty(len(starts), np.uint64)
+    groups = np.append(np.flatnonzero(np.diff(starts // HASHED_BYTES, prepend=-1)), len(starts))
+    for lo, hi in zip(groups[:-1], groups[1:], strict=True):
+        at = starts[lo]
+        out[lo:hi] = Rolling(BYTE_VALUES[values[at : ends[hi - 1]]], 0).runs(starts[lo:hi] - at, ends[lo:hi] - at)
+    return np.split(out, np.searchsorted(starts, np.cumsum([len(x) + 1 for x in held[:-1]], dtype=np.int64))) if held else []
 
 
 def kept_words(text: bytes, gone: np.ndarray | None) -> list[bytes]:

@@ -16,17 +16,16 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from .repeats import Rule, describe_removals
-from .segments import mixed
+from .segments import BYTE_VALUES
 from .substrings import in_batches
 
 MATCH = 200
 BATCHES = 3
 STEPS = (128, 8)
-BYTE_VALUES = mixed(np.arange(1, 257, dtype=np.uint64))
 
 
-def byte_units(text: bytes) -> np.ndarray:
-    return BYTE_VALUES[np.frombuffer(text, np.uint8)]
+def byte_units(held: list[bytes]) -> list[np.ndarray]:
+    return [BYTE_VALUES[np.frombuffer(x, np.uint8)] for x in held]
 
 
 def dedup_bytes(docs: DataFrame, batches: int = BATCHES, match: int = MATCH) -> DataFrame:

@@ -82,6 +82,19 @@ def test_bytes_of_rows_that_repeat_an_id(spark, batches):
     assert ordered(got.collect()) == ordered(bytes_left(rows, 200))
 
 
+@pytest.mark.parametrize("at_once", [3, 40, substrings.HASHED_BYTES])
+def test_words_have_equal_hashes_exactly_if_equal(monkeypatch, at_once):
+    monkeypatch.setattr(substrings, "HASHED_BYTES", at_once)
+    held = [*((t or "").encode() for _, t, _ in samples.documents()), b" ", b"a", b" a", b"a ", b"", b"a\x0bb\x0cc\rd\x1ce\xc2\xa0f", b""]
+    kinds, seen = {}, {}
+    for text, units in zip(held, substrings.word_units(held), strict=True):
+        words = text.split()
+        assert len(words) == len(units)
+        for w, u in zip(words, units.tolist(), strict=True):
+            assert kinds.setdefault(w, u) == u and seen.setdefault(u, w) == w
+    assert substrings.word_units([]) == []
+
+
 def test_ids_beyond_the_broadcast_bound_are_shuffled(spark, monkeypatch):
     monkeypatch.setattr(repeats, "BROADCAST_IDS", 0)
     rows = samples.documents()
