@@ -13,6 +13,7 @@ from .lm import lm_query
 from .media import media_query
 from .mixing import mix_query
 from .quality import quality_query
+from .resample import resample_query
 from .simhash import simhash_query
 from .substrings import substring_query
 from .suffixes import suffix_query
@@ -37,12 +38,19 @@ def queries() -> dict[str, Query]:
         "op8_quality": quality_query,
         "op9_simhash": over("documents", simhash_query),
         "op10_suffixes": over("documents", suffix_query),
+        "op11_resample": resample_query,
     }
 
 
 #: SHA-1 in bare base32: five hexadecimal digits are four characters.
 BASE32 = "list_aggregate(list_transform(range(8), lambda j: " + " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, 5 * j + 1, 5))::INTEGER >> {s}) & 31) + 1, 1)" for s in (15, 10, 5, 0)) + "), 'string_agg', '')"
 
+#: CRC-32 of each distinct word of table ``v(word)``, by table ``k(entries)`` of 256 remainders.
+CRC32 = """
+        k AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n)) AS entries),
+        c AS (SELECT word, xor(list_reduce(list_transform(range(octet_length(encode(word))), lambda i: ('0x' || substr(hex(encode(word)), 2 * i + 1, 2))::BIGINT),
+          lambda c, b: xor(c >> 8, entries[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295) AS crc FROM v, k)"""
+
 ORACLES = {
     "op3_warc": f"""
         WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
@@ -66,6 +74,19 @@ ORACLES = {
         r AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM c),
         k AS (SELECT doc_id, count(*) AS n_bytes, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans, string_agg(byte, '' ORDER BY i) FILTER (NOT gone) AS kept FROM r GROUP BY 1)
         SELECT doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM documents LEFT JOIN k USING (doc_id)""",
+    "op11_resample": rf"""
+        WITH d AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM documents),
+        b AS (SELECT unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM benchmark),
+        v AS (SELECT word FROM d UNION SELECT word FROM b),{CRC32},
+        s AS (SELECT crc % 10000 AS bucket, count(*) AS n FROM d JOIN c USING (word) GROUP BY 1), t AS (SELECT crc % 10000 AS bucket, count(*) AS n FROM b JOIN c USING (word) GROUP BY 1),
+        z AS (SELECT (SELECT coalesce(sum(n), 0)::DOUBLE FROM s) AS s_all, (SELECT coalesce(sum(n), 0)::DOUBLE FROM t) AS t_all),
+        g AS (SELECT s.bucket, floor(1000 * ln((coalesce(t.n, 0) + 1) * (s_all + 10000) / ((s.n + 1) * (t_all + 10000))))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket), z),
+        w AS (SELECT doc_id, count(*) AS n, sum(gain)::BIGINT AS total FROM d JOIN c USING (word) JOIN g ON g.bucket = c.crc % 10000 GROUP BY 1),
+        f AS (SELECT doc_id, coalesce(n, 0) AS n_features, CASE WHEN n IS NULL THEN 0 ELSE (total - ((total % n) + n) % n) // n END AS weight,
+          ('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT AS h FROM documents LEFT JOIN w USING (doc_id)),
+        r AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM f),
+        o AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM r WHERE n_features >= 20)
+        SELECT doc_id, n_features, weight::BIGINT AS weight, score::BIGINT AS score, CASE WHEN place <= 10 * (SELECT count(*) FROM o) // 100 THEN place END AS rank FROM r LEFT JOIN o USING (doc_id)""",
 }
 
 
