@@ -12,6 +12,7 @@ from .digests import fingerprint_query
 from .lm import lm_query
 from .media import media_query
 from .mixing import mix_query
+from .periodic import periodic_query
 from .quality import quality_query
 from .resample import resample_query
 from .simhash import simhash_query
@@ -39,6 +40,7 @@ def queries() -> dict[str, Query]:
         "op9_simhash": over("documents", simhash_query),
         "op10_suffixes": over("documents", suffix_query),
         "op11_resample": resample_query,
+        "op12_periods": over("documents", periodic_query),
     }
 
 
