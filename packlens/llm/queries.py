@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import bpe_query
 from .common import read_table
 from .digests import fingerprint_query
+from .jaccard import jaccard_query
 from .lm import lm_query
 from .media import media_query
 from .mixing import mix_query
@@ -41,6 +42,7 @@ def queries() -> dict[str, Query]:
         "op10_suffixes": over("documents", suffix_query),
         "op11_resample": resample_query,
         "op12_periods": over("documents", periodic_query),
+        "op13_jaccard": over("documents", jaccard_query),
     }
 
 
@@ -76,6 +78,20 @@ ORACLES = {
         r AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM c),
         k AS (SELECT doc_id, count(*) AS n_bytes, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans, string_agg(byte, '' ORDER BY i) FILTER (NOT gone) AS kept FROM r GROUP BY 1)
         SELECT doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM documents LEFT JOIN k USING (doc_id)""",
+    "op13_jaccard": """
+        WITH RECURSIVE t AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS shingle FROM t WHERE len(w) > 0),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+        c AS (SELECT shingle, count(*) AS df FROM s GROUP BY 1),
+        o AS (SELECT doc_id, shingle, n, row_number() OVER (PARTITION BY doc_id ORDER BY df, shingle) AS place FROM s JOIN c USING (shingle) JOIN n USING (doc_id)),
+        f AS (SELECT doc_id, shingle, n FROM o WHERE place <= n - (90 * n + 99) // 100 + 1),
+        p AS (SELECT DISTINCT a.doc_id AS x, b.doc_id AS y FROM f a JOIN f b ON a.shingle = b.shingle AND a.doc_id < b.doc_id AND 100 * a.n >= 90 * b.n AND 100 * b.n >= 90 * a.n),
+        e AS (SELECT x, y FROM p JOIN s a ON a.doc_id = x JOIN s b ON b.doc_id = y AND a.shingle = b.shingle JOIN n na ON na.doc_id = x JOIN n nb ON nb.doc_id = y
+          GROUP BY x, y, na.n, nb.n HAVING 100 * count(*) >= 90 * (na.n + nb.n - count(*))),
+        b AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
+        r AS (SELECT x AS node, x AS far FROM b UNION SELECT r.node, b.y FROM r JOIN b ON b.x = r.far),
+        m AS (SELECT node, min(far) AS least FROM r GROUP BY 1)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.least, d.doc_id) AS component_id FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.node = d.doc_id""",
     "op11_resample": rf"""
         WITH d AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM documents),
         b AS (SELECT unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM benchmark),

@@ -9,6 +9,7 @@ as soon as all of its counters have passed the radius for all queries at hand.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -320,7 +321,34 @@ def salt(parts: str) -> Column:
     return F.pmod(F.xxhash64("node"), F.col(parts)).cast("int")
 
 
-def links_of_texts(docs: DataFrame, members: DataFrame, task: list[str], words: int, similarity: float) -> DataFrame:
+#: The set of a text, distinct and sorted; star links (index, least index of its group) of some sets.
+Sets = Callable[[bytes], np.ndarray]
+Links = Callable[[list[np.ndarray]], tuple[np.ndarray, np.ndarray]]
+
+
+@dataclass(frozen=True)
+class SetRule:
+    """What a text's set is, and which of some sets are linked.
+
+    ``banded``: keys of two sets count as shared only at the same place of their lists.
+    """
+
+    sets: Sets
+    links: Links
+    banded: bool = True
+
+    def keyed(self, nodes: DataFrame, *columns: str) -> DataFrame:
+        """A row for each key of each node: k, key, and ``columns``."""
+        if self.banded:
+            return nodes.select(*columns, F.posexplode("keys").alias("k", "key"))
+        return nodes.select(*columns, F.lit(0).alias("k"), F.explode("keys").alias("key"))
+
+
+def word_rule(words: int, similarity: float) -> SetRule:
+    return SetRule(lambda text: np.unique(shingle_hashes(text, words)), lambda sets: similar_links(sets, similarity))
+
+
+def links_of_texts(docs: DataFrame, members: DataFrame, task: list[str], sets: Sets, links: Links) -> DataFrame:
     """Star links ``a, b`` among the nodes of each ``task`` of ``members(first_id, node, *task)``, checked on the shingle sets."""
     rows = docs.select(F.col("doc_id").cast("long").alias("first_id"), "text").join(members.select("first_id", "node", *task), "first_id")
 
@@ -328,26 +356,26 @@ def links_of_texts(docs: DataFrame, members: DataFrame, task: list[str], words:
         found: dict[int, np.ndarray] = {}
         wanted = set(table.column("node").to_pylist())
         for text in texts(table.column("text").combine_chunks()):
-            distinct = np.unique(shingle_hashes(text, words))
+            distinct = sets(text)
             if (node := node_of(distinct)) in wanted:
                 found[node] = distinct
         names = np.array(sorted(found), np.int64)
-        x, y = similar_links([found[i] for i in names.tolist()], similarity) if len(names) > 1 else ((), ())
+        x, y = links([found[i] for i in names.tolist()]) if len(names) > 1 else ((), ())
         return pa.table({"a": pa.array(names[list(x)] if len(x) else [], pa.int64()), "b": pa.array(names[list(y)] if len(y) else [], pa.int64())})
 
     return rows.select(*task, "node", "text").groupBy(*task).applyInArrow(check, "a long, b long")
 
 
-def in_buckets(sized: DataFrame, nodes: DataFrame) -> DataFrame:
+def in_buckets(sized: DataFrame, nodes: DataFrame, rule: SetRule) -> DataFrame:
     """``component, node, first_id, shingles, parts`` of the nodes of ``sized`` in each of their buckets, which ``component`` names."""
-    held = sized.select("node").join(nodes, "node").select("node", "first_id", "shingles", F.posexplode("keys").alias("k", "key"))
+    held = rule.keyed(sized.select("node").join(nodes, "node"), "node", "first_id", "shingles")
     held = materialize(held.select(F.xxhash64("k", "key").alias("component"), "node", "first_id", "shingles"), "bucketed")
     counts = held.groupBy("component").agg(F.count("*").alias("size"), F.sum("shingles").alias("held")).where("size > 1")
     parts = F.greatest(F.ceil(F.col("size") / F.lit(PART)), F.ceil(F.col("held") / F.lit(PART_SHINGLES)), F.lit(1)).cast("int")
     return held.join(materialize(counts.select("component", parts.alias("parts")), "buckets"), "component")
 
 
-def links_across(docs: DataFrame, split: DataFrame, linked: DataFrame, words: int, similarity: float) -> DataFrame:
+def links_across(docs: DataFrame, split: DataFrame, linked: DataFrame, rule: SetRule) -> DataFrame:
     """Links ``a, b`` that the buckets ``split`` still lack, given the clusters ``linked`` found in the parts of their groups.
 
     A missing link joins two clusters of a bucket, so one of its ends lies outside
@@ -364,7 +392,7 @@ def links_across(docs: DataFrame, split: DataFrame, linked: DataFrame, words: in
     dealt = told.join(materialize(counts.select("component", blocks.alias("blocks")), "blocks"), "component")
     every = dealt.select("component", "first_id", "node", salt("parts").alias("part"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     rest = dealt.where("rest").select("component", "first_id", "node", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), salt("blocks").alias("block"))
-    return links_of_texts(docs, every.union(rest).distinct(), ["component", "part", "block"], words, similarity)
+    return links_of_texts(docs, every.union(rest).distinct(), ["component", "part", "block"], rule.sets, rule.links)
 
 
 def bucket_stars(keyed: DataFrame) -> DataFrame:
@@ -386,9 +414,16 @@ def near_duplicate_groups(docs: DataFrame, words: int = NEAR_WORDS, similarity:
     doc_id are in one group if their texts are.
     """
     rows = materialize(signatures(docs, words), "signatures")
+    return linked_groups(docs, rows, word_rule(words, similarity)).select("doc_id", "component_id")
+
+
+def linked_groups(docs: DataFrame, rows: DataFrame, rule: SetRule) -> DataFrame:
+    """``doc_id, shingles, component_id`` of ``rows(doc_id, node, print, shingles, keys)``, what ``docs(doc_id, text)`` have as sets.
+
+    ``near_duplicate_groups`` says how; sets that ``rule`` links must share a key.
+    """
     nodes = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("print").alias("print"), F.first("shingles").alias("shingles"), F.first("keys").alias("keys")), "nodes")
-    keyed = nodes.select(F.posexplode("keys").alias("k", "key"), "node")
-    groups = connected_components(bucket_stars(keyed))
+    groups = connected_components(bucket_stars(rule.keyed(nodes, "node")))
     held = materialize(nodes.join(groups, "node").select("node", "first_id", "print", "shingles", "component"), "grouped")
     majority = held.groupBy("component").agg(*[F.sum(F.shiftright("print", i).bitwiseAND(F.lit(1))).alias(f"b{i}") for i in range(64)], F.count("*").alias("size"), F.sum("shingles").alias("held"))
     middle = F.lit(0).cast("long")
@@ -400,13 +435,13 @@ def near_duplicate_groups(docs: DataFrame, words: int = NEAR_WORDS, similarity:
     sized = materialize(sized.withColumn("parts", parts).withColumn("far", F.bit_count(F.col("print").bitwiseXOR(F.col("middle")))), "candidates")
     marked = sized.join(top_nodes(sized.where("parts > 1")), ["component", "node"], "left")
     part = F.when(F.col("hub").isNotNull(), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(salt("parts")))
-    linked = connected_components(links_of_texts(docs, marked.withColumn("part", F.explode(part)), ["component", "part"], words, similarity))
+    linked = connected_components(links_of_texts(docs, marked.withColumn("part", F.explode(part)), ["component", "part"], rule.sets, rule.links))
     if not sized.where("parts > 1").isEmpty():
-        across = links_across(docs, in_buckets(sized.where("parts > 1"), nodes), linked, words, similarity)
+        across = links_across(docs, in_buckets(sized.where("parts > 1"), nodes, rule), linked, rule)
         linked = connected_components(linked.select(F.col("node").alias("a"), F.col("component").alias("b")).union(across))
     grouped = nodes.select("node", "first_id").join(linked, "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("component"))
     named = with_least(grouped).select("node", "component_id")
-    return rows.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
+    return rows.select("doc_id", "node", "shingles").join(named, "node").select("doc_id", "shingles", "component_id")
 
 
 def top_nodes(rows: DataFrame) -> DataFrame:

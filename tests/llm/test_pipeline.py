@@ -26,4 +26,4 @@ def test_stages(spark):
 
 def test_registered():
     assert set(queries.oracle_sql()) <= set(queries.queries())
-    assert {q.split("_")[0] for q in queries.queries()} == {f"op{i}" for i in range(1, 13)}
+    assert {q.split("_")[0] for q in queries.queries()} == {f"op{i}" for i in range(1, 14)}
