@@ -1,8 +1,7 @@
-"""Reader output: words to lines, boxes, reading order, duplicate boxes, clear space, regions."""
+"""Reader output: words to lines, boxes, reading order, duplicate boxes, clear space."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,52 +128,6 @@ def ruler_pixels_per_mm(ticks: DataFrame) -> DataFrame:
     return kept.groupBy("image_id", "ticks").agg(F.avg("gap").alias("pixels_per_mm"), F.count("*").alias("_n")).where((F.col("ticks") >= 5) & (F.col("_n") >= 4)).drop("_n")
 
 
-def regions(points: DataFrame, eps: float, least: int = 2) -> DataFrame:
-    """DBSCAN of ``points(image_id, point_no, x, y)`` by image: adds ``region``, -1 for noise; regions in order of their first core point.
-
-    Neighbours come from a grid of cells of width eps, so a point is compared with
-    those of nine cells. An image is one group; images are small.
-    """
-    def cluster(frame: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        frame = frame.sort_values("point_no").reset_index(drop=True)
-        xy = frame[["x", "y"]].to_numpy(float)
-        cells: dict[tuple[int, int], list[int]] = {}
-        spots = np.floor(xy / eps).astype(int)
-        for i, (a, b) in enumerate(spots.tolist()):
-            cells.setdefault((a, b), []).append(i)
-        near = []
-        for i, (a, b) in enumerate(spots.tolist()):
-            close = np.array([j for da in (-1, 0, 1) for db in (-1, 0, 1) for j in cells.get((a + da, b + db), ())])
-            near.append(close[((xy[close] - xy[i]) ** 2).sum(1) <= eps * eps])
-        core = [len(n) >= least for n in near]
-        label = np.full(len(frame), -1)
-        current = 0
-        for i in range(len(frame)):
-            if not core[i] or label[i] >= 0:
-                continue
-            todo = [i]
-            label[i] = current
-            while todo:
-                j = todo.pop()
-                if core[j]:
-                    for k in near[j].tolist():
-                        if label[k] < 0:
-                            label[k] = current
-                            todo.append(k)
-            current += 1
-        return frame.assign(region=label)
-
-    schema = points.select("image_id", "point_no", "x", "y").schema.simpleString()[7:-1].replace(":", " ") + ", region int"
-    return points.select("image_id", "point_no", "x", "y").groupBy("image_id").applyInPandas(cluster, schema)
-
-
-def region_boxes(clustered: DataFrame) -> DataFrame:
-    """Box and size of each region; noise is one region."""
-    return clustered.groupBy("image_id", "region").agg(F.min("x").alias("x1"), F.min("y").alias("y1"), F.max("x").alias("x2"), F.max("y").alias("y2"), F.count("*").alias("points"))
-
-
 def font_metrics(blocks: DataFrame, least: Column) -> DataFrame:
     """Letter sizes in mm (two decimals) of calibrated blocks, and whether the unrounded height is enough."""
     height = F.col("height_px") / F.col("pixels_per_mm")

@@ -319,6 +319,16 @@ ORACLES: dict[str, str] = {
       SELECT image_id, block_no, round(height_px / ppm, 2) AS height_mm, round(width_px / ppm, 2) AS width_mm, least_mm, height_px / ppm >= least_mm AS meets FROM d""",
     "ruler": """WITH t AS (SELECT DISTINCT l_orderkey AS image_id, CAST(l_linenumber * 10 + l_quantity % 4 AS DOUBLE) AS x FROM lineitem), g AS (SELECT image_id, x - lag(x) OVER (PARTITION BY image_id ORDER BY x) AS gap FROM t),
       m AS (SELECT image_id, median(gap) AS med, count(*) AS ticks FROM g GROUP BY 1) SELECT image_id, round(avg(gap), 9) AS pixels_per_mm, any_value(ticks) AS ticks FROM g JOIN m USING (image_id) WHERE med > 0 AND abs(gap - med) / med < 0.30 AND ticks >= 5 GROUP BY 1 HAVING count(*) >= 4""",
+    "label_regions": f"""WITH RECURSIVE {BLOCKS}, r AS (SELECT image_id, block_no, text, cx, cy, lft AS x1, top AS y1, lft + wide AS x2, top + tall + 2 AS y2 FROM blocks),
+      s AS (SELECT image_id, sqrt(max(x2) * max(x2) + max(y2) * max(y2)) * 50.0 / 1000 AS eps FROM r WHERE image_id % 7 > 0 GROUP BY 1),
+      near AS (SELECT a.image_id, a.block_no AS a, b.block_no AS b FROM r a JOIN r b USING (image_id) JOIN s USING (image_id) WHERE (a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy) <= eps * eps AND a.block_no <> b.block_no),
+      reach(image_id, a, b) AS (SELECT image_id, a, b FROM near UNION SELECT r.image_id, r.a, n.b FROM reach r JOIN near n ON r.image_id = n.image_id AND r.b = n.a),
+      roots AS (SELECT image_id, a, least(a, min(b)) AS root FROM reach GROUP BY 1, 2), numbered AS (SELECT image_id, a, dense_rank() OVER (PARTITION BY image_id ORDER BY root) - 1 AS region FROM roots),
+      held AS (SELECT r.*, CAST(coalesce(region, -1) AS INTEGER) AS region FROM r JOIN s USING (image_id) LEFT JOIN numbered n ON r.image_id = n.image_id AND r.block_no = n.a)
+      SELECT image_id, region, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, string_agg(text, ' ' ORDER BY cy, block_no) AS text, count(*) AS blocks FROM held GROUP BY 1, 2
+      UNION ALL SELECT image_id, 0, NULL, NULL, NULL, NULL, string_agg(text, ' ' ORDER BY block_no), count(*) FROM r WHERE image_id % 7 = 0 GROUP BY 1""",
+    "single_regions": f"""WITH {BLOCKS}, r AS (SELECT image_id, string_agg(text, ' ' ORDER BY block_no) AS text, count(*) AS blocks, max(lft + wide) AS w, max(top + tall + 2) AS h, image_id % 7 > 0 AS sized FROM blocks GROUP BY image_id)
+      SELECT image_id, 0::INTEGER AS region, CASE WHEN sized THEN 0.0::DOUBLE END AS x1, CASE WHEN sized THEN 0.0::DOUBLE END AS y1, CASE WHEN sized THEN w END AS x2, CASE WHEN sized THEN h END AS y2, text, blocks FROM r""",
     "regions": """WITH RECURSIVE p AS (SELECT label AS image_id, vec_id AS n, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings),
       near AS (SELECT a.image_id, a.n AS a, b.n AS b FROM p a JOIN p b USING (image_id) WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 0.05 * 0.05), core AS (SELECT image_id, a FROM near GROUP BY 1, 2 HAVING count(*) >= 2),
       reach(image_id, a, b) AS (SELECT image_id, a, b FROM near WHERE a <> b UNION SELECT r.image_id, r.a, n.b FROM reach r JOIN near n ON r.image_id = n.image_id AND r.b = n.a),

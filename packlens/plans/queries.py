@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry, gtin, text
 from ..operators import blocks, model, packages, registry, rules, scoring
+from ..operators import regions as areas
 from ..sources import tables
 from ..streaming import scans
 from .oracles import ORACLES
@@ -248,10 +249,23 @@ def least_heights(spark, sf_dir):
 
 @query
 def regions(spark, sf_dir):
-    held = blocks.region_boxes(blocks.regions(tables.points(spark, sf_dir), 0.05))
+    held = areas.region_boxes(areas.clustered(tables.points(spark, sf_dir), 0.05))
     return held.select("image_id", "region", *[F.round(c, 6).alias(c) for c in ("x1", "y1", "x2", "y2")], "points")
 
 
+@query
+def label_regions(spark, sf_dir):
+    """Text regions of the documents' lines as label images; every seventh image has no known size."""
+    held = blocks.with_rect(blocks.finished_blocks(tables.lines(spark, sf_dir)))
+    return areas.label_regions(held, tables.image_sizes(held))
+
+
+@query
+def single_regions(spark, sf_dir):
+    held = blocks.with_rect(blocks.finished_blocks(tables.lines(spark, sf_dir)))
+    return areas.single_region(held, tables.image_sizes(held))
+
+
 @query
 def permitted_errors(spark, sf_dir):
     cases = tables.error_cases(spark, sf_dir).withColumn("e", geometry.permitted_error(F.col("declared"), F.col("category")))

@@ -105,6 +105,12 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("image_id", F.col("block_no").cast("int").alias("block_no"), "text", (F.pmod(F.col("image_id") + F.col("block_no"), F.lit(10)) / 10.0).cast("double").alias("confidence"), corners.alias("bbox"))
 
 
+def image_sizes(blocks: DataFrame) -> DataFrame:
+    """``image_id, width, height`` of images that hold blocks with rectangles; unknown for every seventh."""
+    sizes = blocks.groupBy("image_id").agg(F.max("rect.x2").alias("width"), F.max("rect.y2").alias("height"))
+    return sizes.where("image_id % 7 > 0")
+
+
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of the documents' lines with page, block, paragraph and line numbers."""
     docs = table(spark, sf_dir, "documents")

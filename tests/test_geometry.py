@@ -1,11 +1,14 @@
 """Ladders, boxes and regions."""
 
 import itertools
+import random
+
+import pytest
 
 from pyspark.sql import functions as F
 
 from packlens.functions import geometry
-from packlens.operators import blocks
+from packlens.operators import blocks, regions
 from packlens.sources import files, tables
 
 SF = "/root/testdata/sf0.001"
@@ -42,16 +45,55 @@ def test_kept_boxes_overlap_little_and_dropped_ones_much(spark):
 
 def test_regions_of_chains_and_noise(spark):
     rows = [(1, i, float(x), 0.0) for i, x in enumerate([0, 1, 2, 10, 20, 21])]
-    found = blocks.regions(spark.createDataFrame(rows, "image_id int, point_no int, x double, y double"), 1.5)
+    found = regions.clustered(spark.createDataFrame(rows, "image_id int, point_no int, x double, y double"), 1.5)
     assert [r.region for r in found.orderBy("point_no").collect()] == [0, 0, 0, -1, 1, 1]
 
 
 def test_border_points_need_a_core(spark):
     rows = [(1, i, float(x), 0.0) for i, x in enumerate([0, 1, 2, 3.4])]
-    found = blocks.regions(spark.createDataFrame(rows, "image_id int, point_no int, x double, y double"), 1.5, least=3)
+    found = regions.clustered(spark.createDataFrame(rows, "image_id int, point_no int, x double, y double"), 1.5, least=3)
     assert [r.region for r in found.orderBy("point_no").collect()] == [0, 0, 0, 0]
 
 
+def plain_regions(points, eps, least):
+    """DBSCAN of one image as it is defined: points in order, regions grown from core points."""
+    near = [[j for j, q in enumerate(points) if (p[0] - q[0]) ** 2 + (p[1] - q[1]) ** 2 <= eps * eps] for p in points]
+    label, current = [-1] * len(points), 0
+    for i in range(len(points)):
+        if label[i] >= 0 or len(near[i]) < least:
+            continue
+        todo, label[i] = [i], current
+        while todo:
+            j = todo.pop()
+            if len(near[j]) >= least:
+                for k in near[j]:
+                    if label[k] < 0:
+                        label[k] = current
+                        todo.append(k)
+        current += 1
+    return label
+
+
+@pytest.mark.parametrize(("least", "pairs"), [(2, 4096), (2, 4), (4, 4), (7, 1)])
+def test_regions_of_any_points(spark, monkeypatch, least, pairs):
+    """Sparse, crowded and repeated points; cells are split where few pairs may be compared."""
+    monkeypatch.setattr(regions, "PAIRS", pairs)
+    rng = random.Random(least)
+    images = {1: [(rng.random(), rng.random()) for _ in range(120)], 2: [(rng.gauss(0, 0.05), rng.gauss(0, 0.05)) for _ in range(90)] + [(0.3, 0.3)] * 9, 3: [(i * 0.05, (i % 2) * 0.01) for i in range(-40, 40)], 4: [(1.0, 2.0)]}
+    rows = [(i, n, *p) for i, ps in images.items() for n, p in enumerate(ps)]
+    found = regions.clustered(spark.createDataFrame([*rows, (5, 0, None, 1.0)], "image_id int, point_no int, x double, y double").repartition(3), 0.05, least).collect()
+    got = {(r.image_id, r.point_no): r.region for r in found}
+    assert got.pop((5, 0)) == -1
+    assert got == {(i, n): r for i, ps in images.items() for n, r in enumerate(plain_regions(ps, 0.05, least))}
+    assert regions.clustered(spark.createDataFrame([], "image_id int, point_no int, x double, y double"), 1.0).count() == 0
+
+
+def test_regions_run_no_python(spark):
+    found = regions.clustered(tables.points(spark, SF), 0.05)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan
+
+
 def test_lone_box_has_infinite_space(spark):
     df = spark.createDataFrame([(1, 1, 0.0, 0.0, 5.0, 5.0)], "image_id int, box_no int, x1 double, y1 double, x2 double, y2 double")
     r = blocks.clear_space(df, 2.0).first()
