@@ -313,3 +313,10 @@ MEASURE_FEATURES = [
     "panel_area_mm2", "net_quantity_value", "mrp_value", "avg_ocr_confidence", "num_declarations_found",
 ]
 FEATURES = [*PRESENCE_FEATURES, *MEASURE_FEATURES, "is_imported"]
+#: Ranges of the measures of synthetic rows.
+SYNTHETIC_RANGES = {
+    "mrp_font_height_mm": (0.5, 8.0), "net_qty_font_height_mm": (0.5, 8.0), "mrp_contrast_ratio": (1.0, 21.0), "qty_clear_space_ratio": (0.1, 2.0),
+    "panel_area_mm2": (1000.0, 50000.0), "net_quantity_value": (10.0, 5000.0), "mrp_value": (5.0, 5000.0), "avg_ocr_confidence": (0.3, 1.0),
+}
+#: Fixed value: how the detail of a rule begins that can't be evaluated.
+RULE_FAILED = "Rule evaluation failed with error: "

@@ -48,6 +48,12 @@ def bound(f: Callable[..., Column], *values: Column) -> Column:
     return F.get(F.transform(F.array(packed), lambda s: f(*[s[f"v{i}"] for i in range(len(values))])), F.lit(0))
 
 
+def json_value(text: Column) -> Column:
+    """The variant of a text that is JSON as a whole; null for any other, what has more behind its value included."""
+    held = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    return F.when(F.try_variant_get(held, "$[1]", "variant").isNull(), F.try_variant_get(held, "$[0]", "variant"))
+
+
 def strip(value: Column) -> Column:
     """White space off both ends, as Unicode has it."""
     return F.regexp_replace(value, r"(?U)^\s+|\s+$", "")

@@ -1,64 +1,105 @@
-"""An additive model of compliance: a weight for each bin of each feature.
+"""An additive model of compliance: a weight for each bin of each feature, and for each cell of some pairs.
 
 Features are cut at quantiles of the training rows, unknown values have a bin of
-their own, and a logistic regression over the bins gives additive contributions.
+their own. ``boosting`` finds the weights; scoring is a column expression.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from .packages import synthetic_label
 
-BINS = 16
+#: Names of pair terms join their features by this.
+AND = " & "
 
 
-def synthetic_rows(spark: SparkSession, n: int, seed: int = 42, noise: float = 0.1) -> DataFrame:
-    """``n`` feature rows with labels by rule; values follow their distributions, not a fixed list. Of the labels the share ``noise``, rounded down to whole rows, is flipped."""
-    def uniform(low: float, high: float, i: int) -> Column:
-        return low + (high - low) * F.rand(seed + i)
+def drawn(key: str, name: str, seed: int) -> Column:
+    """A number from 0 to below 1 that depends on the row's key, a name and the seed only."""
+    digits = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(name), F.col(key).cast("string")).cast("binary")), 1, 8)
+    return F.conv(digits, 16, 10).cast("double") / F.lit(4294967296.0)
 
-    rows = spark.range(n).withColumnRenamed("id", "row_id")
+
+def smallest_share(rows: DataFrame, key: str, name: str, seed: int, share: float) -> DataFrame:
+    """``key`` of exactly ``floor(share * n)`` rows, those with the smallest hash; rows with equal hashes by key.
+
+    Counts by the hash's first digits say where the last one lies; only rows with these digits are sorted.
+    """
+    hashed = rows.select(key, F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(name), F.col(key).cast("string")).cast("binary")).alias("_hash"))
+    hashed = hashed.withColumn("_digits", F.substring("_hash", 1, 4))
+    counts = hashed.groupBy("_digits").agg(F.count("*").alias("_n"))
+    run = counts.select("_digits", (F.sum("_n").over(Window.orderBy("_digits")) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.orderBy("_digits")).alias("_up_to"), F.floor(F.sum("_n").over(Window.partitionBy(F.lit(0))) * F.lit(share)).alias("_wanted"))  # 65,536 rows at most
+    some = hashed.join(F.broadcast(run.where("_before < _wanted")), "_digits")
+    number = F.row_number().over(Window.partitionBy("_digits").orderBy("_hash", key))
+    split = some.where("_up_to > _wanted").withColumn("_no", number).where("_before + _no <= _wanted").select(key)
+    return some.where("_up_to <= _wanted").select(key).unionByName(split)
+
+
+def synthetic_rows(keys: DataFrame, key: str, seed: int = 42, noise: float = 0.1) -> DataFrame:
+    """A feature row with a label by rule for each ``key``, which must be distinct; values follow their distributions and depend on the key only. Of the labels the share ``noise``, rounded down to whole rows, is flipped."""
+
+    def u(name: str) -> Column:
+        return drawn("row_id", name, seed)
+
+    rows = keys.select(F.col(key).alias("row_id"))
     bits = [*fixed.PRESENCE_FEATURES, "is_imported"]
-    rows = rows.withColumns({b: (F.rand(seed + i) < 0.7).cast("int") for i, b in enumerate(bits)})
-    rows = rows.withColumn("has_english", F.when((F.col("has_hindi") == 0) & (F.col("has_english") == 0), (F.rand(seed + 99) < 0.9).cast("int")).otherwise(F.col("has_english")))
-    ranges = {"mrp_font_height_mm": (0.5, 8.0), "net_qty_font_height_mm": (0.5, 8.0), "mrp_contrast_ratio": (1.0, 21.0), "qty_clear_space_ratio": (0.1, 2.0), "panel_area_mm2": (1000.0, 50000.0), "net_quantity_value": (10.0, 5000.0), "mrp_value": (5.0, 5000.0), "avg_ocr_confidence": (0.3, 1.0)}
-    rows = rows.withColumns({f: uniform(a, b, 100 + i) for i, (f, (a, b)) in enumerate(ranges.items())})
+    rows = rows.withColumns({b: (u(b) < 0.7).cast("int") for b in bits})
+    rows = rows.withColumn("has_english", F.when((F.col("has_hindi") == 0) & (F.col("has_english") == 0), (u("language") < 0.9).cast("int")).otherwise(F.col("has_english")))
+    ranges = fixed.SYNTHETIC_RANGES
+    rows = rows.withColumns({f: low + (high - low) * u(f) for f, (low, high) in ranges.items()})
     rows = rows.withColumn("min_font_height_mm", F.least("mrp_font_height_mm", "net_qty_font_height_mm"))
     total = F.lit(2)
     for b in fixed.PRESENCE_FEATURES[:10]:
         total = total + F.col(b)
     rows = rows.withColumn("num_declarations_found", total)
-    rows = rows.withColumns({f: F.when(F.rand(seed + 200 + i) >= 0.1, F.col(f)) for i, f in enumerate(("mrp_font_height_mm", "net_qty_font_height_mm", "mrp_contrast_ratio"))})
-    flipped = spark.range(n).withColumnRenamed("id", "row_id").orderBy(F.rand(seed + 300), "row_id").limit(int(n * noise)).withColumn("flip", F.lit(True))
+    rows = rows.withColumns({f: F.when(u(f + " known") >= 0.1, F.col(f)) for f in ("mrp_font_height_mm", "net_qty_font_height_mm", "mrp_contrast_ratio")})
+    flipped = smallest_share(rows, "row_id", "flip", seed, noise).withColumn("flip", F.lit(True))
     rows = rows.withColumn("label", synthetic_label(rows)).join(flipped, "row_id", "left")
     return rows.withColumn("label", F.when(F.col("flip"), 1 - F.col("label")).otherwise(F.col("label"))).select("row_id", *fixed.FEATURES, "label")
 
 
+def bin_expression(value: Column, cuts: list[float]) -> Column:
+    """The bin of a value: how many cuts lie below it; one more than there are for unknown values."""
+    value = value.cast("double")
+    below = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < value)) if len(cuts) > 8 else sum(((value > cut).cast("int") for cut in cuts), F.lit(0))
+    return F.when(value.isNull() | F.isnan(value), len(cuts) + 1).otherwise(below)
+
+
+@dataclass
+class PairTerm:
+    a: str
+    b: str
+    cuts_a: list[float]
+    cuts_b: list[float]
+    weights: list[float]  # by bin of a, then of b; the last bin of each is for unknown values
+
+    @property
+    def name(self) -> str:
+        return self.a + AND + self.b
+
+
 @dataclass
 class AdditiveModel:
     cuts: dict[str, list[float]]
     weights: dict[str, list[float]]  # by bin; the last bin is for unknown values
     intercept: float
+    pairs: list[PairTerm] = field(default_factory=list)
 
     def bin_of(self, feature: str) -> Column:
-        value, cuts = F.col(feature).cast("double"), self.cuts[feature]
-        position = F.lit(0)
-        for cut in cuts:
-            position = position + (value > cut).cast("int")
-        return F.when(value.isNull() | F.isnan(value), len(cuts) + 1).otherwise(position)
+        return bin_expression(F.col(feature), self.cuts[feature])
 
     def contributions(self) -> Column:
-        """Map from feature to what it adds to the log-odds."""
-        names = F.array(*[F.lit(f) for f in self.cuts])
+        """Map from feature, or pair of features, to what it adds to the log-odds."""
+        names = [*self.cuts, *[p.name for p in self.pairs]]
         values = [F.get(F.array(*map(F.lit, self.weights[f])), self.bin_of(f)) for f in self.cuts]
-        return F.map_from_arrays(names, F.array(*values))
+        for p in self.pairs:
+            cell = bin_expression(F.col(p.a), p.cuts_a) * (len(p.cuts_b) + 2) + bin_expression(F.col(p.b), p.cuts_b)
+            values.append(F.get(F.array(*map(F.lit, p.weights)), cell))
+        return F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*values))
 
     def probability(self, contributions: Column) -> Column:
         odds = F.aggregate(F.map_values(contributions), F.lit(self.intercept), lambda a, x: a + x)
@@ -66,40 +107,54 @@ class AdditiveModel:
 
 
 def save(spark: SparkSession, model: AdditiveModel, path: str) -> None:
-    """Keep a model as a table: one row a bin."""
-    rows = [(f, i, float(c) if c is not None else None, w) for f in model.cuts for i, (c, w) in enumerate(zip([*model.cuts[f], None, None], model.weights[f], strict=True))]
-    spark.createDataFrame([("", 0, None, model.intercept), *rows], "feature string, bin int, cut double, weight double").coalesce(1).write.mode("overwrite").parquet(path)
+    """Keep a model as a table: one row a number."""
+    rows = [("intercept", 0, "", "", 0, model.intercept)]
+
+    def add(kind: str, no: int, a: str, b: str, numbers: list[float]) -> None:
+        rows.append((kind, no, a, b, -1, float(len(numbers))))
+        rows.extend((kind, no, a, b, i, float(x)) for i, x in enumerate(numbers))
+
+    for no, f in enumerate(model.cuts):
+        add("cuts", no, f, "", model.cuts[f])
+        add("weights", no, f, "", model.weights[f])
+    for no, p in enumerate(model.pairs):
+        for kind, numbers in (("pair cuts a", p.cuts_a), ("pair cuts b", p.cuts_b), ("pair weights", p.weights)):
+            add(kind, no, p.a, p.b, numbers)
+    spark.createDataFrame(rows, "kind string, no int, a string, b string, at int, value double").coalesce(1).write.mode("overwrite").parquet(path)
 
 
 def load(spark: SparkSession, path: str) -> AdditiveModel:
+    held: dict[tuple, list[float]] = {}
     model = AdditiveModel({}, {}, 0.0)
-    for r in spark.read.parquet(path).orderBy("feature", "bin").collect():
-        if not r.feature:
-            model.intercept = r.weight
-            continue
-        model.weights.setdefault(r.feature, []).append(r.weight)
-        model.cuts.setdefault(r.feature, [])
-        if r.cut is not None:
-            model.cuts[r.feature].append(r.cut)
+    for r in spark.read.parquet(path).orderBy("kind", "no", "at").collect():
+        if r.kind == "intercept":
+            model.intercept = r.value
+        elif r.at < 0:
+            held[r.kind, r.no, r.a, r.b] = []
+        else:
+            held[r.kind, r.no, r.a, r.b].append(r.value)
+    for (kind, no, a, b), numbers in held.items():
+        if kind == "cuts":
+            model.cuts[a], model.weights[a] = numbers, held["weights", no, a, b]
+        elif kind == "pair weights":
+            model.pairs.append(PairTerm(a, b, held["pair cuts a", no, a, b], held["pair cuts b", no, a, b], numbers))
     return model
 
 
-def fit(rows: DataFrame, features: list[str] | None = None) -> AdditiveModel:
-    """Train on ``rows(features, label)``; cut points and weights are all that reaches the driver."""
-    features = features or fixed.FEATURES
-    quantiles = [i / BINS for i in range(1, BINS)]
-    found = rows.agg(*[F.percentile_approx(F.col(f).cast("double"), quantiles, 1000).alias(f) for f in features]).first()
-    cuts = {f: sorted({x for x in (found[f] or [])}) for f in features}
-    model = AdditiveModel(cuts, {}, 0.0)
-    binned = rows.select(F.col("label").cast("double").alias("y"), *[model.bin_of(f).alias(f) for f in features])
-    bits = [(F.col(f) == i).cast("double") for f in features for i in range(len(cuts[f]) + 2)]
-    fitted = LogisticRegression(featuresCol="x", labelCol="y", regParam=0.001, maxIter=50).fit(binned.select("y", array_to_vector(F.array(*bits)).alias("x")))
-    weights, at = fitted.coefficients.toArray().tolist(), 0
-    for f in features:
-        n = len(cuts[f]) + 2
-        model.weights[f], at = weights[at : at + n], at + n
-    model.intercept = float(fitted.intercept)
-    return model
+def cut_points(rows: DataFrame, features: list[str], bins: int) -> dict[str, list[float]]:
+    """Quantiles of each feature as cuts, at most ``bins - 1``; none at a feature's largest value, which would leave a bin empty."""
+    quantiles = [i / bins for i in range(1, bins)]
+    known = {f: F.when(~F.isnan(F.col(f).cast("double")), F.col(f).cast("double")) for f in features}
+    found = rows.agg(*[F.percentile_approx(known[f], quantiles, 100 * bins).alias(f) for f in features], *[F.max(known[f]).alias(f"_max_{f}") for f in features]).first()
+    return {f: sorted({x for x in (found[f] or []) if x < found[f"_max_{f}"]}) for f in features}
+
+
+def fit(rows: DataFrame, features: list[str] | None = None, how: "Boosting | None" = None) -> AdditiveModel:  # noqa: UP037
+    """Train on ``rows(features, label)``. Histograms of bins, cut points and weights are all that reaches the driver; without rows all weights are 0."""
+    from . import boosting  # which builds on this module
+
+    how = how or boosting.Boosting()
+    return boosting.boost(rows, cut_points(rows, features or fixed.FEATURES, how.bins), how)
 
 
 def predicted(rows: DataFrame, model: AdditiveModel) -> DataFrame:
@@ -112,9 +167,16 @@ def predicted(rows: DataFrame, model: AdditiveModel) -> DataFrame:
 
 
 def importances(scored: DataFrame) -> DataFrame:
-    """Mean absolute contribution of each feature."""
+    """Mean absolute contribution of each feature or pair."""
     return scored.select(F.explode("contributions").alias("feature", "value")).groupBy("feature").agg(F.avg(F.abs("value")).alias("importance"))
 
 
+def top_importances(scored: DataFrame, n: int = 10, width: int = 20) -> DataFrame:
+    """The ``n`` greatest importances, each with a bar of up to ``width`` marks relative to the greatest."""
+    top = importances(scored).orderBy(F.col("importance").desc(), "feature").limit(n)
+    most = F.max("importance").over(Window.partitionBy(F.lit(0)))  # n rows
+    return top.withColumn("bar", F.repeat(F.lit("#"), F.when(most > 0, F.round(F.col("importance") / most * width)).otherwise(0).cast("int")))
+
+
 def accuracy(scored: DataFrame) -> DataFrame:
     return scored.agg(F.avg((F.col("predicted") == F.col("label")).cast("double")).alias("accuracy"), F.count("*").alias("n"))

@@ -74,6 +74,34 @@ def national_records(payloads: DataFrame) -> DataFrame:
     )
 
 
+def parsed(payloads: DataFrame) -> DataFrame:
+    """``payloads(gtin, source, payload)`` with the variant ``j``, null where the payload isn't JSON."""
+    return payloads.withColumn("j", text.json_value(F.col("payload")))
+
+
+def malformed(payloads: DataFrame) -> DataFrame:
+    """What has to be set aside: payloads that are no JSON, with the reason. A missing payload is no answer, not a malformed one."""
+    held = parsed(payloads.where("payload IS NOT NULL"))
+    return held.where("j IS NULL").select("gtin", "source", "payload", F.when(F.trim("payload") == "", "empty").otherwise("no JSON").alias("reason"))
+
+
+def knowledge_records(payloads: DataFrame) -> DataFrame:
+    """Records of the knowledge base: the first binding of each answer, whose labels differ by answer; answers without one go."""
+    held = parsed(payloads).withColumn("b", F.try_variant_get("j", "$.results.bindings[0]", "variant")).where("b IS NOT NULL")
+
+    def label(name: str) -> Column:
+        return text.clean(F.try_variant_get("b", f"$.{name}.value", "string"))
+
+    return held.select("gtin", "source", label("itemLabel").alias("product_name"), label("brandLabel").alias("brand"), label("manufacturerLabel").alias("manufacturer_name"), label("countryLabel").alias("country_of_origin"))
+
+
+def knowledge_labels(payloads: DataFrame) -> DataFrame:
+    """``gtin, label, value``: all labels of the first binding of each answer, whatever they are."""
+    held = parsed(payloads).select("gtin", F.try_variant_get("j", "$.results.bindings[0]", "variant").alias("b"))
+    rows = held.lateralJoin(held.sparkSession.tvf.variant_explode(F.col("b").outer()))
+    return rows.select("gtin", F.col("key").alias("label"), text.clean(F.try_variant_get("value", "$.value", "string")).alias("value")).where("value IS NOT NULL")
+
+
 def code_variants(codes: DataFrame) -> DataFrame:
     """The spellings under which a knowledge base may hold a code: as is, without leading zeros, padded to 13 and 14 digits."""
     g = F.col("gtin")

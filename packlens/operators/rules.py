@@ -15,12 +15,12 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.checked import Checked, first_error
+from ..functions.fixed import RULE_FAILED
 from ..functions.geometry import least_height
 from ..functions.text import first_truthy, strip, truthy
 from .rule_texts import ABSENT, ABSENT_LABEL, ABSENT_REGISTRY, CONSTANT, NAMES, TEXTS, VISUAL
 
-#: Fixed value: how the detail of a rule begins that can't be evaluated.
-RULE_FAILED = "Rule evaluation failed with error: "
 STATUSES = ["PASS", "FAIL", "WARNING", "NOT_APPLICABLE", "INCONCLUSIVE"]
 
 
@@ -37,12 +37,20 @@ class Outcome:
 
 @dataclass(frozen=True)
 class Rule:
+    """A rule of the rulebook, or one of a user's own, with its ``title``.
+
+    ``checks`` are the values that may go wrong on a row: where one has an error, the
+    rule is inconclusive on that row, and its outcomes aren't looked at.
+    """
+
     rule_id: str
     outcomes: Callable[[], list[Outcome]]
+    title: str | None = None
+    checks: Callable[[], list[Checked]] | None = None
 
     @property
     def name(self) -> str:
-        return NAMES[self.rule_id]
+        return self.title if self.title is not None else NAMES[self.rule_id]
 
 
 RULES: list[Rule] = []
@@ -379,38 +387,41 @@ BY_ID = {r.rule_id: r for r in RULES}
 ORDER = {r.rule_id: i for i, r in enumerate(RULES, 1)}
 
 
+def fields_of(one: Rule, status: Column, severity: str, weight: float, wide: bool, detail: Column, evidence: Column | None, reference: str | None) -> Column:
+    fields = [F.lit(ORDER.get(one.rule_id, len(ORDER) + 1)).alias("rule_no"), F.lit(one.rule_id).alias("rule_id"), status.alias("status"), F.lit(severity).alias("severity"), F.lit(weight).alias("weight")]
+    if wide:
+        none = F.lit(None).cast("string")
+        fields += [F.lit(one.name).alias("rule_name"), detail.alias("detail"), (none if evidence is None else evidence).alias("evidence"), F.lit(reference).cast("string").alias("legal_reference")]
+    return F.struct(*fields)
+
+
+def failed(one: Rule, reason: Column, wide: bool) -> Column:
+    """What a rule gives that can't be evaluated: inconclusive, of no weight, with the reason."""
+    return fields_of(one, F.lit("INCONCLUSIVE"), "MINOR", 0.0, wide, F.concat(F.lit(RULE_FAILED), reason), None, None)
+
+
 def result_of(one: Rule, wide: bool) -> Column:
     """The struct of a rule's deciding outcome."""
 
     def struct(o: Outcome) -> Column:
-        status = F.lit(o.status) if isinstance(o.status, str) else o.status
-        fields = [F.lit(ORDER[one.rule_id]).alias("rule_no"), F.lit(one.rule_id).alias("rule_id"), status.alias("status"), F.lit(o.severity).alias("severity"), F.lit(o.weight).alias("weight")]
-        if wide:
-            none = F.lit(None).cast("string")
-            fields += [F.lit(one.name).alias("rule_name"), o.detail.alias("detail"), (none if o.evidence is None else o.evidence).alias("evidence"), F.lit(o.reference).cast("string").alias("legal_reference")]
-        return F.struct(*fields)
-
-    outcomes = one.outcomes()
-    result = None
-    for o in outcomes:
+        return fields_of(one, F.lit(o.status) if isinstance(o.status, str) else o.status, o.severity, o.weight, wide, o.detail, o.evidence, o.reference)
+
+    error = first_error(*one.checks()) if one.checks else None
+    result = None if error is None else F.when(error.isNotNull(), failed(one, error, wide))
+    for o in one.outcomes():
         if o.when is None:
             return struct(o) if result is None else result.otherwise(struct(o))
         result = F.when(o.when, struct(o)) if result is None else result.when(o.when, struct(o))
     raise ValueError(f"{one.rule_id} has no last outcome")
 
 
-def isolated(packages: DataFrame, one: Rule, wide: bool) -> Column:
-    """The rule's result, or an inconclusive one if Spark can't resolve it on ``packages``; nothing is run for that."""
-    result = result_of(one, wide)
+def resolvable(packages: DataFrame, results: list[Column]) -> str | None:
+    """Why Spark can't resolve ``results`` on ``packages``, in one line, or None; nothing is run for that."""
     try:
-        packages.select(result)
+        packages.select(*[r.alias(f"_r{i}") for i, r in enumerate(results)])
     except AnalysisException as e:
-        fields = [F.lit(ORDER[one.rule_id]).alias("rule_no"), F.lit(one.rule_id).alias("rule_id"), F.lit("INCONCLUSIVE").alias("status"), F.lit("MINOR").alias("severity"), F.lit(0.0).alias("weight")]
-        if wide:
-            none = F.lit(None).cast("string")
-            fields += [F.lit(one.name).alias("rule_name"), F.lit(RULE_FAILED + str(e).splitlines()[0]).alias("detail"), none.alias("evidence"), none.alias("legal_reference")]
-        return F.struct(*fields)
-    return result
+        return str(e).splitlines()[0]
+    return None
 
 
 def chosen(rule_ids: Iterable[str] | None, code_rules: bool) -> list[Rule]:
@@ -421,24 +432,26 @@ def chosen(rule_ids: Iterable[str] | None, code_rules: bool) -> list[Rule]:
     return [BY_ID[r] for r in wanted]
 
 
-def with_results(packages: DataFrame, rule_ids: Iterable[str] | None = None, code_rules: bool = True, wide: bool = False, extra: Column | None = None, isolate: bool = False) -> DataFrame:
+def with_results(packages: DataFrame, rule_ids: Iterable[str] | None = None, code_rules: bool = True, wide: bool = False, extra: Column | None = None, isolate: bool = False, own: Iterable[Rule] = ()) -> DataFrame:
     """``packages`` with ``results``, an array with a struct for each rule.
 
     ``code_rules`` adds the bar-code rules for packages that have a bar code or
     come from a registry; ``rule_ids`` picks rules instead. ``extra`` is an array of
-    like structs to append. With ``isolate``, a rule that can't be evaluated on this
-    table is inconclusive, of no weight, and says why; otherwise it fails the query.
+    like structs to append, ``own`` are further rules. With ``isolate``, a rule that can't be
+    resolved on this table is inconclusive, of no weight, and says why; otherwise it
+    fails the query. What goes wrong on single rows is the matter of a rule's
+    ``checks``; the rulebook's own expressions can't fail on any row.
     """
-    def judged(one: Rule) -> Column:
-        return isolated(packages, one, wide) if isolate else result_of(one, wide)
-
-    if rule_ids is not None:
-        results = F.array(*[judged(r) for r in chosen(rule_ids, False)])
-    else:
-        results = F.array(*[judged(r) for r in chosen(None, False)])
-        if code_rules:
-            own = F.array(*[judged(BY_ID[r]) for r in CODE_RULES])
-            results = F.when(c("has_barcode") | from_registry(), F.concat(results, own)).otherwise(results)
+    asked = [*chosen(rule_ids, False), *own]
+    by_code = [BY_ID[r] for r in CODE_RULES] if rule_ids is None and code_rules else []
+    judged = {one: result_of(one, wide) for one in [*asked, *by_code]}
+    if isolate and resolvable(packages, list(judged.values())):  # one analysis if all can be resolved
+        for one, result in judged.items():
+            if reason := resolvable(packages, [result]):
+                judged[one] = failed(one, F.lit(reason), wide)
+    results = F.array(*[judged[one] for one in asked])
+    if by_code:
+        results = F.when(c("has_barcode") | from_registry(), F.concat(results, F.array(*[judged[one] for one in by_code]))).otherwise(results)
     return packages.withColumn("results", F.concat(results, extra) if extra is not None else results)
 
 

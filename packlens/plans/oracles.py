@@ -164,6 +164,33 @@ STARS = "CASE WHEN {0} >= 0.95 THEN 5 WHEN {0} >= 0.8 THEN 4 WHEN {0} >= 0.6 THE
 STAR_LABELS = "CASE WHEN {0} >= 0.95 THEN 'Fully Compliant' WHEN {0} >= 0.8 THEN 'Mostly Compliant' WHEN {0} >= 0.6 THEN 'Partially Compliant' WHEN {0} >= 0.4 THEN 'Largely Non-Compliant' ELSE 'Critically Non-Compliant' END"
 OPEN_SCORE = "CASE WHEN judged_w + open_w > 0 THEN passed_w / (judged_w + open_w) ELSE 1.0 END"
 
+
+
+def drawn(name: str) -> str:
+    """The number that a synthetic row draws by a name."""
+    return f"(('0x' || substr(md5('42:{name}:' || p_partkey), 1, 8))::BIGINT / 4294967296::DOUBLE)"
+
+
+def known(feature: str) -> str:
+    low, high = fixed.SYNTHETIC_RANGES[feature]
+    return f"CASE WHEN {drawn(feature + ' known')} >= 0.1 THEN {ranged(feature)} END"
+
+
+def ranged(feature: str) -> str:
+    low, high = fixed.SYNTHETIC_RANGES[feature]
+    return f"({low}::DOUBLE + {high - low}::DOUBLE * {drawn(feature)})"
+
+
+MADE = f"""
+bits AS (SELECT p_partkey, {", ".join(f"CAST({drawn(b)} < 0.7 AS INTEGER) AS {b}" for b in [*fixed.PRESENCE_FEATURES, "is_imported"])}, {drawn("language")} AS language,
+  {ranged("mrp_font_height_mm")} AS price_mm, {ranged("net_qty_font_height_mm")} AS quantity_mm, {known("mrp_font_height_mm")} AS mrp_font_height_mm, {known("net_qty_font_height_mm")} AS net_qty_font_height_mm, {known("mrp_contrast_ratio")} AS mrp_contrast_ratio,
+  {ranged("panel_area_mm2")} AS panel_area_mm2, {ranged("mrp_value")} AS mrp_value, row_number() OVER (ORDER BY md5('42:flip:' || p_partkey), p_partkey) <= floor(count(*) OVER () * 0.1) AS flip FROM part),
+spoken AS (SELECT * REPLACE (CASE WHEN has_hindi = 0 AND has_english = 0 THEN CAST(language < 0.9 AS INTEGER) ELSE has_english END AS has_english), least(price_mm, quantity_mm) AS min_font_height_mm,
+  2 + {" + ".join(fixed.PRESENCE_FEATURES[:10])} AS num_declarations_found FROM bits),
+ruled AS (SELECT *, CAST(has_commodity_name = 1 AND has_manufacturer_name = 1 AND has_manufacturer_address = 1 AND has_net_quantity = 1 AND has_mrp = 1 AND has_mfg_date = 1 AND (has_consumer_care_phone = 1 OR has_consumer_care_email = 1)
+  AND (has_hindi = 1 OR has_english = 1) AND coalesce(mrp_font_height_mm >= 1 AND net_qty_font_height_mm >= 1, false) AS INTEGER) AS by_rule FROM spoken),
+made AS (SELECT *, CASE WHEN flip THEN 1 - by_rule ELSE by_rule END AS label FROM ruled)"""
+
 WORDS = r"""
 lines0 AS (SELECT doc_id AS image_id, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents),
 words0 AS (SELECT image_id, line, unnest(string_split(content, ' ')) AS text, generate_subscripts(string_split(content, ' '), 1) - 1 AS w FROM lines0),
@@ -406,8 +433,53 @@ ORACLES: dict[str, str] = {
     "declared_packages": """SELECT p_partkey AS package_id, p_name AS commodity_name, CAST(p_size AS DOUBLE) AS net_quantity_value, CASE WHEN p_partkey % 2 = 0 THEN 'g' ELSE 'l' END AS net_quantity_unit, CASE WHEN p_partkey % 2 = 0 THEN 'weight' ELSE 'volume' END AS net_quantity_category, CAST(printf('%.2f', p_retailprice) AS DOUBLE) AS mrp_value, p_partkey % 3 = 0 AS mrp_includes_tax FROM part""",
     "reading_packages": f"""WITH p AS (SELECT *, CASE WHEN p_partkey % 4 = 0 THEN {code_of('p_partkey')} END AS code FROM part) SELECT p_partkey AS package_id, CASE WHEN p_partkey % 5 <> 0 THEN p_name END AS commodity_name, p_retailprice AS mrp_value, CASE WHEN p_partkey % 2 = 0 THEN CAST(p_size AS DOUBLE) END AS net_quantity_value, 'g' AS net_quantity_unit,
       CASE WHEN p_partkey % 3 = 0 THEN '01/24' ELSE '05/24' END AS manufacture_date, 'care' AS consumer_care_email, code IS NOT NULL AS has_barcode, code AS barcode_value, CASE WHEN code IS NOT NULL THEN CASE WHEN length(code) = 13 THEN 'EAN-13' ELSE 'BARCODE' END END AS barcode_type FROM p""",
+    "synthetic_training_rows": f"""WITH {MADE} SELECT label, has_mrp, has_english, count(*) AS n, sum(num_declarations_found)::BIGINT AS declarations, round(sum(mrp_font_height_mm), 3) AS mrp_font_height_mm, round(sum(min_font_height_mm), 3) AS min_font_height_mm,
+      round(sum(panel_area_mm2), 3) AS panel_area_mm2, round(sum(mrp_value), 3) AS mrp_value, count(mrp_font_height_mm) AS n_mrp_font_height_mm, count(net_qty_font_height_mm) AS n_net_qty_font_height_mm, count(mrp_contrast_ratio) AS n_mrp_contrast_ratio FROM made GROUP BY 1, 2, 3""",
+    "training_rows": f"""WITH {RESULTS}, {MADE}, both_ AS (SELECT 'real' AS origin, CASE WHEN crit > 0 THEN 0 ELSE 1 END AS label FROM sums JOIN packages USING (package_id) WHERE analysis_source = 'image' UNION ALL SELECT 'synthetic', label FROM made)
+      SELECT origin, label::INTEGER AS label, count(*) AS n, round(count(*) / (sum(count(*)) OVER (PARTITION BY origin))::DOUBLE, 9) AS share FROM both_ GROUP BY 1, 2""",
+    "given_model_scores": f"""WITH {RESULTS}, f AS (SELECT package_id, mrp_value, price_height AS h, passed_w, judged_w,
+        {" + ".join(f"CAST({c} IS NOT NULL AS INTEGER)" for c in ("commodity_name", "manufacturer_name", "manufacturer_address", "packer_name", "packer_address", "importer_name", "importer_address", "net_quantity_value", "mrp_value", "manufacture_date", "expiry_date", "best_before", "consumer_care_phone", "consumer_care_email"))} AS n
+        FROM packages JOIN sums USING (package_id) WHERE analysis_source = 'image'),
+      c AS (SELECT *, CAST(CASE WHEN mrp_value IS NULL THEN -1.5 ELSE 0.5 END AS DOUBLE) AS a, CAST(CASE WHEN h IS NULL THEN -0.25 WHEN h > 2.5 THEN 0.5 WHEN h > 1 THEN 0.25 ELSE -0.75 END AS DOUBLE) AS b, CAST(CASE WHEN n > 8 THEN 0.75 WHEN n > 5 THEN 0.125 ELSE -1.0 END AS DOUBLE) AS d,
+        CAST(CASE WHEN mrp_value IS NULL THEN -0.125 WHEN mrp_value > 1400 THEN 0.25 WHEN mrp_value > 1000 THEN 0.125 ELSE 0.0 END AS DOUBLE) AS e FROM f),
+      p AS (SELECT *, 1 / (1 + exp(-(0.25 + a + b + d + e))) AS p, CASE WHEN judged_w > 0 THEN passed_w / judged_w ELSE 1.0 END AS r FROM c), s AS (SELECT *, CAST(0.3 AS DOUBLE) * p + (1 - CAST(0.3 AS DOUBLE)) * r AS score FROM p)
+      SELECT package_id, round(p, 9) AS probability, CAST(p >= 0.5 AS INTEGER) AS predicted, coalesce(list_aggregate(list_transform(list_sort(list_filter([{{'v': a, 'k': 'has_mrp'}}, {{'v': b, 'k': 'mrp_font_height_mm'}}, {{'v': d, 'k': 'num_declarations_found'}}, {{'v': e, 'k': 'has_mrp & mrp_value'}}], lambda x: x.v < 0)), lambda x: x.k), 'string_agg', '|'), '') AS risks,
+        round(e, 9) AS pair, round(score, 9) AS final_score, {STAR_LABELS.format('score')} AS star_label FROM s""",
+    "checked_rules": f"""WITH {RESULTS}, d AS (SELECT package_id, mrp_value AS m, CASE WHEN package_id % 6 = 0 THEN '0' WHEN package_id % 6 = 1 THEN 'ten' WHEN package_id % 6 > 2 THEN (package_id % 300)::VARCHAR END AS t FROM packages),
+      n AS (SELECT *, TRY_CAST(t AS DOUBLE) AS q FROM d), e AS (SELECT *, CASE WHEN t IS NOT NULL AND q IS NULL THEN 'no double: ' || t WHEN q = 0 AND m IS NOT NULL THEN 'division by zero' END AS error, m / nullif(q, 0) AS p FROM n)
+      SELECT package_id, 39::INTEGER AS rule_no, 'X01_UNIT_PRICE' AS rule_id, 'Unit price' AS rule_name, CASE WHEN error IS NOT NULL THEN 'INCONCLUSIVE' WHEN p IS NULL THEN 'NOT_APPLICABLE' WHEN p > 10 THEN 'FAIL' ELSE 'PASS' END AS status,
+        CASE WHEN error IS NOT NULL OR p IS NULL THEN 0.0 ELSE 0.5 END::DOUBLE AS weight, CASE WHEN error IS NOT NULL THEN 'Rule evaluation failed with error: ' || error WHEN p IS NULL THEN 'No unit price.' WHEN p > 10 THEN format('Unit price {{:.2f}}', p) ELSE 'Unit price in bounds.' END AS detail FROM e
+      UNION ALL SELECT package_id, rule_no, rule_id, rule_name, status, weight, NULL FROM results JOIN names USING (rule_id) WHERE rule_id = 'R06_MRP'""",
+    "rule_summaries": f"""WITH {RESULTS} SELECT package_id, 'PASS: ' || passed || ', FAIL: ' || failed || ', WARNING: ' || warned || ', NOT_APPLICABLE: ' || none_n || ', INCONCLUSIVE: ' || inc_n AS summary FROM sums""",
     "training_log": f"WITH {RESULTS} SELECT severity, rule_id, count(*) AS failures FROM results JOIN packages USING (package_id) WHERE analysis_source = 'image' AND status = 'FAIL' GROUP BY 1, 2",
     "label_packages": f"""WITH {LABELS}, q AS (SELECT image_id, k, text, {", ".join(f"{hit('text', fixed.NET_QUANTITY, i)} AS g{i}" for i in range(1, 10))} FROM texts), v AS (SELECT *, coalesce(CAST(g1 AS DOUBLE), CAST(g3 AS DOUBLE) * CAST(g4 AS DOUBLE), CAST(g6 AS DOUBLE), CAST(g8 AS DOUBLE)) AS value, {UNIT_CASE.format('coalesce(g2, g5, g7, g9)')} AS u0 FROM q),
       u(raw, unit, category) AS (VALUES {values([(k, v, c) for c, t in fixed.PACKAGE_UNITS.items() for k, v in t.items()])})
       SELECT image_id, value AS net_quantity_value, coalesce(unit, u0) AS net_quantity_unit, CASE WHEN u0 IS NOT NULL THEN coalesce(category, 'number') END AS net_quantity_category, k % 3 = 2 AS is_imported, true AS has_english_text, CASE WHEN k % 5 = 0 THEN '12 months' END AS best_before FROM v LEFT JOIN u ON raw = u0""",
 }
+ORACLES["sql_gtin_facts"] = ORACLES["gtin_facts"]
+ORACLES["sql_declarations"] = ORACLES["label_declarations"]
+ORACLES["sql_label_lines"] = f"""WITH {LABELS}, s AS (SELECT image_id, unnest(string_split(raw, chr(10))) AS line, generate_subscripts(string_split(raw, chr(10)), 1) AS line_no FROM labels),
+  l AS (SELECT image_id, CAST(line_no AS INTEGER) AS line_no, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS line FROM s),
+  q AS (SELECT *, coalesce({hit('line', PRICED, 1)}, {hit('line', PRICED, 2)}) AS digits, regexp_extract_all(line, {quoted(fixed.DECIMAL_PRICE)}, 1) AS found, {", ".join(f"{hit('line', fixed.NET_QUANTITY, i)} AS g{i}" for i in range(1, 10))} FROM l WHERE line <> '')
+  SELECT image_id, line_no, line, coalesce(TRY_CAST(replace(digits, ',', '.') AS DOUBLE), list_max(list_filter(list_transform(found, lambda x: CAST(x AS DOUBLE)), lambda x: x BETWEEN 10 AND 99999))) AS price,
+    coalesce(CAST(g1 AS DOUBLE), CAST(g3 AS DOUBLE) * CAST(g4 AS DOUBLE), CAST(g6 AS DOUBLE), CAST(g8 AS DOUBLE)) AS quantity FROM q"""
+ORACLES["sql_audit"] = f"""WITH {RESULTS} SELECT analysis_source, r.rule_id, r.status, count(*) AS n, sum(r.weight) AS weight, count(*) FILTER (crit > 0) AS rejected
+  FROM results r JOIN packages USING (package_id) JOIN sums USING (package_id) GROUP BY 1, 2, 3"""
+ANSWERED = "p_partkey % 4 <> 1 AND p_partkey % 11 <> 0 AND p_partkey % 13 <> 0 AND p_partkey % 17 <> 0 AND p_partkey % 7 <> 0"
+ORACLES["knowledge_records"] = f"""SELECT lpad(p_partkey::VARCHAR, 13, '0') AS gtin, 'wikidata' AS source, p_name || ' ' AS product_name, CASE WHEN p_partkey % 3 = 0 THEN p_brand END AS brand,
+  CASE WHEN p_partkey % 5 < 3 THEN 'Maker' END AS manufacturer_name, CASE WHEN p_partkey % 2 = 0 THEN 'India' END AS country_of_origin FROM part WHERE {ANSWERED}"""
+ORACLES["knowledge_labels"] = f"""WITH a AS (SELECT lpad(p_partkey::VARCHAR, 13, '0') AS gtin, * FROM part WHERE {ANSWERED}) SELECT gtin, 'itemLabel' AS label, p_name || ' ' AS value FROM a UNION ALL SELECT gtin, 'brandLabel', p_brand FROM a WHERE p_partkey % 3 = 0
+  UNION ALL SELECT gtin, 'manufacturerLabel', 'Maker' FROM a WHERE p_partkey % 5 < 3 UNION ALL SELECT gtin, 'countryLabel', 'India' FROM a WHERE p_partkey % 2 = 0 UNION ALL SELECT gtin, 'boxLabel', p_type FROM a WHERE p_partkey % 6 = 0"""
+ORACLES["malformed_payloads"] = """SELECT lpad(p_partkey::VARCHAR, 13, '0') AS gtin, 'wikidata' AS source, CASE WHEN p_partkey % 11 = 0 THEN 'no JSON' ELSE 'empty' END AS reason FROM part WHERE p_partkey % 4 <> 1 AND (p_partkey % 11 = 0 OR p_partkey % 13 = 0)"""
+ORACLES["fallback_readings"] = """WITH a AS (SELECT p_partkey AS k, m, (p_partkey + m * 3) % 7 AS turn, p_name, p_size FROM part, range(3) r(m) WHERE NOT (p_partkey % 9 = 0 AND m > 0)),
+  f AS (SELECT k, any_value(p_name) AS p_name, any_value(p_size) AS p_size, min(m) FILTER (turn IN (2, 3, 6)) AS m, arg_max(turn, m) AS last FROM a GROUP BY 1),
+  r AS (SELECT k, m, string_agg(CASE WHEN (k + i) % 4 > 0 THEN 'L' || i || '-' || m || ':L' || i || '-' || m ELSE 'RULE:Rule' END || CASE WHEN (k + i) % 3 > 0 THEN ':PASS' ELSE ':INCONCLUSIVE' END || CASE WHEN (k + i) % 5 > 2 THEN ':MAJOR' ELSE ':MINOR' END, '|' ORDER BY i) AS rules FROM f, range(2) x(i) WHERE m IS NOT NULL GROUP BY 1, 2)
+  SELECT f.k AS request_id, f.m::INTEGER AS model_no, CASE WHEN f.m IS NULL THEN CASE last WHEN 5 THEN 'HTTP 503' WHEN 1 THEN 'no text' ELSE 'no JSON' END END AS error, CASE WHEN f.m IS NOT NULL THEN p_name END AS product_name, rules, CASE WHEN f.m IS NOT NULL THEN round(p_size / 50.0, 3)::DOUBLE END AS final_score FROM f LEFT JOIN r USING (k)"""
+ORACLES["device_sessions"] = """WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), n AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS no FROM e)
+  SELECT user_id AS device, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS start, strftime(max(ts) + INTERVAL 6 HOUR, '%Y-%m-%d %H:%M:%S.%f') AS "end", count(*) AS scans FROM n GROUP BY user_id, no"""
+ORACLES["late_scans"] = """WITH e AS (SELECT user_id, ts, max(ts) OVER (PARTITION BY user_id ORDER BY xor(event_id, 255) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM events), b AS (SELECT user_id, greatest(coalesce((epoch_us(before) - epoch_us(ts)) // 1000000, 0), 0) AS behind FROM e)
+  SELECT user_id AS device, count(*) AS scans, count(*) FILTER (behind > 30) AS late, max(behind) AS behind FROM b GROUP BY 1"""
+ORACLES["kept_documents"] = f"""WITH {RESULTS}, s AS (SELECT package_id, passed, open_n, {OPEN_SCORE} AS f FROM sums)
+  SELECT package_id % 2 AS batch, package_id, {STAR_LABELS.format('f')} || CASE WHEN open_n > 0 THEN ' — ' || open_n || ' mandatory declarations unverified' ELSE '' END AS star_label, CAST(passed AS INTEGER) AS passed_rules, 8::INTEGER AS n_lines FROM s"""
+ORACLES["report_documents"] = f"""WITH {RESULTS}, s AS (SELECT package_id, passed, open_n, {OPEN_SCORE} AS f FROM sums)
+  SELECT package_id, {STAR_LABELS.format('f')} || CASE WHEN open_n > 0 THEN ' — ' || open_n || ' mandatory declarations unverified' ELSE '' END AS label, CAST(passed AS INTEGER) AS passed, 8::INTEGER AS n_lines FROM s"""

@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import geometry, gtin, text
-from ..operators import blocks, model, packages, registry, rules, scoring
+from ..functions import checked, geometry, gtin, text
+from ..operators import blocks, model, packages, readings, registry, rules, scoring
 from ..operators import regions as areas
-from ..sources import tables
-from ..streaming import scans
+from ..sources import sinks, sql_front, tables
+from ..sources.shared import new_folder, written
+from ..streaming import scans, sessions
 from .oracles import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -332,7 +333,7 @@ def reading_packages(spark, sf_dir):
     k = tables.key()
     d = F.struct(F.col("p_retailprice").alias("mrp_value"), F.when(k % 2 == 0, F.col("p_size").cast("double")).alias("net_quantity_value"), F.lit("g").alias("net_quantity_unit"), F.lit("05/24").alias("dates"), F.when(k % 3 == 0, "01/24").alias("manufacture_date"), F.lit("care").alias("consumer_care"), F.when(k % 4 == 0, tables.barcode_of(k)).alias("barcode_printed"))
     answer = F.to_json(F.struct(F.when(k % 5 != 0, F.col("p_name")).alias("product_name"), d.alias("declarations")))
-    return packages.packages_from_readings(part.select(k.alias("package_id"), F.from_json(answer, READING).alias("j")))
+    return packages.packages_from_readings(part.select(k.alias("package_id"), F.from_json(answer, readings.READING).alias("j")))
 
 
 @query
@@ -379,6 +380,25 @@ def isolated_rules(spark, sf_dir):
     return rules.exploded(held).where("rule_id IN ('R06_MRP', 'R06_NAME')").select("package_id", "rule_id", "status", "severity", "weight", F.col("detail").startswith("Rule evaluation failed with error").alias("failed"))
 
 
+def unit_price_rule() -> rules.Rule:
+    """A user's rule: a price by gram of at most 10, from texts that needn't be numbers, and quantities that may be 0."""
+    price = checked.quotient(checked.plain(F.col("mrp_value")), checked.converted(checked.plain(F.col("declared")), "double"))
+    return rules.Rule("X01_UNIT_PRICE", lambda: [
+        rules.Outcome(price.value.isNull(), "NOT_APPLICABLE", "MINOR", 0.0, F.lit("No unit price.")),
+        rules.Outcome(price.value > 10, "FAIL", "MAJOR", 0.5, F.format_string("Unit price %.2f", price.value)),
+        rules.Outcome(None, "PASS", "MAJOR", 0.5, F.lit("Unit price in bounds.")),
+    ], "Unit price", lambda: [price])
+
+
+@query
+def checked_rules(spark, sf_dir):
+    """A rule that goes wrong on some rows is inconclusive there; the other rows and rules are judged."""
+    k = F.col("package_id")
+    declared = F.when(k % 6 == 0, "0").when(k % 6 == 1, "ten").when(k % 6 > 2, (k % 300).cast("string"))
+    held = rules.with_results(tables.packages(spark, sf_dir).withColumn("declared", declared), ["R06_MRP"], wide=True, own=[unit_price_rule()])
+    return rules.exploded(held).select("package_id", "rule_no", "rule_id", "rule_name", "status", "weight", F.when(F.col("rule_id") == "X01_UNIT_PRICE", F.col("detail")).alias("detail"))
+
+
 @query
 def rule_summaries(spark, sf_dir):
     return image_audit(spark, sf_dir).select("package_id", rules.summary(F.col("results")).alias("summary"))
@@ -462,9 +482,6 @@ def report_cells(spark, sf_dir):
     return held.select("package_id", scoring.percent_text(F.col("final_score")).alias("percent"), scoring.star_text(F.col("star_rating")).alias("stars"), images.alias("images"), none_left.alias("not_judged"), mode.alias("mode"), F.round(F.col("final_score") * 100, 1).alias("points"))
 
 
-READING = "product_name string, compliance_score double, declarations struct<mrp_value:double, net_quantity_value:double, net_quantity_unit:string, dates:string, manufacture_date:string, consumer_care:string, consumer_care_email:string, barcode_printed:string>, rules array<struct<rule_id:string, rule_name:string, status:string, severity:string, weight:double, detail:string>>"
-
-
 @query
 def model_readings(spark, sf_dir):
     part = tables.table(spark, sf_dir, "part")
@@ -474,12 +491,36 @@ def model_readings(spark, sf_dir):
     score = F.when(k % 3 == 0, F.col("p_size") * 2.0).when(k % 3 == 1, F.col("p_size") / 50.0).otherwise(0.0)
     body = F.struct(score.alias("compliance_score"), F.array(rule(0), rule(1), rule(2), rule(3)).alias("rules"))
     raw = F.concat(F.lit("```json\n"), F.to_json(body), F.lit("\n```"))
-    parsed = part.select(k.alias("package_id"), F.from_json(F.regexp_replace(raw, r"^\s*```(?:json)?\s*|\s*```\s*$", ""), READING).alias("j"))
+    parsed = part.select(k.alias("package_id"), F.from_json(F.regexp_replace(raw, r"^\s*```(?:json)?\s*|\s*```\s*$", ""), readings.READING).alias("j"))
     shaped = F.transform("j.rules", lambda r: F.struct(r["rule_id"].alias("rule_id"), F.upper(F.coalesce(r["status"], F.lit("INCONCLUSIVE"))).alias("status"), F.upper(F.coalesce(r["severity"], F.lit("MINOR"))).alias("severity"), F.coalesce(r["weight"], F.lit(1.0)).alias("weight")))
     held = scoring.reading_scores(parsed.select("package_id", F.col("j.compliance_score").alias("compliance_score"), shaped.alias("results")))
     return held.select("package_id", "final_score", "star_rating", "star_label", "passed_rules", "failed_rules", "critical_failures", "major_failures", "minor_failures")
 
 
+@query
+def fallback_readings(spark, sf_dir):
+    """Of each request the first answer that can be read, and its score; else what went wrong last."""
+    held = readings.first_readings(tables.model_answers(spark, sf_dir))
+    scored = scoring.reading_scores(held.select("*", F.col("j.compliance_score").alias("compliance_score")))
+    shown = F.array_join(F.transform("results", lambda r: F.concat_ws(":", r["rule_id"], r["rule_name"], r["status"], r["severity"])), "|")
+    return scored.select("request_id", "model_no", "error", F.col("j.product_name").alias("product_name"), shown.alias("rules"), F.when(F.col("error").isNull(), F.col("final_score")).alias("final_score"))
+
+
+@query
+def knowledge_records(spark, sf_dir):
+    return registry.knowledge_records(tables.knowledge_payloads(spark, sf_dir))
+
+
+@query
+def knowledge_labels(spark, sf_dir):
+    return registry.knowledge_labels(tables.knowledge_payloads(spark, sf_dir))
+
+
+@query
+def malformed_payloads(spark, sf_dir):
+    return registry.malformed(tables.knowledge_payloads(spark, sf_dir)).select("gtin", "source", "reason")
+
+
 @query
 def data_urls(spark, sf_dir):
     from ..sources.files import from_data_url
@@ -489,37 +530,106 @@ def data_urls(spark, sf_dir):
     return pages.select("page_id", F.decode(from_data_url(url), "UTF-8").alias("url"))
 
 
+# --- from SQL text ----------------------------------------------------------------------------
+
+
+def asked(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    sql_front.register(spark, sf_dir)
+    return spark.sql(sql)
+
+
+@query
+def sql_gtin_facts(spark, sf_dir):
+    return asked(spark, sf_dir, "SELECT package_id, f.* EXCEPT (notes), array_join(f.notes, ' | ') AS notes FROM (SELECT package_id, gtin_facts(code) AS f FROM codes)")
+
+
+@query
+def sql_declarations(spark, sf_dir):
+    return asked(spark, sf_dir, """
+        WITH t AS (SELECT image_id, label_text(text) AS text FROM label_texts),
+        d AS (SELECT image_id, label_quantity(text) AS q, label_licence(text) AS licence, label_dates(text) AS dates, label_contact(text) AS care, has_hindi(text) AS hindi, has_english(text) AS english FROM t)
+        SELECT image_id, q.value AS quantity, q.unit AS unit, licence, dates.made AS made, dates.expires AS expires, dates.best_before AS best_before, care.phone AS phone, care.email AS email, hindi, english FROM d""")
+
+
+@query
+def sql_label_lines(spark, sf_dir):
+    """A table function joined to each label: lines with a price or a quantity."""
+    return asked(spark, sf_dir, "SELECT image_id, line_no, line, label_price(line) AS price, label_quantity(line).value AS quantity FROM label_texts, LATERAL label_lines(text)")
+
+
+@query
+def sql_audit(spark, sf_dir):
+    return asked(spark, sf_dir, """
+        SELECT a.analysis_source, r.rule_id, r.status, count(*) AS n, sum(r.weight) AS weight, count_if(a.weak_label = 0) AS rejected
+        FROM audits a, LATERAL rule_rows(a.results) r GROUP BY ALL""")
+
+
 # --- model and stream: no SQL --------------------------------------------------------------
 
 
+def made_rows(spark, sf_dir) -> DataFrame:
+    """A synthetic feature row for each part."""
+    return model.synthetic_rows(tables.table(spark, sf_dir, "part"), "p_partkey")
+
+
 @query
 def synthetic_training_rows(spark, sf_dir):
-    rows = model.synthetic_rows(spark, 5000)
-    return rows.groupBy("label").agg(F.count("*").alias("n"), F.avg("has_mrp").alias("share_mrp"))
+    rows = made_rows(spark, sf_dir)
+    sums = [F.round(F.sum(f), 3).alias(f) for f in ("mrp_font_height_mm", "min_font_height_mm", "panel_area_mm2", "mrp_value")]
+    counts = [F.count(f).alias(f"n_{f}") for f in ("mrp_font_height_mm", "net_qty_font_height_mm", "mrp_contrast_ratio")]
+    return rows.groupBy("label", "has_mrp", "has_english").agg(F.count("*").alias("n"), F.sum("num_declarations_found").alias("declarations"), *sums, *counts)
+
+
+def labelled_rows(spark, sf_dir) -> DataFrame:
+    """Features of audited label packages with weak labels, and synthetic rows."""
+    audited = image_audit(spark, sf_dir).where("analysis_source = 'image'")
+    labels = packages.weak_label(F.col("results")).alias("label")
+    real = packages.features(audited).join(audited.select("package_id", labels), "package_id").withColumn("origin", F.lit("real"))
+    made = made_rows(spark, sf_dir).withColumnRenamed("row_id", "package_id").withColumn("origin", F.lit("synthetic"))
+    return real.unionByName(made, allowMissingColumns=True)
 
 
 @query
 def training_rows(spark, sf_dir):
-    audited = image_audit(spark, sf_dir).where("analysis_source = 'image'")
-    labels = audited.select("package_id", packages.weak_label(F.col("results")).alias("label"))
-    real = packages.features(audited).join(labels, "package_id").withColumn("origin", F.lit("real"))
-    made = model.synthetic_rows(spark, 5000).withColumnRenamed("row_id", "package_id").withColumn("origin", F.lit("synthetic"))
-    both = real.unionByName(made, allowMissingColumns=True)
-    return both.groupBy("origin", "label").agg(F.count("*").alias("n")).withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("origin")))
+    both = labelled_rows(spark, sf_dir)
+    return both.groupBy("origin", "label").agg(F.count("*").alias("n")).withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("origin")), 9))
 
 
 @query
 def additive_model(spark, sf_dir):
-    fitted = model.fit(model.synthetic_rows(spark, 5000))
+    fitted = model.fit(labelled_rows(spark, sf_dir))
     scored = model.predicted(packages.features(tables.packages(spark, sf_dir)), fitted)
     return scored.select("package_id", "probability", "predicted", F.array_join("risk_factors", "|").alias("risk_factors"))
 
 
 @query
 def model_importances(spark, sf_dir):
-    fitted = model.fit(model.synthetic_rows(spark, 5000))
-    found = model.importances(model.predicted(model.synthetic_rows(spark, 5000), fitted))
-    return found.orderBy(F.col("importance").desc(), "feature").limit(10)
+    rows = labelled_rows(spark, sf_dir)
+    return model.top_importances(model.predicted(rows, model.fit(rows)))
+
+
+@query
+def model_scores(spark, sf_dir):
+    """Label audits scored with the trained model's probability."""
+    audited = image_audit(spark, sf_dir).where("analysis_source = 'image'")
+    scored = model.predicted(packages.features(audited), model.fit(labelled_rows(spark, sf_dir))).select("package_id", "probability", F.array_join("risk_factors", "|").alias("risks"))
+    held = scoring.label_scores(audited.join(scored, "package_id"), F.col("probability"))
+    return held.select("package_id", "probability", "rule_score", "final_score", "star_rating", "star_label", "passed_rules", "failed_rules", "critical_failures", "risks")
+
+
+#: A model that is written down, with a pair, for scoring by a given model.
+GIVEN_MODEL = model.AdditiveModel(
+    {"has_mrp": [0.0], "mrp_font_height_mm": [1.0, 2.5], "num_declarations_found": [5.0, 8.0]}, {"has_mrp": [-1.5, 0.5, 0.0], "mrp_font_height_mm": [-0.75, 0.25, 0.5, -0.25], "num_declarations_found": [-1.0, 0.125, 0.75, 0.0]}, 0.25,
+    [model.PairTerm("has_mrp", "mrp_value", [0.0], [1000.0, 1400.0], [-0.5, -0.25, 0.0, -0.125, 0.0, 0.125, 0.25, 0.0, 0.0, 0.0, 0.0, 0.0])],
+)
+
+
+@query
+def given_model_scores(spark, sf_dir):
+    audited = image_audit(spark, sf_dir).where("analysis_source = 'image'")
+    scored = model.predicted(packages.features(audited), GIVEN_MODEL).select("package_id", "probability", "predicted", "risk_factors", "contributions")
+    held = scoring.label_scores(audited.join(scored, "package_id"), F.col("probability"))
+    return held.select("package_id", F.round("probability", 9).alias("probability"), "predicted", F.array_join("risk_factors", "|").alias("risks"), F.round(F.col("contributions")["has_mrp & mrp_value"], 9).alias("pair"), F.round("final_score", 9).alias("final_score"), "star_label")
 
 
 @query
@@ -534,8 +644,35 @@ def scans_per_minute(spark, sf_dir):
     return held.select(F.date_format("minute", "yyyy-MM-dd HH:mm").alias("minute"), "scans")
 
 
+@query
+def device_sessions(spark, sf_dir):
+    held = sessions.device_sessions(scans.scans_of(tables.table(spark, sf_dir, "events")), "6 hours")
+    stamp = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+    return held.select("device", F.date_format("start", stamp).alias("start"), F.date_format("end", stamp).alias("end"), "scans")
+
+
+@query
+def late_scans(spark, sf_dir):
+    """Scans that arrive in another order than they were made, by 256."""
+    arrived = tables.table(spark, sf_dir, "events").withColumn("event_id", F.col("event_id").bitwiseXOR(F.lit(255)))
+    held = sessions.late_scans(scans.scans_of(arrived))
+    return held.groupBy("device").agg(F.count("*").alias("scans"), F.count_if("late").alias("late"), F.max("behind").alias("behind"))
+
+
+@query
+def kept_documents(spark, sf_dir):
+    """Reports written as indented documents, batch by batch and one batch twice, and read back."""
+    held = scoring.registry_scores(image_audit(spark, sf_dir))
+    reports = held.select("package_id", scoring.report_json("package_id", "final_score", "star_rating", "star_label", "passed_rules", "failed_rules").alias("report"))
+    reports, folder = written(reports, "reports"), new_folder(spark, "documents")
+    for batch in (0, 1, 1):
+        sinks.write_documents(reports.where(F.col("package_id") % 2 == batch), folder, batch)
+    kept = sinks.read_documents(spark, folder)
+    return kept.select("batch", *[F.get_json_object("report", f"$.{c}").cast(kind).alias(c) for c, kind in (("package_id", "long"), ("star_label", "string"), ("passed_rules", "int"))], F.size(F.split("report", "\n")).alias("n_lines"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return label_scores(spark, sf_dir)
+    return model_scores(spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:

@@ -1,4 +1,4 @@
-"""Readers and writers: image folders, data URLs, reports."""
+"""Readers: image folders, data URLs. Writers are in ``sinks``."""
 
 from __future__ import annotations
 
@@ -16,8 +16,3 @@ def image_files(spark: SparkSession, folder: str) -> DataFrame:
 def from_data_url(value: Column) -> Column:
     """The bytes of base64 text, with or without a ``data:...,`` prefix; null if it isn't base64."""
     return F.try_to_binary(F.substring_index(value, ",", -1), F.lit("base64"))
-
-
-def write_reports(reports: DataFrame, folder: str, column: str = "report") -> None:
-    """One JSON document a line."""
-    reports.select(column).write.text(folder)

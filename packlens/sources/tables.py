@@ -160,6 +160,32 @@ def registry_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.unionByName(upc).unionByName(national)
 
 
+def knowledge_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``gtin, source, payload``: answers of a knowledge base about the parts' codes; labels differ, some have no binding, some are cut off."""
+    k = key()
+    part = table(spark, sf_dir, "part").where(k % 4 != 1)
+    value = lambda x: F.struct(F.lit("literal").alias("type"), x.alias("value"))
+    binding = F.struct(
+        value(F.concat(F.col("p_name"), F.lit(" ,"))).alias("itemLabel"), F.when(k % 3 == 0, value(F.col("p_brand"))).alias("brandLabel"), F.when(k % 5 < 3, value(F.lit("Maker"))).alias("manufacturerLabel"),
+        F.when(k % 2 == 0, value(F.lit("India"))).alias("countryLabel"), F.when(k % 6 == 0, value(F.col("p_type"))).alias("boxLabel"))
+    body = F.when(k % 7 == 0, F.lit('{"results": {"bindings": []}}')).otherwise(F.to_json(F.struct(F.struct(F.array(binding).alias("bindings")).alias("results"))))
+    cut = F.when(k % 11 == 0, F.substring(body, F.lit(1), F.length(body) - 2)).when(k % 13 == 0, F.lit(" ")).when(k % 17 == 0, F.lit(None).cast("string")).otherwise(body)
+    return part.select(F.lpad(k.cast("string"), 13, "0").alias("gtin"), F.lit("wikidata").alias("source"), cut.alias("payload"))
+
+
+def model_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``request_id, model_no, status, body``: what up to three models say about each part; some fail, some add fences, some say no JSON."""
+    k = key()
+    part = table(spark, sf_dir, "part").select("*", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("model_no"))
+    turn = F.pmod(k + F.col("model_no") * 3, F.lit(7))
+    rule = lambda i: F.struct(F.when((k + i) % 4 > 0, F.concat(F.lit(f"L{i}-"), F.col("model_no").cast("string"))).alias("rule_id"), F.when((k + i) % 3 > 0, "pass").alias("status"), F.when((k + i) % 5 > 2, "major").alias("severity"))
+    said = F.to_json(F.struct(F.col("p_name").alias("product_name"), (F.col("p_size") / 50.0).alias("compliance_score"), F.array(rule(0), rule(1)).alias("rules")))
+    shown = F.when(turn == 0, F.lit("I can't say.")).when(turn == 1, "").when(turn == 2, F.concat(F.lit("```json\n"), said, F.lit("\n```"))).when(turn == 3, F.concat(F.lit("``` "), said, F.lit("```"))).when(turn == 4, F.concat(said, F.lit(" as asked"))).otherwise(said)
+    body = F.to_json(F.struct(F.array(F.struct(F.struct(F.array(F.struct(shown.alias("text"))).alias("parts")).alias("content"))).alias("candidates")))
+    status = F.when(turn == 5, 503).otherwise(200)
+    return part.where("NOT (p_partkey % 9 = 0 AND model_no > 0)").select(k.alias("request_id"), "model_no", status.alias("status"), F.when(status == 200, body).alias("body"))
+
+
 def error_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``case_id, declared, actual, category`` of weighed packages."""
     k = key()

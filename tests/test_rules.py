@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from packlens.functions import gtin
+from packlens.functions import checked, gtin
 from packlens.operators import packages, rules, scoring
 from packlens.sources import tables
 
@@ -99,3 +99,21 @@ def test_merge_with_itself_keeps_values(spark):
     m = packages.merged_sides(p, p).select("package_id", "commodity_name", "manufacturer_name", F.col("mrp_value").alias("v"))
     want = p.select("package_id", "commodity_name", "manufacturer_name", F.col("mrp_value").alias("v"))
     assert m.exceptAll(want).count() == 0
+
+
+def test_errors_of_single_rows_stay_there(spark):
+    """Under ANSI a plain division stops the query; a checked one makes its row inconclusive."""
+    df = spark.createDataFrame([(1, "4", 8.0, ["a"]), (2, "0", 8.0, []), (3, "x", 8.0, ["a"]), (4, None, 8.0, None), (5, "0", None, ["a", "b"])], "package_id int, n string, m double, parts array<string>")
+    assert spark.conf.get("spark.sql.ansi.enabled") == "true"
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):
+        df.where("package_id = 2").select(F.col("m") / F.col("n").cast("double")).collect()
+    share = checked.quotient(checked.plain(F.col("m")), checked.converted(checked.plain(F.col("n")), "double"))
+    part = checked.element(checked.plain(F.col("parts")), 0)
+    one = rules.Rule("X", lambda: [rules.Outcome(share.value > 1, "PASS", "MAJOR", 1.0, F.lit("fine")), rules.Outcome(None, "FAIL", "MAJOR", 1.0, F.lit("small"))], "Own", lambda: [share, part])
+    other = rules.Rule("Y", lambda: [rules.Outcome(None, "PASS", "MINOR", 0.0, F.lit("always"))], "Other")
+    got = {(r.package_id, r.rule_id): (r.status, r.detail) for r in rules.exploded(rules.with_results(df, [], wide=True, own=[one, other])).collect()}
+    begin = "Rule evaluation failed with error: "
+    assert [got[i, "X"] for i in range(1, 6)] == [("PASS", "fine"), ("INCONCLUSIVE", begin + "division by zero"), ("INCONCLUSIVE", begin + "no double: x"), ("FAIL", "small"), ("FAIL", "small")]
+    assert all(got[i, "Y"] == ("PASS", "always") for i in range(1, 6))
+    days = df.select(checked.day(checked.plain(F.lit("2024-13-01")), "yyyy-MM-dd").error.alias("e"), checked.day(checked.plain(F.lit("2024-12-01")), "yyyy-MM-dd").error.alias("f")).first()
+    assert days.e == "no date: 2024-13-01" and days.f is None
