@@ -1,9 +1,8 @@
 """Exact join of documents by the Jaccard similarity of their word shingles, by set relations.
 
-Shingles have one order: rare ones first, by counters of hashed shingles over all
-documents. Two sets of the asked similarity share one of the few first shingles of
-both, their prefixes, so sets that share one are candidates; groups of candidates
-are checked in bounded parts. There
+A set is cut into segments by its shingles' hashes. Two sets of the asked similarity
+differ in few shingles, so one of the largest segments of both is the same; sets
+that share one are candidates, and groups of candidates are checked in bounded parts. There
 
 * index lists of prefix shingles consist of blocks with one set size and one position;
   by these two numbers whole blocks are skipped that can't hold a partner, and
@@ -15,22 +14,27 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_partitions, slices, texts
-from .lm import from_planes, planes
+from .common import free, materialize, slices, texts
+from .repeats import bounded
 from .segments import mixed
-from .simhash import SetRule, fingerprint, linked_groups, node_of
+from .simhash import SetRule, fingerprint, linked_groups, node_of, nodes_of
 from .substrings import word_units
 
-#: Counters of hashed shingles, and how many of them travel in one row.
-COUNTER_BITS, COUNTER_BLOCK_BITS = 22, 14
-#: Bits of an order key that say how frequent a shingle is; the others are its hash.
-CLASS_BITS = 6
+#: Sets of fewer shingles than ``2**SEGMENTED`` are not cut: some shingles together make a key.
+SEGMENTED = 6
+#: Shingles that make such a key, and keys of a set, at most.
+TOGETHER, TOGETHER_KEYS = 6, 40
+#: How many shingles the smallest set of a level must have for each segment.
+LEAST_SHARE = 2.5
 
 
 @dataclass(frozen=True)
@@ -38,12 +42,14 @@ class Jaccard:
     """Sets of distinct shingles of ``words`` words; two link at ``percent`` of their union or more.
 
     A set's partners are derived from those of a set with at most ``slack`` percent
-    distance, which are looked up down to ``percent - slack`` for that.
+    distance, which are looked up down to ``percent - slack`` for that. ``spare`` is how
+    many segments there are for each that two similar sets may differ in.
     """
 
     words: int = 3
     percent: int = 90
     slack: int = 5
+    spare: float = 1.45
 
     def __post_init__(self) -> None:
         if not (0 <= self.slack < self.percent <= 100 and self.words > 0):
@@ -63,70 +69,102 @@ class Jaccard:
             out.append(np.unique(keys))
         return out
 
+    def differences(self, size: int) -> int:
+        """The most shingles in which a set of ``size`` and one of the asked similarity can differ."""
+        return (size + 100 * size // self.percent) * (100 - self.percent) // (100 + self.percent)
+
+    def segments(self, level: int) -> int:
+        """Segments of sets of ``2**level`` to below ``2**(level + 1)`` shingles."""
+        return int(self.spare * (self.differences((2 << level) - 1) + 1)) + 1
+
+    def level(self, size: int, cut: bool = True) -> int:
+        """The level of a size, from SEGMENTED on; else how many shingles make a key, negative, 0 for all."""
+        level = size.bit_length() - 1
+        if level >= SEGMENTED:
+            return level if cut and (1 << level) >= LEAST_SHARE * self.segments(level) else -1
+        differ = self.differences(size)
+        if not differ:
+            return 0
+        return -max(1, *(k for k in range(TOGETHER + 1) if k <= size - differ and comb(differ + k, k) <= TOGETHER_KEYS))
+
+    def levels(self, low: int, high: int, cut: bool) -> list[int]:
+        """The levels of all sizes from ``low`` to ``high``, which are less than twice ``low``."""
+        small = range(low, min(high, (1 << SEGMENTED) - 1) + 1)
+        return sorted({self.level(n, cut) for n in (*small, high, max(low, min(high, 1 << SEGMENTED)), low)})
+
     def prefix(self, sizes: np.ndarray, percent: int | None = None) -> np.ndarray:
         """Of how many first shingles two sets of ``percent`` similarity share one at least."""
         return sizes + (-(percent or self.percent) * sizes) // 100 + np.minimum(sizes, 1)
 
 
-def added(counts: dict[int, np.ndarray], block: int, data: bytes) -> None:
-    held = from_planes(data).astype(np.int64)
-    counts[block] = counts[block] + held if block in counts else held
+@lru_cache(maxsize=1000)
+def choices(n: int, k: int) -> np.ndarray:
+    return np.array(list(combinations(range(n), k)), np.int64)
 
 
-def shingle_classes(docs: DataFrame, rule: Jaccard) -> np.ndarray:
-    """How frequent the shingles of each of ``2**COUNTER_BITS`` hash counters are, in powers of two above what chance gives.
+def segment_keys(shingles: np.ndarray, rule: Jaccard, cut: bool = True) -> tuple[np.ndarray, bool]:
+    """Keys of a set such that two sets of the rule's similarity share one, and whether all it takes for that are there.
 
-    All documents are counted. Tasks add up their own; counters travel as packed
-    blocks and are added block by block. The table has one size whatever the corpus.
-    It only orders shingles: results don't depend on it.
+    Sets of about one size (a level) have as many segments, by hash. If two sets differ in d
+    shingles, they differ in d segments at most. Each gives keys to its d + 1 largest segments
+    (ties: in order). Of the segments that both have, let s be the first in that order: at most d
+    come before it in either set, since these differ; so both give it a key. Small sets aren't cut: among
+    the first d + k shingles by hash are k that both have, so all choices of k make the keys. A set
+    gives the keys of each level that a smaller partner may have. In the rare case that hashes
+    leave a set fewer segments than it takes, ``cut=False`` leaves all sets uncut.
     """
-    n, size = 1 << COUNTER_BITS, 1 << COUNTER_BLOCK_BITS
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(n, np.int64)
-        for batch in batches:
-            for part in slices(batch, "text"):
-                found = rule.sets(texts(part.column("text")))
-                held += np.bincount((np.concatenate(found) & np.uint64(n - 1)).astype(np.int64), minlength=n)
-        for block in np.flatnonzero(held.reshape(-1, size).any(axis=1)).tolist():
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([planes(held[block * size : (block + 1) * size])], pa.binary())], ["block", "counts"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for block, data in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                added(held, block, data)
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([planes(x) for x in held.values()], pa.binary())], ["block", "counts"])
-
-    kind = "block long, counts binary"
-    sums = docs.select("text").mapInArrow(count, kind).repartition(shuffle_partitions(docs.sparkSession), "block").mapInArrow(add, kind)
-    counts = np.zeros(n, np.int64)
-    for row in sums.collect():  # one row a block of counters
-        counts[row.block * size : (row.block + 1) * size] = from_planes(bytes(row.counts))
-    mean = counts.mean()
-    excess = counts - (mean + 6 * mean**0.5 + 4)
-    return np.where(excess > 0, np.log2(np.maximum(excess, 1)).astype(np.int64) + 1, 0).astype(np.uint8)
-
-
-def prefix_rows(docs: DataFrame, rule: Jaccard, classes: np.ndarray) -> DataFrame:
-    """``doc_id, node, print, shingles, keys`` of each row of ``docs(doc_id, text)``; ``keys`` are the first shingles of its set."""
+    n = len(shingles)
+    if not n:
+        return np.empty(0, np.uint64), True
+    most, found, enough = rule.differences(n), [], True
+    for level in rule.levels(-(-rule.percent * n // 100), n, cut):
+        if level < 0:  # uncut, of -level shingles; 0 stands for all
+            k = min(-level, n)
+            first = mixed(np.partition(shingles, min(most + k, n) - 1)[: most + k])
+            first.sort()
+            found.append(mixed(first[choices(len(first), k)].sum(axis=1) ^ np.uint64(k)))
+            continue
+        if not level:
+            found.append(mixed(shingles.sum(keepdims=True)))
+            continue
+        segment = shingles % np.uint64(rule.segments(level))
+        order = np.argsort(segment, kind="stable")
+        ordered = segment[order]
+        at = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+        enough &= len(at) > most
+        content = np.add.reduceat(mixed(shingles[order]), at)
+        largest = np.argsort(-np.diff(np.append(at, n)), kind="stable")[: most + 1]
+        found.append(mixed(content[largest] ^ mixed(ordered[at[largest]] + np.uint64(level << 32))))
+    return np.concatenate(found), enough
+
+
+def keyed_rows(docs: DataFrame, rule: Jaccard, cut: bool = True) -> DataFrame:
+    """``doc_id, node, print, shingles, keys, enough`` of each row of ``docs(doc_id, text)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = rule.sets(texts(part.column("text")))
-                sizes = np.array([len(s) for s in sets], np.int64)
-                wanted = rule.prefix(sizes)
-                keys = [np.empty(0, np.uint64)]
-                for s, n in zip(sets, wanted.tolist(), strict=True):
-                    if n:
-                        order = classes[(s & np.uint64(len(classes) - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(64 - CLASS_BITS) | s >> np.uint64(CLASS_BITS)
-                        keys.append(np.partition(order, n - 1)[:n])
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(wanted)).astype(np.int32)), pa.array(np.concatenate(keys).view(np.int64)))
+                keys, enough = zip(*[segment_keys(s, rule, cut) for s in sets], strict=True)
+                ends = np.append(0, np.cumsum([len(k) for k in keys])).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys).view(np.int64)))
                 prints = np.array([fingerprint(s) for s in sets], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([node_of(s) for s in sets], pa.int64()), pa.array(prints), pa.array(sizes), lists], ["doc_id", "node", "print", "shingles", "keys"])
+                columns = [pa.array([node_of(s) for s in sets], pa.int64()), pa.array(prints), pa.array([len(s) for s in sets], pa.int64()), lists, pa.array(enough)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], ["doc_id", "node", "print", "shingles", "keys", "enough"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, node long, print long, shingles long, keys array<long>, enough boolean")
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, node long, print long, shingles long, keys array<long>")
+
+def segment_stars(keyed: DataFrame) -> DataFrame:
+    """Star links ``a, b`` that join all nodes of each key of ``keyed(k, key, node)``; no key is gathered in a task.
+
+    Most shared keys have two nodes, the least and the greatest, and are linked by the
+    aggregation itself. The others are joined once more, by a broadcast if they are few.
+    """
+    ends = keyed.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("size")).where("size > 1")
+    ends = materialize(ends, "shared")
+    more = keyed.join(bounded(ends.where("size > 2").select("key", "least")), "key").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    return ends.select(F.col("most").alias("a"), F.col("least").alias("b")).unionByName(more)
 
 
 class SetIndex:
@@ -257,9 +295,14 @@ def jaccard_groups(docs: DataFrame, rule: Jaccard = Jaccard()) -> DataFrame:
     equals' component, or null. An empty table gives no rows. Sets are compared by
     64-bit hashes of their shingles.
     """
-    rows = materialize(prefix_rows(docs, rule, shingle_classes(docs, rule)), "prefixes")
+    with_keys = materialize(keyed_rows(docs, rule), "keys")
+    if not with_keys.where("NOT enough").isEmpty():
+        with_keys = materialize(keyed_rows(docs, rule, cut=False), "keys")
+    nodes = nodes_of(with_keys)
+    rows = materialize(with_keys.select("doc_id", "node", "shingles"), "sets")
+    free(with_keys)
     one = lambda text: rule.sets([text])[0]
-    found = linked_groups(docs, rows, SetRule(one, lambda sets: linked_sets(sets, rule), banded=False))
+    found = linked_groups(docs, rows, SetRule(one, lambda sets: linked_sets(sets, rule), banded=False, stars=segment_stars), nodes)
     own = F.when(F.col("shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return found.select("doc_id", F.col("shingles").alias("n_shingles"), own.alias("component_id"))
 

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, shuffle_partitions, slices, texts
 from .graph import connected_components
+from .repeats import bounded
 
 SEED = 42
 #: Rows of a comparison block; queries are taken in strips of STRIP.
@@ -336,6 +337,8 @@ class SetRule:
     sets: Sets
     links: Links
     banded: bool = True
+    #: How to link the nodes of each key, given ``k, key, node`` rows; None: ``bucket_stars``.
+    stars: Callable[[DataFrame], DataFrame] | None = None
 
     def keyed(self, nodes: DataFrame, *columns: str) -> DataFrame:
         """A row for each key of each node: k, key, and ``columns``."""
@@ -350,7 +353,8 @@ def word_rule(words: int, similarity: float) -> SetRule:
 
 def links_of_texts(docs: DataFrame, members: DataFrame, task: list[str], sets: Sets, links: Links) -> DataFrame:
     """Star links ``a, b`` among the nodes of each ``task`` of ``members(first_id, node, *task)``, checked on the shingle sets."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("first_id"), "text").join(members.select("first_id", "node", *task), "first_id")
+    held = materialize(members.select("first_id", "node", *task), "members")
+    rows = docs.select(F.col("doc_id").cast("long").alias("first_id"), "text").join(bounded(held), "first_id")
 
     def check(table: pa.Table) -> pa.Table:
         found: dict[int, np.ndarray] = {}
@@ -378,7 +382,8 @@ def in_buckets(sized: DataFrame, nodes: DataFrame, rule: SetRule) -> DataFrame:
 def links_across(docs: DataFrame, split: DataFrame, linked: DataFrame, rule: SetRule) -> DataFrame:
     """Links ``a, b`` that the buckets ``split`` still lack, given the clusters ``linked`` found in the parts of their groups.
 
-    A missing link joins two clusters of a bucket, so one of its ends lies outside
+    Where a node has many keys, a bucket is the whole group, so that a text is sent once
+    and not once a key. A missing link joins two clusters of a bucket, so one of its ends lies outside
     the bucket's largest cluster. These nodes, the rest, are compared in blocks
     with all nodes of the bucket. Usually the hubs leave few of them.
     """
@@ -417,13 +422,19 @@ def near_duplicate_groups(docs: DataFrame, words: int = NEAR_WORDS, similarity:
     return linked_groups(docs, rows, word_rule(words, similarity)).select("doc_id", "component_id")
 
 
-def linked_groups(docs: DataFrame, rows: DataFrame, rule: SetRule) -> DataFrame:
+def nodes_of(rows: DataFrame) -> DataFrame:
+    """A row for each set of ``rows(doc_id, node, print, shingles, keys)``, with the least doc_id that has it."""
+    return materialize(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("print").alias("print"), F.first("shingles").alias("shingles"), F.first("keys").alias("keys")), "nodes")
+
+
+def linked_groups(docs: DataFrame, rows: DataFrame, rule: SetRule, nodes: DataFrame | None = None) -> DataFrame:
     """``doc_id, shingles, component_id`` of ``rows(doc_id, node, print, shingles, keys)``, what ``docs(doc_id, text)`` have as sets.
 
-    ``near_duplicate_groups`` says how; sets that ``rule`` links must share a key.
+    ``near_duplicate_groups`` says how; sets that ``rule`` links must share a key. With
+    ``nodes``, as ``nodes_of`` makes them, ``rows`` needs doc_id, node and shingles only.
     """
-    nodes = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("print").alias("print"), F.first("shingles").alias("shingles"), F.first("keys").alias("keys")), "nodes")
-    groups = connected_components(bucket_stars(rule.keyed(nodes, "node")))
+    nodes = nodes_of(rows) if nodes is None else nodes
+    groups = connected_components((rule.stars or bucket_stars)(rule.keyed(nodes, "node")))
     held = materialize(nodes.join(groups, "node").select("node", "first_id", "print", "shingles", "component"), "grouped")
     majority = held.groupBy("component").agg(*[F.sum(F.shiftright("print", i).bitwiseAND(F.lit(1))).alias(f"b{i}") for i in range(64)], F.count("*").alias("size"), F.sum("shingles").alias("held"))
     middle = F.lit(0).cast("long")
@@ -437,7 +448,8 @@ def linked_groups(docs: DataFrame, rows: DataFrame, rule: SetRule) -> DataFrame:
     part = F.when(F.col("hub").isNotNull(), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(salt("parts")))
     linked = connected_components(links_of_texts(docs, marked.withColumn("part", F.explode(part)), ["component", "part"], rule.sets, rule.links))
     if not sized.where("parts > 1").isEmpty():
-        across = links_across(docs, in_buckets(sized.where("parts > 1"), nodes, rule), linked, rule)
+        large = sized.where("parts > 1")
+        across = links_across(docs, in_buckets(large, nodes, rule) if rule.banded else large, linked, rule)
         linked = connected_components(linked.select(F.col("node").alias("a"), F.col("component").alias("b")).union(across))
     grouped = nodes.select("node", "first_id").join(linked, "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("component"))
     named = with_least(grouped).select("node", "component_id")

@@ -35,7 +35,7 @@ def families(seed, n=40):
     """Near copies at all distances around the limit."""
     rng, rows = random.Random(seed), []
     for f in range(n):
-        text = samples.prose(rng, rng.randrange(5, 120), 5000)
+        text = samples.prose(rng, rng.randrange(5, 300), 5000)
         for share in (0.0, 0.005, 0.01, 0.02, 0.03, 0.05):
             rows.append((len(rows) + 50_000 + f, samples.changed(rng, text, share), "s"))
     return rows
@@ -83,16 +83,30 @@ def test_large_groups_in_parts(spark, monkeypatch):
     assert sorted(map(tuple, got)) == sorted(components(rows, 90))
 
 
-def test_classes_only_order(spark):
-    """Frequent shingles come last in the prefixes; whatever the order, groups are the same."""
-    rng = random.Random(6)
-    line = samples.prose(rng, 30, 5000)
-    rows = [(i, f"{line} {samples.prose(rng, 30, 5000)}", "s") for i in range(300)]
-    rule = jaccard.Jaccard()
-    docs = samples.frame(spark, rows)
-    classes = jaccard.shingle_classes(docs, rule)
-    common = rule.sets([line.encode()])[0]
-    assert (classes[(common & np.uint64(len(classes) - 1)).astype(int)] > 0).all() and (classes > 0).sum() < 60
-    keys = [set(r["keys"]) for r in jaccard.prefix_rows(docs, rule, classes).collect()]
-    assert not set.intersection(*keys)
-    assert {r.component_id for r in jaccard.jaccard_groups(docs).collect()} == set(range(300))
+@pytest.mark.parametrize(("percent", "cut"), [(90, True), (90, False), (60, True), (97, True), (100, True)])
+def test_similar_sets_share_a_key(percent, cut):
+    """Pairs at the limit, with as many differences as there may be, on either side of the levels' borders."""
+    rng = np.random.default_rng(percent)
+    rule, shared, unrelated = jaccard.Jaccard(3, percent, 0), 0, 0
+    for size in [*range(1, 40), 63, 64, 65, 70, 71, 100, 127, 128, 140, 142, 143, 255, 256, 280, 284, 285, 1000, 1024, 1100, 5000]:
+        whole = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
+        for lost in {0, *(size * (100 - percent) // 100 * k // 4 for k in range(1, 5))}:
+            gained = 0
+            while 100 * (size - lost) >= percent * (size + gained + 1):
+                gained += 1
+            for extra in {0, gained // 2, gained} if 100 * (size - lost) >= percent * size and size > lost else ():
+                other = np.unique(np.append(rng.permutation(whole)[lost:], rng.integers(0, 1 << 63, extra, dtype=np.uint64)))
+                a, b = (jaccard.segment_keys(x, rule, cut) for x in (whole, other))
+                if a[1] and b[1]:
+                    assert np.intersect1d(a[0], b[0]).size, (size, lost, extra)
+                    shared += 1
+        stranger = np.append(whole[: size // 5], rng.integers(0, 1 << 63, size - size // 5, dtype=np.uint64))
+        unrelated += size >= 64 and bool(np.intersect1d(jaccard.segment_keys(np.unique(stranger), rule, cut)[0], jaccard.segment_keys(whole, rule, cut)[0]).size)
+    assert shared > 50 and (unrelated < 6 or not cut or percent < 90)
+
+
+def test_sets_without_enough_segments(spark):
+    """If hashes leave a set too few segments, every shingle becomes one, for all sets."""
+    rows, rule = families(9, 12), jaccard.Jaccard(spare=0.5)
+    assert jaccard.keyed_rows(samples.frame(spark, rows), rule).where("NOT enough").count()
+    assert sorted(map(tuple, jaccard.jaccard_groups(samples.frame(spark, rows), rule).collect())) == sorted(components(rows, 90))
