@@ -3,7 +3,9 @@
 Each source gets a word target. Its documents are taken whole-number times plus
 once more for those whose hash lies under a threshold; the threshold comes from
 histograms of words by hash bucket, refined level by level inside the one bucket
-where the budget ends. No document is sorted and no text is shuffled.
+where the budget ends. Of the few documents on either side of the threshold those
+are then taken or left that bring the source nearest its target, all combinations
+considered. No document is sorted and no text is shuffled.
 """
 
 from __future__ import annotations
@@ -17,8 +19,8 @@ from .common import count_words, materialize, shuffle_partitions
 LEVEL_BITS, LEVELS = 10, 4
 #: A source is repeated at most so often.
 MAX_REPEATS = 3
-#: Times that the rest of a budget is offered to the smaller documents behind the last threshold.
-ROUNDS = 3
+#: Documents around a threshold that are considered once more, and parts in which those of a source are looked for.
+BORDER, PARTS = 12, 64
 
 
 def number_in_order(df: DataFrame, by: list[Column], name: str) -> DataFrame:
@@ -67,61 +69,57 @@ def slot_of() -> Column:
 
 
 def mix_plan(slim: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), share: float = 1.0) -> DataFrame:
-    """How often documents come, by source, for ``slim(source, size, slot)``: source, source_size, target, repeats, cuts.
-
-    All documents come ``repeats`` times. ``cuts`` are (low, high, most): those
-    with a slot from low to below high and a size of ``most`` at most come once
-    more. The first cut starts at 0 and takes any size; each further one goes on
-    behind it with documents that fit what is left of the budget. The last one takes
-    the document whose size is nearest to what is left then, if the source comes
-    nearer its target with it than without it.
+    """How often documents come, by source, for ``slim(source, size, slot)``: source, source_size, target, repeats, cut, flips.
+
+    All documents come ``repeats`` times, those with a slot below ``cut`` once more, but
+    for those whose slot is among the ``flips``: with these it is the other way round.
     """
     goals = source_targets(slim.select("source", "size"), weights, share)
     repeats = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(MAX_REPEATS))).otherwise(F.lit(0)).cast("int")
     goals = goals.withColumn("repeats", repeats).withColumn("left", F.greatest(F.col("target") - F.col("repeats") * F.col("source_size"), F.lit(0.0)))
     goals = materialize(goals, "mix-goals")
-    state = goals.where(F.col("left") > 0).select("source", F.lit(0).cast("long").alias("low"), F.lit(float("inf")).alias("most"), "left")
-    cuts = None
-    for _ in range(ROUNDS):
-        fits = F.col("d.source").eqNullSafe(F.col("s.source")) & (F.col("d.slot") >= F.col("s.low")) & (F.col("d.size") <= F.col("s.most"))
-        offered = slim.alias("d").join(state.alias("s"), fits).select("d.*")
-        found = hash_cuts(offered, state.select("source", "left"))
-        joined = state.alias("s").join(found.alias("f"), F.col("s.source").eqNullSafe(F.col("f.source")))
-        rows = materialize(joined.select("s.source", "s.low", F.greatest("s.low", "f.cut").alias("high"), "s.most", F.col("f.left").alias("left")), "mix-cuts")
-        cuts = rows if cuts is None else cuts.unionByName(rows)
-        state = rows.where("left > 0").select("source", F.col("high").alias("low"), F.col("left").alias("most"), "left")
-    taken = cuts.groupBy("source").agg(F.collect_list(F.struct("low", "high", "most")).alias("cuts"))  # ROUNDS a source
-    last = crossing_cuts(slim, goals.where("left > 0").select("source", "left"), taken)
-    lists = cuts.select("source", "low", "high", "most").unionByName(last).groupBy("source").agg(F.collect_list(F.struct("low", "high", "most")).alias("cuts"))
-    joined = goals.alias("g").join(lists.alias("c"), F.col("g.source").eqNullSafe(F.col("c.source")), "left")
-    return materialize(joined.select("g.source", "g.source_size", "g.target", "g.repeats", "c.cuts"), "mix-plan")
-
-
-def crossing_cuts(slim: DataFrame, budgets: DataFrame, taken: DataFrame) -> DataFrame:
-    """``source, low, high, most``: a cut for the one document of a source that brings it nearer its target though it passes it.
-
-    ``budgets(source, left)`` are what was to be taken by the cuts, ``taken(source, cuts)`` these.
+    cuts = materialize(hash_cuts(slim, goals.select("source", "left")), "mix-cuts")
+    flips = border_flips(slim, cuts)
+    held = goals.alias("g").join(cuts.alias("c"), F.col("g.source").eqNullSafe(F.col("c.source")), "left").select("g.source", "g.source_size", "g.target", "g.repeats", "c.cut")
+    joined = held.alias("g").join(flips.alias("f"), F.col("g.source").eqNullSafe(F.col("f.source")), "left")
+    return materialize(joined.select("g.source", "g.source_size", "g.target", "g.repeats", "g.cut", "f.flips"), "mix-plan")
+
+
+def border_flips(slim: DataFrame, cuts: DataFrame) -> DataFrame:
+    """``source, flips``: which slots near each source's cut to take or leave against it, so that least is missed of ``cuts(source, cut, left)``.
+
+    The ``BORDER`` slots nearest to the cut are tried in all combinations, one row a source;
+    of equally near ones the first in order of their numbers counts. Rows of one slot go together.
     """
-    inside = lambda cuts: F.exists(cuts, lambda c: (F.col("d.slot") >= c["low"]) & (F.col("d.slot") < c["high"]) & (F.col("d.size") <= c["most"]))
-    cuts = budgets.alias("b").join(taken.alias("t"), F.col("b.source").eqNullSafe(F.col("t.source")), "left")
-    cuts = materialize(cuts.select("b.source", F.col("b.left").alias("budget"), F.coalesce("t.cuts", F.array().cast("array<struct<low:long,high:long,most:double>>")).alias("cuts")), "mix-taken")
-    held = slim.alias("d").join(cuts.alias("c"), F.col("d.source").eqNullSafe(F.col("c.source")))
-    spent = held.groupBy("c.source").agg(F.sum(F.when(inside("c.cuts"), F.col("d.size")).otherwise(0)).alias("spent"), F.first("c.budget").alias("budget"), F.first("c.cuts").alias("cuts"))
-    open_ = materialize(spent.select("source", (F.col("budget") - F.col("spent")).alias("left"), "cuts").where("left > 0"), "mix-rest")
-    others = slim.alias("d").join(open_.alias("o"), F.col("d.source").eqNullSafe(F.col("o.source"))).where(~inside("o.cuts") & (F.col("d.size") > 0) & (F.col("d.size") < 2 * F.col("o.left")))
-    others = others.select("d.source", "d.slot", "d.size", "o.left")
-    near = others.groupBy("source").agg(F.min_by(F.struct("slot", "size"), F.struct(F.abs(F.col("size") - F.col("left")), F.col("slot"))).alias("best"))
-    near = materialize(near.select("source", F.col("best.slot").alias("low"), F.col("best.size").cast("double").alias("most")), "mix-crossing")
-    # rows of one slot, such as repeated ones, are taken together
-    with_all = others.alias("d").join(near.alias("n"), F.col("d.source").eqNullSafe(F.col("n.source")) & (F.col("d.slot") == F.col("n.low")) & (F.col("d.size") <= F.col("n.most")))
-    sums = with_all.groupBy("n.source", "n.low", "n.most").agg(F.sum("d.size").alias("words"), F.first("d.left").alias("left"))
-    return sums.where("words < 2 * left").select("source", "low", (F.col("low") + 1).alias("high"), "most")
-
-
-def copies_of(repeats: Column, cuts: Column, slot: Column, size: Column) -> Column:
+    units = slim.where("size > 0").groupBy("source", "slot").agg(F.sum("size").alias("size"))
+    held = units.alias("u").join(cuts.alias("c"), F.col("u.source").eqNullSafe(F.col("c.source"))).select("u.source", "u.slot", "u.size", "c.left", (F.col("u.slot") < F.col("c.cut")).alias("taken"), F.abs(F.col("u.slot") - F.col("c.cut")).alias("far"))
+    part = Window.partitionBy("source", "taken", F.pmod(F.col("slot"), F.lit(PARTS))).orderBy("far", "slot")
+    near = held.withColumn("_no", F.row_number().over(part)).where(F.col("_no") <= BORDER)
+    whole = Window.partitionBy("source", "taken").orderBy("far", "slot")  # PARTS * BORDER rows at most
+    near = near.withColumn("_no", F.row_number().over(whole)).where(F.col("_no") <= BORDER)
+    unit = F.struct("_no", "slot", F.when(F.col("taken"), -F.col("size")).otherwise(F.col("size")).alias("change"))
+    sides = near.groupBy("source").agg(F.first("left").alias("left"), *[F.array_sort(F.collect_list(F.when(F.col("taken") == side, unit))).alias(name) for name, side in (("below", True), ("above", False))])
+    first = F.least(F.size("below"), F.greatest(F.lit(BORDER // 2), BORDER - F.size("above")))
+    sides = sides.select("source", "left", F.concat(F.slice("below", F.lit(1), first), F.slice("above", F.lit(1), BORDER - first)).alias("units"))
+
+    def in_choice(choice: Column, i: Column) -> Column:
+        return F.getbit(choice, i) == 1
+
+    def missed(choice: Column) -> Column:
+        steps = F.transform("units", lambda u, i: F.when(in_choice(choice, i), u["change"]).otherwise(F.lit(0)))
+        return F.abs(F.col("left") - F.aggregate(steps, F.lit(0).cast("long"), lambda total, x: total + x))
+
+    every = F.expr("sequence(0L, shiftleft(1L, size(units)) - 1)")
+    choices = F.transform(every, lambda c: F.struct(missed(c).alias("missed"), c.alias("choice")))
+    best = sides.withColumn("best", F.array_min(choices)["choice"])
+    flips = F.transform(F.filter(F.transform("units", lambda u, i: F.struct(u["slot"].alias("slot"), in_choice(F.col("best"), i).alias("on"))), lambda x: x["on"]), lambda x: x["slot"])
+    return best.select("source", flips.alias("flips"))
+
+
+def copies_of(repeats: Column, cut: Column, flips: Column, slot: Column) -> Column:
     """How often a document comes, given its source's row of the plan."""
-    inside = F.exists(cuts, lambda c: (slot >= c["low"]) & (slot < c["high"]) & (size <= c["most"]))
-    return repeats + F.coalesce(inside, F.lit(False)).cast("int")
+    once_more = F.coalesce(slot < cut, F.lit(False)) != F.coalesce(F.array_contains(flips, slot), F.lit(False))
+    return repeats + once_more.cast("int")
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -141,7 +139,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), s
     slim = sized(docs)
     plan = mix_plan(slim, weights, share)
     joined = slim.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
-    copies = copies_of(F.col("p.repeats"), F.col("p.cuts"), F.col("d.slot"), F.col("d.size"))
+    copies = copies_of(F.col("p.repeats"), F.col("p.cut"), F.col("p.flips"), F.col("d.slot"))
     return joined.select("d.doc_id", "d.source", "d.size", "p.source_size", "p.target", copies.alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
 
 
@@ -174,11 +172,11 @@ def apply_mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), sha
 
     Only one row per source is joined to the texts.
     """
-    plan = mix_plan(sized(docs), weights, share).select(F.col("source").alias("_packlens_source"), "repeats", "cuts")
-    held = docs.withColumns({"_packlens_slot": slot_of(), "_packlens_size": count_words(F.col("text"))}).alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p._packlens_source")))
-    copies = copies_of(F.col("p.repeats"), F.col("p.cuts"), F.col("d._packlens_slot"), F.col("d._packlens_size"))
+    plan = mix_plan(sized(docs), weights, share).select(F.col("source").alias("_packlens_source"), "repeats", "cut", "flips")
+    held = docs.withColumn("_packlens_slot", slot_of()).alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p._packlens_source")))
+    copies = copies_of(F.col("p.repeats"), F.col("p.cut"), F.col("p.flips"), F.col("d._packlens_slot"))
     kept = held.select("d.*", copies.alias("_packlens_copies")).where("_packlens_copies > 0")
-    return kept.withColumn("_packlens_copy", F.explode(F.sequence(F.lit(1), F.col("_packlens_copies")))).drop("_packlens_slot", "_packlens_size", "_packlens_copies", "_packlens_copy")
+    return kept.withColumn("_packlens_copy", F.explode(F.sequence(F.lit(1), F.col("_packlens_copies")))).drop("_packlens_slot", "_packlens_copies", "_packlens_copy")
 
 
 def mix_query(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -250,6 +250,28 @@ def test_small_sources_come_as_near_as_one_document_brings_them(spark):
     assert sum(misses) / len(misses) < 0.05
 
 
+def test_small_sources_come_as_near_as_any_choice(spark):
+    """Up to twelve documents: no set of them comes nearer to what is left of the target; doc_ids that repeat go together."""
+    rng = random.Random(13)
+    rows = [(i, samples.prose(rng, rng.choice([1, 5, 60, 400, 3000])), f"src{i % 9}") for i in range(9 * 11)] + [(9, "again " * 50, "src0")] * 3 + [(1000, None, "src1"), (1001, "", None), (1002, "one two three", None)]
+    got = mixing.mix_sources(samples.frame(spark, rows, extra=True)).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.source, []).append(r)
+    for of in by.values():
+        target, whole, units = of[0].target, of[0].source_size, Counter()
+        for r in of:
+            units[r.doc_id] += r.size
+        sizes = [n for n in units.values() if n]
+        repeats = min(int(target / whole), 3) if whole else 0
+        left = max(target - repeats * whole, 0)
+        sums = {0}
+        for n in sizes:
+            sums |= {x + n for x in sums}
+        best = min(abs(left - x) for x in sums) if left else 0
+        assert len(sizes) <= 12 and abs(sum(r.taken for r in of) - target) == pytest.approx(best, abs=1e-6)
+
+
 def test_without_labels_all_words_stay(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = quality.judge(samples.frame(spark), none, F.col("source"), F.col("lang")).collect()
