@@ -14,8 +14,10 @@ import hashlib
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .repeats import Rule, describe_removals
+from .common import materialize
+from .repeats import Rule, bounded, describe_removals
 from .segments import BYTE_VALUES
 from .substrings import in_batches
 
@@ -33,9 +35,9 @@ def dedup_bytes(docs: DataFrame, batches: int = BATCHES, match: int = MATCH) ->
 
     A byte of a text's UTF-8 goes if a ``match``-byte string that covers it also
     starts anywhere else, in the same text included; strings are judged on the
-    input and lie within one text. A null text counts as empty. Rows with a null
-    doc_id stand outside: they lose nothing and nothing is removed for them. Rows
-    that repeat a doc_id count as separate texts.
+    input and lie within one text. A null text counts as empty. Rows
+    that repeat a doc_id count as separate texts, and so do rows with a null doc_id: while
+    the index is made these have a hash of their text for an id.
     """
 
     def describe(text, gone):
@@ -46,7 +48,17 @@ def dedup_bytes(docs: DataFrame, batches: int = BATCHES, match: int = MATCH) ->
         return len(text), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return describe_removals(docs, in_batches(docs, batches), Rule(byte_units, match, anywhere=True, steps=STEPS), 2, describe, schema)
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    unnamed = slim.where("doc_id IS NULL")
+    some = not unnamed.isEmpty()
+    if some:
+        own = F.xxhash64(F.lit("unnamed"), "text")
+        slim = slim.withColumn("doc_id", F.coalesce("doc_id", own))
+    found = describe_removals(slim, in_batches(slim, batches), Rule(byte_units, match, anywhere=True, steps=STEPS), 2, describe, schema)
+    if not some:
+        return found
+    names = bounded(materialize(unnamed.select(own.alias("doc_id")).distinct().withColumn("_packlens_unnamed", F.lit(True)), "unnamed"))
+    return found.join(names, "doc_id", "left").withColumn("doc_id", F.when(F.col("_packlens_unnamed").isNull(), F.col("doc_id"))).drop("_packlens_unnamed")
 
 
 def suffix_query(spark: SparkSession, docs: DataFrame) -> DataFrame:

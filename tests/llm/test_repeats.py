@@ -34,15 +34,14 @@ def bytes_left(rows, length):
     seen = {}
     for i, t, _ in rows:
         b = (t or "").encode()
-        if i is not None:
-            for s in range(len(b) - length + 1):
-                seen[b[s : s + length]] = seen.get(b[s : s + length], 0) + 1
+        for s in range(len(b) - length + 1):
+            seen[b[s : s + length]] = seen.get(b[s : s + length], 0) + 1
     out = []
     for i, t, _ in rows:
         b = (t or "").encode()
         gone = np.zeros(len(b), bool)
         for s in range(len(b) - length + 1):
-            if i is not None and seen[b[s : s + length]] > 1:
+            if seen[b[s : s + length]] > 1:
                 gone[s : s + length] = True
         spans = int((np.diff(np.concatenate(([0], gone.astype(int), [0]))) == 1).sum())
         out.append((i, len(b), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest()))
@@ -82,6 +81,16 @@ def test_bytes_of_rows_that_repeat_an_id(spark, batches):
     assert ordered(got.collect()) == ordered(bytes_left(rows, 200))
 
 
+def test_bytes_of_rows_without_an_id(spark):
+    """They are separate texts as well: what repeats within one, between two and with a named one goes on all sides; copies of one another too."""
+    rng = random.Random(23)
+    shared, other, alone = (samples.prose(rng, 90, 10**6) for _ in range(3))
+    rows = [(None, f"{shared} {shared}", "s"), (None, f"x {other} y", "s"), (1, f"z {other}", "s"), (None, alone, "s"), (None, alone, "s"), (2, samples.prose(rng, 90, 10**6), "s"), (None, None, "s"), (None, samples.prose(rng, 50, 10**6), "s")]
+    got = suffixes.dedup_bytes(samples.frame(spark, rows, extra=True))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(bytes_left(rows, 200), key=str)
+    assert got.where("doc_id IS NULL").count() == 6 and got.where("n_removed > 0").count() == 5
+
+
 @pytest.mark.parametrize("at_once", [3, 40, substrings.HASHED_BYTES])
 def test_words_have_equal_hashes_exactly_if_equal(monkeypatch, at_once):
     monkeypatch.setattr(substrings, "HASHED_BYTES", at_once)
