@@ -483,3 +483,7 @@ ORACLES["kept_documents"] = f"""WITH {RESULTS}, s AS (SELECT package_id, passed,
   SELECT package_id % 2 AS batch, package_id, {STAR_LABELS.format('f')} || CASE WHEN open_n > 0 THEN ' — ' || open_n || ' mandatory declarations unverified' ELSE '' END AS star_label, CAST(passed AS INTEGER) AS passed_rules, 8::INTEGER AS n_lines FROM s"""
 ORACLES["report_documents"] = f"""WITH {RESULTS}, s AS (SELECT package_id, passed, open_n, {OPEN_SCORE} AS f FROM sums)
   SELECT package_id, {STAR_LABELS.format('f')} || CASE WHEN open_n > 0 THEN ' — ' || open_n || ' mandatory declarations unverified' ELSE '' END AS label, CAST(passed AS INTEGER) AS passed, 8::INTEGER AS n_lines FROM s"""
+ORACLES["csv_scan"] = "SELECT p_partkey, p_name, p_size::INTEGER AS p_size, p_retailprice::DOUBLE AS p_retailprice FROM part WHERE p_partkey % 50 > 2 AND p_size > 10"
+ORACLES["quarantined_lines"] = """SELECT CASE WHEN p_partkey % 50 = 1 THEN p_partkey::VARCHAR ELSE p_partkey || ',' || p_name || ',' || CASE WHEN p_partkey % 50 = 0 THEN 'large' ELSE p_size::VARCHAR END || ',' || p_retailprice::DOUBLE || CASE WHEN p_partkey % 50 = 2 THEN ',more' ELSE '' END END AS line
+  FROM part WHERE p_partkey % 50 < 3"""
+ORACLES["orc_scan"] = "SELECT p_partkey, p_name, p_size::INTEGER AS p_size, p_retailprice::DOUBLE AS p_retailprice, NULL::VARCHAR AS p_colour FROM part WHERE p_size > 10"

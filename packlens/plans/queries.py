@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import checked, geometry, gtin, text
 from ..operators import blocks, model, packages, readings, registry, rules, scoring
 from ..operators import regions as areas
-from ..sources import sinks, sql_front, tables
+from ..sources import scans_of_files, sinks, sql_front, tables
 from ..sources.shared import new_folder, written
 from ..streaming import scans, sessions
 from .oracles import ORACLES
@@ -671,6 +671,35 @@ def kept_documents(spark, sf_dir):
     return kept.select("batch", *[F.get_json_object("report", f"$.{c}").cast(kind).alias(c) for c, kind in (("package_id", "long"), ("star_label", "string"), ("passed_rules", "int"))], F.size(F.split("report", "\n")).alias("n_lines"))
 
 
+PART_FIELDS = "p_partkey long, p_name string, p_size int, p_retailprice double"
+
+
+def part_lines(spark, sf_dir) -> DataFrame:
+    """The parts written as CSV, of which some lines are damaged, and read back."""
+    part, k = tables.table(spark, sf_dir, "part"), tables.key()
+    line = F.to_csv(F.struct(k, F.col("p_name"), F.when(k % 50 == 0, "large").otherwise(F.col("p_size").cast("string")), F.col("p_retailprice")))
+    folder = new_folder(spark, "lines")
+    part.select(F.when(k % 50 == 1, k.cast("string")).when(k % 50 == 2, F.concat(line, F.lit(",more"))).otherwise(line).alias("value")).write.text(folder)
+    return scans_of_files.read_csv(spark, folder, PART_FIELDS)
+
+
+@query
+def csv_scan(spark, sf_dir):
+    return scans_of_files.sound(part_lines(spark, sf_dir)).where("p_size > 10")
+
+
+@query
+def quarantined_lines(spark, sf_dir):
+    return scans_of_files.quarantined(part_lines(spark, sf_dir)).select("line")
+
+
+@query
+def orc_scan(spark, sf_dir):
+    folder = new_folder(spark, "orc")
+    tables.table(spark, sf_dir, "part").write.orc(folder)
+    return scans_of_files.read_orc(spark, folder, PART_FIELDS + ", p_colour string").where("p_size > 10")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model_scores(spark, sf_dir)
 

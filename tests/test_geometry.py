@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from packlens.functions import geometry
 from packlens.operators import blocks, regions
-from packlens.sources import files, tables
+from packlens.sources import files, scans_of_files, tables
 
 SF = "/root/testdata/sf0.001"
 
@@ -106,3 +106,15 @@ def test_image_files_and_data_urls(spark, tmp_path):
     assert files.image_files(spark, str(tmp_path)).count() == 2
     r = spark.range(1).select(files.from_data_url(F.lit("data:x;base64,aGk=")).alias("a"), files.from_data_url(F.lit("aGk=")).alias("b"), files.from_data_url(F.lit("%%")).alias("c")).first()
     assert (bytes(r.a), bytes(r.b), r.c) == (b"hi", b"hi", None)
+
+
+def test_damaged_lines_are_set_aside(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("1,one,1.5\n2,two,x\n3\n4,four,4.5,more\n5,five,5.5\n")
+    rows = scans_of_files.read_csv(spark, str(tmp_path / "a.csv"), "n int, name string, x double")
+    assert sorted(map(tuple, scans_of_files.sound(rows).collect())) == [(1, "one", 1.5), (5, "five", 5.5)]
+    assert sorted(r.n for r in scans_of_files.sound(rows).select("n").collect()) == [1, 5]
+    assert sorted(map(tuple, scans_of_files.quarantined(rows).collect())) == [("a.csv", "2,two,x"), ("a.csv", "3"), ("a.csv", "4,four,4.5,more")]
+    spark.range(9).selectExpr("id AS n", "'x' AS name").write.orc(str(tmp_path / "o"))
+    held = scans_of_files.read_orc(spark, str(tmp_path / "o"), "n long, name string").where("n > 5").select("n")
+    plan = held._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(n,5)" in plan and "ReadSchema: struct<n:bigint>" in plan and held.count() == 3
