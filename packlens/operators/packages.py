@@ -140,6 +140,11 @@ def features(packages: DataFrame, key: str = "package_id") -> DataFrame:
     return packages.select(key, *[values[f].alias(f) for f in fixed.FEATURES])
 
 
+def feature_types() -> dict[str, str]:
+    """Whether each feature is nominal or continuous, by its name, in the order of the columns."""
+    return {f: "nominal" if f.startswith("has_") or f in ("on_principal_panel", "is_imported") else "continuous" for f in fixed.FEATURES}
+
+
 def weak_label(results: Column) -> Column:
     """0 if a critical rule fails, else 1."""
     return F.when(F.exists(results, lambda r: (r["status"] == "FAIL") & (r["severity"] == "CRITICAL")), 0).otherwise(1)

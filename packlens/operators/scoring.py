@@ -129,6 +129,23 @@ def report_json(*columns: str) -> Column:
     return F.to_json(F.struct(*columns), {"pretty": "true"})
 
 
+def console_report(name: Column, lines: Column) -> Column:
+    """The report of a scored package as text for a console; ``lines`` are its recommendations. Needs wide results."""
+    rule = F.lit("=" * 60)
+    head = F.array(
+        rule, F.concat(F.lit("COMPLIANCE REPORT — "), name), rule, F.concat(F.lit("Rating: "), star_text(F.col("star_rating")), F.lit(" ("), F.col("star_label"), F.lit(")")),
+        F.concat(F.lit("Score: "), percent_text(F.col("final_score"))), F.concat(F.lit("Rules: "), F.col("passed_rules").cast("string"), F.lit(" passed, "), F.col("failed_rules").cast("string"), F.lit(" failed")))
+    failed = F.transform(bucket(F.col("results"), "FAIL"), lambda r: F.concat(F.lit("  - ["), r["severity"], F.lit("] "), r["rule_name"], F.lit(": "), r["detail"]))
+    failures = F.when(F.size(failed) > 0, F.concat(F.array(F.lit(""), F.lit("Failures:")), failed)).otherwise(F.array().cast("array<string>"))
+    advice = F.concat(F.array(F.lit(""), F.lit("Recommendations:")), F.transform(lines, lambda x, i: F.concat(F.lit("  "), (i + 1).cast("string"), F.lit(". "), x)))
+    return F.array_join(F.concat(head, failures, advice, F.array(rule)), "\n")
+
+
+def stamped(scored: DataFrame) -> DataFrame:
+    """Adds ``scan_id``, eight random hexadecimal digits, and ``scan_timestamp``; another run gives others, so write what is stamped before it is used twice."""
+    return scored.withColumns({"scan_id": F.substring(F.uuid(), 1, 8), "scan_timestamp": F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")})
+
+
 def analysis_mode(contributions: Column) -> Column:
     """How a verdict came about, by what contributed to it; the first that applies."""
     has = lambda k: F.coalesce(F.map_contains_key(contributions, k), F.lit(False))

@@ -487,3 +487,6 @@ ORACLES["csv_scan"] = "SELECT p_partkey, p_name, p_size::INTEGER AS p_size, p_re
 ORACLES["quarantined_lines"] = """SELECT CASE WHEN p_partkey % 50 = 1 THEN p_partkey::VARCHAR ELSE p_partkey || ',' || p_name || ',' || CASE WHEN p_partkey % 50 = 0 THEN 'large' ELSE p_size::VARCHAR END || ',' || p_retailprice::DOUBLE || CASE WHEN p_partkey % 50 = 2 THEN ',more' ELSE '' END END AS line
   FROM part WHERE p_partkey % 50 < 3"""
 ORACLES["orc_scan"] = "SELECT p_partkey, p_name, p_size::INTEGER AS p_size, p_retailprice::DOUBLE AS p_retailprice, NULL::VARCHAR AS p_colour FROM part WHERE p_size > 10"
+ORACLES["console_reports"] = f"""WITH {RESULTS}, s AS (SELECT package_id, passed, failed, warned, open_n, {OPEN_SCORE} AS f FROM sums), t AS (SELECT *, {STARS.format('f')} AS stars, {STAR_LABELS.format('f')} || CASE WHEN open_n > 0 THEN ' — ' || open_n || ' mandatory declarations unverified' ELSE '' END AS label FROM s)
+  SELECT package_id, repeat('=', 60) || chr(10) || 'COMPLIANCE REPORT — ' || package_id || chr(10) || repeat('=', 60) || chr(10) || 'Rating: ' || repeat('★', stars) || repeat('☆', 5 - stars) || ' (' || label || ')' || chr(10) || 'Score: ' || printf('%.1f', round(f, 3) * 100) || '%' || chr(10)
+    || 'Rules: ' || passed || ' passed, ' || failed || ' failed' AS head, CAST(9 + CASE WHEN failed > 0 THEN 2 + failed ELSE 0 END + greatest(1, failed + warned) AS INTEGER) AS n_lines, repeat('=', 60) AS foot FROM t"""

@@ -473,6 +473,14 @@ def reports(spark, sf_dir):
     return held.select("package_id", F.to_json(scoring.payload()).alias("report"))
 
 
+@query
+def console_reports(spark, sf_dir):
+    held = scoring.registry_scores(image_audit(spark, sf_dir, wide=True))
+    shown = held.select("package_id", scoring.console_report(F.col("package_id").cast("string"), scoring.recommendations(F.col("results"))).alias("report"))
+    lines = F.split("report", "\n")
+    return shown.select("package_id", F.array_join(F.slice(lines, 1, 6), "\n").alias("head"), F.size(lines).alias("n_lines"), F.element_at(lines, -1).alias("foot"))
+
+
 @query
 def report_cells(spark, sf_dir):
     held = scoring.registry_scores(image_audit(spark, sf_dir))

@@ -117,3 +117,10 @@ def test_errors_of_single_rows_stay_there(spark):
     assert all(got[i, "Y"] == ("PASS", "always") for i in range(1, 6))
     days = df.select(checked.day(checked.plain(F.lit("2024-13-01")), "yyyy-MM-dd").error.alias("e"), checked.day(checked.plain(F.lit("2024-12-01")), "yyyy-MM-dd").error.alias("f")).first()
     assert days.e == "no date: 2024-13-01" and days.f is None
+
+
+def test_stamps_and_feature_types(spark):
+    r = scoring.stamped(spark.range(2)).collect()
+    assert all(len(x.scan_id) == 8 and int(x.scan_id, 16) >= 0 and "T" in x.scan_timestamp for x in r) and r[0].scan_id != r[1].scan_id
+    types = packages.feature_types()
+    assert len(types) == 27 and types["has_mrp"] == types["is_imported"] == types["on_principal_panel"] == "nominal" and types["mrp_value"] == types["num_declarations_found"] == "continuous"
