@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import checked, geometry, gtin, text
-from ..operators import blocks, model, packages, readings, registry, rules, scoring
+from ..operators import blocks, boosting, model, packages, readings, registry, rules, scoring
 from ..operators import regions as areas
 from ..sources import scans_of_files, sinks, sql_front, tables
 from ..sources.shared import new_folder, written
@@ -603,9 +603,13 @@ def training_rows(spark, sf_dir):
     return both.groupBy("origin", "label").agg(F.count("*").alias("n")).withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("origin")), 9))
 
 
+#: Rounds and bags of the registered queries; a model for use is worth more of both.
+TRAINING = boosting.Boosting(rounds=15, rate=0.3, bags=4, pair_rounds=5)
+
+
 @query
 def additive_model(spark, sf_dir):
-    fitted = model.fit(labelled_rows(spark, sf_dir))
+    fitted = model.fit(labelled_rows(spark, sf_dir), how=TRAINING)
     scored = model.predicted(packages.features(tables.packages(spark, sf_dir)), fitted)
     return scored.select("package_id", "probability", "predicted", F.array_join("risk_factors", "|").alias("risk_factors"))
 
@@ -613,14 +617,14 @@ def additive_model(spark, sf_dir):
 @query
 def model_importances(spark, sf_dir):
     rows = labelled_rows(spark, sf_dir)
-    return model.top_importances(model.predicted(rows, model.fit(rows)))
+    return model.top_importances(model.predicted(rows, model.fit(rows, how=TRAINING)))
 
 
 @query
 def model_scores(spark, sf_dir):
     """Label audits scored with the trained model's probability."""
     audited = image_audit(spark, sf_dir).where("analysis_source = 'image'")
-    scored = model.predicted(packages.features(audited), model.fit(labelled_rows(spark, sf_dir))).select("package_id", "probability", F.array_join("risk_factors", "|").alias("risks"))
+    scored = model.predicted(packages.features(audited), model.fit(labelled_rows(spark, sf_dir), how=TRAINING)).select("package_id", "probability", F.array_join("risk_factors", "|").alias("risks"))
     held = scoring.label_scores(audited.join(scored, "package_id"), F.col("probability"))
     return held.select("package_id", "probability", "rule_score", "final_score", "star_rating", "star_label", "passed_rules", "failed_rules", "critical_failures", "risks")
 
