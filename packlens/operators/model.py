@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..sources.shared import written
 from .packages import synthetic_label
 
 #: Names of pair terms join their features by this.
@@ -153,8 +154,9 @@ def fit(rows: DataFrame, features: list[str] | None = None, how: "Boosting | Non
     """Train on ``rows(features, label)``. Histograms of bins, cut points and weights are all that reaches the driver; without rows all weights are 0."""
     from . import boosting  # which builds on this module
 
-    how = how or boosting.Boosting()
-    return boosting.boost(rows, cut_points(rows, features or fixed.FEATURES, how.bins), how)
+    how, features = how or boosting.Boosting(), features or fixed.FEATURES
+    rows = written(rows.select(*features, "label"), "training")  # what the rows come from is worked out once
+    return boosting.boost(rows, cut_points(rows, features, how.bins), how)
 
 
 def predicted(rows: DataFrame, model: AdditiveModel) -> DataFrame:
