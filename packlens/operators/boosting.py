@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import written
-from .model import AdditiveModel, PairTerm, bin_expression
+from .model import AdditiveModel, PairTerm
 
 
 @dataclass(frozen=True)
@@ -45,8 +45,19 @@ def binned(rows: DataFrame, cuts: dict[str, list[float]], how: Boosting) -> Data
     bag = F.lit(0)
     for b in range(how.bags):
         bag = bag + F.when(F.pmod(F.xxhash64(F.lit(b), *held, F.col("label")), F.lit(100)) < how.share, 1 << b).otherwise(0)
-    bins = F.array(*[bin_expression(F.col(f), cuts[f]).cast("int") for f in cuts])
-    return rows.select(F.col("label").cast("double").alias("y"), bag.cast("int").alias("bags"), bins.alias("bins"))
+    places = [np.array(cuts[f]) for f in cuts]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bins = np.empty((batch.num_rows, len(places)), np.int32)
+            for i, at in enumerate(places):  # as ``bin_expression`` has them
+                values = batch.column(2 + i).to_numpy(zero_copy_only=False)
+                bins[:, i] = np.where(np.isnan(values), len(at) + 1, np.searchsorted(at, values))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * len(places)), pa.array(bins.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], ["y", "bags", "bins"])
+
+    numbers = [c.cast("double").alias(f"_{i}") for i, c in enumerate(held)]
+    return rows.select(F.col("label").cast("double").alias("y"), bag.cast("int").alias("bags"), *numbers).mapInArrow(run, "y double, bags int, bins array<int>")
 
 
 class Layout:

@@ -6,12 +6,14 @@ their own. ``boosting`` finds the weights; scoring is a column expression.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..functions.text import bound
 from ..sources.shared import written
 from .packages import synthetic_label
 
@@ -46,7 +48,7 @@ def synthetic_rows(keys: DataFrame, key: str, seed: int = 42, noise: float = 0.1
     def u(name: str) -> Column:
         return drawn("row_id", name, seed)
 
-    rows = keys.select(F.col(key).alias("row_id"))
+    rows = keys.select(F.col(key).alias("row_id")).repartition("row_id")  # the keys may lie in a few files, the draws shouldn't
     bits = [*fixed.PRESENCE_FEATURES, "is_imported"]
     rows = rows.withColumns({b: (u(b) < 0.7).cast("int") for b in bits})
     rows = rows.withColumn("has_english", F.when((F.col("has_hindi") == 0) & (F.col("has_english") == 0), (u("language") < 0.9).cast("int")).otherwise(F.col("has_english")))
@@ -64,10 +66,24 @@ def synthetic_rows(keys: DataFrame, key: str, seed: int = 42, noise: float = 0.1
 
 
 def bin_expression(value: Column, cuts: list[float]) -> Column:
-    """The bin of a value: how many cuts lie below it; one more than there are for unknown values."""
+    """The bin of a value: how many cuts lie below it; one more than there are for unknown values.
+
+    The value is worked out once, not once a cut; many cuts are searched in two steps.
+    """
+
     value = value.cast("double")
-    below = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < value)) if len(cuts) > 8 else sum(((value > cut).cast("int") for cut in cuts), F.lit(0))
-    return F.when(value.isNull() | F.isnan(value), len(cuts) + 1).otherwise(below)
+
+    def below(cuts: Column, value: Column) -> Column:
+        return F.size(F.filter(cuts, lambda c: c < value))
+
+    def searched(value: Column) -> Column:
+        width = math.isqrt(len(cuts))
+        groups = [cuts[i : i + width] for i in range(0, len(cuts), width)]
+        held, lasts = F.array(*[F.array(*map(F.lit, g)) for g in groups]), F.array(*[F.lit(g[-1]) for g in groups])
+        return bound(lambda whole: F.when(whole == len(groups), len(cuts)).otherwise(whole * width + below(F.get(held, whole), value)), below(lasts, value))
+
+    found = bound(searched, value) if len(cuts) > 8 else sum(((value > cut).cast("int") for cut in cuts), F.lit(0))
+    return F.when(value.isNull() | F.isnan(value), len(cuts) + 1).otherwise(found)
 
 
 @dataclass
@@ -170,7 +186,8 @@ def predicted(rows: DataFrame, model: AdditiveModel) -> DataFrame:
 
 def importances(scored: DataFrame) -> DataFrame:
     """Mean absolute contribution of each feature or pair."""
-    return scored.select(F.explode("contributions").alias("feature", "value")).groupBy("feature").agg(F.avg(F.abs("value")).alias("importance"))
+    values = scored.select(F.explode_outer("contributions").alias("feature", "value")).where("feature IS NOT NULL")  # the plain one would be guessed to be empty, and the guess checked by working all out again beneath the joins
+    return values.groupBy("feature").agg(F.avg(F.abs("value")).alias("importance"))
 
 
 def top_importances(scored: DataFrame, n: int = 10, width: int = 20) -> DataFrame:

@@ -117,8 +117,8 @@ def attach_codes(packages: DataFrame, codes: DataFrame) -> DataFrame:
     return joined.withColumn("has_barcode", F.col("barcode_value").isNotNull())
 
 
-def features(packages: DataFrame, key: str = "package_id") -> DataFrame:
-    """The model's columns in order: presence bits, measures (null where unknown), and the imported bit."""
+def features(packages: DataFrame, key: str = "package_id", more: list[str] | None = None) -> DataFrame:
+    """The model's columns in order: presence bits, measures (null where unknown), and the imported bit; then columns ``more`` as they are."""
     def bit(condition: Column) -> Column:
         return F.coalesce(condition, F.lit(False)).cast("int")
 
@@ -137,7 +137,7 @@ def features(packages: DataFrame, key: str = "package_id") -> DataFrame:
         "qty_clear_space_ratio": F.when(height != 0, space / height), "panel_area_mm2": c("principal_display_panel_area_mm2"), "net_quantity_value": c("net_quantity_value"), "mrp_value": c("mrp_value"),
         "avg_ocr_confidence": c("average_ocr_confidence"), "num_declarations_found": reduce(lambda a, b: a + b, [c(f).isNotNull().cast("int") for f in declared]), "is_imported": bit(c("is_imported")),
     }
-    return packages.select(key, *[values[f].alias(f) for f in fixed.FEATURES])
+    return packages.select(key, *[values[f].alias(f) for f in fixed.FEATURES], *(more or []))
 
 
 def feature_types() -> dict[str, str]:

@@ -590,9 +590,8 @@ def synthetic_training_rows(spark, sf_dir):
 
 def labelled_rows(spark, sf_dir) -> DataFrame:
     """Features of audited label packages with weak labels, and synthetic rows."""
-    audited = image_audit(spark, sf_dir).where("analysis_source = 'image'")
-    labels = packages.weak_label(F.col("results")).alias("label")
-    real = packages.features(audited).join(audited.select("package_id", labels), "package_id").withColumn("origin", F.lit("real"))
+    audited = image_audit(spark, sf_dir).where("analysis_source = 'image'").withColumn("label", packages.weak_label(F.col("results")))
+    real = packages.features(audited, more=["label"]).withColumn("origin", F.lit("real"))
     made = made_rows(spark, sf_dir).withColumnRenamed("row_id", "package_id").withColumn("origin", F.lit("synthetic"))
     return real.unionByName(made, allowMissingColumns=True)
 
@@ -616,7 +615,7 @@ def additive_model(spark, sf_dir):
 
 @query
 def model_importances(spark, sf_dir):
-    rows = labelled_rows(spark, sf_dir)
+    rows = written(labelled_rows(spark, sf_dir), "labelled")
     return model.top_importances(model.predicted(rows, model.fit(rows, how=TRAINING)))
 
 
@@ -624,8 +623,8 @@ def model_importances(spark, sf_dir):
 def model_scores(spark, sf_dir):
     """Label audits scored with the trained model's probability."""
     audited = image_audit(spark, sf_dir).where("analysis_source = 'image'")
-    scored = model.predicted(packages.features(audited), model.fit(labelled_rows(spark, sf_dir), how=TRAINING)).select("package_id", "probability", F.array_join("risk_factors", "|").alias("risks"))
-    held = scoring.label_scores(audited.join(scored, "package_id"), F.col("probability"))
+    scored = model.predicted(packages.features(audited, more=["results"]), model.fit(labelled_rows(spark, sf_dir), how=TRAINING)).withColumn("risks", F.array_join("risk_factors", "|"))
+    held = scoring.label_scores(scored, F.col("probability"))
     return held.select("package_id", "probability", "rule_score", "final_score", "star_rating", "star_label", "passed_rules", "failed_rules", "critical_failures", "risks")
 
 

@@ -27,6 +27,23 @@ def test_contributions_add_up_and_the_model_learns(spark):
     assert top in ("has_mrp", "mrp_font_height_mm")
 
 
+def test_importances_work_contributions_out_once(spark):
+    made = model.AdditiveModel({"row_id": [float(i) for i in range(40)]}, {"row_id": [i / 7 for i in range(42)]}, 0.0)
+    scored = model.predicted(model.synthetic_rows(spark.range(50), "id"), made)
+    plan = model.importances(scored)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("map_from_arrays(") == 1
+
+
+def test_bins_of_training_are_those_of_scoring(spark):
+    values = [None, math.nan, -math.inf, math.inf, -1.0, 0.0, 0.5, 1.0, 8.0, 8.5, 16.0, 17.0, 18.0, 18.5]
+    for n in (0, 1, 8, 9, 10, 16, 19, 255):
+        cuts = [float(i) for i in range(n)]
+        rows = spark.createDataFrame([(v, 1) for v in values], "f double, label int")
+        got = sorted(r.bins[0] for r in boosting.binned(rows, {"f": cuts}, boosting.Boosting(bags=1)).collect())
+        want = sorted(n + 1 if v is None or math.isnan(v) else sum(c < v for c in cuts) for v in values)
+        assert got == want == sorted(r.b for r in rows.select(model.bin_expression(F.col("f"), cuts).alias("b")).collect())
+
+
 def plain_boost(bins, sizes, y, bags, pair, how):
     """The same boosting, row by row and cut by cut, on lists."""
     def leaf(rows, g, h):
