@@ -6,6 +6,7 @@ Unicode classes; ``(?i)`` marks those that ignore case.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import reduce
 
@@ -48,6 +49,32 @@ def bound(f: Callable[..., Column], *values: Column) -> Column:
     return F.get(F.transform(F.array(packed), lambda s: f(*[s[f"v{i}"] for i in range(len(values))])), F.lit(0))
 
 
+def two_places(value: Column) -> Column:
+    """A number with two decimals, rounded from its exact binary value, halves to the even digit (as C and Python print it; ``format_string`` rounds up what is written as a half).
+
+    A fraction times 2**60 is a whole number, but for bits too small to matter. From
+    2**53 on there are no fractions; from 2**63 on the digits are Spark's own.
+    """
+
+    def shown(x: Column) -> Column:
+        size = F.abs(x)
+        whole = F.when(size < 2.0**53, size).otherwise(0.0).cast("long")
+        part = ((F.when(size < 2.0**53, size).otherwise(0.0) - whole) * 2.0**60).cast("long").cast("decimal(19,0)") * F.lit(100).cast("decimal(3,0)")
+        unit = F.lit(2**60).cast("decimal(19,0)")
+        down = F.floor(part / unit).cast("long")
+
+        def rounded(down: Column, twice: Column) -> Column:
+            return down + F.when((twice > unit) | ((twice == unit) & (down % 2 == 1)), 1).otherwise(0)
+
+        def written(whole: Column, cents: Column) -> Column:
+            return F.format_string("%s%d.%02d", F.when((x < 0) | (x.cast("string") == "-0.0"), "-").otherwise(""), whole + F.floor(cents / 100).cast("long"), cents % 100)
+
+        small = bound(written, whole, bound(lambda part, down: rounded(down, (part - down.cast("decimal(19,0)") * unit) * 2), part, down))
+        return F.when(F.isnan(x), "nan").when(size == math.inf, F.when(x < 0, "-inf").otherwise("inf")).when(size < 2.0**53, small).otherwise(F.format_string("%.2f", x))
+
+    return F.when(value.isNotNull(), bound(shown, value.cast("double")))
+
+
 def json_value(text: Column) -> Column:
     """The variant of a text that is JSON as a whole; null for any other, what has more behind its value included."""
     held = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))

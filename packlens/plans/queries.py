@@ -385,7 +385,7 @@ def unit_price_rule() -> rules.Rule:
     price = checked.quotient(checked.plain(F.col("mrp_value")), checked.converted(checked.plain(F.col("declared")), "double"))
     return rules.Rule("X01_UNIT_PRICE", lambda: [
         rules.Outcome(price.value.isNull(), "NOT_APPLICABLE", "MINOR", 0.0, F.lit("No unit price.")),
-        rules.Outcome(price.value > 10, "FAIL", "MAJOR", 0.5, F.format_string("Unit price %.2f", price.value)),
+        rules.Outcome(price.value > 10, "FAIL", "MAJOR", 0.5, F.concat(F.lit("Unit price "), text.two_places(price.value))),
         rules.Outcome(None, "PASS", "MAJOR", 0.5, F.lit("Unit price in bounds.")),
     ], "Unit price", lambda: [price])
 

@@ -1,5 +1,7 @@
 """Text functions against Python's re with the same fixed patterns."""
 
+import math
+import random
 import re
 
 import pytest
@@ -122,3 +124,12 @@ def test_registry_strings(spark):
         text.clean(F.lit(" ,a, b,, ")).alias("clean"), text.clean(F.lit(" , ")).alias("none"), text.registry_price(F.lit("x"), F.lit("Rs. 12.50")).alias("price"), text.diet(F.array(F.lit("en:non-vegan"))).alias("diet"),
         text.pretty_tags(F.array(F.lit("en:south-africa"), F.lit("x"))).alias("tags"), text.report_text(F.lit("“₹5” ≤ ★é")).alias("latin"), text.masked(F.lit("0123456789abcdef")).alias("mask"), text.safe_id(F.lit("a-9")).alias("ok"), text.safe_id(F.lit("../x")).alias("bad")).first()
     assert tuple(one) == ("a, b", None, 12.5, "VEG", "South Africa, X", '"Rs5" <= ?é', "012345...cdef", True, False)
+
+
+def test_two_decimals_are_those_of_the_exact_number(spark):
+    rng = random.Random(3)
+    values = [0.125, 0.375, 2.675, 1.005, 12.345, 0.005, 0.015, 0.994999, 0.995, 9.995, 99.999, -0.125, -1.005, 0.0, -0.0, -0.001, 1e-300, 2.0**52 + 0.5, 2.0**53, 1e17, math.inf, -math.inf, math.nan, None]
+    values += [rng.choice((1, -1)) * round(rng.random() * 10 ** rng.randint(0, 9), 3) for _ in range(500)] + [rng.randint(1, 10**6) / 1000 / rng.choice((1, 2, 4, 8, 16, 299)) for _ in range(500)]
+    rows = spark.createDataFrame(list(enumerate(values)), "n long, v double").select("n", "v", text.two_places(F.col("v")).alias("t"))
+    for r in rows.collect():
+        assert r.t == (None if r.v is None else f"{r.v:.2f}"), r.v
