@@ -199,6 +199,14 @@ def byte_keys(radius: int) -> list[int]:
     return masks
 
 
+def linked_prints(prints: DataFrame, radius: int) -> DataFrame:
+    """``print, component`` of those of the distinct ``prints(print)`` that are linked with another, compared bit-sliced within their buckets."""
+    masks = F.array(*[F.lit(m).cast("long") for m in byte_keys(radius)])
+    keyed = prints.select(F.posexplode(masks).alias("k", "mask"), "print").select("k", F.col("print").bitwiseAND(F.col("mask")).alias("key"), F.col("print").alias("id"), "print")
+    spread = keyed.repartition(shuffle_partitions(prints.sparkSession), "k", "key").sortWithinPartitions("k", "key")
+    return connected_components(spread.mapInArrow(bucket_links(radius), "a long, b long")).withColumnRenamed("node", "print")
+
+
 def print_components(prints: DataFrame, radius: int = 2) -> DataFrame:
     """``print, component_id`` for the distinct values of ``prints(doc_id, print)``.
 
@@ -208,11 +216,7 @@ def print_components(prints: DataFrame, radius: int = 2) -> DataFrame:
     bytes; with radius 2 a bucket fixes 48 bits and has 65,536 nodes at most.
     """
     nodes = materialize(prints.groupBy("print").agg(F.min("doc_id").alias("first_id")), "prints")
-    masks = F.array(*[F.lit(m).cast("long") for m in byte_keys(radius)])
-    keyed = nodes.select(F.posexplode(masks).alias("k", "mask"), "print").select("k", F.col("print").bitwiseAND(F.col("mask")).alias("key"), F.col("print").alias("id"), "print")
-    spread = keyed.repartition(shuffle_partitions(prints.sparkSession), "k", "key").sortWithinPartitions("k", "key")
-    found = connected_components(spread.mapInArrow(bucket_links(radius), "a long, b long"))
-    grouped = nodes.join(found.withColumnRenamed("node", "print"), "print", "left").select("print", "first_id", F.coalesce("component", "print").alias("component"))
+    grouped = nodes.join(linked_prints(nodes, radius), "print", "left").select("print", "first_id", F.coalesce("component", "print").alias("component"))
     return with_least(grouped).select("print", "component_id")
 
 
@@ -240,7 +244,9 @@ def simhash_components(docs: DataFrame, words: int = 3, radius: int = 2) -> Data
 
 #: Near duplicates: shingle words and least Jaccard similarity.
 NEAR_WORDS, NEAR_SIMILARITY = 5, 0.8
-#: Block keys: BANDS keys, each of ROWS least hashes; a pair at 0.8 shares none with probability 3e-5.
+#: Differing bits at which fingerprints make two sets candidates, by the comparison of ``print_components``.
+NEAR_RADIUS = 2
+#: Block keys for sets whose fingerprints lie further apart: BANDS keys, each of ROWS least hashes; a pair at 0.8 shares none with probability 3e-5.
 BANDS, ROWS = 20, 4
 #: Texts, and shingles of theirs, that are compared in one task, and central texts that every part of a larger group gets.
 PART, PART_SHINGLES, HUBS = 2_000, 2_000_000, 32
@@ -409,9 +415,9 @@ def bucket_stars(keyed: DataFrame) -> DataFrame:
 def near_duplicate_groups(docs: DataFrame, words: int = NEAR_WORDS, similarity: float = NEAR_SIMILARITY) -> DataFrame:
     """``doc_id, component_id`` of each row of ``docs(doc_id, text)``: groups linked by Jaccard similarity of shingle sets.
 
-    Rows with one shingle set are one node. Nodes that share a block key are
+    Rows with one shingle set are one node. Nodes with linked fingerprints and nodes that share a block key are
     candidates, all of which are checked on the shingle sets themselves: by group
-    of nodes linked by block keys. Groups above PART nodes or PART_SHINGLES
+    of nodes linked by these. Groups above PART nodes or PART_SHINGLES
     shingles are checked in parts, each with the group's HUBS nodes nearest to its majority fingerprint;
     ``links_across`` then finds the links that this leaves out, bucket by bucket.
     Texts without words have an empty set and form one group. A null doc_id has
@@ -419,7 +425,15 @@ def near_duplicate_groups(docs: DataFrame, words: int = NEAR_WORDS, similarity:
     doc_id are in one group if their texts are.
     """
     rows = materialize(signatures(docs, words), "signatures")
-    return linked_groups(docs, rows, word_rule(words, similarity)).select("doc_id", "component_id")
+    nodes = with_print_keys(nodes_of(rows))
+    return linked_groups(docs, rows, word_rule(words, similarity), nodes).select("doc_id", "component_id")
+
+
+def with_print_keys(nodes: DataFrame, radius: int = NEAR_RADIUS) -> DataFrame:
+    """``nodes`` with one more key: the component of their fingerprint, linked at ``radius`` or fewer bits."""
+    prints = materialize(nodes.select("print").distinct(), "prints")
+    held = nodes.join(linked_prints(prints, radius), "print", "left")
+    return materialize(held.withColumn("keys", F.concat("keys", F.array(F.coalesce("component", "print")))).drop("component"), "keyed")
 
 
 def nodes_of(rows: DataFrame) -> DataFrame:
