@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.geometry import overlap, rect_of, sizes_of
-from ..functions.text import ANY_CASE, strip
+from ..functions.text import ANY_CASE, bound, strip
+from ..sources.shared import written
 
 LEAST_CONFIDENCE = 0.20
 SAME_BOX = 0.40
@@ -29,6 +32,30 @@ def lines_of_words(words: DataFrame) -> DataFrame:
     return lines.where((F.col("confidence") >= LEAST_CONFIDENCE) & (strip(F.col("text")) != ""))
 
 
+def lines_of_word_lists(lists: DataFrame) -> DataFrame:
+    """``lines_of_words`` of words that come as arrays of structs ``words``, as readers return them.
+
+    No row is made for a word. A line that is one array, as most are, is finished where
+    it is; only lines of which several arrays are found, by their keys, are shuffled.
+    """
+    kept = F.filter("words", lambda w: (strip(w["text"]) != "") & (w["conf"] > 0))
+    held = lists.select(*LINE_KEYS, F.explode_outer(F.array(kept)).alias("words")).where(F.size("words") > 0)
+    repeated = written(held.groupBy(*LINE_KEYS).agg(F.count("*").alias("n")).where("n > 1").select(*LINE_KEYS), "repeated").alias("r")
+    same = reduce(lambda a, b: a & b, [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in LINE_KEYS])
+    single = held.alias("l").join(repeated, same, "left_anti")
+    joined = held.alias("l").join(repeated, same, "left_semi").groupBy(*LINE_KEYS).agg(F.flatten(F.collect_list("words")).alias("words"))
+
+    def line(words: Column) -> Column:
+        texts = F.transform(F.array_sort(F.transform(words, lambda w: F.struct(w["word_no"], w["text"]))), lambda w: w["text"])
+        return F.struct(
+            F.array_join(texts, " ").alias("text"), (F.aggregate(words, F.lit(0.0), lambda a, w: a + w["conf"]) / F.size(words) / 100).alias("confidence"),
+            F.array_min(F.transform(words, lambda w: w["left"])).alias("x1"), F.array_min(F.transform(words, lambda w: w["top"])).alias("y1"),
+            F.array_max(F.transform(words, lambda w: w["left"] + w["width"])).alias("x2"), F.array_max(F.transform(words, lambda w: w["top"] + w["height"])).alias("y2"))
+
+    lines = single.unionByName(joined).select(*LINE_KEYS, F.inline_outer(F.array(bound(line, F.col("words")))))  # a generator, so that the filter isn't worked out again below
+    return lines.where((F.col("confidence") >= LEAST_CONFIDENCE) & (strip(F.col("text")) != ""))
+
+
 def confident_words(words: DataFrame, least: float = 20.0) -> DataFrame:
     return words.where(F.col("conf") > least)
 

@@ -33,7 +33,7 @@ def image_audit(spark: SparkSession, sf_dir: str, wide: bool = False) -> DataFra
 
 @query
 def ocr_lines(spark, sf_dir):
-    found = blocks.lines_of_words(tables.words(spark, sf_dir))
+    found = blocks.lines_of_word_lists(tables.word_lists(spark, sf_dir))
     return found.select(*blocks.LINE_KEYS, "text", F.round("confidence", 9).alias("confidence"), "x1", "y1", "x2", "y2")
 
 

@@ -111,15 +111,24 @@ def image_sizes(blocks: DataFrame) -> DataFrame:
     return sizes.where("image_id % 7 > 0")
 
 
-def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of the documents' lines with page, block, paragraph and line numbers."""
+def word_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each line of a document: page, block, paragraph and line numbers, and its ``words`` as an array of structs."""
     docs = table(spark, sf_dir, "documents")
     rows = docs.select(F.col("doc_id").alias("image_id"), F.posexplode(F.split("text", "\n")).alias("line", "content"))
-    rows = rows.select("image_id", "line", F.posexplode(F.split("content", " ")).alias("word_no", "text"))
-    w = F.col("word_no")
+    image, line = F.col("image_id"), F.col("line")
+
+    def word(text: Column, w: Column) -> Column:
+        return F.struct(
+            w.cast("int").alias("word_no"), text.alias("text"), (w * 50.0).cast("double").alias("left"), (line * 20.0 + w % 3).cast("double").alias("top"), (F.length(text) * 6.0).cast("double").alias("width"),
+            (10.0 + w % 4).cast("double").alias("height"), F.pmod(image * 7 + w * 13 + line, F.lit(101)).cast("double").alias("conf"))
+
     return rows.select(
-        "image_id", (F.col("image_id") % 3).cast("int").alias("page_num"), (F.col("line") / 4).cast("int").alias("block_num"), (F.col("line") % 2).cast("int").alias("par_num"), F.col("line").cast("int").alias("line_num"), w.cast("int").alias("word_no"), "text",
-        (w * 50.0).cast("double").alias("left"), (F.col("line") * 20.0 + w % 3).cast("double").alias("top"), (F.length("text") * 6.0).cast("double").alias("width"), (10.0 + w % 4).cast("double").alias("height"), F.pmod(F.col("image_id") * 7 + w * 13 + F.col("line"), F.lit(101)).cast("double").alias("conf"))
+        "image_id", (image % 3).cast("int").alias("page_num"), (line / 4).cast("int").alias("block_num"), (line % 2).cast("int").alias("par_num"), line.cast("int").alias("line_num"), F.transform(F.split("content", " "), word).alias("words"))
+
+
+def words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the documents' lines with page, block, paragraph and line numbers."""
+    return word_lists(spark, sf_dir).selectExpr("* EXCEPT (words)", "inline(words)")
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -118,3 +118,14 @@ def test_damaged_lines_are_set_aside(spark, tmp_path):
     held = scans_of_files.read_orc(spark, str(tmp_path / "o"), "n long, name string").where("n > 5").select("n")
     plan = held._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(n,5)" in plan and "ReadSchema: struct<n:bigint>" in plan and held.count() == 3
+
+
+def test_lines_of_word_lists_are_those_of_words(spark):
+    word = "struct<word_no:int,text:string,left:double,top:double,width:double,height:double,conf:double>"
+    lists = [(i, 0, 0, 0, n, [(w, t, w * 5.0, 1.0, 4.0, 9.0, c) for w, t, c in held]) for i, n, held in [
+        (1, 0, [(1, "b", 50.0), (0, "a", 90.0), (2, " ", 80.0)]), (1, 1, [(0, "x", 0.0)]), (1, 2, []), (2, 0, [(3, "d", 60.0), (0, "a", 70.0)]), (2, 0, [(1, "b", 40.0)]), (None, 0, [(0, "n", 50.0)]), (None, 0, [(1, "m", 60.0)]), (3, 0, [(0, "low", 5.0)])]]
+    rows = spark.createDataFrame(lists, f"image_id long, page_num int, block_num int, par_num int, line_num int, words array<{word}>")
+    got = blocks.lines_of_word_lists(rows)
+    want = blocks.lines_of_words(rows.selectExpr("* EXCEPT (words)", "inline(words)"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert got.count() == 3
