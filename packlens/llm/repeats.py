@@ -17,11 +17,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bucketed, free, materialize, new_folder, reopened, shuffle_partitions, slices, texts
-from .segments import Segments, segments, window_hashes
+from .segments import Rolling, Segments, mixed, segments, segments_by_steps
 
 #: The unit values of each text of a list.
 Units = Callable[[list[bytes]], list[np.ndarray]]
@@ -59,6 +60,16 @@ def segment_batch(core: np.ndarray, span: np.ndarray, ids: np.ndarray, head: np.
     return pa.RecordBatch.from_pydict({"core": signed(core), "span": signed(span), "doc_id": pa.array(ids), "head": pa.array(head.astype(np.int8))})
 
 
+def distinct_segments(owner: np.ndarray, core: np.ndarray, span: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+    """SEGMENT rows of the distinct (owner, core, span); ``ids`` has the owners' doc_ids."""
+    order = np.lexsort((span, core, owner))
+    owner, core, span = owner[order], core[order], span[order]
+    head = np.append(True, (owner[1:] != owner[:-1]) | (core[1:] != core[:-1]))[: len(owner)]
+    new = head.copy()
+    new[1:] |= span[1:] != span[:-1]
+    return segment_batch(core[new], span[new], ids[owner[new]], head[new])
+
+
 def in_several(rule: Rule, texts: Column, least: Column, last: Column) -> Column:
     """Whether something is in several texts, which ``texts`` counts; where ids decide, in several doc_ids from ``least`` to ``last``."""
     return texts > 1 if rule.anywhere else least < last
@@ -70,14 +81,9 @@ def segment_rows(docs: DataFrame, rule: Rule) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", PIECE_BYTES):
-                ids = np.asarray(part.column("doc_id"))
                 s = segments(rule.units(texts(part.column("text"))), rule.length, rule.steps[0])
                 if len(s.owner):
-                    order = np.lexsort((s.span, s.core, s.owner))
-                    owner, core, span = s.owner[order], s.core[order], s.span[order]
-                    new = np.append(True, (owner[1:] != owner[:-1]) | (core[1:] != core[:-1]) | (span[1:] != span[:-1]))
-                    head = np.append(True, (owner[1:] != owner[:-1]) | (core[1:] != core[:-1]))
-                    yield segment_batch(core[new], span[new], ids[owner[new]], head[new])
+                    yield distinct_segments(s.owner, s.core, s.span, np.asarray(part.column("doc_id")))
 
     return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SEGMENT)
 
@@ -253,32 +259,75 @@ def by_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return docs.join(hinted, docs["doc_id"].cast("long") == F.col("_packlens_id"), how)
 
 
+#: Bits of a hash by which most values that aren't among some keys are told.
+SIEVE_BITS = 20
+
+
 def member(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Which ``values`` occur in ``keys``."""
-    return np.isin(values, keys) if len(keys) else np.zeros(len(values), bool)
+    """Which ``values`` occur in ``keys``; both are 64-bit hashes."""
+    out = np.zeros(len(values), bool)
+    if len(keys) and len(values):
+        sieve, low = np.zeros(1 << SIEVE_BITS, bool), np.uint64((1 << SIEVE_BITS) - 1)
+        sieve[(keys & low).astype(np.int64)] = True
+        at = np.nonzero(sieve[(values & low).astype(np.int64)])[0]
+        out[at] = np.isin(values[at], keys)
+    return out
+
+
+def joint(owner: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One hash of two, of the text with index ``owner``."""
+    return a * np.uint64(0x9E3779B97F4A7C15) ^ b ^ mixed(owner.astype(np.uint64) + np.uint64(1))
+
+
+#: Pairs of hashes that a piece's texts list: indexes of the texts, first and second hashes.
+Listed = tuple[np.ndarray, np.ndarray, np.ndarray]
+
 
+def listed(column: pa.Array) -> Listed:
+    """The structs of two fields in a list column; a null list is empty."""
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(column), 0)).astype(np.int64)
+    first, second = column.flatten().flatten()
+    return np.repeat(np.arange(len(sizes)), sizes), unsigned(first), unsigned(second)
 
-def joint(core: np.ndarray, span: np.ndarray) -> np.ndarray:
-    return core * np.uint64(0x9E3779B97F4A7C15) ^ span
 
+def marked(s: Segments, keys: Listed) -> np.ndarray:
+    """Indexes of the segments that their texts list."""
+    return np.nonzero(member(joint(*keys), joint(s.owner, s.core, s.span)))[0]
 
-def marked(s: Segments, core: np.ndarray, span: np.ndarray) -> np.ndarray:
-    """Indexes of the segments among (core, span)."""
-    return np.nonzero(member(joint(core, span), joint(s.core, s.span)) & member(core, s.core))[0]
 
+class Piece:
+    """The units of some texts, joined; windows are named by their start among all units."""
 
-def pairs_of(column: pa.Array, i: int) -> tuple[np.ndarray, np.ndarray]:
-    """The two fields of the structs in row ``i`` of a list column; a null list is empty."""
-    if not column.is_valid()[i].as_py():
-        return np.empty(0, np.uint64), np.empty(0, np.uint64)
-    first, second = column.slice(i, 1).flatten().flatten()
-    return unsigned(first), unsigned(second)
+    def __init__(self, units: list[np.ndarray], rule: Rule) -> None:
+        self.rule, self.held = rule, units
+        self.edges = np.append(0, np.cumsum([len(u) for u in units], dtype=np.int64))
+        self.units = np.concatenate(units) if units else np.empty(0, np.uint64)
 
+    def segments(self, *steps: int) -> list[Segments]:
+        return segments_by_steps(self.held, self.rule.length, steps)
 
-def open_windows(units: np.ndarray, s: Segments, column: pa.Array, i: int, rule: Rule) -> np.ndarray:
-    """Starts of the windows in the segments that row ``i`` lists."""
-    at = marked(s, *pairs_of(column, i))
-    return window_starts(s.first[at], s.count[at])
+    def windows(self, s: Segments, at: np.ndarray) -> np.ndarray:
+        """Starts of the windows in the segments with indexes ``at``."""
+        return window_starts(self.edges[s.owner[at]] + s.first[at], s.count[at])
+
+    def owners(self, starts: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.edges, starts, "right") - 1
+
+    def hashes(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two independent 64-bit hashes of the windows at ``starts``."""
+        ends = starts + self.rule.length
+        return Rolling(self.units, 0).runs(starts, ends), Rolling(self.units, 1).runs(starts, ends)
+
+    def all_hashes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and both hashes of all windows."""
+        length = self.rule.length
+        starts = window_starts(self.edges[:-1], np.maximum(np.diff(self.edges) - length + 1, 0))
+        return starts, *(Rolling(self.units, base).sliding(length)[starts] for base in (0, 1))
+
+    def covered(self, starts: np.ndarray) -> np.ndarray:
+        """Which units the windows at ``starts`` cover."""
+        n = len(self.units) + 1
+        return np.cumsum((np.bincount(starts, minlength=n) - np.bincount(starts + self.rule.length, minlength=n))[:-1]) > 0
 
 
 def finer_rows(held: DataFrame, rule: Rule, level: int) -> DataFrame:
@@ -287,16 +336,12 @@ def finer_rows(held: DataFrame, rule: Rule, level: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", PIECE_BYTES):
-                for i, (doc_id, units) in enumerate(zip(part.column("doc_id").to_pylist(), rule.units(texts(part.column("text"))), strict=True)):
-                    starts = open_windows(units, segments([units], rule.length, rule.steps[level - 1]), part.column("keys"), i, rule)
-                    inside = np.zeros(len(units) + 1, bool)
-                    inside[starts] = True
-                    s = segments([units], rule.length, rule.steps[level])
-                    at = np.nonzero(inside[s.first])[0]
-                    at = at[np.unique(joint(s.core[at], s.span[at]), return_index=True)[1]]
-                    head = np.zeros(len(at), bool)
-                    head[np.unique(s.core[at], return_index=True)[1]] = True
-                    yield segment_batch(s.core[at], s.span[at], np.full(len(at), doc_id, np.int64), head)
+                piece = Piece(rule.units(texts(part.column("text"))), rule)
+                coarse, s = piece.segments(rule.steps[level - 1], rule.steps[level])
+                inside = np.zeros(len(piece.units) + 1, bool)
+                inside[piece.windows(coarse, marked(coarse, listed(part.column("keys"))))] = True
+                at = np.nonzero(inside[piece.edges[s.owner] + s.first])[0]
+                yield distinct_segments(s.owner[at], s.core[at], s.span[at], np.asarray(part.column("doc_id")))
 
     return held.mapInArrow(run, SEGMENT)
 
@@ -307,11 +352,13 @@ def window_rows(held: DataFrame, rule: Rule) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", PIECE_BYTES):
-                for i, (doc_id, units) in enumerate(zip(part.column("doc_id").to_pylist(), rule.units(texts(part.column("text"))), strict=True)):
-                    starts = open_windows(units, segments([units], rule.length, rule.steps[-1]), part.column("keys"), i, rule)
-                    a, b = window_hashes(units, starts, rule.length)
-                    _, index = np.unique(joint(a, b), return_index=True)
-                    yield pa.RecordBatch.from_arrays([signed(a[index]), signed(b[index]), pa.array(np.full(len(index), doc_id, np.int64))], ["first_hash", "second_hash", "doc_id"])
+                piece = Piece(rule.units(texts(part.column("text"))), rule)
+                (s,) = piece.segments(rule.steps[-1])
+                starts = piece.windows(s, marked(s, listed(part.column("keys"))))
+                a, b = piece.hashes(starts)
+                owner = piece.owners(starts)
+                _, index = np.unique(joint(owner, a, b), return_index=True)
+                yield pa.RecordBatch.from_arrays([signed(a[index]), signed(b[index]), pa.array(np.asarray(part.column("doc_id"))[owner[index]])], ["first_hash", "second_hash", "doc_id"])
 
     return held.mapInArrow(run, "first_hash long, second_hash long, doc_id long")
 
@@ -322,43 +369,30 @@ def with_keys(docs: DataFrame, verify: DataFrame) -> DataFrame:
     return by_ids(docs, verify, "left_semi").join(keys.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "keys")
 
 
-def covered(units: int, starts: np.ndarray, length: int) -> np.ndarray:
-    """Which units the windows at ``starts`` cover."""
-    edge = np.zeros(units + 1, np.int64)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, starts + length, -1)
-    return np.cumsum(edge[:-1]) > 0
-
-
 def window_starts(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     """Every start in the runs (first, count)."""
     return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
 
 
-def removed_units(units: np.ndarray, rule: Rule, whole: tuple[np.ndarray, np.ndarray], windows: tuple[np.ndarray, np.ndarray], coarse: Segments) -> np.ndarray:
-    """Which units of one text go, given its settled segments, verified windows, and its segments of the first width."""
-    n = len(units) - rule.length + 1
-    if n < 1 or not (rule.anywhere or len(whole[0]) or len(windows[0])):
-        return np.zeros(len(units), bool)
-    gone = np.zeros(n, bool)
-    found = 0
-    for step in rule.steps:
-        if found == len(whole[0]):
-            break
-        s = coarse if step == rule.steps[0] else segments([units], rule.length, step)
-        at = marked(s, *whole)
-        gone[window_starts(s.first[at], s.count[at])] = True
-        found += len(np.unique(joint(s.core[at], s.span[at])))
+def removed_windows(piece: Piece, whole: Listed, windows: Listed) -> np.ndarray:
+    """Starts of the windows that go, given the settled segments and verified windows that the texts list."""
+    rule, found = piece.rule, []
+    by_step = piece.segments(*rule.steps)
+    found += [piece.windows(s, marked(s, whole)) for s in by_step]
     if rule.anywhere:
-        _, code, copies = np.unique(coarse.core, return_inverse=True, return_counts=True)
-        at = np.nonzero(copies[code] > 1)[0]
+        at = repeating(by_step[0])
         if len(at):  # only windows whose core comes twice in the text can themselves come twice
-            starts = window_starts(coarse.first[at], coarse.count[at])
-            _, code, copies = np.unique(joint(*window_hashes(units, starts, rule.length)), return_inverse=True, return_counts=True)
-            gone[starts[copies[code] > 1]] = True
+            starts = piece.windows(by_step[0], at)
+            _, code, copies = np.unique(joint(piece.owners(starts), *piece.hashes(starts)), return_inverse=True, return_counts=True)
+            found.append(starts[copies[code] > 1])
     if len(windows[0]):
-        gone |= member(joint(*windows), joint(*window_hashes(units, np.arange(n), rule.length)))
-    return covered(len(units), np.nonzero(gone)[0], rule.length)
+        with_some = np.unique(windows[0])
+        part = Piece([piece.held[i] for i in with_some], rule)
+        starts, a, b = part.all_hashes()
+        owner = part.owners(starts)
+        gone = member(joint(*windows), joint(with_some[owner], a, b))
+        found.append((starts - part.edges[owner] + piece.edges[with_some[owner]])[gone])
+    return np.concatenate(found)
 
 
 def verified(windows: DataFrame, rule: Rule) -> DataFrame:
@@ -404,32 +438,30 @@ def found_removals(docs: DataFrame, batches: list[DataFrame], rule: Rule, fanout
 
 
 def gone_units(part: pa.RecordBatch, rule: Rule) -> Iterator[tuple[bytes, np.ndarray | None]]:
-    """Each text of a batch with ``_packlens_whole`` and ``_packlens_windows``, and which of its units go (None: nothing).
-
-    The segments of the first width are made for all texts that need them at once.
-    """
-    whole, windows = part.column("_packlens_whole"), part.column("_packlens_windows")
+    """Each text of a batch with ``_packlens_whole`` and ``_packlens_windows``, and which of its units go (None: nothing)."""
+    whole, windows = listed(part.column("_packlens_whole")), listed(part.column("_packlens_windows"))
     held = texts(part.column("text"))
-    units = rule.units(held)
-    lists = [(pairs_of(whole, i), pairs_of(windows, i)) for i in range(len(held))]
-    listed = {i for i, (a, b) in enumerate(lists) if len(a[0]) or len(b[0])}
-    wanted = range(len(held)) if rule.anywhere else sorted(listed)
-    s = segments([units[i] for i in wanted], rule.length, rule.steps[0])
-    own = {wanted[j] for j in repeating(s)} if rule.anywhere else set()
-    place = {i: j for j, i in enumerate(wanted)}
+    wanted = np.arange(len(held)) if rule.anywhere else np.union1d(whole[0], windows[0])
+    piece = Piece(rule.units([held[i] for i in wanted]), rule)
+    renumbered = [(np.searchsorted(wanted, owner), a, b) for owner, a, b in (whole, windows)]
+    starts = removed_windows(piece, *renumbered)
+    losing = np.zeros(len(held), bool)
+    losing[wanted[piece.owners(starts)]] = True
+    gone = piece.covered(starts)
     for i, text in enumerate(held):
-        if i not in own and i not in listed:
+        if losing[i]:
+            lo, hi = piece.edges[np.searchsorted(wanted, i) + np.arange(2)]
+            yield text, gone[lo:hi]
+        else:
             yield text, None
-            continue
-        lo, hi = np.searchsorted(s.owner, [place[i], place[i] + 1])
-        yield text, removed_units(units[i], rule, *lists[i], Segments(s.owner[lo:hi], s.first[lo:hi], s.count[lo:hi], s.core[lo:hi], s.span[lo:hi]))
 
 
-def repeating(s: Segments) -> set[int]:
-    """Owners in which a core comes twice; the others hold no window twice."""
+def repeating(s: Segments) -> np.ndarray:
+    """Indexes of the segments whose core comes twice in their text; the other segments hold no window twice there."""
     order = np.lexsort((s.core, s.owner))
     owner, core = s.owner[order], s.core[order]
-    return set(owner[1:][(owner[1:] == owner[:-1]) & (core[1:] == core[:-1])].tolist())
+    same = np.append(False, (owner[1:] == owner[:-1]) & (core[1:] == core[:-1]))[: len(order)]
+    return order[same | np.append(same[1:], False)[: len(order)]]
 
 
 def with_removals(docs: DataFrame, found: DataFrame) -> DataFrame:

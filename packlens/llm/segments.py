@@ -65,6 +65,20 @@ class Rolling:
         """Hash of the units from each start up to its end, whatever its place."""
         return mixed((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64) * MIX[0])
 
+    def sliding(self, width: int) -> np.ndarray:
+        """``runs`` of ``width`` units from every place."""
+        n = max(len(self.sums) - width, 0)
+        return mixed((self.sums[width:] - self.sums[:n]) * self.down[:n] + np.uint64(width * int(MIX[0]) % 2**64))
+
+    def ranks(self, width: int) -> np.ndarray:
+        """Like ``sliding`` with less mixing: enough to pick by the high bits."""
+        n = max(len(self.sums) - width, 0)
+        x = self.sums[width:] - self.sums[:n]
+        x *= self.down[:n]
+        x ^= x >> np.uint64(32)
+        x *= MIX[0]
+        return x
+
 
 @dataclass
 class Segments:
@@ -111,31 +125,35 @@ def sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
 
 def segments(sequences: list[np.ndarray], length: int, step: int) -> Segments:
     """The segments of all ``sequences`` of unsigned 64-bit unit values; offset classes are ``step`` units wide."""
-    out: list[tuple[np.ndarray, ...]] = []
+    return segments_by_steps(sequences, length, (step,))[0]
+
+
+def segments_by_steps(sequences: list[np.ndarray], length: int, steps: tuple[int, ...]) -> list[Segments]:
+    """``segments`` for several widths of the offset classes; the grams are picked once for all."""
+    out: list[list[tuple[np.ndarray, ...]]] = [[] for _ in steps]
+    mask = np.uint64((1 << PLACE_BITS) - 1)
     for values, owners, offsets, edges in blocks(sequences, length):
-        grams = Rolling(values, 0)
-        places = np.arange(len(values) - GRAM + 1)
-        cores = grams.runs(places, places + GRAM)
-        mask = np.uint64((1 << PLACE_BITS) - 1)
-        least = sliding_least(cores & ~mask | places.astype(np.uint64), length - GRAM + 1)
-        picked = (least & mask).astype(np.int64)
-        piece = np.repeat(np.arange(len(owners)), np.diff(edges))[: len(picked)]
-        starts = np.nonzero(np.arange(len(picked)) + length <= edges[piece + 1])[0]
-        picked, piece = picked[starts], piece[starts]
-        kind = (picked - starts) // step
-        new = np.append(True, (picked[1:] != picked[:-1]) | (piece[1:] != piece[:-1]) | (kind[1:] != kind[:-1]))
-        at = np.nonzero(new)[0]
-        first, count, piece = starts[at], np.diff(np.append(at, len(starts))), piece[at]
-        begin = picked[at] - kind[at] * step
-        cores = grams.runs(begin, begin + length - step + 1) + kind[at].astype(np.uint64)
-        spans = Rolling(values, 1).runs(first, first + count - 1 + length)
-        out.append((owners[piece], first - edges[piece] + offsets[piece], count, cores, spans))
-    if not out:
-        empty = np.empty(0, np.int64)
-        return Segments(empty, empty, empty, np.empty(0, np.uint64), np.empty(0, np.uint64))
-    return Segments(*map(np.concatenate, zip(*out, strict=True)))
-
-
-def window_hashes(units: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit hashes of the windows of one sequence at ``starts``."""
-    return Rolling(units, 0).runs(starts, starts + length), Rolling(units, 1).runs(starts, starts + length)
+        grams, wide = Rolling(values, 0), Rolling(values, 1)
+        keys = grams.ranks(GRAM)
+        keys &= ~mask
+        keys |= np.arange(len(keys), dtype=np.uint64)
+        least = sliding_least(keys, length - GRAM + 1)
+        new = np.append(True, least[1:] != least[:-1])
+        new[edges[:-1]] = True
+        at = np.nonzero(new)[0]  # windows from here up to ``last`` are in one piece and pick one gram
+        piece = np.searchsorted(edges, at, "right") - 1
+        last = np.minimum(np.append(at[1:], len(least)), edges[piece + 1] - length + 1)
+        inside = at < last  # windows across pieces are none
+        at, last, piece = at[inside], last[inside], piece[inside]
+        picked = (least[at] & mask).astype(np.int64)
+        for step, found in zip(steps, out, strict=True):
+            top = (picked - at) // step
+            classes = top - (picked - last + 1) // step + 1
+            run = np.repeat(np.arange(len(at)), classes)
+            kind = top[run] - (np.arange(len(run)) - (np.cumsum(classes) - classes)[run])
+            begin = picked[run] - kind * step
+            first, end = np.maximum(at[run], begin - step + 1), np.minimum(last[run], begin + 1)
+            cores = grams.runs(begin, begin + length - step + 1) + kind.astype(np.uint64)
+            found.append((owners[piece[run]], first - edges[piece[run]] + offsets[piece[run]], end - first, cores, wide.runs(first, end - 1 + length)))
+    empty = (*[np.empty(0, np.int64)] * 3, *[np.empty(0, np.uint64)] * 2)
+    return [Segments(*map(np.concatenate, zip(*found, strict=True))) if found else Segments(*empty) for found in out]

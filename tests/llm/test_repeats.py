@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -193,3 +194,42 @@ def test_long_sequences_are_cut_into_blocks(monkeypatch):
     s = segments.segments([units, units[:10], units[100:300]], 30, 5)
     starts = np.concatenate([np.arange(f, f + n) for o, f, n in zip(s.owner, s.first, s.count, strict=True) if o == 0])
     assert sorted(starts.tolist()) == list(range(971))
+
+
+def test_widths_share_the_picked_grams():
+    rng = random.Random(3)
+    sequences = suffixes.byte_units([rng.randbytes(n) for n in (900, 199, 200, 0, 1500)] + [b"ab" * 400])
+    for step, got in zip((128, 8), segments.segments_by_steps(sequences, 200, (128, 8)), strict=True):
+        want = segments.segments(sequences, 200, step)
+        for name in ("owner", "first", "count", "core", "span"):
+            assert np.array_equal(getattr(got, name), getattr(want, name))
+
+
+def test_texts_of_a_piece_are_worked_on_together(monkeypatch):
+    """The passes over a piece don't grow in number with its texts; what goes is what goes text by text."""
+    rng = random.Random(4)
+    twice = rng.randbytes(300).hex()
+    held = [f"{twice} {rng.randbytes(150).hex()} {twice if i % 3 == 0 else ''}" for i in range(60)]
+    rule, s = repeats.Rule(suffixes.byte_units, 200, anywhere=True, steps=(128, 8)), []
+    for text in held:
+        (units,) = suffixes.byte_units([text.encode()])
+        found = segments.segments([units], 200, 128)
+        starts = np.arange(0, 100)
+        a, b = (segments.Rolling(units, base).runs(starts, starts + 200) for base in (0, 1))
+        s.append((list(zip(found.core[:1].view(np.int64).tolist(), found.span[:1].view(np.int64).tolist(), strict=True)), list(zip(a.view(np.int64).tolist(), b.view(np.int64).tolist(), strict=True)), int(found.count[0])))
+    kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+    whole, windows = ([None if i % k else [dict(a=a, b=b) for a, b in x[place]] for i, x in enumerate(s)] for k, place in ((2, 0), (5, 1)))
+    part = pa.RecordBatch.from_arrays([pa.array(held), pa.array(whole, kind), pa.array(windows, kind)], ["text", "_packlens_whole", "_packlens_windows"])
+    passes, made = [], segments.Rolling.__init__
+    monkeypatch.setattr(segments.Rolling, "__init__", lambda self, *args: passes.append(1) or made(self, *args))
+    got = list(repeats.gone_units(part, rule))
+    assert len(passes) < 12
+    for i, (text, gone) in enumerate(got):
+        want = np.zeros(len(text), bool)
+        if i % 2 == 0:
+            want[: s[i][2] + 199] = True
+        if i % 5 == 0:
+            want[:299] = True
+        if i % 3 == 0:
+            want[:600] = want[-600:] = True
+        assert text == held[i].encode() and np.array_equal(want, np.zeros(len(text), bool) if gone is None else gone), i
