@@ -3,7 +3,10 @@
 Cells are so small that all points of one are neighbours. So clusters are connected
 components of cells, never of points: two cells are linked if some point of one is
 near some point of the other, which their boxes mostly settle, and smaller cells
-where they don't. No task holds an image, and crowded cells are never joined pair by pair.
+where they don't. No task holds such an image, and crowded cells are never joined pair by pair.
+
+Images of up to FEW points, as labels are, need no cells: their points are shuffled once,
+as one array an image, and compared where they are.
 """
 
 from __future__ import annotations
@@ -11,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import bound
 from ..sources.shared import written
 
 #: Share of eps that is a cell's side: its diagonal stays just under eps.
@@ -19,6 +23,8 @@ SIDE = 0.5**0.5 * (1 - 1e-9)
 REACH = 2
 #: Two cells are compared point by point if that takes so many pairs at most.
 PAIRS = 4096
+#: Images of more points are cut into cells.
+FEW = 1000
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -129,6 +135,44 @@ def linked_cells(core: DataFrame) -> DataFrame:
         tops = (F.col("top_a"), F.col("top_b"))
 
 
+def regions_of(points: Column, eps: Column, least: int) -> Column:
+    """The region of each point of an array of structs with x and y: ``clustered`` of one image, whose points are in order."""
+    numbered = F.transform(points, lambda p, i: F.struct(i.alias("i"), p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y")))
+
+    def close(p: Column, e: Column) -> Column:
+        def to(a: Column) -> Column:
+            return F.transform(F.filter(p, lambda b: square(a["x"], b["x"]) + square(a["y"], b["y"]) <= e * e), lambda b: b["i"])
+
+        return F.transform(p, to)
+
+    def joined(labels: Column, around: Column) -> Column:
+        """``labels`` after the points ``around`` one are put together under their least label."""
+        def same(ends: Column, low: Column) -> Column:
+            return F.when(F.size(ends) < 2, labels).otherwise(F.transform(labels, lambda x: F.when(F.array_contains(ends, x), low).otherwise(x)))
+
+        return F.when(F.size(around) < 2, labels).otherwise(bound(lambda ends: bound(same, ends, F.array_min(ends)), F.array_distinct(F.transform(around, lambda j: F.get(labels, j)))))
+
+    def labelled(near: Column) -> Column:
+        def with_cores(core: Column) -> Column:
+            cores = F.transform(near, lambda js: F.filter(js, lambda j: F.get(core, j)))  # core points near each point
+            linked = F.transform(cores, lambda js, i: F.when(F.get(core, i), js).otherwise(F.slice(js, 1, 0)))
+            labels = F.aggregate(linked, F.transform(near, lambda _, i: i), joined)
+            return bound(lambda js, found: F.transform(js, lambda around: F.array_min(F.transform(around, lambda j: F.get(found, j)))), cores, labels)
+
+        return bound(with_cores, F.transform(near, lambda js: F.size(js) >= least))
+
+    def ranked(firsts: Column) -> Column:
+        return bound(lambda roots: F.transform(firsts, lambda x: F.coalesce(F.array_position(roots, x) - 1, F.lit(-1)).cast("int")), F.array_sort(F.array_distinct(F.filter(firsts, lambda x: x.isNotNull()))))
+
+    return bound(ranked, bound(labelled, bound(close, numbered, eps)))
+
+
+def crowded_images(points: DataFrame) -> DataFrame | None:
+    """``image_id`` of the images of more than FEW points; None if there are none."""
+    found = written(points.where("image_id IS NOT NULL").groupBy("image_id").agg(F.count("*").alias("n")).where(F.col("n") > FEW).select("image_id"), "crowded")
+    return None if found.isEmpty() else found
+
+
 def clustered(points: DataFrame, eps: float | Column, least: int = 2) -> DataFrame:
     """DBSCAN by image of ``points(image_id, point_no, x, y)``: adds ``region``, -1 for noise.
 
@@ -139,6 +183,17 @@ def clustered(points: DataFrame, eps: float | Column, least: int = 2) -> DataFra
     gives no rows.
     """
     held = points.select("image_id", "point_no", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), (eps if isinstance(eps, Column) else F.lit(float(eps))).alias("eps"))
+    crowded = crowded_images(held)
+    few = held if crowded is None else held.join(crowded, "image_id", "left_anti")
+    images = few.where("image_id IS NOT NULL").groupBy("image_id").agg(F.first("eps").alias("eps"), F.array_sort(F.collect_list(F.struct("point_no", "x", "y"))).alias("points"))
+    each = images.select("image_id", F.inline(F.arrays_zip("points", regions_of(F.col("points"), F.col("eps"), least).alias("region"))))
+    found = each.select("image_id", "points.point_no", "points.x", "points.y", "region")
+    found = found.unionByName(held.where("image_id IS NULL").select("image_id", "point_no", "x", "y", F.lit(-1).alias("region")))
+    return found if crowded is None else found.unionByName(clustered_by_cells(held.join(crowded, "image_id", "left_semi"), least))
+
+
+def clustered_by_cells(held: DataFrame, least: int) -> DataFrame:
+    """``clustered`` of ``held(image_id, point_no, x, y, eps)`` for images of any number of points."""
     placed = held.where("x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y) AND image_id IS NOT NULL")
     spots = placed.groupBy("image_id", "x", "y", "eps").agg(F.count("*").alias("n"), F.min("point_no").alias("first_no"))
     spots = written(with_core(written(spots.withColumn("cell", cell()), "spots"), least), "core")
@@ -171,15 +226,30 @@ def label_regions(blocks: DataFrame, images: DataFrame, eps: float = 50.0, least
     top to bottom (ties: as read). Blocks that are near none are one region, -1. An
     image of unknown size is one region, 0, with all text as read and no box.
     """
-    sized = images.select("image_id", (F.sqrt(F.col("width") * F.col("width") + F.col("height") * F.col("height")) * eps / 1000).alias("_eps"))
-    held = written(blocks.join(sized.where("_eps > 0"), "image_id", "left").select("image_id", "block_no", "text", "cx", "cy", "rect", "_eps"), "blocks")
-    points = held.where("_eps IS NOT NULL").select("image_id", F.col("block_no").alias("point_no"), F.col("cx").alias("x"), F.col("cy").alias("y"), "_eps")
-    found = clustered(points, F.col("_eps"), least).select("image_id", F.col("point_no").alias("block_no"), "region")
-    known = held.where("_eps IS NOT NULL").join(found, ["image_id", "block_no"])
-    whole = single_region(held.where("_eps IS NULL"))
-    texts = F.transform(F.array_sort(F.collect_list(F.struct("cy", "block_no", "text"))), lambda b: b["text"])
-    boxes = [F.min("rect.x1").alias("x1"), F.min("rect.y1").alias("y1"), F.max("rect.x2").alias("x2"), F.max("rect.y2").alias("y2")]
-    return known.groupBy("image_id", "region").agg(*boxes, F.array_join(texts, " ").alias("text"), F.count("*").alias("blocks")).unionByName(whole)
+    sized = images.select("image_id", (F.sqrt(F.col("width") * F.col("width") + F.col("height") * F.col("height")) * eps / 1000).alias("_eps")).where("_eps > 0")
+    slim = blocks.select("image_id", "block_no", "text", "cx", "cy", "rect")
+    crowded = crowded_images(slim)
+    few = slim if crowded is None else slim.join(crowded, "image_id", "left_anti")
+    block = F.struct("block_no", F.col("cx").alias("x"), F.col("cy").alias("y"), "text", "rect")
+    whole = few.groupBy("image_id").agg(F.array_sort(F.collect_list(block)).alias("held")).join(sized.hint("shuffle_hash"), "image_id", "left")
+    numbers = F.when(F.col("_eps").isNotNull(), regions_of(F.col("held"), F.col("_eps"), least)).otherwise(F.transform("held", lambda _: F.lit(0)))
+    each = whole.select("image_id", "_eps", F.inline(F.arrays_zip("held", numbers.alias("region"))))
+    found = regions_of_blocks(each.select("image_id", "_eps", "region", "held.block_no", "held.text", F.col("held.y").alias("cy"), "held.rect"))
+    if crowded is None:
+        return found
+    held = written(slim.join(crowded, "image_id", "left_semi").join(sized, "image_id", "left"), "blocks")
+    points = held.where("_eps IS NOT NULL").select("image_id", F.col("block_no").alias("point_no"), F.col("cx").cast("double").alias("x"), F.col("cy").cast("double").alias("y"), F.col("_eps").alias("eps"))
+    numbered = clustered_by_cells(points, least).select("image_id", F.col("point_no").alias("block_no"), "region")
+    known = held.where("_eps IS NOT NULL").join(numbered, ["image_id", "block_no"])
+    return found.unionByName(regions_of_blocks(known)).unionByName(single_region(held.where("_eps IS NULL")))
+
+
+def regions_of_blocks(known: DataFrame) -> DataFrame:
+    """A row for each region of ``known(image_id, _eps, region, block_no, text, cy, rect)``; an image without ``_eps`` has no box and its text as read."""
+    sized = F.col("_eps").isNotNull()
+    texts = F.transform(F.array_sort(F.collect_list(F.struct(F.when(sized, F.col("cy")).alias("cy"), "block_no", "text"))), lambda b: b["text"])
+    boxes = [f(F.when(sized, F.col(f"rect.{c}"))).alias(c) for f, c in ((F.min, "x1"), (F.min, "y1"), (F.max, "x2"), (F.max, "y2"))]
+    return known.groupBy("image_id", "region").agg(*boxes, F.array_join(texts, " ").alias("text"), F.count("*").alias("blocks"))
 
 
 def single_region(blocks: DataFrame, images: DataFrame | None = None) -> DataFrame:

@@ -88,6 +88,35 @@ def test_regions_of_any_points(spark, monkeypatch, least, pairs):
     assert regions.clustered(spark.createDataFrame([], "image_id int, point_no int, x double, y double"), 1.0).count() == 0
 
 
+@pytest.mark.parametrize(("few", "least", "pairs"), [(0, 2, 4096), (0, 2, 4), (0, 4, 4), (0, 7, 1), (100, 3, 4096)])
+def test_regions_of_few_and_of_many_points(spark, monkeypatch, few, least, pairs):
+    """Images go by cells from ``few`` points on; places missing, not a number, and images without an id are noise."""
+    monkeypatch.setattr(regions, "PAIRS", pairs)
+    monkeypatch.setattr(regions, "FEW", few)
+    rng = random.Random(least)
+    images = {1: [(rng.random(), rng.random()) for _ in range(120)], 2: [(rng.gauss(0, 0.05), rng.gauss(0, 0.05)) for _ in range(90)] + [(0.3, 0.3)] * 9, 3: [(i * 0.05, (i % 2) * 0.01) for i in range(-40, 40)], 4: [(1.0, 2.0)]}
+    odd = [(5, 0, None, 1.0), (5, 1, float("nan"), 1.0), (5, 2, float("nan"), 1.0), (None, 0, 1.0, 1.0), (None, 1, 1.0, 1.0)]
+    rows = [(i, n, *p) for i, ps in images.items() for n, p in enumerate(ps)]
+    found = regions.clustered(spark.createDataFrame([*rows, *odd], "image_id int, point_no int, x double, y double").repartition(3), 0.05, least).collect()
+    got = {(r.image_id, r.point_no): r.region for r in found}
+    assert len(found) == len(rows) + 5 and [got.pop(o[:2]) for o in odd] == [-1] * 5
+    assert got == {(i, n): r for i, ps in images.items() for n, r in enumerate(plain_regions(ps, 0.05, least))}
+
+
+def test_labels_are_shuffled_once(spark, monkeypatch):
+    """Regions of labels are found in one exchange of the blocks (and one of the sizes); they are those found by cells."""
+    rng = random.Random(8)
+    rows = [(i if i < 9 else None, n, f"t{i}.{n}", rng.random() * 400, rng.random() * 400 if n else None) for i in range(10) for n in range(14)]
+    held = spark.createDataFrame(rows, "image_id int, block_no int, text string, cx double, cy double").selectExpr("*", "struct(cx - 1 AS x1, cy - 1 AS y1, cx + 1 AS x2, cy + 1 AS y2) AS rect")
+    images = spark.createDataFrame([(i, 700.0 if i != 3 else None, 700.0) for i in range(7)], "image_id int, width double, height double")
+    found = regions.label_regions(held, images)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+    want = found.collect()
+    monkeypatch.setattr(regions, "FEW", 10)
+    assert sorted(map(str, regions.label_regions(held, images).collect())) == sorted(map(str, want))
+    assert len({r.region for r in want if r.image_id == 1}) > 2 and [r.region for r in want if r.image_id in (3, 8, None)] == [0] * 3
+
+
 def test_regions_run_no_python(spark):
     found = regions.clustered(tables.points(spark, SF), 0.05)
     plan = found._jdf.queryExecution().executedPlan().toString()
